@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, packing
+from quarry.llm import exact_dedup, packing, simhash
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
     "op10_packing": packing.op10_packing,
 }
 
