@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, packing, simhash
+from quarry.llm import exact_dedup, langid, packing, quality, simhash
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
 
