@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, langid, packing, quality, simhash
+from quarry.llm import chat, exact_dedup, langid, packing, quality, rules, simhash, url_filters
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_quality_rules": rules.op3_quality_rules,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_url_filters": url_filters.op7_url_filters,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
+    "op3_quality_rules": rules.SQL,
+    "op8_chat_formatting": chat.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
 }
