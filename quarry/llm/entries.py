@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, exact_dedup, langid, packing, quality, rules, simhash, suffix_dedup, url_filters
+from quarry.llm import chat, exact_dedup, langid, packing, quality, rules, sentencepiece_codec, simhash, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_quality_rules": rules.op3_quality_rules,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_simhash": simhash.op6_simhash,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_chat_formatting": chat.op8_chat_formatting,
