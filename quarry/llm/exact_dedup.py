@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, table, utf8
@@ -193,8 +193,6 @@ def exact_groups(
         moved = F.when(F.col("moved") == 1, F.lit(turn + 1)).otherwise(F.col("pass"))
         found = stored(joined.withColumn("pass", moved).drop("moved").select(*found.columns), "fingerprints")
         turn += 1
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy(*cls, "doc_id").orderBy("n_bytes"))
     rows = found.withColumn("nth", nth).join(sizes, cls)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
@@ -204,13 +202,12 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with their own columns; one of rows that repeat an id and text."""
-    groups = exact_groups(docs, key, text)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in CLASS])
     if docs.groupBy(key).count().filter("count > 1").isEmpty():
+        kept = exact_groups(docs, key, text).filter("kept").select(F.col("doc_id").alias("__id"))
         return docs.join(kept, docs[key].eqNullSafe(kept["__id"]), "left_semi")
-    one = docs.dropDuplicates([key, text])
-    length = F.octet_length(F.coalesce(one[text], F.lit("")))
-    return one.join(kept, one[key].eqNullSafe(kept["__id"]) & (length == kept["__n_bytes"]), "left_semi")
+    kept = exact_groups(docs, key, text, digest=True).filter("kept").select(F.col("doc_id").alias("__id"), F.col("sha256").alias("__sha"))
+    one = docs.withColumn("__own", F.sha2(utf8(text), 256)).dropDuplicates([key, "__own"])
+    return one.join(kept, one[key].eqNullSafe(kept["__id"]) & (one["__own"] == kept["__sha"]), "left_semi").drop("__own")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

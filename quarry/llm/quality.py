@@ -237,10 +237,21 @@ def production_model(documents: DataFrame, labels: DataFrame) -> QualityModel:
     return fit(documents, labels.filter(~held_out("doc_id", 4, 2)))
 
 
-def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold; rows that repeat an id stay if one of them does."""
-    good = model.score(docs, key).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, docs[key].eqNullSafe(good["__id"]), "left_semi")
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their own columns. Each row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.network))
+    schema = docs.schema
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, network = shared.value
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
+            for a, b in groups_of(texts):
+                good = network.scores(pooled(texts[a:b], vectors)) >= threshold
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(run, schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

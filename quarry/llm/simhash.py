@@ -232,7 +232,10 @@ def near_groups(
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with their own columns."""
+    """The rows of ``docs`` whose id is the smallest of their component, with their own columns.
+
+    Rows that share an id are one document: they stay together if that id is the smallest of any of their components.
+    """
     kept = near_groups(docs, key, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
     return docs.join(kept, docs[key].eqNullSafe(kept["__id"]), "left_semi")
 

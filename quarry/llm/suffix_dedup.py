@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import table, utf8
 from quarry.llm.suffix_sort import equal_prefixes, suffix_order
@@ -98,12 +99,17 @@ class Anchors:
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``k, nth, raw``: the id, the number among rows that repeat it, and the bytes. Null ids come before all others."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), utf8(text).alias("raw"))
+    """``k, nth, raw, rest``: the id, the number among rows that repeat it, the bytes, and the other columns as a struct.
+
+    Null ids come before all others.
+    """
+    others = [F.col(c) for c in docs.columns if c not in (key, text)]
+    rest = F.struct(*others) if others else F.lit(0)
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), utf8(text).alias("raw"), rest.alias("rest"))
     if docs.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).isEmpty():
-        return rows.select("k", F.lit(0).alias("nth"), "raw")
+        return rows.select("k", F.lit(0).alias("nth"), "raw", "rest")
     nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("raw"), "raw")) - 1
-    return rows.select("k", nth.alias("nth"), "raw")
+    return rows.select("k", nth.alias("nth"), "raw", "rest")
 
 
 def repeated_anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -125,7 +131,7 @@ def repeated_anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     arrays = [np.concatenate(hashes).view(np.int64), ks[o], nths[o].astype(np.int64) << _SHIFT | p]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "k", "loc"])
 
-    all_of = rows.mapInArrow(emit, "h long, k long, loc long")
+    all_of = rows.select("k", "nth", "raw").mapInArrow(emit, "h long, k long, loc long")
     counted = all_of.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
     low = F.lit((1 << _SHIFT) - 1)
     return counted.select("k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.col("loc").bitwiseAND(low).alias("pos"), "n")
@@ -140,13 +146,14 @@ def _stretches(rows: DataFrame, anchors: DataFrame, length: int, gram: int, hot:
     ``loc`` holds the document's number and the first string start, ``last`` is the last string start.
     """
     per_doc = anchors.groupBy("k", "nth").agg(F.collect_list(F.struct("pos", (F.col("n") > hot).cast("int").alias("hot"))).alias("at"))
-    joined = rows.join(per_doc, ["k", "nth"]).select("k", "nth", "raw", F.col("at.pos").alias("pos"), F.col("at.hot").alias("hot"))
+    # ``rest`` goes along unused: so the texts are shuffled in the same form as for the cut, and that shuffle is reused.
+    joined = rows.join(per_doc, ["k", "nth"]).select("k", "nth", "raw", F.col("at.pos").alias("pos"), F.col("at.hot").alias("hot"), "rest")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, seen = Anchors(length, gram), {}
         digest = lambda s: int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "big", signed=True)
         for batch in batches:
-            ks, nths, raws, poss, hots = (c.to_pylist() for c in batch.columns)
+            ks, nths, raws, poss, hots = (c.to_pylist() for c in batch.columns[:5])
             out: list[tuple] = []
             for i, first, last, place, hashes in finder.runs(raws):
                 text, k, base = raws[i], ks[i], nths[i] << _SHIFT
@@ -269,7 +276,9 @@ def _runs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``doc_id, nth, raw, spans, kept`` of every row: its bytes, the maximal spans that go, and the bytes that stay.
+    """``doc_id, nth, raw, spans, kept, rest`` of every row: its bytes, the maximal spans that go, and the bytes that stay.
+
+    ``rest`` is a struct of the other columns of ``docs`` (0 without any).
 
     ``spans`` is an array of ``start, end`` in bytes. A string counts as earlier in a smaller ``doc_id``, or in the same
     document at an earlier start; among rows that repeat an id the order is that of a hash of their bytes. Null texts are
@@ -282,7 +291,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         "k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), (F.col("last") + length).alias("e")).alias("p")
     )
     per_doc = spans.groupBy("k", "nth").agg(F.collect_list("p").alias("ps"))
-    joined = rows.join(per_doc, ["k", "nth"], "left").select("k", "nth", "raw", F.col("ps.s").alias("s"), F.col("ps.e").alias("e"))
+    joined = rows.join(per_doc, ["k", "nth"], "left").select("k", "nth", "raw", F.col("ps.s").alias("s"), F.col("ps.e").alias("e"), "rest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -297,11 +306,31 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                     stops = [0, *(x for pair in merged for x in pair), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(stops[::2], stops[1::2])))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(spans, kind), pa.array(kept, pa.binary())], ["k", "nth", "raw", "spans", "kept"]
+                    [*part.columns[:3], pa.array(spans, kind), pa.array(kept, pa.binary()), part.column(5)], ["k", "nth", "raw", "spans", "kept", "rest"]
                 )
 
-    out = joined.mapInArrow(cut, "k long, nth int, raw binary, spans array<struct<start:long,end:long>>, kept binary")
-    return out.select(F.nullif("k", F.lit(-(1 << 63))).alias("doc_id"), "nth", "raw", "spans", "kept")
+    schema = T.StructType.fromDDL("k long, nth int, raw binary, spans array<struct<start:long,end:long>>, kept binary").add(rows.schema["rest"])
+    out = joined.mapInArrow(cut, schema)
+    return out.select(F.nullif("k", F.lit(-(1 << 63))).alias("doc_id"), "nth", "raw", "spans", "kept", "rest")
+
+
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with its own columns, the repeats cut out of its texts; ``n_chars`` follows where there is such a column.
+
+    Every row stays, with an empty text if nothing of it is left. A character of which only a part would stay goes whole.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([t.decode("utf-8", "ignore") for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], ["doc_id", "text", "rest"])
+
+    found = repeats(docs, key, text, length).select("doc_id", "kept", "rest")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), found.schema["rest"]])
+    got = found.mapInArrow(read, schema)
+    names = {key: F.col("doc_id").cast(docs.schema[key].dataType), text: F.col("text")}
+    cols = [names.get(c, F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest")[c]).alias(c) for c in docs.columns]
+    return got.select(*cols)
 
 
 def union(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
