@@ -1,13 +1,56 @@
-"""Corpus pipeline: quality classifier, exact and near deduplication, repeated passages, packing."""
+"""Corpus pipeline over ``documents``.
+
+The quality classifier takes out bad documents, exact copies go (the largest id of a group stays), of near copies the
+smallest id stays, passages that repeat are cut out of the texts, and what is left is packed into sequences of
+power-of-two length. Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import exact_dedup, packing, quality, simhash, suffix_dedup
+from quarry.llm.common import stored, table
+
+#: The stages learn a classifier and compare fingerprints: DuckDB SQL cannot express their rows.
 ORACLE_SQL = None
-STAGES = []
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.production_model(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, model)
+
+
+def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, packing.production_path(), end_id=2)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_deduplication),
+    ("SimHash near-dedup", near_deduplication),
+    ("suffix-array dedup", repeated_passages),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each stage's result is written and reread as the next one's input."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, name.replace(" ", "-"))
+    return docs
