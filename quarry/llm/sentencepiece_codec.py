@@ -27,7 +27,7 @@ from quarry.llm.common import table, utf8
 
 DROPOUT, SEED, VARIANTS = 0.1, 20240501, 4
 #: Units a worker remembers for each variant; when full it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,!?;:])|{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands for a space mark that is part of the text itself; such signs are written as bytes.
@@ -200,8 +200,10 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path, 0.0, 0)
         for batch in batches:
-            got = [codec.decode(x or []) for x in batch.column(names.index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                got = [codec.decode(x or []) for x in part.column(names.index(ids)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)
 
