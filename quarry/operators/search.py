@@ -57,7 +57,7 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def _nearest(rows: DataFrame, queries: list, ids: list, k: int, id_name: str, id_type: str, qid_type: str) -> DataFrame:
+def _nearest(rows: DataFrame, queries: list, ids: pa.Array, k: int, id_name: str, id_type: str, qid_type: str) -> DataFrame:
     """Every partition's ``k`` nearest rows of each query: ``__q, id, distance``."""
     spark = rows.sparkSession
     matrix = spark.sparkContext.broadcast(np.array(queries, dtype=np.float64))
@@ -66,10 +66,12 @@ def _nearest(rows: DataFrame, queries: list, ids: list, k: int, id_name: str, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = matrix.value
         lengths = (q * q).sum(axis=1)
-        best = [(np.zeros(0), [], np.zeros((0, q.shape[1]))) for _ in range(len(q))]
+        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in range(len(q))]
+        kind = None
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(at, ROW_BLOCK)
+                kind = part.column(0).type
                 kept = [i for i, v in enumerate(part.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
                 if not kept:
                     continue
@@ -92,12 +94,12 @@ def _nearest(rows: DataFrame, queries: list, ids: list, k: int, id_name: str, id
                             cut = d[order[k - 1]] + 1e-5
                             order = [j for j in order.tolist() if d[j] <= cut]
                             d, n = d[order], [n[j] for j in order]
-                        best[i] = (d, n, best[i][2])
-        for i, (d, n, _) in enumerate(best):
+                        best[i] = (d, n)
+        for i, (d, n) in enumerate(best):
             if len(d):
                 limit = np.sort(d)[min(k, len(d)) - 1] + 1e-5
                 near = [j for j in range(len(d)) if d[j] <= limit]
-                columns = [pa.array([names.value[i]] * len(near)), pa.array([n[j] for j in near]), pa.array(d[near])]
+                columns = [names.value.take(pa.array([i] * len(near))), pa.array([n[j] for j in near], kind), pa.array(d[near])]
                 yield pa.RecordBatch.from_arrays(columns, ["__q", id_name, "distance"])
 
     return rows.mapInArrow(run, f"__q {qid_type}, `{id_name}` {id_type}, distance double")
@@ -122,7 +124,7 @@ def knn_search(
         part = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else asked
         got = part.toArrow()
         if got.num_rows:
-            vectors, ids = got.column(embedding).to_pylist(), got.column(query_id).to_pylist()
+            vectors, ids = got.column(embedding).to_pylist(), got.column(query_id).combine_chunks()
             near = _nearest(rows, vectors, ids, k, id_col, types[id_col], types[query_id])
             found = near if found is None else found.unionByName(near)
     if found is None:
