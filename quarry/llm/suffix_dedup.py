@@ -3,13 +3,14 @@
 A byte goes if it lies in a string of ``length`` bytes (100) that also starts earlier in the corpus. Sorting every
 suffix of a corpus moves it many times over, so the strings that could repeat are found first, without losing any:
 
-1. *Anchors.* Of the 40-byte grams inside a 100-byte string, the one with the least hash is the string's anchor.
+1. *Anchors.* Of the 24-byte grams inside a 100-byte string, the one with the least hash is the string's anchor.
    Equal strings have equal anchors at equal places, so a string whose anchor's hash occurs once in the corpus cannot
-   repeat. One shuffle of hashes (about one for each 30 bytes) leaves the anchors that occur twice or more.
-2. *Stretches.* The strings of one anchor occurrence are neighbours; together they are a stretch of at most 160
-   bytes. Stretches meet by the hash of their anchor. A stretch that a task has already seen byte for byte in an
-   earlier place is settled there; that keeps groups of copies small before the shuffle. Anchors of very many
-   occurrences meet by their whole strings instead, one row each, so no group grows with the corpus.
+   repeat. The strings of one anchor occurrence are neighbours; together they are a stretch of at most 176 bytes. One
+   shuffle of two hashes (of the anchor and of its whole stretch) for each 40 bytes or so brings anchors together.
+   Those that occur once are done with. Of stretches that are equal as a whole, all but the first repeat.
+2. *Stretches.* Where one anchor has several different stretches, the first of each kind is cut out of its text and
+   meets the others by the anchor's hash. Anchors of very many different stretches meet by their whole strings
+   instead, one row each, so no group grows with the corpus.
 3. *Suffix sort.* Every task sorts the suffixes of its stretches by the difference-cover algorithm (sampled triples,
    recursion on names, merge of the others, :mod:`quarry.llm.suffix_sort`) in blocks of whole groups, and compares
    the prefixes of adjacent suffixes: a run of suffixes with 100 bytes in common is one string, of which the first
@@ -32,12 +33,12 @@ from pyspark.sql import types as T
 from quarry.llm.common import table, utf8
 from quarry.llm.suffix_sort import equal_prefixes, suffix_order
 
-LENGTH, GRAM = 100, 40
-#: Anchors of more occurrences than this meet by whole strings.
-HOT = 10_000
+LENGTH, GRAM = 100, 24
+#: Anchors of more different stretches than this meet by whole strings.
+HOT = 8_000
 #: Bytes of stretches that are suffix-sorted at once, but for a group that is larger by itself.
 BLOCK_BYTES = 1 << 19
-#: Stretches a task remembers to settle later copies at once; when full it starts anew, which changes no result.
+#: Single strings a task remembers to settle later copies at once; when full it starts anew, which changes no result.
 REMEMBERED = 100_000
 GROUP_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -63,8 +64,8 @@ class Anchors:
                 powers[0] = 1
                 setattr(self, name, np.multiply.accumulate(powers))
 
-    def of(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every string start of ``raw`` the place of its anchor; and the hashes of all grams."""
+    def of(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every string start of ``raw`` the place of its anchor; the hashes of all grams; the running sums."""
         n = len(raw)
         self._grow(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
@@ -81,20 +82,30 @@ class Anchors:
             have *= 2
         if have < wide:
             low = np.minimum(low[: len(low) - (wide - have)], low[wide - have :])
-        return (low & index).astype(np.int64), grams
+        return (low & index).astype(np.int64), grams, sums
 
-    def runs(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each long enough text: its number and, per run of starts with one anchor, first, last, anchor and hash."""
+    def runs(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each long enough text: its number and, per run of starts with one anchor, first start, anchor's hash, sign.
+
+        The sign is a hash of the whole stretch, its last seven bits being the number of the run's last start from its
+        first (of runs longer than 128 starts each part is a run of its own).
+        """
         for i, text in enumerate(texts):
             if len(text) < self.length:
                 continue
             step = (1 << _INDEX_BITS) - self.length
             parts = []
             for at in range(0, len(text) - self.length + 1, step):
-                place, grams = self.of(np.frombuffer(text, dtype=np.uint8)[at : at + step + self.length - 1])
-                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                place, grams, sums = self.of(np.frombuffer(text, dtype=np.uint8)[at : at + step + self.length - 1])
+                change = place[1:] != place[:-1]
+                if self.length - self.gram >= 128:
+                    change |= np.arange(1, len(place)) % 128 == 0
+                first = np.flatnonzero(np.append(True, change))
                 last = np.append(first[1:], len(place)) - 1
-                parts.append((first + at, last + at, place[first] + at, grams[place[first]]))
+                sign = (sums[last + self.length] - sums[first]) * self.down[first]
+                sign = (sign ^ (sign >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                sign = sign & np.uint64(2**64 - 128) | (last - first).astype(np.uint64)
+                parts.append((first + at, grams[place[first]], sign))
             yield i, *(np.concatenate(c) for c in zip(*parts))
 
 
@@ -112,77 +123,119 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.select("k", nth.alias("nth"), "raw", "rest")
 
 
-def repeated_anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``k, nth, pos, n``: anchors whose hash occurs twice or more, with the number of occurrences."""
+def anchor_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``h, sign, k, loc`` of every stretch; ``loc`` holds the number among rows of one id, and the first start."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length, gram)
         for batch in batches:
             ks, nths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, batch.num_rows, 200):
-                texts = batch.column(2).slice(at, 200).to_pylist()
-                owner, places, hashes = [], [], []
-                for i, _, _, place, h in finder.runs(texts):
-                    owner.append(np.full(len(place), at + i))
-                    places.append(place)
-                    hashes.append(h)
-                if owner:
-                    o, p = np.concatenate(owner), np.concatenate(places)
-                    arrays = [np.concatenate(hashes).view(np.int64), ks[o], nths[o].astype(np.int64) << _SHIFT | p]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "k", "loc"])
-
-    all_of = rows.select("k", "nth", "raw").mapInArrow(emit, "h long, k long, loc long")
-    counted = all_of.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
-    low = F.lit((1 << _SHIFT) - 1)
-    return counted.select("k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.col("loc").bitwiseAND(low).alias("pos"), "n")
+                found = list(finder.runs(batch.column(2).slice(at, 200).to_pylist()))
+                if found:
+                    o = np.repeat([at + i for i, *_ in found], [len(f) for _, f, _, _ in found])
+                    first, h, sign = (np.concatenate(c) for c in list(zip(*found))[1:])
+                    arrays = [h.view(np.int64), sign.view(np.int64), ks[o], nths[o].astype(np.int64) << _SHIFT | first]
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "sign", "k", "loc"])
+
+    return rows.select("k", "nth", "raw").mapInArrow(emit, "h long, sign long, k long, loc long")
+
+
+REPEATED, COMPARED, HOT_COMPARED = 0, 1, 2
+
+
+def meet_anchors(runs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``k, loc, last, h, kind``: stretches that repeat as a whole, and those that must be compared with others.
+
+    Runs of one anchor come in the order of their places; a task keeps the signs of one anchor, ``hot`` at most. Of
+    anchors with more, every stretch whose sign isn't kept is compared by its single strings.
+    """
+    low = (1 << _SHIFT) - 1
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, over = None, {}, False
+        out: list[tuple[int, int, int, int, int]] = []
+
+        def close() -> None:
+            if len(group) > 1:
+                kind = HOT_COMPARED if over else COMPARED
+                out.extend((k, loc, (loc & low) + (sign & 127), now, kind) for sign, (k, loc) in group.items())
+
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            edge = np.append(True, h[1:] != h[:-1])
+            single = edge & np.append(edge[1:], False)
+            single[:1] = single[-1:] = False
+            rows = np.flatnonzero(~single)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False)[rows].tolist() for i in range(4)]
+            for code, sign, k, loc in zip(*columns):
+                if code != now:
+                    close()
+                    now, group, over = code, {}, False
+                if sign in group:
+                    out.append((k, loc, (loc & low) + (sign & 127), 0, REPEATED))
+                elif len(group) < hot:
+                    group[sign] = (k, loc)
+                else:
+                    over = True
+                    out.append((k, loc, (loc & low) + (sign & 127), now, HOT_COMPARED))
+            if out:
+                yield _columns(out, ["k", "loc", "last", "h", "kind"])
+                out = []
+        close()
+        if out:
+            yield _columns(out, ["k", "loc", "last", "h", "kind"])
+
+    met = runs.repartition("h").sortWithinPartitions("h", "k", "loc")
+    return met.mapInArrow(meet, "k long, loc long, last long, h long, kind long")
+
+
+def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
 
 _STRETCH = "h long, k long, loc long, last long, stretch binary"
 
 
-def _stretches(rows: DataFrame, anchors: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+def _stretches(rows: DataFrame, met: DataFrame, length: int) -> DataFrame:
     """``h, k, loc, last, stretch``: stretches to be compared by ``h``, and settled ones, without ``stretch``.
 
     ``loc`` holds the document's number and the first string start, ``last`` is the last string start.
     """
-    per_doc = anchors.groupBy("k", "nth").agg(F.collect_list(F.struct("pos", (F.col("n") > hot).cast("int").alias("hot"))).alias("at"))
+    low = F.lit((1 << _SHIFT) - 1)
+    found = met.select("k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), "last", "h", "kind").alias("x"))
+    per_doc = found.groupBy("k", "nth").agg(F.collect_list("x").alias("xs"))
     # ``rest`` goes along unused: so the texts are shuffled in the same form as for the cut, and that shuffle is reused.
-    joined = rows.join(per_doc, ["k", "nth"]).select("k", "nth", "raw", F.col("at.pos").alias("pos"), F.col("at.hot").alias("hot"), "rest")
+    joined = rows.join(per_doc, ["k", "nth"]).select("k", "nth", "raw", *[F.col(f"xs.{c}").alias(c) for c in ("s", "last", "h", "kind")], "rest")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, seen = Anchors(length, gram), {}
-        digest = lambda s: int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "big", signed=True)
+        seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            ks, nths, raws, poss, hots = (c.to_pylist() for c in batch.columns[:5])
-            out: list[tuple] = []
-            for i, first, last, place, hashes in finder.runs(raws):
-                text, k, base = raws[i], ks[i], nths[i] << _SHIFT
-                wanted = np.array(poss[i], dtype=np.int64)
-                order = np.argsort(wanted)
-                wanted, heat = wanted[order], np.array(hots[i])[order]
-                slot = np.minimum(np.searchsorted(wanted, place), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[slot] == place)
-                found = zip(first[hit].tolist(), last[hit].tolist(), hashes[hit].view(np.int64).tolist(), heat[slot[hit]].tolist())
-                for a, b, h, is_hot in found:
-                    if is_hot:
-                        units = [(digest(text[j : j + length]), j, j) for j in range(a, b + 1)]
-                    else:
-                        units = [(h, a, b)]
-                    for code, s, e in units:
-                        stretch = text[s : e + length]
-                        earlier = seen.get(stretch)
-                        if earlier is not None and earlier < (k, base | s):
-                            out.append((code ^ hash((k, s)), k, base | s, e, None))
-                            continue
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen[stretch] = (k, base | s)
-                        out.append((code, k, base | s, e, stretch))
-                if len(out) > 20000:
+            for at in range(0, batch.num_rows, 200):
+                out: list[tuple] = []
+                for k, nth, text, *lists in zip(*(c.slice(at, 200).to_pylist() for c in batch.columns[:7])):
+                    base, settled = nth << _SHIFT, []
+                    for s, last, h, kind in zip(*lists):
+                        if kind == REPEATED:
+                            settled.append((s, last))
+                        elif kind == COMPARED:
+                            out.append((h, k, base | s, last, text[s : last + length]))
+                        else:
+                            for j in range(s, last + 1):
+                                one = text[j : j + length]
+                                earlier = seen.get(one)
+                                if earlier is not None and earlier < (k, base | j):
+                                    settled.append((j, j))
+                                    continue
+                                if len(seen) >= REMEMBERED:
+                                    seen.clear()
+                                seen[one] = (k, base | j)
+                                code = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "big", signed=True)
+                                out.append((code, k, base | j, j, one))
+                    for a, b in union([a for a, _ in settled], [b + 1 for _, b in settled]):
+                        out.append((hash((k, a)), k, base | a, b - 1, None))
+                if out:
                     yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
 
     return joined.mapInArrow(emit, _STRETCH)
 
@@ -260,21 +313,17 @@ def _settle(stretches: DataFrame, length: int) -> DataFrame:
                 else:
                     group[stretch] = (k, loc)
             if out:
-                yield _runs(out)
+                yield _columns(out, ["k", "loc", "last"])
                 out = []
         close()
         flush()
         if out:
-            yield _runs(out)
+            yield _columns(out, ["k", "loc", "last"])
 
     met = stretches.repartition("h").sortWithinPartitions("h", "k", "loc")
     return met.mapInArrow(compare, "k long, loc long, last long")
 
 
-def _runs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["k", "loc", "last"])
-
-
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``doc_id, nth, raw, spans, kept, rest`` of every row: its bytes, the maximal spans that go, and the bytes that stay.
 
@@ -285,7 +334,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     empty, null ids come first, texts shorter than ``length`` keep all. Matches never cross documents.
     """
     rows = keyed(docs, key, text)
-    found = _settle(_stretches(rows, repeated_anchors(rows, length, gram), length, gram, hot), length)
+    met = meet_anchors(anchor_runs(rows, length, gram), hot)
+    found = _settle(_stretches(rows, met, length), length)
     low = F.lit((1 << _SHIFT) - 1)
     spans = found.select(
         "k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), (F.col("last") + length).alias("e")).alias("p")
