@@ -88,15 +88,13 @@ def spread(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, dam
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight")
     )
     totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
-    ways = stored(ways.join(totals, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "links")
+    ways = stored(ways.join(totals, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("weight") / F.col("total")).alias("share")), "links")
     counts = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     start = stored(seeds.join(F.broadcast(counts), "kind").select("kind", "host", (1 / F.col("n")).alias("mass")), "seeds")
     now = start
     if not ways.isEmpty():
         for turn in range(1, iterations + 1):
-            moved = now.join(ways, (now.kind == ways.kind) & (now.host == ways.a)).select(
-                ways.kind, F.col("b").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass")
-            )
+            moved = now.join(ways, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"))
             again = start.select("kind", "host", (F.lit(1 - damping) * F.col("mass")).alias("mass"))
             now = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
             if turn % 4 == 0:
