@@ -22,6 +22,9 @@ SCHEMA = T.StructType(
 )
 
 
+_MISMATCH = "counts differ"
+
+
 class CountMismatch(ValueError):
     """Chunks and vectors that do not pair up."""
 
@@ -39,22 +42,26 @@ def store_chunks(chunks: DataFrame, path: str, vectors: DataFrame | None = None,
     """Append ``chunks`` to the collection.
 
     ``vectors`` (``filepath, chunk_index, embedding``) are paired with chunks by place unless chunks have their own.
-    A chunk without a vector, or a vector without a chunk, is an error and nothing is written. Appending again stores
-    again, unless ``skip_existing`` leaves out ids that are there.
+    A chunk without a vector, or a vector without a chunk, is an error and nothing is written: the check is part of the
+    write, so vectors are made once. Appending again stores again, unless ``skip_existing`` leaves out ids that are there.
     """
     rows = chunks
     if vectors is not None:
-        rows = chunks.drop("embedding").join(vectors.select("filepath", "chunk_index", "embedding"), ["filepath", "chunk_index"], "left")
-        extra = vectors.join(chunks.select("filepath", "chunk_index"), ["filepath", "chunk_index"], "left_anti")
-        if not extra.isEmpty():
-            raise CountMismatch("vectors without a chunk")
-    missing = rows.filter(F.col("embedding").isNull()).count()
-    if missing:
-        raise CountMismatch(f"{missing} chunks without a vector")
+        marked = chunks.drop("embedding").withColumn("__chunk", F.lit(True))
+        rows = marked.join(vectors.select("filepath", "chunk_index", "embedding"), ["filepath", "chunk_index"], "full_outer")
+        missing = F.raise_error(F.lit(f"{_MISMATCH}: a vector without a chunk")).cast("array<double>")
+        rows = rows.withColumn("embedding", F.when(F.col("__chunk").isNull(), missing).otherwise(F.col("embedding")))
     if skip_existing:
         rows = rows.join(open_collection(rows.sparkSession, path).select("id"), "id", "left_anti")
+    missing = F.raise_error(F.lit(f"{_MISMATCH}: a chunk without a vector")).cast("array<double>")
+    rows = rows.withColumn("embedding", F.coalesce(F.col("embedding"), missing))
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields]
-    rows.select(*columns).write.mode("append").parquet(path)
+    try:
+        rows.select(*columns).write.mode("append").parquet(path)
+    except Exception as error:
+        if _MISMATCH in str(error):
+            raise CountMismatch(str(error).partition(_MISMATCH)[2].strip(": ").splitlines()[0]) from error
+        raise
 
 
 def collection_count(collection: DataFrame) -> DataFrame:
