@@ -87,8 +87,8 @@ class Anchors:
     def runs(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each long enough text: its number and, per run of starts with one anchor, first start, anchor's hash, sign.
 
-        The sign is a hash of the whole stretch, its last seven bits being the number of the run's last start from its
-        first (of runs longer than 128 starts each part is a run of its own).
+        The sign is a hash of the whole stretch; its last seven bits are the number of the run's last start from its
+        first (of runs longer than 128 starts each part is a run of its own), the bit before them is 0.
         """
         for i, text in enumerate(texts):
             if len(text) < self.length:
@@ -104,7 +104,7 @@ class Anchors:
                 last = np.append(first[1:], len(place)) - 1
                 sign = (sums[last + self.length] - sums[first]) * self.down[first]
                 sign = (sign ^ (sign >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                sign = sign & np.uint64(2**64 - 128) | (last - first).astype(np.uint64)
+                sign = sign & np.uint64(2**64 - 256) | (last - first).astype(np.uint64)
                 parts.append((first + at, grams[place[first]], sign))
             yield i, *(np.concatenate(c) for c in zip(*parts))
 
@@ -124,24 +124,36 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def anchor_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``h, sign, k, loc`` of every stretch; ``loc`` holds the number among rows of one id, and the first start."""
+    """``h, sign, k, loc`` of every stretch; ``loc`` holds the number among rows of one id, and the first start.
+
+    Of stretches that are equal within a group of documents, all but the first are settled at once: they get the bit
+    ``SETTLED`` in their sign and an ``h`` that spreads them over the tasks, so a line of many documents or many times in
+    one stays few rows of its own anchor.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length, gram)
         for batch in batches:
             ks, nths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for at in range(0, batch.num_rows, 200):
-                found = list(finder.runs(batch.column(2).slice(at, 200).to_pylist()))
+            for at in range(0, batch.num_rows, 400):
+                found = list(finder.runs(batch.column(2).slice(at, 400).to_pylist()))
                 if found:
                     o = np.repeat([at + i for i, *_ in found], [len(f) for _, f, _, _ in found])
                     first, h, sign = (np.concatenate(c) for c in list(zip(*found))[1:])
-                    arrays = [h.view(np.int64), sign.view(np.int64), ks[o], nths[o].astype(np.int64) << _SHIFT | first]
+                    k, loc = ks[o], nths[o].astype(np.int64) << _SHIFT | first
+                    order = np.lexsort((loc, k, sign, h))
+                    again = order[1:][(h[order[1:]] == h[order[:-1]]) & (sign[order[1:]] == sign[order[:-1]])]
+                    sign[again] = sign[again] & np.uint64(SETTLED - 1) | np.uint64(SETTLED)
+                    spread = (k[again] * 1000003 + loc[again]).view(np.uint64) * np.uint64(_BASE)
+                    h[again] = (spread ^ (spread >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+                    arrays = [h.view(np.int64), sign.view(np.int64), k, loc]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "sign", "k", "loc"])
 
     return rows.select("k", "nth", "raw").mapInArrow(emit, "h long, sign long, k long, loc long")
 
 
 REPEATED, COMPARED, HOT_COMPARED = 0, 1, 2
+SETTLED = 128
 
 
 def meet_anchors(runs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -157,7 +169,7 @@ def meet_anchors(runs: DataFrame, hot: int = HOT) -> DataFrame:
         out: list[tuple[int, int, int, int, int]] = []
 
         def close() -> None:
-            if len(group) > 1:
+            if len(group) > 1 or over:
                 kind = HOT_COMPARED if over else COMPARED
                 out.extend((k, loc, (loc & low) + (sign & 127), now, kind) for sign, (k, loc) in group.items())
 
@@ -166,8 +178,15 @@ def meet_anchors(runs: DataFrame, hot: int = HOT) -> DataFrame:
             edge = np.append(True, h[1:] != h[:-1])
             single = edge & np.append(edge[1:], False)
             single[:1] = single[-1:] = False
-            rows = np.flatnonzero(~single)
-            columns = [batch.column(i).to_numpy(zero_copy_only=False)[rows].tolist() for i in range(4)]
+            numbers = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            settled = (numbers[1] & SETTLED) > 0
+            if settled.any():
+                _, sign, k, loc = (c[settled] for c in numbers)
+                zero = np.zeros(len(k), dtype=np.int64)
+                done = [k, loc, (loc & low) + (sign & (SETTLED - 1)), zero, zero + REPEATED]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in done], ["k", "loc", "last", "h", "kind"])
+            rows = np.flatnonzero(~single & ~settled)
+            columns = [c[rows].tolist() for c in numbers]
             for code, sign, k, loc in zip(*columns):
                 if code != now:
                     close()
