@@ -29,10 +29,17 @@ DROPOUT, SEED, VARIANTS = 0.1, 20240501, 4
 #: Units a worker remembers for each variant; when full it starts anew.
 REMEMBERED = 120_000
 MARK = "▁"
-_UNITS = re.compile(f"{MARK}*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,!?;:])|{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_UNITS = re.compile(f"{MARK}*+[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,!?;:])|{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands for a space mark that is part of the text itself; such signs are written as bytes.
 _OWN_MARK = ""
 _MASK = (1 << 32) - 1
+_NEVER = (1 << 31) - 1
+#: Units of more characters than this are merged by a heap.
+_LONG = 48
+
+
+def _split(text: str) -> list[str]:
+    return _UNITS.findall(text.replace(MARK, _OWN_MARK).replace(" ", MARK))
 
 
 class Pieces:
@@ -43,7 +50,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
-        self.rank: dict[str, float] = {}
+        self.rank: dict[str, int] = {}
         self.bytes_id = [0] * 256
         self.decoded: list[bytes] = []
         for i in range(model.get_piece_size()):
@@ -56,8 +63,26 @@ class Pieces:
                 self.decoded.append(b"")
             else:
                 self.ids[piece] = i
-                self.rank[piece] = -model.get_score(i)
+                self.rank[piece] = int(-model.get_score(i))
                 self.decoded.append(piece.replace(MARK, " ").encode())
+        pairs = []
+        for piece, rank in self.rank.items():
+            for k in range(1, len(piece)):
+                if piece[:k] in self.ids and piece[k:] in self.ids:
+                    pairs.append((self.ids[piece[:k]] << 20 | self.ids[piece[k:]], rank, self.ids[piece]))
+        table = np.array(sorted(pairs) or [(-1, 0, 0)], dtype=np.int64)
+        self.pairs = np.ascontiguousarray(table[:, 0])
+        self.pair_rank, self.pair_id = (np.ascontiguousarray(table[:, i]).astype(np.int32) for i in (1, 2))
+        self.of_code = np.full(0x110000, -1, dtype=np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_code[ord(piece)] = i
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and ids of the pieces that neighbouring pieces make; ``_NEVER`` where they make none."""
+        keys = np.where((left < 0) | (right < 0), -2, left.astype(np.int64) << 20 | right)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.pair_rank[at], np.int32(_NEVER)), self.pair_id[at]
 
 
 @lru_cache(maxsize=2)
@@ -75,50 +100,144 @@ class Codec:
         self.seed, self.remembered = seed, remembered
         self.known = [_Units(self, v) for v in range(variants if dropout else 1)]
 
+    def _skipped(self, rank: int, start: int, key: int) -> bool:
+        x = rank * 0x9E3779B1 + start * 0x85EBCA77 + key
+        return (x ^ x >> 16) * 0xC2B2AE3D & _MASK < self.limit
+
     def segment(self, unit: str, variant: int) -> list[int]:
-        """Ids of one unit."""
-        rank, ids = self.pieces.rank, self.pieces.ids
-        symbols: list[str] = list(unit)
-        n = len(symbols)
-        if n > 1:
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            key = (self.seed * 0x9E3779B1 + variant * 0x85EBCA77) & _MASK
-            agenda = []
-            for i in range(n - 1):
-                pair = symbols[i] + symbols[i + 1]
-                if pair in rank:
-                    agenda.append((rank[pair], i, pair))
-            heapq.heapify(agenda)
-            while agenda:
-                _, i, pair = heapq.heappop(agenda)
-                j = after[i] if symbols[i] else n
-                if j >= n or symbols[i] + symbols[j] != pair:
-                    continue
-                if self.limit:
-                    h = ((ids[pair] * 0xC2B2AE3D ^ i * 0x27D4EB2F) + key) & _MASK
-                    h = (h ^ h >> 15) * 0x2C1B3C6D & _MASK
-                    if (h ^ h >> 13) * 0x297A2D39 & _MASK < self.limit:
+        """Ids of one unit.
+
+        The agenda of a short unit is a list of its pairs' ranks, of which the smallest is taken (the leftmost of
+        equal ones); that of a long one is a heap. Both give the same ids.
+        """
+        symbols = list(unit)
+        key = self.seed * 0x27D4EB2F + variant * 0x165667B1
+        if len(symbols) > _LONG:
+            symbols = self._merged_by_heap(symbols, key)
+        elif len(symbols) > 1:
+            rank, limit, never = self.pieces.rank.get, self.limit, _NEVER
+            starts = list(range(len(symbols)))
+            ranks = [rank(a + b, never) for a, b in zip(symbols, symbols[1:])]
+            while ranks:
+                best = min(ranks)
+                if best == never:
+                    break
+                i = ranks.index(best)
+                if limit:
+                    x = best * 0x9E3779B1 + starts[i] * 0x85EBCA77 + key
+                    if (x ^ x >> 16) * 0xC2B2AE3D & _MASK < limit:
+                        ranks[i] = never
                         continue
-                symbols[i], symbols[j] = pair, ""
-                after[i] = after[j]
-                if after[i] < n:
-                    before[after[i]] = i
-                    new = pair + symbols[after[i]]
-                    if new in rank:
-                        heapq.heappush(agenda, (rank[new], i, new))
-                if before[i] >= 0:
-                    new = symbols[before[i]] + pair
-                    if new in rank:
-                        heapq.heappush(agenda, (rank[new], before[i], new))
-        out: list[int] = []
+                pair = symbols[i] + symbols[i + 1]
+                symbols[i] = pair
+                del symbols[i + 1], starts[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank(pair + symbols[i + 1], never)
+                if i:
+                    ranks[i - 1] = rank(symbols[i - 1] + pair, never)
+        ids, out = self.pieces.ids, []
         for s in symbols:
             if s in ids:
                 out.append(ids[s])
-            elif s:
+            else:
                 raw = MARK.encode() if s == _OWN_MARK else s.encode("utf-8", "surrogateescape")
                 out.extend(self.pieces.bytes_id[b] for b in raw)
         return out
 
+    def _merged_by_heap(self, symbols: list[str], key: int) -> list[str]:
+        rank, n = self.pieces.rank, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = [(rank[a + b], i, a + b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in rank]
+        heapq.heapify(agenda)
+        while agenda:
+            best, i, pair = heapq.heappop(agenda)
+            j = after[i] if symbols[i] else n
+            if j >= n or symbols[i] + symbols[j] != pair or (self.limit and self._skipped(best, i, key)):
+                continue
+            symbols[i], symbols[j] = pair, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                new = pair + symbols[after[i]]
+                if new in rank:
+                    heapq.heappush(agenda, (rank[new], i, new))
+            if before[i] >= 0:
+                new = symbols[before[i]] + pair
+                if new in rank:
+                    heapq.heappush(agenda, (rank[new], before[i], new))
+        return [s for s in symbols if s]
+
+    def learn(self, variant: int, units: list[str]) -> None:
+        """Remember the ids of new units; those of one length class are segmented together, a merge of each at a time."""
+        known, own = self.known[variant], np.zeros(len(units), dtype=bool)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        found = self.pieces.of_code[codes]
+        begins = np.cumsum(sizes) - sizes
+        for low, width in ((1, 8), (8, 16), (16, 32)):
+            members = np.flatnonzero((sizes > low) & (sizes <= width))
+            for at in range(0, len(members), 4096):
+                part = members[at : at + 4096]
+                columns = np.arange(width + 1)
+                inside = columns < sizes[part, None]
+                symbols = np.where(inside, found[np.minimum(begins[part, None] + columns, len(found) - 1)], np.int32(-1))
+                whole = ((symbols >= 0) == inside).all(axis=1)
+                part, symbols = part[whole], symbols[whole]
+                own[part] = True
+                merged, left = self._merged_together(symbols, variant)
+                flat, ends = merged.astype("<u4").tobytes(), (4 * np.cumsum(left)).tolist()
+                known.update((units[i], flat[start:end]) for i, start, end in zip(part.tolist(), [0, *ends], ends))
+        for i in np.flatnonzero(~own).tolist():
+            known[units[i]] = array("I", self.segment(units[i], variant)).tobytes()
+
+    def _merged_together(self, symbols: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that are left of each row (one behind another) and their numbers; the last column is empty."""
+        n, width = symbols.shape
+        place = np.tile(np.arange(width, dtype=np.int16), (n, 1))
+        ranks, made = self.pieces.look_up(symbols[:, :-1], symbols[:, 1:])
+        key = np.uint64((self.seed * 0x27D4EB2F + variant * 0x165667B1) & (2**64 - 1))
+        columns, alive = np.arange(width), np.arange(n)
+        while len(alive):
+            at = ranks[alive].argmin(axis=1)
+            best = ranks[alive, at]
+            going = best != _NEVER
+            alive, at, best = alive[going], at[going], best[going]
+            rows, i = alive, at
+            if self.limit and len(rows):
+                x = best.astype(np.uint64) * np.uint64(0x9E3779B1) + place[rows, i].astype(np.uint64) * np.uint64(0x85EBCA77) + key
+                skipped = ((x ^ x >> np.uint64(16)) * np.uint64(0xC2B2AE3D) & np.uint64(_MASK)) < self.limit
+                ranks[rows[skipped], i[skipped]] = _NEVER
+                rows, i = rows[~skipped], i[~skipped]
+            if not len(rows):
+                continue
+            symbols[rows, i] = made[rows, i]
+            moved = np.minimum(columns + (columns > i[:, None]), width - 1)
+            flat = rows[:, None] * width + moved
+            symbols[rows], place[rows] = symbols.ravel()[flat], place.ravel()[flat]
+            flat = rows[:, None] * (width - 1) + np.minimum(moved[:, :-1], width - 2)
+            ranks[rows], made[rows] = ranks.ravel()[flat], made.ravel()[flat]
+            ranks[rows, i], made[rows, i] = self.pieces.look_up(symbols[rows, i], symbols[rows, i + 1])
+            ranks[rows, width - 2] = np.where(i == width - 2, ranks[rows, i], _NEVER)
+            inner = i > 0
+            rows, i = rows[inner], i[inner]
+            ranks[rows, i - 1], made[rows, i - 1] = self.pieces.look_up(symbols[rows, i - 1], symbols[rows, i])
+        left = symbols >= 0
+        return symbols[left], left.sum(axis=1)
+
+    def encode_batch(self, raws: list[bytes], places: list[int]) -> list[bytes]:
+        """:meth:`encode` of many texts; their new units are segmented together."""
+        v, new = len(self.known), [set() for _ in self.known]
+        split: list[list[str] | None] = []
+        for raw, place in zip(raws, places):
+            text = raw.decode("utf-8", "surrogateescape")
+            units = None if not raw or _OWN_MARK in text else _split(" " + text)
+            split.append(units)
+            for r in range(v if units else 0):
+                new[(place + r) % v].update(units[r::v])
+        for variant, units in enumerate(new):
+            self.learn(variant, list(units.difference(self.known[variant])))
+        return [self._joined(u, place) if u else self.encode(raw, place) for raw, u, place in zip(raws, split, places)]
+
     def encode(self, raw: bytes, place: int = 0) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes. ``place`` shifts which variant each unit takes."""
         if not raw:
@@ -134,7 +253,9 @@ class Codec:
         return self._units(" " + text, place)
 
     def _units(self, text: str, place: int) -> bytes:
-        units = _UNITS.findall(text.replace(MARK, _OWN_MARK).replace(" ", MARK))
+        return self._joined(_split(text), place)
+
+    def _joined(self, units: list[str], place: int) -> bytes:
         v = len(self.known)
         if v == 1:
             return b"".join(map(self.known[0].__getitem__, units))
@@ -181,7 +302,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 keys = part.column(0).to_pylist()
-                found = [codec.encode(raw, zlib.crc32(str(k).encode())) for k, raw in zip(keys, part.column(1).to_pylist())]
+                found = codec.encode_batch(part.column(1).to_pylist(), [zlib.crc32(str(k).encode()) for k in keys])
                 codec.tidy()
                 stops = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
