@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table, utf8
 
 #: Words whose ids a Python worker remembers; beyond that it starts anew, which costs time and changes nothing.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: White space on which the tokenizer and this module might differ, and contractions: such texts go to it whole.
 _ODD_SPACE = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _CONTRACTION = re.compile("'[a-z]")

@@ -28,7 +28,7 @@ BUCKETS, DIMS, NONZERO, WINDOW = 32768, 48, 4, 2
 MAX_LABELLED = 8000
 THRESHOLD = 0.7
 #: Texts are taken in groups of about so many bytes, so that memory does not depend on a batch.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 
 def index_vectors() -> np.ndarray:
@@ -51,6 +51,12 @@ def groups_of(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[in
         yield start, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The table of word vectors over all of ``docs``, each of length one (zero for words that never occur)."""
     names = [f"c{i}" for i in range(DIMS)]
@@ -58,7 +64,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, sums = index_vectors(), np.zeros((BUCKETS, DIMS), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             for a, b in groups_of(texts):
                 words, shapes, owner = hashed_words(texts[a:b], BUCKETS)
@@ -180,7 +186,7 @@ def _features(docs: DataFrame, vectors, extra: list[str], text: str = "text") ->
     schema = ", ".join([*[f"{c} {dict(docs.dtypes)[c]}" for c in extra], "x binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(len(extra)).to_pylist()
             for a, b in groups_of(texts):
                 x = pooled(texts[a:b], vectors.value)
@@ -201,7 +207,7 @@ class QualityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vectors, network = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(1).to_pylist()
                 for a, b in groups_of(texts):
                     scores = network.scores(pooled(texts[a:b], vectors))
@@ -245,7 +251,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
             for a, b in groups_of(texts):
                 good = network.scores(pooled(texts[a:b], vectors)) >= threshold

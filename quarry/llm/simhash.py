@@ -51,8 +51,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = np.array([simhash(t, width) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "fp"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("raw")).mapInArrow(run, "doc_id long, fp long")
 
