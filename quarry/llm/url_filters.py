@@ -1,9 +1,9 @@
 """URL filters: rules first, then trust and distrust that spread over the links between hosts.
 
-Rules name a host and a path prefix and hold for the host's subdomains too; the longest that fits decides. Hosts whose
-ruled pages are all allowed are trusted seeds, hosts whose ruled pages are all blocked are distrusted seeds. Trust is
-personalised PageRank from the trusted seeds along links; distrust is the same from the distrusted seeds against the
-links, for who links to bad hosts is suspect. A page without a rule is blocked if its host has more distrust than
+Rules name a host and a path prefix and hold for the host's subdomains too; the longest that fits decides. A host with
+more allowed than blocked pages under rules is a trusted seed, one with more blocked than allowed pages a distrusted
+seed, each with a mass in proportion to the difference. Trust is personalised PageRank from the trusted seeds along
+links; distrust is the same from the distrusted seeds against the links, for who links to bad hosts is suspect. A page without a rule is blocked if its host has more distrust than
 trust and at least the threshold of it. Spark expressions only; the host graph is aggregated before anything is
 joined, so a host of a third of all pages is one row of it.
 """
@@ -80,7 +80,7 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def spread(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """``host, trust, distrust`` after personalised PageRank in both directions at once.
 
-    ``seeds`` has ``host, kind`` (trust or distrust). Both seed kinds share a mass of 1 each. Hosts without links out
+    ``seeds`` has ``host, kind`` (trust or distrust) and ``weight``. Both seed kinds share a mass of 1 each, by weight. Hosts without links out
     lose their mass, as usual where only relative amounts count. A round is one join and one sum; every fourth is
     written to the shared folder, so that plans stay short.
     """
@@ -89,8 +89,8 @@ def spread(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, dam
     )
     totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
     ways = stored(ways.join(totals, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("weight") / F.col("total")).alias("share")), "links")
-    counts = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    start = stored(seeds.join(F.broadcast(counts), "kind").select("kind", "host", (1 / F.col("n")).alias("mass")), "seeds")
+    sums = seeds.groupBy("kind").agg(F.sum("weight").alias("whole"))
+    start = stored(seeds.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("weight") / F.col("whole")).alias("mass")), "seeds")
     now = start
     if not ways.isEmpty():
         for turn in range(1, iterations + 1):
@@ -117,7 +117,8 @@ def judge(
     tally = ruled.filter("host <> '' AND by_rule IS NOT NULL").groupBy("host").agg(
         F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked")
     )
-    seeds = tally.filter("allowed = 0 OR blocked = 0").select("host", F.when(F.col("blocked") > 0, "distrust").otherwise("trust").alias("kind"))
+    more = F.col("allowed") - F.col("blocked")
+    seeds = tally.filter(more != 0).select("host", F.when(more < 0, "distrust").otherwise("trust").alias("kind"), F.abs(more).cast("double").alias("weight"))
     ranks = spread(host_edges(pages, url, html), seeds)
     joined = ruled.join(ranks, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= min_distrust)

@@ -96,6 +96,16 @@ def test_url_propagation(spark):
     assert url_filters.judge(df.limit(0), rule).count() == 0
 
 
+def test_url_mixed_hosts_are_seeds(spark):
+    rule = [url_filters.Rule("net/ok/", "allow"), url_filters.Rule("net/no/", "block")]
+    ruled = {"a.net": (5, 1), "b.net": (1, 3), "c.net": (2, 4), "d.net": (2, 2)}
+    urls = [f"http://{h}/{p}/{i}" for h, n in ruled.items() for p, k in zip(("ok", "no"), n) for i in range(k)] + [f"http://{h}/else" for h in ruled]
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filters.judge(df, rule).collect() if r.path == "/else"}
+    assert {h: r.verdict for h, r in got.items()} == {"a.net": "allow", "b.net": "block", "c.net": "block", "d.net": "allow"}
+    assert {h: (r.trust, r.distrust) for h, r in got.items()} == {"a.net": (1, 0), "b.net": (0, 0.5), "c.net": (0, 0.5), "d.net": (0, 0)}
+
+
 def test_url_query(spark):
     got = {r.page_id: r for r in url_filters.op7_url_filters(spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
