@@ -3,13 +3,14 @@
 Rules name a host and a path prefix and hold for the host's subdomains too; the longest that fits decides. A host with
 more allowed than blocked pages under rules is a trusted seed, one with more blocked than allowed pages a distrusted
 seed, each with a mass in proportion to the difference. Trust is personalised PageRank from the trusted seeds along
-links; distrust is the same from the distrusted seeds against the links, for who links to bad hosts is suspect. A page without a rule is blocked if its host has more distrust than
-trust and at least the threshold of it. Spark expressions only; the host graph is aggregated before anything is
+links; distrust is the same from the distrusted seeds against the links, for who links to bad hosts is suspect. A page without a rule is blocked if distrust is more
+than half of its host's trust and distrust together, which does not depend on the number of hosts. Spark expressions only; the host graph is aggregated before anything is
 joined, so a host of a third of all pages is one row of it.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -17,9 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, table
+from quarry.llm.common import drop_stored, stored, table
 
-DAMPING, ITERATIONS, MIN_DISTRUST = 0.85, 12, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-10
+#: Rounds after which what is left to move is below the tolerance; :func:`spread` goes on for as many as a graph needs.
+ITERATIONS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+#: Share of distrust in a host's trust and distrust above which its pages are blocked.
+MIN_SHARE = 0.5
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -77,12 +82,13 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """``host, trust, distrust`` after personalised PageRank in both directions at once.
 
-    ``seeds`` has ``host, kind`` (trust or distrust) and ``weight``. Both seed kinds share a mass of 1 each, by weight. Hosts without links out
-    lose their mass, as usual where only relative amounts count. A round is one join and one sum; every fourth is
-    written to the shared folder, so that plans stay short.
+    ``seeds`` has ``host, kind`` (trust or distrust) and ``weight``. Both seed kinds share a mass of 1 each, by weight.
+    Hosts without links out lose their mass, as usual where only relative amounts count. A round is one join and one
+    sum; every fourth is written to the shared folder, so that plans stay short. Rounds go on until none of them changes
+    a host's mass by more than ``tolerance`` of itself; a host that is reached for the first time has changed.
     """
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight")
@@ -90,21 +96,27 @@ def spread(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, dam
     totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
     ways = stored(ways.join(totals, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("weight") / F.col("total")).alias("share")), "links")
     sums = seeds.groupBy("kind").agg(F.sum("weight").alias("whole"))
-    start = stored(seeds.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("weight") / F.col("whole")).alias("mass")), "seeds")
-    now = start
-    if not ways.isEmpty():
-        for turn in range(1, iterations + 1):
-            moved = now.join(ways, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"))
-            again = start.select("kind", "host", (F.lit(1 - damping) * F.col("mass")).alias("mass"))
-            now = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-            if turn % 4 == 0:
-                now = stored(now, "ranks")
+    start = stored(seeds.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("weight") / F.col("whole")).alias("mass"), F.lit(0.0).alias("was")), "seeds")
+    again = start.select("kind", "host", (F.lit(1 - damping) * F.col("mass")).alias("mass"), "was")
+    now, settled = start, ways.isEmpty()
+    while not settled:
+        before = now
+        for turn in range(4):
+            moved = now.join(ways, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"), F.lit(0.0).alias("was"))
+            parts = moved.unionByName(again)
+            if turn == 3:
+                parts = parts.unionByName(now.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("was")))
+            now = parts.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("was").alias("was"))
+        now = stored(now, "ranks")
+        if before is not start:
+            drop_stored(before)
+        settled = now.filter(F.abs(F.col("mass") - F.col("was")) > tolerance * F.col("mass")).isEmpty()
     one = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     return now.groupBy("host").agg(one("trust"), one("distrust"))
 
 
 def judge(
-    pages: DataFrame, rules: Sequence[Rule] = RULES, key: str = "page_id", url: str = "url", html: str = "html", min_distrust: float = MIN_DISTRUST
+    pages: DataFrame, rules: Sequence[Rule] = RULES, key: str = "page_id", url: str = "url", html: str = "html", min_share: float = MIN_SHARE
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` and the host's ``trust`` and ``distrust`` for every row of ``pages``.
 
@@ -121,7 +133,7 @@ def judge(
     seeds = tally.filter(more != 0).select("host", F.when(more < 0, "distrust").otherwise("trust").alias("kind"), F.abs(more).cast("double").alias("weight"))
     ranks = spread(host_edges(pages, url, html), seeds)
     joined = ruled.join(ranks, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= min_distrust)
+    bad = F.col("distrust") > F.lit(min_share) * (F.col("trust") + F.col("distrust"))
     spoken = F.coalesce(F.col("by_rule"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return joined.select("page_id", "host", "path", "rule", spoken.alias("verdict"), "trust", "distrust")
 

@@ -106,6 +106,21 @@ def test_url_mixed_hosts_are_seeds(spark):
     assert {h: (r.trust, r.distrust) for h, r in got.items()} == {"a.net": (1, 0), "b.net": (0, 0.5), "c.net": (0, 0.5), "d.net": (0, 0)}
 
 
+def test_url_verdicts_do_not_depend_on_size(spark):
+    rule = [url_filters.Rule("bad/b/", "block")]
+    link = lambda host: F.concat(F.lit('<a href="http://'), host, F.lit('/">x</a>'))
+    n = F.col("id").cast("string")
+    seeds = spark.range(160_000).select(F.concat(F.lit("http://h"), n, F.lit(".bad/b/")).alias("url"), F.lit("").alias("html"))
+    own = spark.range(3).select(F.concat(F.lit("http://h"), n, F.lit(".bad/else")).alias("url"), F.lit("").alias("html"))
+    chain = spark.range(20).select(
+        F.concat(F.lit("http://c"), n, F.lit(".net/")).alias("url"),
+        F.when(F.col("id") == 0, link(F.lit("h9.bad"))).otherwise(link(F.concat(F.lit("c"), (F.col("id") - 1).cast("string"), F.lit(".net")))).alias("html"),
+    )
+    pages = seeds.unionByName(own).unionByName(chain).withColumn("page_id", F.monotonically_increasing_id())
+    got = url_filters.judge(pages, rule).filter("rule IS NULL").collect()
+    assert len(got) == 23 and {r.verdict for r in got} == {"block"}
+
+
 def test_url_query(spark):
     got = {r.page_id: r for r in url_filters.op7_url_filters(spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
