@@ -2,19 +2,20 @@
 
 The vocabulary's merges are applied by an agenda: all neighbouring pairs that make a piece wait in order of score; the
 best is merged and its new neighbours join the agenda. With dropout, a pair taken from the agenda is skipped if a
-keyed hash of the seed, the variant, its place and its piece falls below the rate, so other merges win and the same
-text has varied segmentations, the same ones for the same seed. Every segmentation decodes to the text.
+keyed hash of the seed, the document, its place in it and its piece falls below the rate, so other merges win and each
+occurrence of a word is varied on its own, alike for the same seed. Every segmentation decodes to the text.
 
 No piece joins a sign to a space mark behind it, nor a letter to a stop or comma, so text is segmented unit by unit
-(space marks and what follows them) and a unit's ids are remembered. A unit takes one of a few variants by its document and its place in it.
+(space marks and what follows them). A unit's merges without dropout are remembered with its ids: an occurrence whose
+hashes skip none of these has these ids, and only the others are segmented anew.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,21 +26,35 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table, utf8
 
-DROPOUT, SEED, VARIANTS = 0.1, 20240501, 4
-#: Units a worker remembers for each variant; when full it starts anew.
-REMEMBERED = 120_000
+DROPOUT, SEED = 0.1, 20240501
+#: Units a worker remembers; when full it starts anew.
+REMEMBERED = 300_000
+#: Occurrences of units that are worked off together.
+TOGETHER = 1 << 17
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*+[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,!?;:])|{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands for a space mark that is part of the text itself; such signs are written as bytes.
 _OWN_MARK = ""
-_MASK = (1 << 32) - 1
+#: Stands for the sign above where a text has it.
+_OWN_STAND_IN = "\ud800"
+_MASK = (1 << 64) - 1
+_BY_RANK, _BY_START, _BY_HASH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
 _NEVER = (1 << 31) - 1
 #: Units of more characters than this are merged by a heap.
 _LONG = 48
 
 
 def _split(text: str) -> list[str]:
-    return _UNITS.findall(text.replace(MARK, _OWN_MARK).replace(" ", MARK))
+    if _OWN_MARK not in text:
+        return _UNITS.findall(text.replace(MARK, _OWN_MARK).replace(" ", MARK))
+    parts = re.split(f"({_OWN_MARK})", text)
+    return [u for p in parts if p for u in ([_OWN_STAND_IN] if p == _OWN_MARK else _split(p))]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_BY_HASH)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 class Pieces:
@@ -93,29 +108,34 @@ def _pieces(path: str) -> Pieces:
 class Codec:
     """Encodes and decodes whole texts (as UTF-8 bytes; bytes that aren't UTF-8 are kept by byte pieces)."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remembered: int = REMEMBERED):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED):
         if not 0 <= dropout < 1:
             raise ValueError("dropout must be at least 0 and below 1")
-        self.pieces, self.limit = _pieces(path), int(dropout * (_MASK + 1))
+        self.pieces, self.limit = _pieces(path), int(dropout * (1 << 32))
         self.seed, self.remembered = seed, remembered
-        self.known = [_Units(self, v) for v in range(variants if dropout else 1)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """No units; then for each one where its ids and its merges begin, and those of all one behind another."""
+        self.known: dict[str, int] = {}
+        self.id_begins, self.merge_begins = _Grown(np.int64, [0]), _Grown(np.int64, [0])
+        self.ids, self.merges = _Grown(np.uint32), _Grown(np.uint64)
 
     def _skipped(self, rank: int, start: int, key: int) -> bool:
-        x = rank * 0x9E3779B1 + start * 0x85EBCA77 + key
-        return (x ^ x >> 16) * 0xC2B2AE3D & _MASK < self.limit
+        x = rank * _BY_RANK + start * _BY_START + key & _MASK
+        return ((x ^ x >> 32) * _BY_HASH & _MASK) >> 32 < self.limit
 
-    def segment(self, unit: str, variant: int) -> list[int]:
-        """Ids of one unit.
+    def segment(self, unit: str, key: int | None = None, merges: list[int] | None = None) -> list[int]:
+        """Ids of one unit, with dropout by ``key`` or none; ``merges`` receives what the hashes of its merges start from.
 
         The agenda of a short unit is a list of its pairs' ranks, of which the smallest is taken (the leftmost of
         equal ones); that of a long one is a heap. Both give the same ids.
         """
         symbols = list(unit)
-        key = self.seed * 0x27D4EB2F + variant * 0x165667B1
         if len(symbols) > _LONG:
-            symbols = self._merged_by_heap(symbols, key)
+            symbols = self._merged_by_heap(symbols, key, merges)
         elif len(symbols) > 1:
-            rank, limit, never = self.pieces.rank.get, self.limit, _NEVER
+            rank, never = self.pieces.rank.get, _NEVER
             starts = list(range(len(symbols)))
             ranks = [rank(a + b, never) for a, b in zip(symbols, symbols[1:])]
             while ranks:
@@ -123,11 +143,11 @@ class Codec:
                 if best == never:
                     break
                 i = ranks.index(best)
-                if limit:
-                    x = best * 0x9E3779B1 + starts[i] * 0x85EBCA77 + key
-                    if (x ^ x >> 16) * 0xC2B2AE3D & _MASK < limit:
-                        ranks[i] = never
-                        continue
+                if key is not None and self._skipped(best, starts[i], key):
+                    ranks[i] = never
+                    continue
+                if merges is not None:
+                    merges.append(best * _BY_RANK + starts[i] * _BY_START & _MASK)
                 pair = symbols[i] + symbols[i + 1]
                 symbols[i] = pair
                 del symbols[i + 1], starts[i + 1], ranks[i]
@@ -140,11 +160,11 @@ class Codec:
             if s in ids:
                 out.append(ids[s])
             else:
-                raw = MARK.encode() if s == _OWN_MARK else s.encode("utf-8", "surrogateescape")
+                raw = MARK.encode() if s == _OWN_MARK else _OWN_MARK.encode() if s == _OWN_STAND_IN else s.encode("utf-8", "surrogateescape")
                 out.extend(self.pieces.bytes_id[b] for b in raw)
         return out
 
-    def _merged_by_heap(self, symbols: list[str], key: int) -> list[str]:
+    def _merged_by_heap(self, symbols: list[str], key: int | None, merges: list[int] | None) -> list[str]:
         rank, n = self.pieces.rank, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(rank[a + b], i, a + b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in rank]
@@ -152,8 +172,10 @@ class Codec:
         while agenda:
             best, i, pair = heapq.heappop(agenda)
             j = after[i] if symbols[i] else n
-            if j >= n or symbols[i] + symbols[j] != pair or (self.limit and self._skipped(best, i, key)):
+            if j >= n or symbols[i] + symbols[j] != pair or (key is not None and self._skipped(best, i, key)):
                 continue
+            if merges is not None:
+                merges.append(best * _BY_RANK + i * _BY_START & _MASK)
             symbols[i], symbols[j] = pair, ""
             after[i] = after[j]
             if after[i] < n:
@@ -167,14 +189,18 @@ class Codec:
                     heapq.heappush(agenda, (rank[new], before[i], new))
         return [s for s in symbols if s]
 
-    def learn(self, variant: int, units: list[str]) -> None:
-        """Remember the ids of new units; those of one length class are segmented together, a merge of each at a time."""
-        known, own = self.known[variant], np.zeros(len(units), dtype=bool)
+    def segment_all(self, units: list[str], keys: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Ids of units one behind another and their numbers; without ``keys`` there is no dropout, and what the hashes of the merges start from follows, and their numbers.
+
+        Units of one length class are segmented together, a merge of each at a time.
+        """
+        own = np.ones(len(units), dtype=bool)
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         found = self.pieces.of_code[codes]
         begins = np.cumsum(sizes) - sizes
-        for low, width in ((1, 8), (8, 16), (16, 32)):
+        got, traces = [], []
+        for low, width in ((1, 4), (4, 6), (6, 8), (8, 11), (11, 16), (16, 32)):
             members = np.flatnonzero((sizes > low) & (sizes <= width))
             for at in range(0, len(members), 4096):
                 part = members[at : at + 4096]
@@ -183,29 +209,50 @@ class Codec:
                 symbols = np.where(inside, found[np.minimum(begins[part, None] + columns, len(found) - 1)], np.int32(-1))
                 whole = ((symbols >= 0) == inside).all(axis=1)
                 part, symbols = part[whole], symbols[whole]
-                own[part] = True
-                merged, left = self._merged_together(symbols, variant)
-                flat, ends = merged.astype("<u4").tobytes(), (4 * np.cumsum(left)).tolist()
-                known.update((units[i], flat[start:end]) for i, start, end in zip(part.tolist(), [0, *ends], ends))
-        for i in np.flatnonzero(~own).tolist():
-            known[units[i]] = array("I", self.segment(units[i], variant)).tobytes()
-
-    def _merged_together(self, symbols: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids that are left of each row (one behind another) and their numbers; the last column is empty."""
+                own[part] = False
+                ids, counts, trace = self._merged_together(symbols, None if keys is None else keys[part])
+                got.append((part, ids.astype(np.uint32), counts))
+                traces.extend((part[rows], starts) for rows, starts in trace)
+        for i in np.flatnonzero(own).tolist():
+            merges: list[int] | None = [] if keys is None else None
+            ids = self.segment(units[i], None if keys is None else int(keys[i]), merges)
+            got.append((np.array([i]), np.array(ids, dtype=np.uint32), np.array([len(ids)])))
+            if merges:
+                traces.append((np.full(len(merges), i), np.array(merges, dtype=np.uint64)))
+        ids, counts = _in_order(len(units), [(np.repeat(part, n), x) for part, x, n in got], np.uint32)
+        return (ids, counts, *(_in_order(len(units), traces, np.uint64) if keys is None else ()))
+
+    def learn(self, units: list[str]) -> None:
+        """Remember the ids and merges of new units."""
+        if not units:
+            return
+        ids, n_ids, merges, n_merges = self.segment_all(units)
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
+        self.id_begins.add(len(self.ids) + np.cumsum(n_ids))
+        self.merge_begins.add(len(self.merges) + np.cumsum(n_merges))
+        self.ids.add(ids)
+        self.merges.add(merges)
+
+    def _merged_together(self, symbols: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list]:
+        """The ids that are left of each row (one behind another) and their numbers; the last column is empty.
+
+        Without ``keys`` also the rows that were merged in each round, and what the hashes of these merges start from.
+        """
         n, width = symbols.shape
         place = np.tile(np.arange(width, dtype=np.int16), (n, 1))
         ranks, made = self.pieces.look_up(symbols[:, :-1], symbols[:, 1:])
-        key = np.uint64((self.seed * 0x27D4EB2F + variant * 0x165667B1) & (2**64 - 1))
-        columns, alive = np.arange(width), np.arange(n)
+        columns, alive, trace = np.arange(width), np.arange(n), []
         while len(alive):
             at = ranks[alive].argmin(axis=1)
             best = ranks[alive, at]
             going = best != _NEVER
             alive, at, best = alive[going], at[going], best[going]
             rows, i = alive, at
-            if self.limit and len(rows):
-                x = best.astype(np.uint64) * np.uint64(0x9E3779B1) + place[rows, i].astype(np.uint64) * np.uint64(0x85EBCA77) + key
-                skipped = ((x ^ x >> np.uint64(16)) * np.uint64(0xC2B2AE3D) & np.uint64(_MASK)) < self.limit
+            x = best.astype(np.uint64) * np.uint64(_BY_RANK) + place[rows, i].astype(np.uint64) * np.uint64(_BY_START)
+            if keys is None:
+                trace.append((rows, x))
+            else:
+                skipped = self._fall_below(x + keys[rows])
                 ranks[rows[skipped], i[skipped]] = _NEVER
                 rows, i = rows[~skipped], i[~skipped]
             if not len(rows):
@@ -222,66 +269,94 @@ class Codec:
             rows, i = rows[inner], i[inner]
             ranks[rows, i - 1], made[rows, i - 1] = self.pieces.look_up(symbols[rows, i - 1], symbols[rows, i])
         left = symbols >= 0
-        return symbols[left], left.sum(axis=1)
+        return symbols[left], left.sum(axis=1), trace
+
+    def _fall_below(self, x: np.ndarray) -> np.ndarray:
+        return (x ^ x >> np.uint64(32)) * np.uint64(_BY_HASH) >> np.uint64(32) < np.uint64(self.limit)
 
     def encode_batch(self, raws: list[bytes], places: list[int]) -> list[bytes]:
-        """:meth:`encode` of many texts; their new units are segmented together."""
-        v, new = len(self.known), [set() for _ in self.known]
-        split: list[list[str] | None] = []
-        for raw, place in zip(raws, places):
-            text = raw.decode("utf-8", "surrogateescape")
-            units = None if not raw or _OWN_MARK in text else _split(" " + text)
-            split.append(units)
-            for r in range(v if units else 0):
-                new[(place + r) % v].update(units[r::v])
-        for variant, units in enumerate(new):
-            self.learn(variant, list(units.difference(self.known[variant])))
-        return [self._joined(u, place) if u else self.encode(raw, place) for raw, u, place in zip(raws, split, places)]
+        """:meth:`encode` of many texts; their units are looked up, and segmented where dropout asks for it, together."""
+        split = [_split(" " + raw.decode("utf-8", "surrogateescape")) if raw else [] for raw in raws]
+        sizes = np.array([len(u) for u in split], dtype=np.int64)
+        stops = np.cumsum(sizes)
+        documents = _mixed(np.array([self.seed * _BY_RANK + p & _MASK for p in places], dtype=np.uint64))
+        units = [u for part in split for u in part]
+        ids, counts = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(units), TOGETHER):
+            part, n = units[at : at + TOGETHER], np.arange(at, min(at + TOGETHER, len(units)))
+            row = np.searchsorted(stops, n, side="right")
+            position = (n - (stops - sizes)[row]).astype(np.uint64)
+            found = self._encoded(part, _mixed(documents[row] + position * np.uint64(_BY_START)))
+            ids.append(found[0])
+            counts.append(found[1])
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        whole, ends = np.concatenate(ids).astype("<u4").tobytes(), (4 * upto[stops]).tolist()
+        return [whole[start:end] for start, end in zip([0, *ends], ends)]
+
+    def _encoded(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of occurrences of units one behind another and their numbers; ``keys`` are those of the occurrences."""
+        self.tidy()
+        self.learn(list(set(units).difference(self.known)))
+        n = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
+        begins, merges = self.id_begins.array, self.merge_begins.array
+        begin, count, pool = begins[n], begins[n + 1] - begins[n], self.ids.array
+        if self.limit:
+            x = self.merges.array[_ranges(merges[n], merges[n + 1] - merges[n])]
+            of = np.repeat(np.arange(len(n)), merges[n + 1] - merges[n])
+            hit = of[self._fall_below(x + keys[of])]
+            odd = hit[np.append(True, hit[1:] != hit[:-1])] if len(hit) else hit
+            if len(odd):
+                ids, sizes = self.segment_all([units[i] for i in odd.tolist()], keys[odd])
+                begin[odd], count[odd] = len(pool) + np.cumsum(sizes) - sizes, sizes
+                pool = np.concatenate([pool, ids])
+        return pool[_ranges(begin, count)], count
 
     def encode(self, raw: bytes, place: int = 0) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes. ``place`` shifts which variant each unit takes."""
-        if not raw:
-            return b""
-        text = raw.decode("utf-8", "surrogateescape")
-        if _OWN_MARK in text:
-            # The stand-in itself occurs: go through the text in parts around it.
-            return b"".join(
-                np.array([self.pieces.bytes_id[b] for b in _OWN_MARK.encode()], dtype="<u4").tobytes() if part == _OWN_MARK else self._units(part, place)
-                for part in re.split(f"({_OWN_MARK})", " " + text)
-                if part
-            )
-        return self._units(" " + text, place)
-
-    def _units(self, text: str, place: int) -> bytes:
-        return self._joined(_split(text), place)
-
-    def _joined(self, units: list[str], place: int) -> bytes:
-        v = len(self.known)
-        if v == 1:
-            return b"".join(map(self.known[0].__getitem__, units))
-        out = [b""] * len(units)
-        for r in range(v):
-            out[r::v] = map(self.known[(place + r) % v].__getitem__, units[r::v])
-        return b"".join(out)
+        """Ids as little-endian unsigned 32-bit bytes. ``place`` is the document's number, by which dropout varies."""
+        return self.encode_batch([raw], [place])[0]
 
     def tidy(self) -> None:
-        for k in self.known:
-            if len(k) > self.remembered:
-                k.clear()
+        if len(self.known) > self.remembered:
+            self._forget()
 
     def decode(self, ids: list[int]) -> bytes:
         """The text whose ids these are, without the space that encoding puts before it."""
         return b"".join(map(self.pieces.decoded.__getitem__, ids))[1:]
 
 
-class _Units(dict):
-    def __init__(self, codec: Codec, variant: int):
-        super().__init__()
-        self.codec, self.variant = codec, variant
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype, first=()):
+        self._all, self._n = np.zeros(1024, dtype=dtype), 0
+        self.add(np.array(first, dtype=dtype))
+
+    def __len__(self) -> int:
+        return self._n
+
+    @property
+    def array(self) -> np.ndarray:
+        return self._all[: self._n]
+
+    def add(self, more: np.ndarray) -> None:
+        if self._n + len(more) > len(self._all):
+            self._all = np.concatenate([self.array, np.zeros(self._n + 2 * len(more), dtype=self._all.dtype)])
+        self._all[self._n : self._n + len(more)] = more
+        self._n += len(more)
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``begin[i] .. begin[i] + count[i] - 1`` for every i, one range behind another."""
+    upto = np.cumsum(count)
+    return np.repeat(begin - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
+
 
-    def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = array("I", self.codec.segment(unit, self.variant)).tobytes()
-        return found
+def _in_order(n: int, parts: list[tuple[np.ndarray, np.ndarray]], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values of ``(rows, values)`` by row, those of a row in the order given, and how many each of ``n`` rows has."""
+    if not parts:
+        return np.zeros(0, dtype=dtype), np.zeros(n, dtype=np.int64)
+    rows = np.concatenate([r for r, _ in parts])
+    return np.concatenate([v for _, v in parts])[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=n)
 
 
 @lru_cache(maxsize=4)
@@ -302,8 +377,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 keys = part.column(0).to_pylist()
-                found = codec.encode_batch(part.column(1).to_pylist(), [zlib.crc32(str(k).encode()) for k in keys])
-                codec.tidy()
+                found = codec.encode_batch(part.column(1).to_pylist(), [int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest()) for k in keys])
                 stops = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
                 crc = pa.array([zlib.crc32(f) for f in found], pa.int64())

@@ -227,6 +227,28 @@ def test_dropout_varies_by_seed(codecs):
     assert ids_of(codecs[1], text, 1) != a
 
 
+def test_dropout_varies_each_occurrence(codecs):
+    codec, word = codecs[1], " unbelievable"
+    assert len({tuple(ids_of(codec, word[1:], place)) for place in range(400)}) > 8
+    merges: list = []
+    codec.segment("▁the", None, merges)
+    keys = sentencepiece_codec._mixed(np.arange(20000, dtype=np.uint64))
+    skipped = np.array([codec._fall_below(np.uint64(m) + keys) for m in merges])
+    assert len(merges) == 3 and np.abs(skipped.mean(axis=1) - 0.3).max() < 0.02 and abs(skipped.any(axis=0).mean() - (1 - 0.7**3)) < 0.02
+    repeated = np.array(ids_of(codec, word * 500))
+    assert len({tuple(p) for p in np.split(repeated, np.flatnonzero(repeated == ids_of(codecs[0], word)[0]))}) > 8
+
+
+def test_arrays_segment_as_single_units():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.production_path(), 0.4, seed=5)
+    units = sorted({u for t in ODD for u in sentencepiece_codec._split(t + " considerations of internationalization été")}) + ["▁the", "▁and"] * 50
+    keys = np.random.default_rng(0).integers(0, 2**63, len(units)).astype(np.uint64)
+    ids, counts = codec.segment_all(units, keys)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [codec.segment(u, int(k)) for u, k in zip(units, keys)]
+    ids, counts = codec._encoded(units, keys)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [codec.segment(u, int(k)) for u, k in zip(units, keys)]
+
+
 def test_bytes_that_are_not_utf8(codecs):
     for codec in codecs:
         raw = b"\xff\xfe a\x80"
