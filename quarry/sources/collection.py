@@ -43,7 +43,8 @@ def store_chunks(chunks: DataFrame, path: str, vectors: DataFrame | None = None,
 
     ``vectors`` (``filepath, chunk_index, embedding``) are paired with chunks by place unless chunks have their own.
     A chunk without a vector, or a vector without a chunk, is an error and nothing is written: the check is part of the
-    write, so vectors are made once. Appending again stores again, unless ``skip_existing`` leaves out ids that are there.
+    write, so vectors are made once. Appending again stores again, unless ``skip_existing`` leaves out chunks that are
+    there: those of the same id, path, place and text, for ids alone can be equal by chance.
     """
     rows = chunks
     if vectors is not None:
@@ -52,7 +53,10 @@ def store_chunks(chunks: DataFrame, path: str, vectors: DataFrame | None = None,
         missing = F.raise_error(F.lit(f"{_MISMATCH}: a vector without a chunk")).cast("array<double>")
         rows = rows.withColumn("embedding", F.when(F.col("__chunk").isNull(), missing).otherwise(F.col("embedding")))
     if skip_existing:
-        rows = rows.join(open_collection(rows.sparkSession, path).select("id"), "id", "left_anti")
+        sign = lambda df: [F.col(c) if c in df.columns else F.lit(None) for c in ("id", "filepath", "chunk_index", "document")]
+        digest = lambda df: F.sha2(F.to_json(F.struct(*[c.cast("string").alias(f"c{i}") for i, c in enumerate(sign(df))])), 256).alias("__sign")
+        stored = open_collection(rows.sparkSession, path)
+        rows = rows.withColumn("__sign", digest(rows)).join(stored.select(digest(stored)), "__sign", "left_anti").drop("__sign")
     missing = F.raise_error(F.lit(f"{_MISMATCH}: a chunk without a vector")).cast("array<double>")
     rows = rows.withColumn("embedding", F.coalesce(F.col("embedding"), missing))
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields]

@@ -80,6 +80,17 @@ def test_store_checks_counts(spark, tmp_path):
         collection.store_chunks(good, path, extra)
 
 
+def test_equal_ids_of_other_chunks_are_stored(spark, tmp_path):
+    path = str(tmp_path / "c")
+    schema = "id string, filename string, filepath string, chunk_index int, document string, embedding array<double>"
+    first = [("README.md_0_00000000", "README.md", "/a/README.md", 0, "a", [1.0]), ("x_0_1", "x", "/x", 0, None, [1.0])]
+    other = [("README.md_0_00000000", "README.md", "/b/README.md", 0, "a", [1.0]), ("README.md_0_00000000", "README.md", "/a/README.md", 0, "b", [1.0])]
+    collection.store_chunks(spark.createDataFrame(first, schema), path, skip_existing=True)
+    collection.store_chunks(spark.createDataFrame(first + other, schema), path, skip_existing=True)
+    assert sorted((r.filepath, r.document) for r in collection.open_collection(spark, path).filter("document IS NOT NULL").collect()) == [("/a/README.md", "a"), ("/a/README.md", "b"), ("/b/README.md", "a")]
+    assert collection.open_collection(spark, path).count() == 4
+
+
 def test_index_and_answer(spark, tree, tmp_path):
     results = index.index_directory(spark, tree, str(tmp_path / "coll"), str(tmp_path / "stage"))
     assert results.filter("success").count() == results.count() == 7
