@@ -52,8 +52,8 @@ def _byte_letters() -> list[str]:
 class WordTokenizer:
     """Ids of many texts by a lower-casing word tokenizer, each distinct word being tokenized once.
 
-    Words are found over the bytes of a whole batch at once, looked up by their own first 16 bytes, and only new ones
-    go to the tokenizer's model. Texts beyond Latin-1, and the unusual ones, go to the tokenizer as they are.
+    Words are found over the bytes of a whole batch at once, looked up by their 16 bytes and their length (longer ones by
+    number), and only new ones go to the tokenizer's model. Texts beyond Latin-1, and the unusual ones, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -68,11 +68,11 @@ class WordTokenizer:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.long: dict[bytes, int] = {}
-        self.keys = np.zeros((2, 1024), dtype=np.uint64)
+        self.keys = np.zeros((3, 1024), dtype=np.uint64)
         self.spans = np.zeros((2, 1024), dtype=np.int64)
         self.flat, self.used = np.zeros(8192, dtype="<u4"), 0
 
-    def _add(self, code: int, k1: int, k2: int, word: bytes) -> int:
+    def _add(self, code: int, k1: int, k2: int, k3: int, word: bytes) -> int:
         mapped = "".join(self.letters[b] for b in word.decode("latin-1").encode())
         ids = [t.id for t in self.model.tokenize(mapped)]
         n = len(self.known)
@@ -81,7 +81,7 @@ class WordTokenizer:
             self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)], axis=1)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.keys[:, n], self.spans[:, n] = (k1, k2), (self.used, len(ids))
+        self.keys[:, n], self.spans[:, n] = (k1, k2, k3), (self.used, len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.known[code] = n
@@ -129,7 +129,8 @@ class WordTokenizer:
         for i in np.flatnonzero(lengths > 16).tolist():
             word = joined[starts[i] : ends[i]]
             k1[i], k2[i] = self.long.setdefault(word, len(self.long)), 2**64 - 1
-        codes = k1 * np.uint64(0x9E3779B97F4A7C15) ^ (k2 + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+        k3 = np.minimum(lengths, 17).astype(np.uint64)
+        codes = k1 * np.uint64(0x9E3779B97F4A7C15) ^ (k2 + k3 * np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
         codes ^= codes >> np.uint64(29)
         order = np.argsort(codes)
         ranked = codes[order]
@@ -145,9 +146,9 @@ class WordTokenizer:
         for j, n in enumerate(found):
             if n < 0:
                 i = one[j]
-                found[j] = self._add(int(distinct[j]), int(k1[i]), int(k2[i]), joined[starts[i] : ends[i]])
+                found[j] = self._add(int(distinct[j]), int(k1[i]), int(k2[i]), int(k3[i]), joined[starts[i] : ends[i]])
         index = np.array(found)[back]
-        if (self.keys[0][index] != k1).any() or (self.keys[1][index] != k2).any():
+        if any((own[index] != k).any() for own, k in zip(self.keys, (k1, k2, k3))):
             return None
         begin, count = self.spans[0][index], self.spans[1][index]
         upto = np.cumsum(count)

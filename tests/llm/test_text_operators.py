@@ -167,6 +167,14 @@ def test_tokenizer_is_the_librarys():
         assert [list(words.batch([t])[0]) for t in ODD] == expected
 
 
+def test_words_that_differ_by_nul_signs():
+    words = packing.WordTokenizer(packing.production_path())
+    texts = ["!", "!\0", "!\0\0", "\0", "\0\0", "a !\0 ! !\0\0", "!" * 16, "!" * 15 + "\0", "!" * 16 + "\0", "!" * 8 + "\0" * 9]
+    for order in (texts, texts[::-1]):
+        assert [list(x) for x in words.batch(order)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in order]
+        words._forget()
+
+
 def test_pack_edges(spark):
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate([*ODD, None])] + [(0, "again", 6)], "doc_id long, text string, length int").repartition(3)
     got = packing.pack(df, packing.production_path(), 2, max_tokens=64).collect()
