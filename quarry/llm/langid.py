@@ -2,19 +2,22 @@
 
 A text's features are hashed counts of its byte pairs and triples in lower case, square-rooted and of length one, over the
 whole text. One linear support vector machine for each pair of families votes for the family; inside it, one for each
-pair of its languages (one versus one) votes for the language. Machines are fitted in numpy on a bounded number of
-documents of each language; prediction is one matrix product per group of texts in the tasks.
+pair of its languages (one versus one) votes for the language. Every language is learned, from a bounded number of documents;
+machines are fitted in numpy in tasks, those of a family or of two blocks of families together. Prediction is one
+matrix product per group of texts in the tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +26,14 @@ from quarry.llm.common import table, utf8
 FEATURES = 2048
 #: At most so many documents of each language are used for fitting, those with the smallest hash of their id.
 PER_LANGUAGE = 1200
-#: At most so many languages, those with the most documents.
-MAX_LANGUAGES = 200
-#: Families of common language codes; a code that isn't named here is a family of its own.
+#: At most so many documents in all: where there are many languages each has fewer, but every one has some.
+SAMPLE = 24_000
+#: Codes without a named family that are families of their own; more than so many are dealt to about as many families as
+#: each then has languages, in order of their codes, so that machines don't grow with the square of the languages.
+OWN_FAMILIES = 32
+#: Families in a block; a task fits the machines of two blocks.
+BLOCK = 16
+#: Families of common language codes; for a code that isn't named here see above.
 FAMILIES = {
     "romance": "fr es it pt ro ca gl oc",
     "germanic": "de en nl sv da no nb nn is af lb",
@@ -38,6 +46,7 @@ FAMILIES = {
     "dravidian": "ta te kn ml",
     "sino-tibetan": "zh my bo",
 }
+FAMILY = "family:"
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -47,6 +56,14 @@ def family(lang: str) -> str:
     return _FAMILY_OF.get(lang.lower().split("-")[0].split("_")[0], lang)
 
 
+def families_of(langs: list[str]) -> dict[str, str]:
+    """The family of each language."""
+    own = sorted(lang for lang in set(langs) if family(lang) == lang)
+    size = math.isqrt(len(own)) + 1
+    dealt = {lang: f"other {i // size}" for i, lang in enumerate(own)} if len(own) > OWN_FAMILIES else {}
+    return {lang: dealt.get(lang, family(lang)) for lang in langs}
+
+
 def features(raw: bytes) -> np.ndarray:
     low = _LOWER[np.frombuffer(b" " + raw + b" ", dtype=np.uint8)].astype(np.uint32)
     pairs = low[:-1] * np.uint32(2654435761) ^ low[1:] * np.uint32(2246822519)
@@ -84,24 +101,22 @@ class LanguageModel:
     families: list[str]
     members: dict[str, list[str]]
     pairs: list[tuple[str, str]] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, FEATURES + 1)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, FEATURES + 1), dtype=np.float32))
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: list[str]) -> LanguageModel:
+    def of(cls, langs: list[str]) -> LanguageModel:
+        """The families and languages, without machines yet."""
         members: dict[str, list[str]] = defaultdict(list)
-        for lang in sorted(set(langs)):
-            members[family(lang)].append(lang)
-        of = np.array([family(lang) for lang in langs])
-        names, model = np.array(langs), cls(sorted(members), dict(members))
-        weights = []
-        for level, groups in ((of, [model.families]), (names, [members[f] for f in model.families])):
-            for a, b in (pair for group in groups for pair in combinations(group, 2)):
-                used = (level == a) | (level == b)
-                weights.append(fit_machine(x[used], np.where(level[used] == a, 1.0, -1.0)))
-                model.pairs.append(("family:" * (level is of) + a, "family:" * (level is of) + b))
-        if weights:
-            model.weights = np.stack(weights)
-        return model
+        for lang, name in sorted(families_of(langs).items()):
+            members[name].append(lang)
+        return cls(sorted(members), dict(members))
+
+    def jobs(self) -> list[list[tuple[str, str]]]:
+        """The pairs that need a machine, in groups that share rows."""
+        blocks = [[FAMILY + f for f in self.families[i : i + BLOCK]] for i in range(0, len(self.families), BLOCK)]
+        out = [list(combinations(names, 2)) for names in (*blocks, *(self.members[f] for f in self.families))]
+        out += [list(product(a, b)) for a, b in combinations(blocks, 2)]
+        return [pairs for pairs in out if pairs]
 
     def _vote(self, names: list[str], prefix: str, margins: dict) -> tuple[str, float]:
         """The name with the most votes and the mean confidence of its machines; ties go to the larger sum of margins."""
@@ -121,7 +136,7 @@ class LanguageModel:
         out = []
         for row in margins:
             by_pair = dict(zip(self.pairs, row.tolist()))
-            chosen, sure = self._vote(self.families, "family:", by_pair)
+            chosen, sure = self._vote(self.families, FAMILY, by_pair)
             lang, inside = self._vote(self.members[chosen], "", by_pair)
             out.append((lang, min(1.0, max(0.0, sure * inside))))
         return out
@@ -152,25 +167,53 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Fit on ``docs`` with non-null ``lang``; texts that are null or empty teach nothing.
 
     Ids are ranked within a language before any text moves (a partial limit in every partition), so one language of
-    most rows is no burden. Without any labelled row the model knows no language and answers ``und``.
+    most rows is no burden. Features go to the tasks that fit a group of machines; the driver has the machines only.
+    Without any labelled row the model knows no language and answers ``und``.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
-    common = labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    langs = sorted(r[0] for r in labelled.select(lang).distinct().collect())
+    model = LanguageModel.of(langs)
+    jobs, family_of = model.jobs(), families_of(langs)
+    if not jobs:
+        return model
+    per_language = max(1, min(per_language, SAMPLE // len(langs)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     ids = labelled.select(F.col(lang).alias("lang"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long")).alias("h"))
     chosen = ids.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "id")
-    chosen = chosen.join(F.broadcast(common.select("lang")), "lang", "left_semi")
+    needed = defaultdict(list)
+    for job, pairs in enumerate(jobs):
+        for name in sorted({n for pair in pairs for n in pair}):
+            needed[name].append(job)
+    jobs_of = {name: needed[name] + needed[FAMILY + family_of[name]] for name in langs}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["lang", "id", "x"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                wanted = [(i, job) for i, name in enumerate(part.column(0).to_pylist()) for job in jobs_of[name]]
+                x = pa.array([features(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                rows = pa.array([i for i, _ in wanted], pa.int64())
+                columns = [pa.array([job for _, job in wanted], pa.int32()), part.column(0).take(rows), part.column(2).take(rows), x.take(rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["job", "lang", "id", "x"])
+
+    def fit_job(found: pa.Table) -> pa.Table:
+        found = found.take(pc.sort_indices(found, sort_keys=[("id", "ascending"), ("x", "ascending")]))
+        x = np.frombuffer(b"".join(found.column("x").to_pylist()), dtype=np.float32).reshape(-1, FEATURES)
+        names, pairs = found.column("lang").to_pylist(), jobs[found.column("job")[0].as_py()]
+        level = np.array([FAMILY + family_of[n] for n in names] if pairs[0][0].startswith(FAMILY) else names)
+        machines = []
+        for a, b in pairs:
+            used = (level == a) | (level == b)
+            machines.append(fit_machine(x[used], np.where(level[used] == a, 1.0, -1.0)).astype(np.float32).tobytes())
+        return pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "w": pa.array(machines, pa.binary())})
 
     rows = labelled.select(F.col(lang).alias("lang"), utf8(text).alias("raw"), F.col(key).cast("long").alias("id"))
     rows = rows.join(F.broadcast(chosen), ["lang", "id"], "left_semi").select("lang", "raw", "id")
-    found = rows.mapInArrow(run, "lang string, id long, x binary").orderBy("id", "x").toArrow()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), dtype=np.float32).reshape(-1, FEATURES)
-    return LanguageModel.fit(x, found.column("lang").to_pylist())
+    shares = rows.mapInArrow(run, "job int, lang string, id long, x binary")
+    fitted = shares.groupBy("job").applyInArrow(fit_job, "a string, b string, w binary").toArrow()
+    model.pairs = list(zip(fitted.column("a").to_pylist(), fitted.column("b").to_pylist()))
+    model.weights = np.frombuffer(b"".join(fitted.column("w").to_pylist()), dtype=np.float32).reshape(-1, FEATURES + 1)
+    return model
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

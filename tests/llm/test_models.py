@@ -85,3 +85,14 @@ def test_language_edges(spark):
     assert none.score(edges(spark)).first().lang_pred == "und"
     single = langid.fit(docs.filter("lang = 'de'"))
     assert {r.lang_pred for r in single.score(edges(spark)).collect()} == {"und", "de"}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(20 * n + i, chr(0x4E00 + 7 * n) * 30 + str(i), f"q{n:03}") for n in range(230) for i in range(4 if n < 200 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df)
+    assert {lang for members in model.members.values() for lang in members} == {r[2] for r in rows}
+    assert len(model.pairs) == len(set(model.pairs)) == len(model.weights) < 5000
+    got = {r.doc_id: r.lang_pred for r in model.score(df).collect()}
+    assert len(set(got.values())) > 200 and np.mean([got[r[0]] == r[2] for r in rows]) > 0.8
+    assert np.mean([got[r[0]] == r[2] for r in rows if r[2] >= "q200"]) > 0.7
