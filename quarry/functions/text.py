@@ -12,11 +12,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 def strip_ws(c: Column) -> Column:
     """``c`` without white space at either end."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(c, rf"(?U)^{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
 
 
 def is_blank(c: Column) -> Column:
-    return F.length(strip_ws(c)) == 0
+    return ~c.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def words(c: Column) -> Column:

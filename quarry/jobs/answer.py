@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from quarry.operators import embedding, search
+from quarry.sources.scratch import stored
 
 
 @dataclass
@@ -19,6 +20,6 @@ class Answers:
 
 def answer(questions: DataFrame, collection: DataFrame, encoder: embedding.Encoder | None = None, per_query: int = search.PER_QUERY, limit: int = search.GLOBAL_LIMIT) -> Answers:
     """Answers to all of ``questions`` (``user_query``) with the encoder that made the collection."""
-    hits = search.query_hits(questions, collection, lambda df, text: embedding.embed_chunks(df, encoder, text), per_query)
+    hits = stored(search.query_hits(questions, collection, lambda df, text: embedding.embed_chunks(df, encoder, text), per_query), "hits")
     ranked = search.rank_dedup(hits, limit)
     return Answers(ranked, search.search_counters(hits, ranked), search.quality_metrics(ranked, questions), search.search_response(ranked))

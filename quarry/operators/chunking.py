@@ -6,10 +6,12 @@ row, so nothing is shuffled; a document's chunks come out one by one and can be
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,13 @@ from pyspark.sql import types as T
 from quarry.functions.text import is_blank, strip_ws
 
 CHUNK_SIZE, OVERLAP = 512, 50
-CHUNK_COLUMNS = ["text", "chunk_index", "chunk_size", "start_index", "end_index", "total_chunks"]
+#: Chunks of a batch that leave a Python worker together.
+AT_ONCE = 5000
+#: A text, size and overlap -> start, end and text of its chunks.
+Windows = Callable[[str, int, int], Iterator[tuple[int, int, str]]]
+_WORD = re.compile(r"\s*\S+\s*")
+_SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
+_NUMBERS = ["chunk_index", "start_index", "end_index", "chunk_size", "total_chunks"]
 
 
 def _check(size: int, overlap: int) -> int:
@@ -26,55 +34,45 @@ def _check(size: int, overlap: int) -> int:
     return size - overlap
 
 
-def _windows(n: Column, size: int, overlap: int) -> Column:
-    """Starts of windows over ``n`` units, up to the first window that reaches the end; ``n`` must be positive."""
-    stride = size - overlap
-    count = F.greatest(F.ceil((n - overlap) / stride).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * stride)
-
-
-def _numbered(docs: DataFrame, starts: str, chunk: Callable[[Column], dict[str, Column]], drop: list[str]) -> DataFrame:
-    total = F.size(starts)
-    rows = docs.select("*", total.alias("total_chunks"), F.posexplode(starts).alias("chunk_index", "__s"))
-    return rows.withColumns(chunk(F.col("__s"))).drop(starts, "__s", *drop)
+def token_windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+    """Windows of ``size`` characters that overlap, up to the first one that reaches the end."""
+    stride, n = size - overlap, len(text)
+    for start in range(0, max(n - overlap, 1), stride):
+        yield start, min(start + size, n), text[start : start + size]
 
 
 def chunk_token(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Windows of ``size`` characters that overlap. Blank and null texts have none; other columns are kept."""
-    _check(size, overlap)
-    filled = docs.filter(~is_blank(F.col(text))).withColumn("__content", F.col(text)).withColumn("__n", F.length(text))
-    rows = filled.withColumn("__starts", _windows(F.col("__n"), size, overlap))
-    return _numbered(
-        rows,
-        "__starts",
-        lambda s: {
-            text: F.substring("__content", s + 1, F.lit(size)),
-            "start_index": s,
-            "end_index": F.least(s + size, F.col("__n")),
-            "chunk_size": F.least(s + size, F.col("__n")) - s,
-        },
-        ["__content", "__n"],
-    )
+    """Windows of ``size`` characters that overlap. Blank and null texts have none; other columns are kept.
+
+    The text is cut into blocks of one stride in a single pass, and a window is a block with the head of the next one, so
+    the work grows with the length of a text and not with its square. Windows that overlap by more than a stride are cut
+    in Arrow batches.
+    """
+    stride = _check(size, overlap)
+    if overlap > stride:
+        return _by_rows(docs, text, token_windows, size, overlap)
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{stride}}}"), 0)
+    count = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / stride).cast("int"))
+    heads = F.transform(F.slice(blocks, 2, count), lambda b: F.substring(b, 1, overlap))
+    pieces = F.slice(F.zip_with(blocks, heads, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), 1, count)
+    rest = [c for c in docs.columns if c not in (*_NUMBERS, text)]
+    rows = docs.filter(~is_blank(F.col(text))).select(*rest, count.alias("total_chunks"), F.posexplode(pieces).alias("chunk_index", text))
+    start = F.col("chunk_index") * stride
+    rows = rows.withColumns({"start_index": start, "end_index": start + F.length(text), "chunk_size": F.length(text)})
+    return rows.select(*[c for c in docs.columns if c in rest or c == text], *_NUMBERS)
+
+
+def word_windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+    """The same over words."""
+    ends = np.fromiter((m.end() for m in _WORD.finditer(text)), dtype=np.int64)
+    for first in range(0, max(len(ends) - overlap, 1), size - overlap):
+        start, end = int(ends[first - 1]) if first else 0, int(ends[min(first + size, len(ends)) - 1])
+        yield start, end, text[start:end]
 
 
 def chunk_word(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """The same over words: a run of other than white space with the space behind it; leading space is the first word's."""
-    _check(size, overlap)
-    pattern = r"(?U)(?:\A[\s\x1c-\x1f]+)?[^\s\x1c-\x1f]+[\s\x1c-\x1f]*"
-    rows = docs.filter(~is_blank(F.col(text))).withColumn("__words", F.regexp_extract_all(F.col(text), F.lit(pattern), 0))
-    rows = rows.withColumn("__starts", _windows(F.size("__words"), size, overlap))
-    # Lengths of all words before each window, by one pass over the words.
-    empty = F.array(F.lit(0))
-    lengths = F.transform("__words", lambda w: F.length(w))
-    block = F.transform("__starts", lambda s: F.aggregate(F.slice(lengths, s + 1, F.lit(size - overlap)), F.lit(0), lambda a, x: a + x))
-    rows = rows.withColumn("__blocks", block)
-    place = F.aggregate("__blocks", empty, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    rows = rows.withColumn("__places", place)
-    words = F.array_join(F.slice("__words", F.col("__s") + 1, F.lit(size)), "")
-    out = rows.select("*", F.size("__starts").alias("total_chunks"), F.posexplode("__starts").alias("chunk_index", "__s"))
-    out = out.withColumn("start_index", F.col("__places")[F.col("chunk_index")]).withColumn(text, words)
-    out = out.withColumn("chunk_size", F.length(text)).withColumn("end_index", F.col("start_index") + F.length(text))
-    return out.drop("__words", "__starts", "__blocks", "__places", "__s")
+    return _by_rows(docs, text, word_windows, size, overlap)
 
 
 def fallback_windows(text: str, size: int, overlap: int, lossless: bool = False) -> Iterator[tuple[int, int, str]]:
@@ -94,21 +92,18 @@ def fallback_windows(text: str, size: int, overlap: int, lossless: bool = False)
 
 def sentences(text: str) -> list[str]:
     """Sentences with the space behind them; one ends at a stop, ``!`` or ``?`` before white space."""
-    out, start = [], 0
-    for i in range(1, len(text)):
-        if text[i - 1].isspace() and not text[i].isspace():
-            j = i - 1
-            while j > start and text[j].isspace():
-                j -= 1
-            if text[j] in ".!?":
-                out.append(text[start:i])
-                start = i
-    out.append(text[start:])
-    return out
-
-
-def sentence_windows(text: str, size: int, overlap: int, lossless: bool = False) -> Iterator[tuple[int, int, str]]:
-    """Sentences packed up to ``size`` characters; whole sentences at the end of a chunk come again, up to ``overlap``."""
+    places = [0, *(m.end() for m in _SENTENCE_END.finditer(text))]
+    if places[-1] < len(text) or len(places) == 1:
+        places.append(len(text))
+    return [text[a:b] for a, b in zip(places, places[1:])]
+
+
+def sentence_windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+    """Sentences packed up to ``size`` characters; whole sentences at the end of a chunk come again, up to ``overlap``.
+
+    As many of them as leave room for the next sentence come again, none if it is too long by itself, so every chunk has
+    a sentence that the one before it lacks.
+    """
     parts = sentences(text)
     places = [0]
     for p in parts:
@@ -122,33 +117,39 @@ def sentence_windows(text: str, size: int, overlap: int, lossless: bool = False)
         if j == len(parts):
             return
         back = j
-        while back - 1 > i and places[j] - places[back - 1] <= overlap:
+        while back - 1 > i and places[j] - places[back - 1] <= overlap and places[j + 1] - places[back - 1] <= size:
             back -= 1
         i = back
 
 
-def _by_rows(docs: DataFrame, text: str, windows, size: int, overlap: int, lossless: bool) -> DataFrame:
-    """Chunks by a sequential rule, a document at a time; other columns are kept."""
+def _by_rows(docs: DataFrame, text: str, windows: Windows, size: int, overlap: int) -> DataFrame:
+    """Chunks by a rule over a whole text, in Arrow batches of bounded size; other columns are kept."""
     _check(size, overlap)
-    own = ["chunk_index", "start_index", "end_index", "chunk_size", "total_chunks"]
-    names = [c for c in docs.columns if c not in own]
-    schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.IntegerType()) for c in own)])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [(i, j, *w) for i, content in enumerate(frame[text]) for j, w in enumerate(windows(content, size, overlap, lossless))]
-            if not found:
-                continue
-            owner, index, starts, ends, pieces = zip(*found)
-            totals = Counter(owner)
-            out = frame.iloc[list(owner)].reset_index(drop=True)
-            out[text] = pieces
-            out["chunk_index"], out["start_index"], out["end_index"] = index, starts, ends
-            out["chunk_size"] = [len(p) for p in pieces]
-            out["total_chunks"] = [totals[i] for i in owner]
-            yield out
-
-    return docs.filter(~is_blank(F.col(text))).select(*names).mapInPandas(run, schema)
+    names = [c for c in docs.columns if c not in _NUMBERS]
+    schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.IntegerType()) for c in _NUMBERS)])
+    at = names.index(text)
+
+    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        owner, index, starts, ends, pieces, totals = zip(*rows)
+        of = pa.array(owner, pa.int32())
+        columns = [pa.array(pieces, batch.column(c).type) if c == at else batch.column(c).take(of) for c in range(len(names))]
+        numbers = [pa.array(x, pa.int32()) for x in (index, starts, ends, [len(p) for p in pieces], totals)]
+        return pa.RecordBatch.from_arrays([*columns, *numbers], [*names, *_NUMBERS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, content in enumerate(batch.column(at)):
+                found = list(windows(content.as_py(), size, overlap))
+                for first in range(0, len(found), AT_ONCE):
+                    rows += [(i, j, *w, len(found)) for j, w in enumerate(found[first : first + AT_ONCE], first)]
+                    if len(rows) >= AT_ONCE:
+                        yield made(batch, rows)
+                        rows = []
+            if rows:
+                yield made(batch, rows)
+
+    return docs.filter(~is_blank(F.col(text))).select(*names).mapInArrow(run, schema)
 
 
 def chunk_fallback(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = OVERLAP, lossless: bool = False) -> DataFrame:
@@ -158,12 +159,12 @@ def chunk_fallback(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
     and text between is lost where one was cut back far. ``lossless`` starts at the end of the last one instead.
     Places are those of the unstripped window.
     """
-    return _by_rows(docs, text, fallback_windows, size, overlap, lossless)
+    return _by_rows(docs, text, partial(fallback_windows, lossless=lossless), size, overlap)
 
 
 def chunk_sentence(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Whole sentences packed up to ``size`` characters; a longer sentence is a chunk of its own."""
-    return _by_rows(docs, text, sentence_windows, size, overlap, False)
+    return _by_rows(docs, text, sentence_windows, size, overlap)
 
 
 def chunk_semantic(
@@ -175,12 +176,12 @@ def chunk_semantic(
     running sums over a document's sentences number its chunks. Columns: ``key, text, chunk_index, chunk_size,
     start_index, end_index, total_chunks``.
     """
-    rows = _by_rows(docs.select(key, text), text, lambda t, *_: _places(sentences(t)), size, 0, False)
+    rows = _by_rows(docs.select(key, text), text, lambda t, *_: _places(sentences(t)), size, 0)
     rows = encode(rows.select(key, F.col("chunk_index").alias("pos"), "start_index", "end_index", text), text)
     order = Window.partitionBy(key).orderBy("pos")
     before = F.lag("embedding").over(order)
     dot = F.aggregate(F.zip_with("embedding", before, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("unlike", F.coalesce((dot < threshold).cast("int"), F.lit(0)))
+    rows = rows.withColumn("unlike", F.coalesce((F.round(dot, 9) < threshold).cast("int"), F.lit(0)))
     rows = rows.withColumn("part", F.sum("unlike").over(order))
     inside = Window.partitionBy(key, "part")
     rows = rows.withColumn("sub", F.floor((F.col("end_index") - 1 - F.min("start_index").over(inside)) / size))
@@ -221,16 +222,17 @@ def chunk_documents(
 def with_index(df: DataFrame, order: str, name: str) -> DataFrame:
     """Adds the row's number from 0 in the order of a unique column, without bringing all rows to one task.
 
-    Rows are sorted by range; each partition's rows are counted, and the counts before it are added to a number within
-    the partition. Only one count for each partition is ever in one place.
+    Only the column itself is sorted by range; a key's number is its place in its partition and the counts of the
+    partitions before it, one count for each. Whole rows meet their numbers in one join.
     """
-    ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order)
-    ranged = ranged.withColumn("__part", F.spark_partition_id())
+    place = F.monotonically_increasing_id()
+    ranged = df.select(F.col(order).alias("__key")).repartitionByRange("__key").sortWithinPartitions("__key")
+    ranged = ranged.select("__key", F.shiftright(place, 33).alias("__part"), place.bitwiseAND((1 << 33) - 1).alias("__nth"))
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__part", before.alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    return ranged.withColumn("__nth", nth).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
+    numbers = ranged.join(F.broadcast(offsets), "__part").select("__key", (F.col("__before") + F.col("__nth")).alias(name))
+    return df.join(numbers, df[order].eqNullSafe(numbers["__key"])).drop("__key")
 
 
 def optimize_chunks(chunks: DataFrame, size: int = CHUNK_SIZE, text: str = "text") -> DataFrame:

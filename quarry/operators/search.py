@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip_ws
+from quarry.sources.scratch import stored
 
 PER_QUERY, GLOBAL_LIMIT, VARIATIONS = 10, 20, 6
-#: Queries that are shared with the tasks at once: a block of vectors of bounded size.
-QUERY_BLOCK = 2048
-#: Rows of the collection that meet a block of queries in one matrix product.
-ROW_BLOCK = 2048
+#: Queries, and rows of the collection, in a block; a pair of blocks is one matrix product.
+QUERY_BLOCK = ROW_BLOCK = 1024
+#: Blocks of queries whose nearest rows a task keeps at once.
+BLOCKS_HELD = 8
 #: Word groups and how much they add to a query's importance.
 IMPORTANCE = (
     ("best|top|popular|effective", 0.2),
@@ -57,52 +58,76 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def _nearest(rows: DataFrame, queries: list, ids: pa.Array, k: int, id_name: str, id_type: str, qid_type: str) -> DataFrame:
-    """Every partition's ``k`` nearest rows of each query: ``__q, id, distance``."""
-    spark = rows.sparkSession
-    matrix = spark.sparkContext.broadcast(np.array(queries, dtype=np.float64))
-    names = spark.sparkContext.broadcast(ids)
+def _packed(rows: DataFrame, key: str, embedding: str, size: int, name: str) -> DataFrame:
+    """Rows by blocks of ``size``: ``dim, <name>_ids, <name>_x``, the ids and the vectors as one matrix of doubles.
+
+    Rows without a vector, or with a null in it, are left out.
+    """
+    keys = dict(rows.dtypes)[key]
+    names = ["dim", f"{name}_ids", f"{name}_x"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, parts = held.pop(dim)
+            kind = pa.list_(ids[0].type)
+            arrays = [pa.array([dim], pa.int32()), pa.array([pa.concat_arrays(ids).to_pylist()], kind), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = matrix.value
-        lengths = (q * q).sum(axis=1)
-        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in range(len(q))]
-        kind = None
         for batch in batches:
-            for at in range(0, batch.num_rows, ROW_BLOCK):
-                part = batch.slice(at, ROW_BLOCK)
-                kind = part.column(0).type
-                kept = [i for i, v in enumerate(part.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-                if not kept:
-                    continue
-                part = part.take(pa.array(kept))
-                keys = part.column(0).to_pylist()
-                x = np.array(part.column(1).to_pylist(), dtype=np.float64)
-                near = lengths[:, None] + (x * x).sum(axis=1)[None, :] - 2 * q @ x.T
-                for i, row in enumerate(near):
-                    # The product form cancels digits; rows close behind the k-th stay until the exact distance decides.
-                    limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                    if len(best[i][0]) >= k:
-                        limit = min(limit, np.sort(best[i][0])[k - 1])
-                    take = np.flatnonzero(row <= limit + 1e-5 * (1 + abs(limit)) if np.isfinite(limit) else np.ones(len(row), dtype=bool))
-                    if len(take):
-                        exact = ((x[take] - q[i]) ** 2).sum(axis=1)
-                        d = np.concatenate([best[i][0], exact])
-                        n = best[i][1] + [keys[j] for j in take]
-                        if len(d) > 4 * k + 64:
-                            order = np.argsort(d, kind="stable")
-                            cut = d[order[k - 1]] + 1e-5
-                            order = [j for j in order.tolist() if d[j] <= cut]
-                            d, n = d[order], [n[j] for j in order]
-                        best[i] = (d, n)
-        for i, (d, n) in enumerate(best):
-            if len(d):
-                limit = np.sort(d)[min(k, len(d)) - 1] + 1e-5
-                near = [j for j in range(len(d)) if d[j] <= limit]
-                columns = [names.value.take(pa.array([i] * len(near))), pa.array([n[j] for j in near], kind), pa.array(d[near])]
-                yield pa.RecordBatch.from_arrays(columns, ["__q", id_name, "distance"])
-
-    return rows.mapInArrow(run, f"__q {qid_type}, `{id_name}` {id_type}, distance double")
+            widths = pc.fill_null(pc.list_value_length(batch.column(1)), -1).to_numpy(zero_copy_only=False)
+            for dim in np.unique(widths[widths > 0]).tolist():
+                part = batch.filter(pa.array(widths == dim))
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                whole = ~np.isnan(x).any(axis=1)
+                x, ids = x[whole], part.column(0).filter(pa.array(whole))
+                for at in range(0, len(x), size):
+                    have = held.setdefault(dim, ([], []))
+                    have[0].append(ids.slice(at, size))
+                    have[1].append(x[at : at + size])
+                    if sum(map(len, have[0])) >= size:
+                        yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    wanted = rows.select(F.col(key).alias("k"), F.col(embedding).cast("array<double>").alias("v"))
+    return wanted.mapInArrow(pack, f"dim int, {name}_ids array<{keys}>, {name}_x binary")
+
+
+class _Best:
+    """The nearest rows so far of a block of queries. Rows close behind the k-th stay, for ids decide between equals."""
+
+    def __init__(self, ids: pa.Array, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.lengths = (q * q).sum(axis=1)
+        self.found: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in range(len(q))]
+        self.limits = np.full(len(q), np.inf)
+
+    def meet(self, keys: list, x: np.ndarray) -> None:
+        """The product form cancels digits, so it only chooses the rows whose exact distance is taken."""
+        near = self.lengths[:, None] + (x * x).sum(axis=1)[None, :] - 2 * self.q @ x.T
+        slack = lambda d: d + 1e-5 * (1 + np.abs(d))
+        for i in np.flatnonzero(near.min(axis=1) <= slack(self.limits)).tolist():
+            row = near[i]
+            limit = min(self.limits[i], np.partition(row, self.k - 1)[self.k - 1] if len(row) > self.k else np.inf)
+            take = np.flatnonzero(row <= slack(limit))
+            d = np.concatenate([self.found[i][0], ((x[take] - self.q[i]) ** 2).sum(axis=1)])
+            names = self.found[i][1] + [keys[j] for j in take.tolist()]
+            if len(d) >= self.k:
+                self.limits[i] = np.partition(d, self.k - 1)[self.k - 1]
+                stay = np.flatnonzero(d <= self.limits[i] + 1e-5).tolist()
+                d, names = d[stay], [names[j] for j in stay]
+            self.found[i] = (d, names)
+
+    def rows(self, kind: pa.DataType, id_name: str) -> pa.RecordBatch:
+        counts = [len(d) for d, _ in self.found]
+        columns = [
+            self.ids.take(pa.array(np.repeat(np.arange(len(counts)), counts))),
+            pa.array([n for _, names in self.found for n in names], kind),
+            pa.array(np.concatenate([d for d, _ in self.found])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["__q", id_name, "distance"])
 
 
 def knn_search(
@@ -110,28 +135,43 @@ def knn_search(
 ) -> DataFrame:
     """``query_id, id, distance, rank`` of the ``k`` nearest rows of every query, by squared distance and then by id.
 
-    The query table is worked off in blocks of about 2,048, each shared with all tasks; a task keeps ``k`` rows of each
-    query over all its batches, so what is shuffled is queries * k * partitions rows. ``where`` restricts the collection
-    before the search. Rows without a vector of the query's width are never hits; distances are rounded to 6 places.
+    Both tables are packed into blocks of 1,024 vectors, and blocks of queries meet blocks of rows in tasks, a matrix
+    product each. A single block of queries is broadcast, so the collection isn't moved. More are dealt to every part of
+    the collection, so nothing goes through the driver and the collection is read and moved once, however many queries
+    there are. A task keeps the ``k`` nearest rows of each query in its part, and these meet by query. ``where``
+    restricts the collection before the search. Rows without a vector of the query's width are never hits; distances are
+    rounded to 6 places.
     """
     rows = collection.filter(where) if where is not None else collection
-    rows = rows.select(id_col, embedding)
-    types = dict(rows.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
-    asked = queries.filter(F.col(embedding).isNotNull()).select(query_id, embedding)
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else asked
-        got = part.toArrow()
-        if got.num_rows:
-            vectors, ids = got.column(embedding).to_pylist(), got.column(query_id).combine_chunks()
-            near = _nearest(rows, vectors, ids, k, id_col, types[id_col], types[query_id])
-            found = near if found is None else found.unionByName(near)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], f"__q {types[query_id]}, `{id_col}` {types[id_col]}, distance double")
-    found = found.withColumn("distance", F.round("distance", 6))
+    kinds = dict(rows.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
+    asked = stored(_packed(queries, query_id, embedding, QUERY_BLOCK, "q"), "queries")
+    blocks = _packed(rows, id_col, embedding, ROW_BLOCK, "r")
+    if asked.count() <= 1:
+        pairs = blocks.join(F.broadcast(asked), "dim")
+    else:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = blocks.withColumn("part", F.pmod(F.xxhash64("r_x"), F.lit(parts)).cast("int"))
+        pairs = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, ["dim", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, _Best] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.column(3).type.value_type
+            for dim, q_ids, q, r_ids, x in zip(*batch.columns):
+                sign = q.as_py()
+                if sign not in best and len(best) >= BLOCKS_HELD:
+                    yield from (b.rows(kind, id_col) for b in best.values())
+                    best.clear()
+                if sign not in best:
+                    best[sign] = _Best(q_ids.values, np.frombuffer(sign).reshape(-1, dim.as_py()), k)
+                best[sign].meet(r_ids.as_py(), np.frombuffer(x.as_buffer()).reshape(-1, dim.as_py()))
+        yield from (b.rows(kind, id_col) for b in best.values())
+
+    near = pairs.select("dim", "q_ids", "q_x", "r_ids", "r_x").mapInArrow(run, f"__q {kinds[query_id]}, `{id_col}` {kinds[id_col]}, distance double")
+    near = near.withColumn("distance", F.round("distance", 6))
     rank = F.row_number().over(Window.partitionBy("__q").orderBy("distance", id_col))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("__q", query_id)
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("__q", query_id)
 
 
 def query_importance(query: Column) -> Column:
@@ -174,8 +214,9 @@ def rank_dedup(hits: DataFrame, limit: int = GLOBAL_LIMIT, key: str = "filename"
 def query_hits(questions: DataFrame, collection: DataFrame, embed, per_query: int = PER_QUERY, variations=query_variations) -> DataFrame:
     """Hits of every variation of every question: what :func:`rank_dedup` takes.
 
-    ``collection`` has ``id, filename, filepath, chunk_index, document, embedding``; ``embed`` adds the same encoder's
-    ``embedding`` to a frame for the text column it is given. Equal variations are searched once.
+    ``collection`` has ``id, filename, filepath, chunk_index, document, embedding`` and is read twice, so it should be a
+    stored one, not one that is yet to be embedded; ``embed`` adds the same encoder's ``embedding`` to a frame for the
+    text column it is given. Equal variations are searched once.
     """
     asked = variations(questions.select("user_query").distinct())
     vectors = embed(asked.select("query").distinct(), "query")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import chunking, embedding
 from quarry.queries import frames as fr
-from quarry.queries.frames import strip_sql
+from quarry.queries.frames import embed_sql, strip_sql
 
 SIZE, OVERLAP = chunking.CHUNK_SIZE, chunking.OVERLAP
 STRIDE = SIZE - OVERLAP
@@ -44,11 +44,39 @@ def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_sentence(fr.table(spark, sf_dir, "documents")).select(*_COLUMNS)
 
 
+#: Sentences with their places; a sign that no text has marks their ends.
+_SENTENCES = rf"""SELECT doc_id, text, p, a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY p), length(text)) AS b FROM (
+  SELECT doc_id, text, p, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (
+    SELECT doc_id, text, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (
+      SELECT doc_id, text, string_split(regexp_replace(text, '([.!?]{fr.WS}+)', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents WHERE {strip_sql('text')} <> '')) WHERE s <> '')"""
+#: A chunk's sentences end at the last place within ``size``; the next one's begin where overlap and the sentence behind both fit.
+SENTENCE = f"""WITH RECURSIVE sentences AS ({_SENTENCES}),
+places AS (SELECT doc_id, any_value(text) AS text, list(a ORDER BY p) || [length(any_value(text))] AS stops FROM sentences GROUP BY doc_id),
+step AS (
+  SELECT doc_id, 0 AS k, 1 AS i, greatest(2, len(list_filter(stops, lambda v: v <= {SIZE}))) AS j FROM places
+  UNION ALL
+  SELECT doc_id, k + 1, n, greatest(n + 1, len(list_filter(stops, lambda v: v <= stops[n] + {SIZE}))) FROM (
+    SELECT doc_id, k, stops, least(j, greatest(i + 1, 1 + len(list_filter(stops, lambda v: v < greatest(stops[j] - {OVERLAP}, stops[j + 1] - {SIZE}))))) AS n
+    FROM step JOIN places USING (doc_id) WHERE j < len(stops)))
+SELECT doc_id, k::INT AS chunk_index, count(*) OVER (PARTITION BY doc_id)::INT AS total_chunks, (stops[j] - stops[i])::INT AS chunk_size, stops[i]::INT AS start_index, stops[j]::INT AS end_index,
+  text[stops[i] + 1:stops[j]] AS text FROM step JOIN places USING (doc_id)"""
+
+
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = lambda df, text: embedding.embed_chunks(df, text=text)
     return chunking.chunk_semantic(fr.table(spark, sf_dir, "documents"), encode).select(*_COLUMNS)
 
 
+SEMANTIC = f"""WITH sentences AS ({_SENTENCES}), s AS (SELECT doc_id, p, a, b, doc_id || '/' || p AS id, text[a + 1:b] AS sentence FROM sentences), e AS {embed_sql('s', 'id', 'sentence')},
+v AS (SELECT s.*, embedding, lag(embedding) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM s LEFT JOIN e USING (id)),
+u AS (SELECT *, coalesce(round(list_sum(list_transform(list_zip(embedding, last), lambda x: x[1] * x[2])), 9) < 0.2, false)::INT AS unlike FROM v),
+g AS (SELECT *, sum(unlike) OVER (PARTITION BY doc_id ORDER BY p) AS part FROM u),
+h AS (SELECT *, (b - 1 - min(a) OVER (PARTITION BY doc_id, part)) // {SIZE} AS sub FROM g),
+c AS (SELECT doc_id, string_agg(sentence, '' ORDER BY p) AS text, min(a) AS a, max(b) AS b FROM h GROUP BY doc_id, part, sub)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_index, count(*) OVER (PARTITION BY doc_id)::INT AS total_chunks, length(text)::INT AS chunk_size,
+  a::INT AS start_index, b::INT AS end_index, text FROM c"""
+
+
 def chunk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_fallback(fr.table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "chunk_size", "start_index", "end_index", "text")
 
@@ -109,8 +137,8 @@ STATS = f"""SELECT count(*) AS total_chunks, sum(chunk_size)::BIGINT AS total_ch
 QUERIES = {
     "chunk_token": (chunk_token, TOKEN),
     "chunk_word": (chunk_word, WORD),
-    "chunk_sentence": (chunk_sentence, None),
-    "chunk_semantic": (chunk_semantic, None),
+    "chunk_sentence": (chunk_sentence, SENTENCE),
+    "chunk_semantic": (chunk_semantic, SEMANTIC),
     "chunk_fallback": (chunk_fallback, FALLBACK),
     "chunk_documents": (chunk_documents, DOCUMENTS),
     "chunk_totals": (chunk_totals, TOTALS),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quarry.operators import metadata
 from quarry.queries import frames as fr
 from quarry.queries import vectors
-from quarry.queries.vectors import CHUNKS, embed_sql
+from quarry.queries.frames import embed_sql
+from quarry.queries.vectors import CHUNKS
 from quarry.sources import collection, files
 from quarry.streaming.index import stream_index as run_stream
 

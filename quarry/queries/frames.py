@@ -69,7 +69,7 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 2, F.concat(F.lit("﻿"), t))
         .when(n == 3, F.concat(t, F.lit("\x01" * 40)))
         .when(n == 4, F.concat(F.lit(" \x0b\n\n\t"), t, F.lit("\x85x  \n")))
-        .otherwise(F.concat(F.lit("Warning: setting in the README, a note"), F.substring(t, 1, 5)))
+        .otherwise(F.concat(F.lit("Warning: setting in the README, a note"), t))
     )
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
 
@@ -77,7 +77,7 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_TEXTS = """(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10))
   WHEN 1 THEN 'a' || chr(13) || 'b' || replace(text, chr(10), ' ') WHEN 2 THEN chr(65279) || text WHEN 3 THEN text || repeat(chr(1), 40)
   WHEN 4 THEN ' ' || chr(11) || chr(10) || chr(10) || chr(9) || text || chr(133) || 'x' || chr(8232) || ' ' || chr(10)
-  ELSE 'Warning: setting in the README, a note' || text[1:5] END AS text FROM documents)"""
+  ELSE 'Warning: setting in the README, a note' || text END AS text FROM documents)"""
 
 #: White space for DuckDB's regular expressions.
 WS = r"[\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\p{Z}]"
@@ -85,3 +85,15 @@ WS = r"[\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\p{Z}]"
 
 def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+#: Width of the built-in encoder's vectors.
+DIM = 64
+
+
+def embed_sql(source: str, key: str, text: str) -> str:
+    """``key, embedding`` of the built-in encoder for distinct keys; null for blank texts."""
+    return f"""(WITH w AS (SELECT {key} AS k, unnest(string_split_regex(lower({text}), '{WS}+')) AS w FROM {source}),
+  b AS (SELECT k, ('0x' || substr(md5(w), 1, 4))::INT % {DIM} AS b, count(*)::DOUBLE AS n FROM w WHERE w <> '' GROUP BY ALL),
+  m AS (SELECT k, map(list(b), list(n)) AS m, sqrt(sum(n * n)) AS l FROM b GROUP BY k)
+  SELECT k AS {key}, list_transform(range({DIM}), lambda i: coalesce(m[i::INT], 0) / l) AS embedding FROM m)"""

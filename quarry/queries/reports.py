@@ -11,16 +11,19 @@ from quarry.queries.chunks import token_sql
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of all types; some without content, some blank, some with an exception."""
+    """Documents as files of all types; behind them some without content and some blank ones; some with an exception."""
+    docs = fr.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    empty = docs.filter("doc_id % 10 = 5").withColumns({"doc_id": F.col("doc_id") + 1000000000, "text": F.lit("")})
+    blank = docs.filter("doc_id % 10 = 6").withColumns({"doc_id": F.col("doc_id") + 1000000000, "text": F.lit(" \n\t")})
     n = F.col("doc_id")
     suffix = F.when(n % 10 == 3, ".xyz").when(n % 10 == 4, ".md").otherwise(".txt")
-    docs = fr.table(spark, sf_dir, "documents").select(
+    rows = docs.unionByName(empty).unionByName(blank).select(
         F.concat(F.lit("/"), "source", F.lit("/"), n.cast("string"), suffix).alias("filepath"),
-        F.when(n % 10 == 5, F.lit("")).when(n % 10 == 6, F.lit(" \n\t")).otherwise(F.col("text")).alias("content"),
+        F.col("text").alias("content"),
         F.when(n % 10 == 7, F.lit("broken")).alias("failure"),
         (n % 100 / 64.0).alias("processing_time"),
     )
-    return text.route_parser(docs, "filepath").withColumnRenamed("error", "route_error")
+    return text.route_parser(rows, "filepath").withColumnRenamed("error", "route_error")
 
 
 def _process(files: DataFrame) -> DataFrame:
@@ -32,7 +35,8 @@ def _process(files: DataFrame) -> DataFrame:
 
 
 _FILES = """(SELECT '/' || source || '/' || doc_id || CASE doc_id % 10 WHEN 3 THEN '.xyz' WHEN 4 THEN '.md' ELSE '.txt' END AS filepath,
-  CASE doc_id % 10 WHEN 5 THEN '' WHEN 6 THEN ' ' || chr(10) || chr(9) ELSE text END AS text, CASE WHEN doc_id % 10 = 7 THEN 'broken' END AS failure, doc_id % 100 / 64.0::DOUBLE AS t FROM documents)"""
+  text, CASE WHEN doc_id % 10 = 7 THEN 'broken' END AS failure, doc_id % 100 / 64.0::DOUBLE AS t FROM (SELECT doc_id, source, text FROM documents
+    UNION ALL SELECT doc_id + 1000000000, source, CASE doc_id % 10 WHEN 5 THEN '' ELSE ' ' || chr(10) || chr(9) END FROM documents WHERE doc_id % 10 IN (5, 6)))"""
 
 
 def results_sql(source: str) -> str:

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import embedding, metadata, search
+from quarry.operators import embedding, search
 from quarry.queries import frames as fr
 from quarry.queries import vectors
-from quarry.queries.frames import WS, strip_sql
-from quarry.queries.vectors import CHUNKS, embed_sql
+from quarry.queries.frames import WS, embed_sql, strip_sql
+from quarry.queries.vectors import CHUNKS
+from quarry.sources.collection import open_collection, store_chunks
+from quarry.sources.scratch import scratch_path, stored
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question for each benchmark text, by its first forty characters; some name what raises importance."""
-    q = F.concat(F.when(F.col("item_id") % 4 == 0, F.lit(" show ")).when(F.col("item_id") % 4 == 1, F.lit("Learn ")).otherwise(F.lit("")), F.substring("text", 1, 40))
+    """One question for each benchmark text, which it has as a whole; some name what raises importance."""
+    q = F.concat(F.when(F.col("item_id") % 4 == 0, F.lit(" show ")).when(F.col("item_id") % 4 == 1, F.lit("Learn ")).otherwise(F.lit("")), F.col("text"))
     return fr.table(spark, sf_dir, "benchmark").select(q.alias("user_query"))
 
 
-QUESTIONS = "(SELECT DISTINCT CASE item_id % 4 WHEN 0 THEN ' show ' WHEN 1 THEN 'Learn ' ELSE '' END || text[1:40] AS user_query FROM benchmark)"
+QUESTIONS = "(SELECT DISTINCT CASE item_id % 4 WHEN 0 THEN ' show ' WHEN 1 THEN 'Learn ' ELSE '' END || text AS user_query FROM benchmark)"
 
 
 def query_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,15 +40,16 @@ REPEATED = f"SELECT user_query, unnest(range(1, 7))::INT AS query_index, user_qu
 
 
 def parse_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers made of a conversation's turns: numbered lines, with and without text behind the number."""
+    """Answers made of a conversation's turns: numbered lines, with and without text behind the number; some have none."""
     t = fr.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit("\n 3. ")).alias("t"))
     answer = F.concat(F.lit("Sure:\n1. "), "t", F.lit("\n2.\n4) no\n x"), F.when(F.col("turn") % 2 == 0, F.lit("\n5.a.b ")).otherwise(F.lit("")))
-    out = search.parse_variations(t.select("conv_id", "turn", F.when(F.col("turn") == 3, F.lit("none")).otherwise(answer).alias("answer")))
+    none = t.filter("turn = 3").select("conv_id", F.col("turn") + 100000, F.lit("none"))
+    out = search.parse_variations(t.select("conv_id", "turn", answer.alias("answer")).union(none))
     return out.select("conv_id", "turn", F.array_join("queries", "¦").alias("queries"))
 
 
-PARSED = f"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn = 3 THEN 'none' ELSE 'Sure:' || chr(10) || '1. ' || replace(text, chr(10), chr(10) || ' 3. ') || chr(10) || '2.' || chr(10) || '4) no' || chr(10) || ' x'
-    || CASE WHEN turn % 2 = 0 THEN chr(10) || '5.a.b ' ELSE '' END END AS answer FROM conversations),
+PARSED = f"""WITH a AS (SELECT conv_id, turn, 'Sure:' || chr(10) || '1. ' || replace(text, chr(10), chr(10) || ' 3. ') || chr(10) || '2.' || chr(10) || '4) no' || chr(10) || ' x'
+    || CASE WHEN turn % 2 = 0 THEN chr(10) || '5.a.b ' ELSE '' END AS answer FROM conversations UNION ALL SELECT conv_id, turn + 100000, 'none' FROM conversations WHERE turn = 3),
 l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(answer, chr(10)), lambda x: {strip_sql('x')}), lambda x: regexp_matches(x, '^\\p{{Nd}}') AND contains(x, '.')) AS l FROM a),
 q AS (SELECT conv_id, turn, list_filter(list_transform(l, lambda x: {strip_sql("x[instr(x, '.') + 1:]")}), lambda x: x <> '') AS q FROM l)
 SELECT conv_id, turn, array_to_string((q || list_transform(range(6), lambda i: coalesce(q[1], 'search query')))[1:6], '¦') AS queries FROM q"""
@@ -85,13 +88,20 @@ IMPORTANCE = f"SELECT user_query, query_index, round({importance_sql('query')},
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' chunks, stored with their vectors."""
     rows = embedding.embed_chunks(vectors.chunks(spark, sf_dir))
-    return metadata.chunk_ids(rows).select(F.concat_ws("/", "filepath", "chunk_index").alias("id"), "filename", "filepath", "chunk_index", F.col("text").alias("document"), "embedding")
+    made = rows.select(F.concat_ws("/", "filepath", "chunk_index").alias("id"), "filename", "filepath", "chunk_index", F.col("text").alias("document"), "embedding")
+    path = scratch_path(spark, "collection")
+    store_chunks(made, path)
+    return open_collection(spark, path)
+
+
+def _embed(df: DataFrame, text: str) -> DataFrame:
+    return embedding.embed_chunks(df, text=text)
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embed = lambda df, text: embedding.embed_chunks(df, text=text)
-    return search.query_hits(questions(spark, sf_dir), collection(spark, sf_dir), embed)
+    return stored(search.query_hits(questions(spark, sf_dir), collection(spark, sf_dir), _embed), "hits")
 
 
 HITS = f"""v AS {VARIATIONS}, c AS (SELECT filepath || '/' || chunk_index AS id, filename, filepath, chunk_index, text AS document FROM {CHUNKS}),
@@ -120,8 +130,7 @@ def rank_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_query_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embed = lambda df, text: embedding.embed_chunks(df, text=text)
-    return _shown(search.multi_query_search(questions(spark, sf_dir), collection(spark, sf_dir), embed))
+    return _shown(search.multi_query_search(questions(spark, sf_dir), collection(spark, sf_dir), _embed))
 
 
 SEARCH = f"WITH {RANKED} SELECT {_RANKED_COLUMNS} FROM ranked"

@@ -81,11 +81,10 @@ SELECT doc_id, pos::INT AS pos, level::INT AS level, text, {anchor_sql('text')}
 
 
 def md_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring("text", 1, 60)
-    return fr.table(spark, sf_dir, "documents").select("doc_id", markdown.anchor(F.concat(F.lit("- "), first)).alias("anchor"))
+    return fr.table(spark, sf_dir, "documents").select("doc_id", markdown.anchor(F.concat(F.lit("- "), "text")).alias("anchor"))
 
 
-ANCHOR = f"SELECT doc_id, {anchor_sql(chr(39) + '- ' + chr(39) + ' || text[1:60]')} AS anchor FROM documents"
+ANCHOR = f"SELECT doc_id, {anchor_sql(chr(39) + '- ' + chr(39) + ' || text')} AS anchor FROM documents"
 
 
 def _pairs_sql(pattern: str, first: str, second: str, change: str = "a") -> str:
@@ -164,41 +163,47 @@ def frontmatter_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRONTMATTER = """SELECT doc_id, lang, '["' || source || '","' || lang || '"]' AS tags, '[]' AS none FROM documents"""
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as pages; behind them come some that failed and some that are blank."""
+    turns = fr.table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("number"), F.concat(F.lit(" "), "text").alias("text"), F.lit(None).cast("string").alias("failure"))
+    n = F.col("conv_id") + F.col("turn")
+    failed = turns.filter(n % 9 == 0).withColumns({"number": F.col("number") + 100000, "failure": F.lit("bad stream")})
+    blank = turns.filter(n % 5 == 0).withColumns({"number": F.col("number") + 200000, "text": F.lit(" \n")})
+    return turns.unionByName(failed).unionByName(blank)
+
+
+_TURNS = "SELECT conv_id, turn, turn + 1 AS number, ' ' || text AS text, NULL::VARCHAR AS failure FROM conversations"
+_PAGES = f"""({_TURNS} UNION ALL SELECT conv_id, turn, number + 100000, text, 'bad stream' FROM ({_TURNS}) WHERE (conv_id + turn) % 9 = 0
+  UNION ALL SELECT conv_id, turn, number + 200000, ' ' || chr(10), NULL FROM ({_TURNS}) WHERE (conv_id + turn) % 5 = 0)"""
+
+
 def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fr.table(spark, sf_dir, "conversations").withColumns(
-        {"number": F.col("turn") + 1, "failure": F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, F.lit("bad stream"))}
-    )
-    out = assemble.page_profile(pages, "number", "text", "failure")
+    out = assemble.page_profile(_pages(spark, sf_dir), "number", "text", "failure")
     return out.select("conv_id", "page_number", "text_length", "has_text", "error")
 
 
-_PAGES = "(SELECT *, turn + 1 AS number, CASE WHEN (conv_id + turn) % 9 = 0 THEN 'bad stream' END AS failure FROM conversations)"
 PAGES = f"""SELECT conv_id, number AS page_number, (CASE WHEN failure IS NULL THEN length(text) ELSE 0 END)::INT AS text_length,
   failure IS NULL AND {strip_sql('text')} <> '' AS has_text, failure AS error FROM {_PAGES}"""
 
 
 def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fr.table(spark, sf_dir, "conversations").withColumns(
-        {
-            "number": F.col("turn") + 1,
-            "failure": F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, F.lit("bad stream")),
-            "text": F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.lit(" \n")).otherwise(F.concat(F.lit(" "), "text")),
-        }
-    )
-    return assemble.assemble_pages(pages, "conv_id", "number", "text", "failure")
+    return assemble.assemble_pages(_pages(spark, sf_dir), "conv_id", "number", "text", "failure")
 
 
-ASSEMBLED = f"""WITH p AS (SELECT conv_id, number, failure, {strip_sql("CASE WHEN (conv_id + turn) % 5 = 0 THEN ' ' || chr(10) ELSE ' ' || text END")} AS t FROM {_PAGES})
+ASSEMBLED = f"""WITH p AS (SELECT conv_id, number, failure, {strip_sql("text")} AS t FROM {_PAGES})
 SELECT conv_id, coalesce(string_agg(CASE WHEN failure IS NOT NULL THEN '[Page ' || number || ' - Error extracting text: ' || failure || ']'
     WHEN t <> '' THEN '[Page ' || number || ']' || chr(10) || t END, chr(10) || chr(10) ORDER BY number), '') AS content, count(*) AS total_pages FROM p GROUP BY conv_id"""
 
 
 def assemble_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fr.table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 1, F.lit("\t")).otherwise(F.col("text")))
-    return assemble.assemble_paragraphs(rows, "conv_id", "turn", "text")
+    """A conversation's turns as paragraphs, with a blank one behind every third."""
+    rows = fr.table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 2).alias("turn"), "text")
+    blank = rows.filter(F.col("turn") % 6 == 2).withColumns({"turn": F.col("turn") + 1, "text": F.lit("\t")})
+    return assemble.assemble_paragraphs(rows.unionByName(blank), "conv_id", "turn", "text")
 
 
-PARAGRAPHS = f"""WITH p AS (SELECT conv_id, turn, {strip_sql("CASE WHEN turn % 3 = 1 THEN chr(9) ELSE text END")} AS t FROM conversations)
+PARAGRAPHS = f"""WITH r AS (SELECT conv_id, turn * 2 AS turn, text FROM conversations), p AS (SELECT conv_id, turn, {strip_sql('text')} AS t FROM
+  (SELECT * FROM r UNION ALL SELECT conv_id, turn + 1, chr(9) FROM r WHERE turn % 6 = 2))
 SELECT conv_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> ''), '') AS content, count(*) AS paragraph_count FROM p GROUP BY conv_id"""
 
 
@@ -213,13 +218,15 @@ OCR = """SELECT user_id, coalesce(string_agg(event_type, ' ' ORDER BY event_id)
 
 
 def image_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    description = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, F.lit(""))
-    return fr.table(spark, sf_dir, "events").select("event_id", assemble.image_content(description, F.when(F.col("event_id") % 2 == 0, F.col("props"))).alias("content"))
+    """Every event as an image with and without a description and a text."""
+    rows = fr.table(spark, sf_dir, "events").withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    description = F.when(F.col("kind") % 3 == 0, F.col("event_type")).when(F.col("kind") % 3 == 1, F.lit(""))
+    return rows.select("event_id", "kind", assemble.image_content(description, F.when(F.col("kind") % 2 == 0, F.col("props"))).alias("content"))
 
 
-IMAGE = """SELECT event_id, CASE WHEN d IS NULL AND t IS NULL THEN 'No content extracted from image' ELSE concat_ws(chr(10) || chr(10), d, t) END AS content
-FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Image Description: ' || event_type END AS d,
-             CASE WHEN event_id % 2 = 0 AND props <> '' THEN 'Extracted Text: ' || props END AS t FROM events)"""
+IMAGE = """SELECT event_id, kind, CASE WHEN d IS NULL AND t IS NULL THEN 'No content extracted from image' ELSE concat_ws(chr(10) || chr(10), d, t) END AS content
+FROM (SELECT event_id, kind, CASE WHEN kind % 3 = 0 THEN 'Image Description: ' || event_type END AS d,
+             CASE WHEN kind % 2 = 0 AND props <> '' THEN 'Extracted Text: ' || props END AS t FROM (SELECT *, unnest(range(0, 6))::INT AS kind FROM events))"""
 
 QUERIES = {
     "route_parser": (route_parser, ROUTE),

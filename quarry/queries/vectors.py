@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import chunking, embedding, metadata
 from quarry.queries import frames as fr
 from quarry.queries.chunks import token_sql
-from quarry.queries.frames import WS, strip_sql
-
-DIM = 64
+from quarry.queries.frames import WS, embed_sql, strip_sql
 
 
 def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -21,14 +19,6 @@ def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 CHUNKS = token_sql(fr.DOCUMENTS, "doc_id, filename, filepath, source, lang")
 
 
-def embed_sql(source: str, key: str, text: str) -> str:
-    """``key, embedding`` of the built-in encoder for distinct keys; null for blank texts."""
-    return f"""(WITH w AS (SELECT {key} AS k, unnest(string_split_regex(lower({text}), '{WS}+')) AS w FROM {source}),
-  b AS (SELECT k, ('0x' || substr(md5(w), 1, 4))::INT % {DIM} AS b, count(*)::DOUBLE AS n FROM w WHERE w <> '' GROUP BY ALL),
-  m AS (SELECT k, map(list(b), list(n)) AS m, sqrt(sum(n * n)) AS l FROM b GROUP BY k)
-  SELECT k AS {key}, list_transform(range({DIM}), lambda i: coalesce(m[i::INT], 0) / l) AS embedding FROM m)"""
-
-
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embedding.embed_chunks(chunks(spark, sf_dir).select("doc_id", "chunk_index", "text"))
     digits = F.array_join(F.transform("embedding", lambda x: F.round(x * 1000000, 0).cast("long").cast("string")), ",")
@@ -40,11 +30,15 @@ SELECT doc_id, chunk_index, array_to_string(list_transform(embedding, lambda x:
 
 
 def _some_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blank = F.when(F.col("doc_id") % 11 == 0, F.lit(" \t")).when(F.col("doc_id") % 13 == 0, F.lit(None)).otherwise(F.col("text"))
-    return fr.documents(spark, sf_dir).select("doc_id", "source", blank.alias("text"))
+    """All documents, and behind them some that are blank or null."""
+    docs = fr.documents(spark, sf_dir).select("doc_id", "source", "text")
+    blank = docs.filter("doc_id % 11 = 0").withColumns({"doc_id": F.col("doc_id") + 1000000000, "text": F.lit(" \t")})
+    null = docs.filter("doc_id % 13 = 0").withColumns({"doc_id": F.col("doc_id") + 2000000000, "text": F.lit(None).cast("string")})
+    return docs.unionByName(blank).unionByName(null)
 
 
-_BLANKED = "(SELECT doc_id, source, CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(9) WHEN doc_id % 13 = 0 THEN NULL ELSE text END AS text FROM documents)"
+_BLANKED = """(SELECT doc_id, source, text FROM documents UNION ALL SELECT doc_id + 1000000000, source, ' ' || chr(9) FROM documents WHERE doc_id % 11 = 0
+  UNION ALL SELECT doc_id + 2000000000, source, NULL FROM documents WHERE doc_id % 13 = 0)"""
 
 
 def valid_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
