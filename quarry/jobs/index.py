@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import base_name
-from quarry.operators import chunking, embedding, metadata, reports, text
+from quarry.operators import chunking, embedding, markdown, metadata, reports, text
 from quarry.sources import collection, files
+from quarry.sources.scratch import stored
 
 
 def chunk_files(docs: DataFrame, chunker_type: str = "token", size: int = chunking.CHUNK_SIZE, overlap: int = chunking.OVERLAP, encoder: embedding.Encoder | None = None) -> DataFrame:
@@ -24,29 +23,51 @@ def chunk_files(docs: DataFrame, chunker_type: str = "token", size: int = chunki
     return rows.withColumnRenamed("text", "document")
 
 
-def documents_of(read: DataFrame) -> DataFrame:
-    """Files as read -> ``filepath, filename, parser, route_error, content, metadata``."""
+def documents_of(read: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Files as read -> ``filepath, filename, parser, route_error, failure, content, metadata``.
+
+    Markdown is indexed without its markup; its front matter joins the metadata. Other than plain text and markdown
+    must have been decoded: ``parsed`` has ``filepath, content`` of such files (as ``assemble_pages`` and its like make
+    them) and may have ``metadata``; without a row there a file has failed.
+    """
     routed = text.route_parser(read.withColumnRenamed("path", "filepath"), "filepath").withColumnRenamed("error", "route_error")
-    with_meta = metadata.document_metadata(routed, path="filepath", text="text", size="length", encoding="encoding")
-    return with_meta.select("filepath", base_name(F.col("filepath")).alias("filename"), "parser", "route_error", F.col("text").alias("content"), "metadata")
+    marked = F.col("parser") == "md"
+    head, body = markdown.front_matter(F.col("text"))
+    routed = routed.withColumn("own", F.when(marked, text.flatten_frontmatter(head))).withColumn("text", F.when(marked, body).otherwise(F.col("text")))
+    described = metadata.document_metadata(routed, path="filepath", text="text", size="length", encoding="encoding", own="own")
+    content, meta = F.when(marked, markdown.plain(F.col("text"))).otherwise(F.col("text")), F.col("metadata")
+    failure = F.when(F.col("parser").isNotNull() & content.isNull(), F.concat(F.lit("no decoded content for this "), "parser", F.lit(" file")))
+    if parsed is not None:
+        given = parsed.select("filepath", F.col("content").alias("__content"), _metadata(parsed).alias("__metadata"))
+        described = described.join(given, "filepath", "left")
+        content, meta = F.coalesce(content, "__content"), metadata.merged(F.col("metadata"), F.coalesce("__metadata", F.create_map().cast("map<string,string>")))
+        failure = F.when(F.col("__content").isNull(), failure)
+    return described.select("filepath", base_name(F.col("filepath")).alias("filename"), "parser", "route_error", failure.alias("failure"), content.alias("content"), meta.alias("metadata"))
+
+
+def _metadata(parsed: DataFrame) -> Column:
+    none = F.create_map().cast("map<string,string>")
+    return F.coalesce(F.col("metadata"), none) if "metadata" in parsed.columns else none
 
 
-def index_documents(docs: DataFrame, target: str, staging: str, **settings) -> DataFrame:
-    """Store the chunks of ``docs`` in the collection at ``target``; results per file.
+def index_documents(docs: DataFrame, target: str, part: str | None = None, **settings) -> DataFrame:
+    """Store the chunks of ``docs`` in the collection at ``target`` (in a ``part`` of it if named); results per file.
 
-    Vectors are made once: chunks are written to a folder below ``staging`` and read for the check, the store and the
-    report. Files that fail the check are not stored.
+    Texts and vectors are made once: documents and chunks are written to the shared folder and read for the check, the
+    store and the report. Files that fail the check are not stored.
     """
-    spark = docs.sparkSession
-    path = f"{staging.rstrip('/')}/chunks-{uuid.uuid4().hex}"
-    chunk_files(docs.filter(F.col("parser").isNotNull()), **settings).write.parquet(path)
-    chunks = spark.read.parquet(path)
+    docs = stored(docs, "documents")
+    usable = docs.filter(F.col("parser").isNotNull() & F.col("failure").isNull())
+    chunks = stored(chunk_files(usable, **settings), "chunks")
     bad = embedding.embedding_mismatch(chunks, "filepath").select("filepath")
-    collection.open_collection(spark, target)
-    collection.store_chunks(chunks.join(bad, "filepath", "left_anti"), target)
+    collection.open_collection(docs.sparkSession, target)
+    collection.store_chunks(chunks.join(bad, "filepath", "left_anti"), target, part=part)
     return reports.file_results(docs, chunks)
 
 
-def index_directory(spark: SparkSession, directory: str, target: str, staging: str, **settings) -> DataFrame:
-    """Index all supported text files below ``directory``."""
-    return index_documents(documents_of(files.read_text(spark, directory)), target, staging, **settings)
+def index_directory(
+    spark: SparkSession, directory: str, target: str, parsed: DataFrame | None = None, recursive: bool = True, max_file_mb: float = files.MAX_FILE_MB, **settings
+) -> DataFrame:
+    """Index all supported files below ``directory``; results per file. See :func:`documents_of` for ``parsed``."""
+    read = files.decoded(files.read_files(spark, directory, recursive, max_file_mb))
+    return index_documents(documents_of(read, parsed), target, **settings)

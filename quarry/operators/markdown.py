@@ -77,3 +77,41 @@ def structure(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = {"headings": headings, "links": links, "images": images, "code_blocks": code_blocks, "tables": tables}
     out = docs.withColumns({name: f(F.col(text)) for name, f in parts.items()})
     return out.withColumns({f"{name[:-1]}_count": F.size(name) for name in parts})
+
+
+#: Front matter: lines between a first line of three dashes and one of three dashes or dots.
+_FRONT = r"(?s)\A---[ \t]*\n(.*?\n)?(?:---|\.\.\.)[ \t]*(?:\n|\z)"
+#: A key with its value, and lines behind it that are set in by four spaces.
+_FIELD = r"(?md)^ {0,3}([A-Za-z0-9_-]+):[ \t]*(.*(?:\n {4,}.*)*)$"
+#: Markup and what of it stays in the plain text, in this order.
+PLAIN = (
+    (r"^ {0,3}```.*$\n?", ""),
+    (r"!\[[^\]]*\]\([^)]+\)", ""),
+    (r"\[([^\]]+)\]\([^)]+\)", "1"),
+    (r"^ {0,3}#{1,6}[ \t]+", ""),
+    (r"^ {0,3}>[ \t]?", ""),
+    (r"^[ \t]*[-*+][ \t]+", ""),
+    (r"\*\*([^*\n]+)\*\*", "1"),
+    (r"\*([^*\n]+)\*", "1"),
+    (r"`([^`\n]+)`", "1"),
+)
+
+
+def front_matter(text: Column) -> tuple[Column, Column]:
+    """Keys (in lower case) with their lists of values, as ``map<string, array<string>>``, and the text behind them.
+
+    Of a key that comes again the first is taken. Without front matter the map is empty.
+    """
+    block = F.concat(F.regexp_extract(text, _FRONT, 1), F.lit(""))
+    names = F.regexp_extract_all(F.regexp_replace(block, _FIELD, "$1:"), F.lit(r"(?md)^([A-Za-z0-9_-]+):$"), 1)
+    keys = F.when(F.size(names) > 0, F.split(F.lower(F.array_join(names, ":")), ":")).otherwise(names)
+    fields = F.arrays_zip(keys.alias("k"), F.regexp_extract_all(block, F.lit(_FIELD), 2).alias("v"))
+    first = F.filter(fields, lambda f, i: F.array_position(keys, f["k"]) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda f: F.struct(f["k"], F.split(f["v"], r"\n {4,}")))), F.regexp_replace(text, _FRONT, "")
+
+
+def plain(text: Column) -> Column:
+    """The text without its markup: what is indexed of it. Addresses of links and images go, code stays."""
+    for pattern, group in PLAIN:
+        text = F.regexp_replace(text, "(?md)" + pattern, f"${group}" if group else "")
+    return text

@@ -14,7 +14,7 @@ from quarry.operators import markdown, text as texts
 PREVIEW = 500
 
 
-def _merged(base: Column, over: Column) -> Column:
+def merged(base: Column, over: Column) -> Column:
     """Both maps; keys of ``over`` win."""
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
 
@@ -47,9 +47,9 @@ def document_metadata(docs: DataFrame, path: str, text: str, size: str, encoding
         ("code_blocks_count", markdown.code_blocks), ("tables_count", markdown.tables),
     )}
     typed = F.when(suffix == ".txt", _strings(plain)).when(suffix == ".md", _strings(marked)).otherwise(F.create_map().cast("map<string,string>"))
-    whole = _merged(_strings(common), typed)
+    whole = merged(_strings(common), typed)
     if own:
-        whole = _merged(whole, F.coalesce(F.col(own), F.create_map().cast("map<string,string>")))
+        whole = merged(whole, F.coalesce(F.col(own), F.create_map().cast("map<string,string>")))
     return profiled.withColumn("metadata", whole).drop(*[k for k in counts if k not in docs.columns])
 
 
@@ -79,7 +79,7 @@ def chunk_metadata(chunks: DataFrame, text: str = "text", document: str = "docum
     preview = F.when(F.length(text) > PREVIEW, F.concat(F.substring(text, 1, PREVIEW), F.lit("..."))).otherwise(F.col(text))
     base = _strings({"filename": F.col("filename"), "filepath": F.col("filepath"), "chunk_index": F.col("chunk_index"), "total_chunks": F.col("total_chunks"), "chunk_content": preview})
     none = F.create_map().cast("map<string,string>")
-    return chunks.withColumn("metadata", _merged(base, F.coalesce(F.col(document), none) if document in chunks.columns else none))
+    return chunks.withColumn("metadata", merged(base, F.coalesce(F.col(document), none) if document in chunks.columns else none))
 
 
 def chunk_ids(chunks: DataFrame, text: str = "text") -> DataFrame:

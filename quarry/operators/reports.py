@@ -91,3 +91,18 @@ def job_status(updates: DataFrame, order: tuple[str, ...] = ("updated_at",)) ->
 def job_list(jobs: DataFrame) -> DataFrame:
     """All jobs, newest first."""
     return jobs.orderBy(F.desc("started_at"), "job_id")
+
+
+def job_update(results: DataFrame, job_id: str) -> DataFrame:
+    """The job log's row for a run that has ended: its counts and up to ten failed paths, as :func:`job_status` reads them.
+
+    A run in which every file failed has ``failed``; one without files has completed.
+    """
+    totals = pipeline_stats(results)
+    failed = failed_files(results).agg(F.array_sort(F.collect_list("file_path")).alias("failed_files"))
+    lost = (F.col("files_processed") > 0) & (F.col("files_successful") == 0)
+    now = F.current_timestamp()
+    return totals.crossJoin(F.broadcast(failed)).select(
+        F.lit(job_id).alias("job_id"), F.when(lost, "failed").otherwise("completed").alias("status"), F.lit(1.0).alias("progress"), "files_processed", "files_successful",
+        "files_failed", "total_chunks", "failed_files", now.alias("completed_at"), now.alias("updated_at"),
+    )

@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import metadata
+from quarry.jobs import index
+from quarry.operators import embedding, markdown, metadata
 from quarry.queries import frames as fr
 from quarry.queries import vectors
+from quarry.queries.chunks import token_sql
 from quarry.queries.frames import embed_sql
+from quarry.queries.texts import ASSEMBLED, assemble_pages
 from quarry.queries.vectors import CHUNKS
 from quarry.sources import collection, files
+from quarry.sources.scratch import scratch_path
 from quarry.streaming.index import stream_index as run_stream
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary folder where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quarry-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Documents of a source that lie in one file, by their ids.
+IN_A_FILE = 1000
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``source, part, content``: texts of up to IN_A_FILE ids behind one another, each closed by a line break."""
+    keyed = rows.withColumn("part", F.floor(F.col("doc_id") / IN_A_FILE))
+    lines = keyed.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("ts"))
+    return lines.select("source", "part", F.concat(F.array_join(F.transform("ts", lambda t: t["text"]), "\n"), F.lit("\n")).alias("content"))
 
 
 def tree(spark: SparkSession, sf_dir: str) -> str:
-    """All documents as text files, a folder for each source."""
-    path = scratch(spark, "tree")
-    fr.table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(path)
-    return path
+    """All documents in text files, a folder for each source."""
+    top = files.full_path(spark, scratch_path(spark, "tree"))
+    rows = _grouped(fr.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    files.write_files(rows.select(F.concat(F.lit(f"{top}/source="), "source", F.lit("/"), F.col("part").cast("string"), F.lit(".txt")).alias("path"), "content"))
+    return top
+
+
+_TREE = f"(SELECT source, doc_id // {IN_A_FILE} AS part, string_agg(text || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL)"
 
 
 def _source():
@@ -66,11 +76,9 @@ INFO = rf"""SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, lower(rege
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.operators import embedding
-
     rows = metadata.chunk_ids(vectors.chunks(spark, sf_dir))
     made = embedding.embed_chunks(rows.select("filepath", "chunk_index", "text"))
-    path = scratch(spark, "collection")
+    path = scratch_path(spark, "collection")
     collection.open_collection(spark, path)
     collection.store_chunks(metadata.chunk_metadata(rows).withColumnRenamed("text", "document"), path, made)
     return collection.open_collection(spark, path)
@@ -89,9 +97,7 @@ SELECT filename || '_' || chunk_index || '_' || md5(filepath || chr(31) || chunk
 
 def collection_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a collection as made, as filled, filled again without new ids, and as reset."""
-    from quarry.operators import embedding
-
-    path = scratch(spark, "collection")
+    path = scratch_path(spark, "collection")
     count = lambda df, state: collection.collection_count(df).withColumn("state", F.lit(state))
     made = count(collection.open_collection(spark, path), "made").collect()
     rows = embedding.embed_chunks(metadata.chunk_ids(vectors.chunks(spark, sf_dir))).withColumnRenamed("text", "document")
@@ -111,8 +117,13 @@ def collection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that the incremental job stores of all documents, by source, after two runs over the same files."""
-    source, target, at = tree(spark, sf_dir), scratch(spark, "collection"), scratch(spark, "stream")
+    """Chunks that the incremental job stores of all documents, by source, after two runs over the same files.
+
+    Beside each source lies a file of which a chunk is blank: it fails and doesn't hinder the others.
+    """
+    source, target, at = tree(spark, sf_dir), scratch_path(spark, "collection"), scratch_path(spark, "stream")
+    sources = fr.table(spark, sf_dir, "documents").select("source").distinct()
+    files.write_files(sources.select(F.concat(F.lit(f"{source}/source="), "source", F.lit("/blank.txt")).alias("path"), F.lit(_GAP).alias("content")))
     for _ in range(2):
         run_stream(spark, source, target, at).awaitTermination()
     stored = collection.open_collection(spark, target)
@@ -120,6 +131,55 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy(F.regexp_extract("filepath", "source=([^/]*)", 1).alias("source")).agg(F.count_distinct("filepath").alias("files"), F.count(F.lit(1)).alias("chunks"), chars.alias("chars"))
 
 
+STREAMED = f"""SELECT source, count(DISTINCT part) AS files, count(*) AS chunks, sum(chunk_size)::BIGINT AS chars FROM {token_sql(_TREE, 'source, part')} GROUP BY source"""
+
+#: A text with white space that fills whole chunks.
+_GAP = "before" + " " * 2000 + "after"
+
+
+def index_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indexing job over a tree of all documents as text and as markdown with front matter, the latter below a folder with
+    an underscore, all conversations as decoded PDF files, and a file that fails of each kind for each source."""
+    top = tree(spark, sf_dir)
+    marked = fr.markdown(spark, sf_dir).join(fr.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    front = F.concat(F.lit("---\nTitle: all of "), "source", F.lit("\ntags: one\n    two\n---\n"))
+    name = F.concat(F.lit("/_md/"), "source", F.lit("/"), F.col("part").cast("string"), F.lit(".md"))
+    pdf = F.concat(F.lit("/"), F.col("conv_id").cast("string"), F.lit(".pdf"))
+    sources = fr.table(spark, sf_dir, "documents").select("source").distinct()
+    failing = sources.select(F.explode(F.create_map(*[F.lit(x) for pair in _FAILING for x in pair])).alias("kind", "content"), "source")
+    chats = assemble_pages(spark, sf_dir).select(F.concat(F.lit(top), pdf).alias("filepath"), "content", F.create_map(F.lit("total_pages"), F.col("total_pages").cast("string")).alias("metadata"))
+    written = _grouped(marked).select(name.alias("path"), F.concat(front, "content").alias("content"))
+    written = written.union(failing.select(F.concat(F.lit("/"), "source", "kind"), "content")).withColumn("path", F.concat(F.lit(top), "path"))
+    files.write_files(written.union(chats.select("filepath", F.lit("%PDF"))))
+    target = scratch_path(spark, "collection")
+    results = index.index_directory(spark, top, target, parsed=chats)
+    kept = collection.open_collection(spark, target).groupBy(F.col("filepath").alias("file_path")).agg(
+        F.max(F.col("metadata")["title"]).alias("title"), F.max(F.col("metadata")["tags"]).alias("tags"), F.max(F.col("metadata")["total_pages"]).alias("total_pages"), F.sum(F.length("document")).alias("chars")
+    )
+    place = F.regexp_extract("file_path", "quarry-tree-[0-9a-f]*/(.*)", 1)
+    return results.join(kept, "file_path", "left").select(place.alias("file_path"), "success", "chunks_created", "chunks_stored", "error_message", "title", "tags", "total_pages", "chars")
+
+
+_FAILING = (("/gap.txt", _GAP), ("/blank.txt", " \n"), ("/none.md", ""), ("/odd.xyz", "x"), ("/not.docx", "x"))
+
+
+def _plain_sql(x: str) -> str:
+    for pattern, group in markdown.PLAIN:
+        x = f"regexp_replace({x}, '(?m){pattern}', '{chr(92) + group if group else ''}', 'g')"
+    return x
+
+
+_MARKED = f"(SELECT source, doc_id // {IN_A_FILE} AS part, string_agg(m.text || chr(10), '' ORDER BY doc_id) AS text FROM {fr.MARKDOWN} m JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY ALL)"
+_INDEXED = f"""(SELECT 'source=' || source || '/' || part || '.txt' AS f, text, NULL AS title, NULL AS tags, NULL AS total_pages FROM {_TREE}
+  UNION ALL SELECT '_md/' || source || '/' || part || '.md', {_plain_sql('text')}, 'all of ' || source, '["one","two"]', NULL FROM {_MARKED}
+  UNION ALL SELECT conv_id || '.pdf', content, NULL, NULL, total_pages::VARCHAR FROM ({ASSEMBLED}))"""
+INDEXED = f"""SELECT f AS file_path, true AS success, count(*) AS chunks_created, count(*) AS chunks_stored, NULL AS error_message, title, tags, total_pages, sum(chunk_size)::BIGINT AS chars
+  FROM {token_sql(_INDEXED, 'f, title, tags, total_pages')} GROUP BY ALL
+UNION ALL SELECT source || f, false, n, 0, e, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT source FROM documents), (VALUES
+  ('/gap.txt', 5, 'Embedding count mismatch: 5 chunks, 2 embeddings'), ('/blank.txt', 0, 'No chunks created from text'), ('/none.md', 0, 'No content extracted from file'),
+  ('/not.docx', 0, 'Processing error: no decoded content for this docx file')) v(f, n, e)"""
+
+
 QUERIES = {
     "crawl_files": (crawl_files, CRAWLED),
     "filter_files": (filter_files, FILTERED),
@@ -128,5 +188,6 @@ QUERIES = {
     "store_chunks": (store_chunks, STORED),
     "collection_open": (collection_open, OPENED),
     "collection_count": (collection_count, f"SELECT count(*) AS count FROM {CHUNKS}"),
-    "stream_index": (stream_index, None),
+    "stream_index": (stream_index, STREAMED),
+    "index_directory": (index_directory, INDEXED),
 }

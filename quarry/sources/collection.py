@@ -30,21 +30,22 @@ class CountMismatch(ValueError):
 
 
 def open_collection(spark: SparkSession, path: str, reset: bool = False) -> DataFrame:
-    """The collection at ``path``, made empty if there is none; ``reset`` empties it."""
+    """The collection at ``path``, made empty if there is none; ``reset`` empties it. Folders below it belong to it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
     if reset or not exists:
         spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(path)
-    return spark.read.schema(SCHEMA).parquet(path)
+    return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
-def store_chunks(chunks: DataFrame, path: str, vectors: DataFrame | None = None, skip_existing: bool = False) -> None:
+def store_chunks(chunks: DataFrame, path: str, vectors: DataFrame | None = None, skip_existing: bool = False, part: str | None = None) -> None:
     """Append ``chunks`` to the collection.
 
     ``vectors`` (``filepath, chunk_index, embedding``) are paired with chunks by place unless chunks have their own.
     A chunk without a vector, or a vector without a chunk, is an error and nothing is written: the check is part of the
     write, so vectors are made once. Appending again stores again, unless ``skip_existing`` leaves out chunks that are
-    there: those of the same id, path, place and text, for ids alone can be equal by chance.
+    there: those of the same id, path, place and text, for ids alone can be equal by chance. ``part`` names a folder of
+    the collection that these chunks make up: stored again they replace it, and no other part is read.
     """
     rows = chunks
     if vectors is not None:
@@ -61,7 +62,7 @@ def store_chunks(chunks: DataFrame, path: str, vectors: DataFrame | None = None,
     rows = rows.withColumn("embedding", F.coalesce(F.col("embedding"), missing))
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields]
     try:
-        rows.select(*columns).write.mode("append").parquet(path)
+        rows.select(*columns).write.mode("overwrite" if part else "append").parquet(f"{path}/{part}" if part else path)
     except Exception as error:
         if _MISMATCH in str(error):
             raise CountMismatch(str(error).partition(_MISMATCH)[2].strip(": ").splitlines()[0]) from error

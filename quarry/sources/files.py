@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import base_name, suffix_of
 from quarry.operators.text import PARSERS
+from quarry.sources.scratch import stored
 
 MAX_FILE_MB = 50
+#: Parsers whose files are text; what others hold must be decoded before it is text.
+TEXT_PARSERS = ("txt", "md")
 LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("modificationTime", T.TimestampType())])
 
 
@@ -17,64 +24,125 @@ def supported(path: str = "path", length: str = "length", max_file_mb: float = M
     return suffix_of(F.col(path)).isin(*PARSERS) & (F.col(length) <= int(max_file_mb * 1024 * 1024))
 
 
+def is_text(path: str = "path") -> Column:
+    return suffix_of(F.col(path)).isin(*[suffix for suffix, parser in PARSERS.items() if parser in TEXT_PARSERS])
+
+
 def filter_files(files: DataFrame, max_file_mb: float = MAX_FILE_MB) -> DataFrame:
     """Files of a supported type and of at most the given size, that size included."""
     return files.filter(supported(max_file_mb=max_file_mb))
 
 
-def _folder(spark: SparkSession, directory: str):
+def _folder(spark: SparkSession, directory: str) -> str:
+    """The directory's full path."""
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(path):
         raise FileNotFoundError(f"Directory not found: {directory}")
     if not system.getFileStatus(path).isDirectory():
         raise NotADirectoryError(f"Path is not a directory: {directory}")
-    return system, path
+    return system.makeQualified(path).toString()
 
 
-def _underscored(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
-    """Files that Spark's own file source passes over: names, or folders, that start with an underscore.
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and place of a full path as Spark writes it (``file:/x``, ``hdfs://host/x``)."""
+    scheme, _, rest = path.partition(":")
+    return (pafs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else pafs.FileSystem.from_uri(path)
 
-    Folders are listed level by level through the file system's interface; only such files become rows.
-    """
-    system, top = _folder(spark, directory)
-    found, folders = [], [(top, False)]
-    while folders:
-        folder, inside = folders.pop()
-        for status in system.listStatus(folder):
-            name = status.getPath().getName()
-            if name.startswith("."):
-                continue
-            odd = inside or name.startswith("_")
-            if status.isDirectory():
-                if recursive:
-                    folders.append((status.getPath(), odd))
-            elif odd:
-                found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
-    rows = spark.createDataFrame(found, "path string, length long, ms long")
-    return rows.select("path", "length", F.timestamp_millis("ms").alias("modificationTime"))
-
-
-def list_files(spark: SparkSession, directory: str, recursive: bool = True, underscored: bool = True) -> DataFrame:
-    """All visible files below ``directory``: ``path, length, modificationTime``. No content is read.
 
-    Names that start with a dot are skipped, folders with such names too. ``underscored`` adds the files that Spark
-    hides. A missing directory or one that is a file is an error at once.
+_SEEN = "path string, odd boolean, folder boolean, length long, modificationTime timestamp"
+
+
+def _passed_over(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
+    """Files that Spark's own file source passes over: names, or folders, that start with an underscore, and empty files.
+
+    Folders are listed in tasks, level by level; only one count for each level comes to the driver. Stores are those
+    that Arrow opens by their scheme.
     """
-    _, top = _folder(spark, directory)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, inside in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, place = _opened(folder)
+                found = [f for f in system.get_file_info(pafs.FileSelector(place)) if not f.base_name.startswith(".")]
+                odd = [inside or f.base_name.startswith("_") for f in found]
+                folders = [f.type == pafs.FileType.Directory for f in found]
+                times = pa.array([f.mtime_ns // 1000 for f in found], pa.timestamp("us", "UTC"))
+                odd = [o or not (d or f.size) for o, d, f in zip(odd, folders, found)]
+                arrays = [pa.array([f"{folder}/{f.base_name}" for f in found], pa.string()), pa.array(odd, pa.bool_()), pa.array(folders, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([f.size or 0 for f in found], pa.int64()), times], ["path", "odd", "folder", "length", "modificationTime"])
+
+    level = spark.range(1).select(F.lit(directory.rstrip("/")).alias("path"), F.lit(False).alias("odd"))
+    found = None
+    while True:
+        seen = stored(level.repartition("path").mapInArrow(look, _SEEN), "listing")
+        files = seen.filter("odd AND NOT folder").select(*LISTING.names)
+        found = files if found is None else found.unionByName(files)
+        level = seen.filter("folder").select("path", "odd")
+        if not recursive or level.isEmpty():
+            return found
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Adds ``content`` by reading each file in the task that has its row."""
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                system, place = _opened(row.column("path")[0].as_py())
+                with system.open_input_stream(place) as stream:
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([stream.read()], pa.binary())], schema.names)
+
+    return files.repartition("path").mapInArrow(read, schema)
+
+
+def write_files(files: DataFrame) -> None:
+    """Write a file for each row of ``path`` (full, with its scheme) and ``content``, in the task that has the row."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                system, place = _opened(path.as_py())
+                system.create_dir(place.rpartition("/")[0])
+                with system.open_output_stream(place) as stream:
+                    stream.write(content.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    files.select("path", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+def full_path(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def _visible(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
+    """What Spark's file source sees, but for hidden names below the directory."""
+    top = _folder(spark, directory)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if not recursive:
         reader = reader.option("pathGlobFilter", "[!.]*")
-    listed = reader.load(directory).select("path", "length", "modificationTime")
     # Spark gives a full path; only what lies below the directory is tested for hidden names.
-    below = F.replace(F.col("path"), F.lit(top.toString()), F.lit(""))
-    listed = listed.filter(~below.rlike(r"/\."))
-    return listed.unionByName(_underscored(spark, directory, recursive)) if underscored else listed
+    below = F.replace(F.col("path"), F.lit(top), F.lit(""))
+    return reader.load(directory).filter(~below.rlike(r"/\."))
+
 
+def list_files(spark: SparkSession, directory: str, recursive: bool = True, hidden: bool = True) -> DataFrame:
+    """All visible files below ``directory``: ``path, length, modificationTime``. No content is read.
 
-def crawl_files(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB, underscored: bool = True) -> DataFrame:
+    Names that start with a dot are skipped, folders with such names too. ``hidden`` adds the files that Spark
+    hides. A missing directory or one that is a file is an error at once.
+    """
+    listed = _visible(spark, directory, recursive).select(*LISTING.names)
+    return listed.unionByName(_passed_over(spark, _folder(spark, directory), recursive)) if hidden else listed
+
+
+def crawl_files(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB, hidden: bool = True) -> DataFrame:
     """Supported files below ``directory``."""
-    return filter_files(list_files(spark, directory, recursive, underscored), max_file_mb)
+    return filter_files(list_files(spark, directory, recursive, hidden), max_file_mb)
 
 
 def file_info(files: DataFrame) -> DataFrame:
@@ -91,11 +159,25 @@ def decode_text(content: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, "\r\n?", "\n"), F.when(valid & bom, "utf-8-sig").when(valid, "utf-8").otherwise("latin-1")
 
 
-def read_text(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB) -> DataFrame:
-    """``path, length, modificationTime, text, encoding`` of supported files; size and type are tested before reading."""
-    _folder(spark, directory)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory)
-    return decoded(files.filter(supported(max_file_mb=max_file_mb)))
+def read_files(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB, hidden: bool = True) -> DataFrame:
+    """The files that :func:`crawl_files` lists, with ``content``, but for types that are no text, whose content stays null.
+
+    Size and type are tested before anything is read.
+    """
+    fits = supported(max_file_mb=max_file_mb)
+    seen = _visible(spark, directory, recursive).filter(fits)
+    texts = seen.filter(is_text()).select(*LISTING.names, "content")
+    others = seen.filter(~is_text()).select(*LISTING.names).withColumn("content", F.lit(None).cast("binary"))
+    out = texts.unionByName(others)
+    if hidden:
+        more = _passed_over(spark, _folder(spark, directory), recursive).filter(fits)
+        out = out.unionByName(with_content(more.filter(is_text()))).unionByName(more.filter(~is_text()).withColumn("content", F.lit(None).cast("binary")))
+    return out
+
+
+def read_text(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB, hidden: bool = True) -> DataFrame:
+    """``path, length, modificationTime, text, encoding`` of the text files among those that :func:`crawl_files` lists."""
+    return decoded(read_files(spark, directory, recursive, max_file_mb, hidden).filter(is_text()))
 
 
 def decoded(files: DataFrame) -> DataFrame:

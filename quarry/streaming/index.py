@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.jobs import index
@@ -11,17 +14,26 @@ from quarry.sources import collection, files
 _SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_index(spark: SparkSession, directory: str, target: str, checkpoint: str, max_file_mb: float = files.MAX_FILE_MB, **settings) -> StreamingQuery:
+def stream_index(
+    spark: SparkSession, directory: str, target: str, checkpoint: str, max_file_mb: float = files.MAX_FILE_MB, report: str | None = None, **settings
+) -> StreamingQuery:
     """Index what is new in ``directory`` and stop; started again with the same checkpoint it takes only newer files.
 
-    A batch that is run again after a failure stores nothing twice, for ids are made of path, place and text.
+    A batch makes up a part of the collection that is named by the checkpoint and the batch, so one that is run again
+    after a failure replaces what it had stored, and nothing of the rest is read. Files that fail are left out of the
+    collection and don't stop the others; ``report`` is a folder for the results of every file. The file source passes
+    over names with an underscore at the start and empty files; :func:`quarry.jobs.index.index_directory` has them.
     """
     found = spark.readStream.format("binaryFile").schema(_SCHEMA).option("recursiveFileLookup", "true").load(directory)
-
-    def store(batch: DataFrame, _: int) -> None:
-        docs = index.documents_of(files.decoded(batch.filter(files.supported(max_file_mb=max_file_mb))))
-        chunks = index.chunk_files(docs, **settings)
-        collection.open_collection(batch.sparkSession, target)
-        collection.store_chunks(chunks, target, skip_existing=True)
+    name = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    collection.open_collection(spark, target)
+
+    def store(batch: DataFrame, number: int) -> None:
+        fits = batch.filter(files.supported(max_file_mb=max_file_mb))
+        content = F.when(files.is_text(), F.col("content")).alias("content")
+        read = files.decoded(fits.select("path", "length", "modificationTime", content))
+        results = index.index_documents(index.documents_of(read), target, part=f"{name}-{number:08d}", **settings)
+        if report:
+            results.write.mode("overwrite").parquet(f"{report.rstrip('/')}/{name}-{number:08d}")
 
     return found.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

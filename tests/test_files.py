@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.jobs import answer, index
-from quarry.sources import collection, files
+from quarry.operators import reports
+from quarry.sources import collection, files, scratch
 from quarry.streaming.index import stream_index
 
 
@@ -21,6 +22,7 @@ def tree(tmp_path):
         "latin.txt": "été".encode("latin-1"),
         "crlf.txt": b"a\r\nb\rc",
         "bom.txt": b"\xef\xbb\xbfmarked",
+        "empty.txt": b"",
     }.items():
         path = tmp_path / "in" / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -34,7 +36,7 @@ def names(df, top):
 
 def test_crawl(spark, tree):
     got = names(files.crawl_files(spark, tree), tree)
-    assert got == {"sample.txt", "sample.md", "UPPER.TXT", "sub/nested_file.txt", "_name.txt", "_folder/deep.txt", "latin.txt", "crlf.txt", "bom.txt"}
+    assert got == {"sample.txt", "sample.md", "UPPER.TXT", "sub/nested_file.txt", "_name.txt", "_folder/deep.txt", "latin.txt", "crlf.txt", "bom.txt", "empty.txt"}
     flat = names(files.crawl_files(spark, tree, recursive=False), tree)
     assert "sub/nested_file.txt" not in flat and "sample.txt" in flat and "_name.txt" in flat
 
@@ -56,6 +58,8 @@ def test_read_text(spark, tree):
     assert got["latin.txt"] == ("été", "latin-1")
     assert got["crlf.txt"] == ("a\nb\nc", "utf-8")
     assert got["bom.txt"] == ("marked", "utf-8-sig")
+    assert got["_name.txt"] == ("kept", "utf-8") and got["_folder/deep.txt"] == ("kept too", "utf-8") and got["empty.txt"] == ("", "utf-8")
+    assert set(got) == names(files.crawl_files(spark, tree), tree)
 
 
 def test_empty_directory(spark, tmp_path):
@@ -92,22 +96,73 @@ def test_equal_ids_of_other_chunks_are_stored(spark, tmp_path):
 
 
 def test_index_and_answer(spark, tree, tmp_path):
-    results = index.index_directory(spark, tree, str(tmp_path / "coll"), str(tmp_path / "stage"))
-    assert results.filter("success").count() == results.count() == 7
+    results = index.index_directory(spark, tree, str(tmp_path / "coll"))
+    by_name = {r.file_path.split("/in/")[1]: r for r in results.collect()}
+    assert {n for n, r in by_name.items() if not r.success} == {"empty.txt"} and len(by_name) == 10
     stored = collection.open_collection(spark, str(tmp_path / "coll"))
+    assert stored.filter("filename = 'sample.md'").first().document == "Title\n\nLinks\n"
     asked = spark.createDataFrame([("upper",)], "user_query string")
     got = answer.answer(asked, stored, per_query=3)
     assert got.ranked.orderBy("rank").first().filename == "UPPER.TXT"
     assert got.counters.first().total_queries == 6
 
 
+def test_only_decoded_files_are_indexed(spark, tmp_path):
+    top = tmp_path / "in"
+    top.mkdir()
+    for name in ("a.pdf", "b.pdf"):
+        (top / name).write_bytes(b"%PDF-1.7 \x00\xff rubbish")
+    (top / "c.md").write_text("---\nTitle: T\nauthor: A\n    B\ntitle: again\n---\n# H\n")
+    parsed = spark.createDataFrame([(f"file:{top}/b.pdf", "page text", {"total_pages": "1"})], "filepath string, content string, metadata map<string,string>")
+    results = index.index_directory(spark, str(top), str(tmp_path / "coll"), parsed=parsed)
+    errors = {r.file_path[-5:]: r.error_message for r in results.collect()}
+    assert errors == {"a.pdf": "Processing error: no decoded content for this pdf file", "b.pdf": None, "/c.md": None}
+    stored = {r.filename: r for r in collection.open_collection(spark, str(tmp_path / "coll")).collect()}
+    assert set(stored) == {"b.pdf", "c.md"} and stored["b.pdf"].document == "page text" and stored["b.pdf"].metadata["total_pages"] == "1"
+    assert stored["c.md"].document == "H\n" and stored["c.md"].metadata["title"] == "T" and stored["c.md"].metadata["author"] == '["A","B"]'
+    update = reports.job_update(results, "j")
+    state = reports.job_status(update).first()
+    assert (state.status, state.files_processed, state.files_failed, state.total_chunks) == ("completed", 3, 1, 2)
+    assert [f[-5:] for f in state.failed_files] == ["a.pdf"]
+
+
 def test_stream_takes_each_file_once(spark, tree, tmp_path):
     target, at = str(tmp_path / "s"), str(tmp_path / "at")
-    stream_index(spark, tree, target, at).awaitTermination()
+    open(tree + "/gap.txt", "w").write("a" + " " * 2000 + "b")
+    report = str(tmp_path / "report")
+    stream_index(spark, tree, target, at, report=report).awaitTermination()
     first = collection.open_collection(spark, target).count()
     open(tree + "/new.txt", "w").write("a new file")
-    stream_index(spark, tree, target, at).awaitTermination()
+    stream_index(spark, tree, target, at, report=report).awaitTermination()
     again = collection.open_collection(spark, target)
     assert again.count() == first + 1
-    batch = index.chunk_files(index.documents_of(files.read_text(spark, tree)))
+    batch = index.chunk_files(index.documents_of(files.decoded(files.read_files(spark, tree, hidden=False))).filter("filename <> 'gap.txt'"))
     assert {r.id for r in again.select("id").collect()} == {r.id for r in batch.select("id").collect()}
+    results = spark.read.option("recursiveFileLookup", "true").parquet(report).collect()
+    assert len(results) == 9 and [r.file_path[-7:] for r in results if not r.success] == ["gap.txt"]
+
+
+def test_a_batch_run_again_replaces_its_part(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([("a", "f", "/f", 0, [1.0])], "id string, filename string, filepath string, chunk_index int, embedding array<double>")
+    collection.store_chunks(rows, path)
+    for _ in range(2):
+        collection.store_chunks(rows, path, part="p-1")
+    assert collection.open_collection(spark, path).count() == 2
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
+    Session.sparkContext.master = "local[4]"
+    assert scratch.shared_dir(Session()) == scratch.shared_dir(Session())

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -95,10 +96,66 @@ def test_sentence_windows_cover(value, size, data):
     upto = 0
     for start, end, piece in chunking.sentence_windows(value, size, overlap):
         assert value[start:end] == piece and start <= upto < end
+        assert end - start <= size or piece in chunking.sentences(value)
         upto = end
     assert upto == len(value)
 
 
+def test_no_sentence_chunk_lies_in_the_one_before():
+    value = "One two. Abc. Defghi. A long sentence here. x."
+    got = [(a, b) for a, b, _ in chunking.sentence_windows(value, 15, 10)]
+    assert got == [(0, 14), (9, 22), (22, 44), (44, 46)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab \u00a0\n", max_size=120), st.integers(1, 30), st.data())
+def test_token_and_word_windows(value, size, data):
+    overlap = data.draw(st.integers(0, size - 1))
+    got = list(chunking.token_windows(value, size, overlap))
+    assert all(value[a:b] == t and len(t) <= size for a, b, t in got) and got[-1][1] == len(value)
+    assert [a for a, _, _ in got] == [i * (size - overlap) for i in range(len(got))] and all(b < len(value) for _, b, _ in got[:-1])
+    if value.strip():
+        words = list(chunking.word_windows(value, size, overlap))
+        assert words[0][0] == 0 and words[-1][1] == len(value) and all(len(t.split()) <= size for _, _, t in words)
+
+
+@pytest.mark.parametrize("size,overlap", [(7, 2), (7, 5), (5, 0), (4, 2)])
+def test_token_chunks_are_windows(spark, size, overlap):
+    texts = ["", "   ", None, "a", "abcd", "abcdefg", "abcdefgh", "x\u00e9\U0001f600\n" * 9]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "k int, content string, text string")
+    got = sorted((r.k, r.chunk_index, r.start_index, r.end_index, r.content, r.chunk_size, r.total_chunks, r.text) for r in chunking.chunk_token(docs, "content", size, overlap).collect())
+    expected = []
+    for i, t in enumerate(texts):
+        windows = list(chunking.token_windows(t, size, overlap)) if t and t.strip() else []
+        expected += [(i, j, a, b, p, b - a, len(windows), "c") for j, (a, b, p) in enumerate(windows)]
+    assert got == expected
+
+
+@pytest.mark.parametrize("chunk", [chunking.chunk_token, chunking.chunk_word, chunking.chunk_sentence])
+def test_chunking_is_linear(spark, chunk):
+    def took(mb):
+        docs = spark.range(0, 1, 1, 1).select(F.repeat(F.lit("Some words of a text. And more: "), mb << 15).alias("text"))
+        began = time.monotonic()
+        docs.transform(chunk).agg(F.sum("chunk_size")).collect()
+        return time.monotonic() - began
+
+    took(1)
+    small = min(took(1) for _ in range(2))
+    assert took(8) < 16 * small + 5
+
+
+def test_plain_markdown(spark):
+    value = "# T\n> q *i* **b** `c`\n- item [l](u) ![a](i)\n```py\nx = 1\n```\nend"
+    assert one(spark, value, markdown.plain(F.col("t"))) == "T\nq i b c\nitem l \nx = 1\nend"
+
+
+@pytest.mark.parametrize("value", ["", "no front", "---\nkey without colon\n---\nx", "---\na: 1\n"])
+def test_no_front_matter(spark, value):
+    head, body = markdown.front_matter(F.col("t"))
+    assert one(spark, value, head) == {}
+    assert one(spark, value, body) == ("x" if value.endswith("x") else value)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=200), st.integers(1, 40), st.data())
 def test_lossless_fallback(value, size, data):
@@ -232,9 +289,19 @@ def test_knn_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "id long, embedding array<double>")
     whole = sorted(map(tuple, search.knn_search(df, df.withColumnRenamed("id", "query_id"), 3).collect()))
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "ROW_BLOCK", 4)
+    monkeypatch.setattr(search, "BLOCKS_HELD", 2)
     assert sorted(map(tuple, search.knn_search(df, df.withColumnRenamed("id", "query_id"), 3).collect())) == whole
 
 
+def test_search_reads_a_stored_collection(spark):
+    from quarry.queries import search as queries
+
+    for name in ("multi_query_search", "rank_dedup", "search_counters", "quality_metrics", "search_response"):
+        plan = queries.QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan, name
+
+
 def test_human_size(spark):
     for n, expected in ((0, "0 B"), (1024, "1024 B"), (1025, "1.0 KB"), (1048576, "1024.0 KB"), (1572864, "1.5 MB")):
         assert one(spark, n, reports.human_size(F.col("t")), "long") == expected

@@ -31,13 +31,6 @@ def test_chunks_cover_texts(spark, name):
     assert set(got.doc_id) == set(texts)
 
 
-def test_stream_equals_batch(spark):
-    got = FOUND["stream_index"][0](spark, SF).toPandas()
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert set(got.source) == {r[0] for r in docs.select("source").distinct().collect()}
-    assert (got.chunks >= got.files).all()
-
-
 def test_entry_and_names():
     import __spark_entry__
 
