@@ -1,43 +1,49 @@
-"""Helpers shared by the training-data operators: shared-folder tables, raw text bytes, table reading."""
+"""Helpers shared by the training-data operators: joins and numbers over skewed tables, raw text bytes, table reading."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.scratch import drop_stored, stored
+
+__all__ = ["WORD_PATTERN", "drop_stored", "join_spread", "numbered", "stored", "table", "utf8"]
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
+#: A key is hot if it has more than this share of all rows; so there are at most a thousand of them.
+HOT_SHARE = 1000
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """``left`` joined to ``right``, which has one row for each key and, in ``rows``, how many rows of ``left`` the key has.
+
+    Keys with more than a thousandth of all ``total`` rows, a thousand at most, are broadcast, so that no task gets all
+    rows of one; the others are shuffled. The column ``rows`` is left out.
+    """
+    hot = F.col(rows) * HOT_SHARE > total
+    common = right.filter(~hot).drop(rows)
+    often = right.filter(hot).drop(rows)
+    if often.isEmpty():
+        return left.join(common, on)
+    rest = left.join(F.broadcast(often.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(often), on).unionByName(rest.join(common, on))
+
+
+def numbered(df: DataFrame, order: list[str], name: str, label: str) -> DataFrame:
+    """``df`` sorted by range, with ``name``: the row's number from 0 in that order, whatever the partitions of ``df``.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder takes its place.
+    Rows are sorted and stored with their partition and their place in it; what goes before a partition is one count for
+    each, broadcast. Rows that are equal in all of ``order`` have any order among them.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-quarry-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._quarry_path = path
-    return back
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` that no later step reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quarry_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = stored(ranged.withColumn("__part", F.shiftright(place, 33)).withColumn("__nth", place.bitwiseAND((1 << 33) - 1)), label)
+    counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))
+    return kept.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A text is read as little-endian 32-bit words ``w_0 .. w_{n-1}`` (the last one padded with zero bytes); its
 fingerprint is ``sum(w_i * r**i) mod p`` for two primes, beside its length in bytes. Chunks of 64 KiB are hashed on
-their own and combined by length-shifted arithmetic, ``H(A + B) = H(A) + r**words(A) * H(B)``, so a huge document is
-never one unit of work: chunk hashes may come from any task (:func:`combine_chunks`).
+their own and combined by length-shifted arithmetic, ``H(A + B) = H(A) + r**words(A) * H(B)``. A huge document's pieces
+are hashed by many tasks and combined by Spark (:func:`combine_chunks`).
 
 Rows with equal fingerprints form a class. Every member is then compared with the class's kept document chunk by
 chunk in one streaming pass; members that differ (a fingerprint collision) are put into classes of their own and
@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, table, utf8
+from quarry.llm.common import drop_stored, join_spread, stored, table, utf8
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525)
 CHUNK_BYTES = 65536
+#: Longer texts are hashed in pieces by many tasks.
+HUGE_BYTES, PIECE_BYTES = 1 << 22, 1 << 20
 MEMBERS_PER_TASK_GROUP = 500
 
 
@@ -101,54 +103,62 @@ def combine_chunks(chunks: DataFrame, key: str, primes: tuple[int, int] = PRIMES
     return summed.select(key, *[F.pmod(F.col(f"h{i}"), F.lit(p)).alias(f"fp{i}") for i, p in enumerate(primes, 1)])
 
 
-def fingerprints(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", primes: tuple[int, int] = PRIMES, digest: bool = False, keep_text: bool = False
-) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, fp1, fp2`` and, if asked for, ``sha256`` and ``raw`` (the bytes)."""
-    schema = "doc_id long, n_bytes long, fp1 long, fp2 long" + ", sha256 string" * digest + ", raw binary" * keep_text
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", primes: tuple[int, int] = PRIMES, huge: int = HUGE_BYTES) -> DataFrame:
+    """One row per document: ``doc_id, row, n_bytes, fp1, fp2, mixed, sha256``; ``row`` tells rows of one id and text apart.
+
+    Texts of more than ``huge`` bytes are cut into pieces of a MiB, which are dealt to all tasks, hashed there and
+    combined by their places (:func:`combine_chunks`), equal ones once; others are hashed whole in the task that reads them. ``mixed`` is
+    another hash of the text, by which a row is found again.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), utf8(text).alias("raw"))
+    size = F.octet_length("raw").cast("long")
+    rows = rows.withColumn("n_bytes", size)
+    own = [F.xxhash64("raw").alias("mixed"), F.sha2("raw", 256).alias("sha256")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(primes)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                h1, h2 = maker.texts(texts)
-                out = [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(h1), pa.array(h2)]
-                names = ["doc_id", "n_bytes", "fp1", "fp2"]
-                if digest:
-                    out.append(pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
-                    names.append("sha256")
-                if keep_text:
-                    out.append(part.column(1))
-                    names.append("raw")
-                yield pa.RecordBatch.from_arrays(out, names)
+                hashes = [pa.array(h) for h in maker.texts(part.column(part.num_columns - 1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *hashes], [*part.schema.names[:-1], "h1", "h2"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("raw")).mapInArrow(run, schema)
+    small = rows.filter(F.col("n_bytes") <= huge).select("doc_id", "row", "n_bytes", *own, "raw")
+    small = small.mapInArrow(run, "doc_id long, row long, n_bytes long, mixed long, sha256 string, h1 long, h2 long")
+    small = small.withColumnsRenamed({"h1": "fp1", "h2": "fp2"})
+    large = rows.filter(F.col("n_bytes") > huge).select("doc_id", "row", "n_bytes", *own, "raw")
+    last = F.floor((F.col("n_bytes") - 1) / PIECE_BYTES).cast("int")
+    pieces = large.select("sha256", "raw", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    pieces = pieces.select("sha256", (F.col("i").cast("long") * (PIECE_BYTES // 4)).alias("start_word"), F.substring("raw", F.col("i") * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias("piece"))
+    hashed = pieces.repartition("sha256", "start_word").mapInArrow(run, "sha256 string, start_word long, h1 long, h2 long").dropDuplicates(["sha256", "start_word"])
+    large = large.drop("raw").join(combine_chunks(hashed, "sha256", primes), "sha256")
+    return small.unionByName(large).select("doc_id", "row", "n_bytes", "fp1", "fp2", "mixed", "sha256")
 
 
 CLASS = ["fp1", "fp2", "n_bytes"]
 
 
-def _differing(docs: DataFrame, members: DataFrame, key: str, text: str, primes: tuple[int, int]) -> DataFrame:
-    """Members whose bytes differ from those of their class's kept document, found by one pass over their chunks.
+def _differing(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """``row`` of members whose bytes differ from those of their class's kept document, found by one pass over their chunks.
 
-    ``members`` has one row per document of a class of two or more: ``doc_id``, CLASS, ``keep_id``, ``size``. A class
-    is dealt out in salted parts of about 500 members, each with its own copy of the kept document's chunks, so a
-    class of a third of all rows is spread over many tasks. A task holds one chunk of the kept document at a time.
+    ``members`` has one row per document of a class of two or more: ``doc_id, row, mixed, sha256``, CLASS, ``keep`` and
+    ``size``. A class is dealt out in salted parts of about 500 members, each with its own copy of the kept document's
+    chunks, so a class of a third of all rows is spread over many tasks. A task holds one chunk of the kept document at a
+    time. Rows of one id and text are compared once and share the outcome.
     """
-    members = members.select(F.col("doc_id").alias("m_id"), *[F.col(c).alias(f"m_{c}") for c in CLASS], "keep_id", "size")
-    raw = fingerprints(docs, key, text, primes, keep_text=True)
-    same = [raw[c] == members[f"m_{c}"] for c in CLASS]
-    rows = raw.join(members, [*same, raw.doc_id.eqNullSafe(members.m_id)])
+    is_kept = F.col("row") == F.col("keep.row")
+    once = members.groupBy("doc_id", "mixed", "sha256", *CLASS).agg(F.min("row").alias("row"), F.max("size").alias("size"), F.max(is_kept).alias("kept"))
+    once = once.select(F.col("doc_id").alias("m_id"), F.col("mixed").alias("m_mixed"), "sha256", *CLASS, "row", "size", "kept")
+    raw = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("raw")).withColumn("mixed", F.xxhash64("raw"))
+    rows = raw.join(once, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("mixed") == F.col("m_mixed")))
+    rows = rows.filter(F.sha2("raw", 256) == F.col("sha256"))
     parts = F.ceil(F.col("size") / MEMBERS_PER_TASK_GROUP).cast("int")
-    is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    salts = F.when(is_kept, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), parts).cast("int")))
+    salts = F.when(F.col("kept"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("row"), parts).cast("int")))
     n_chunks = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / CHUNK_BYTES)).cast("int")
     pieces = (
         rows.withColumn("salt", F.explode(salts))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
-        .select(*CLASS, "salt", "chunk", "doc_id", (~is_kept).alias("later"), F.substring("raw", F.col("chunk") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)).alias("piece"))
+        .select(*CLASS, "salt", "chunk", "row", (~F.col("kept")).alias("later"), F.substring("raw", F.col("chunk") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)).alias("piece"))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,62 +166,61 @@ def _differing(docs: DataFrame, members: DataFrame, key: str, text: str, primes:
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             wrong = []
-            for i, (where, later, piece) in enumerate(zip(zip(*cols[:5]), cols[6], cols[7])):
+            for row, where, later, piece in zip(cols[5], zip(*cols[:5]), cols[6], cols[7]):
                 if not later and where != at:
                     at, kept = where, piece
                 elif later and piece != kept:
-                    wrong.append(i)
-            out = [batch.column(c).take(pa.array(wrong, pa.int64())) for c in (0, 1, 2, 5)]
-            yield pa.RecordBatch.from_arrays(out, [*CLASS, "doc_id"])
+                    wrong.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.int64())], ["row"])
 
     place = [*CLASS, "salt"]
     dealt = pieces.repartition(*place).sortWithinPartitions(*place, "chunk", "later")
-    return dealt.mapInArrow(compare, "fp1 long, fp2 long, n_bytes long, doc_id long").distinct()
+    wrong = dealt.mapInArrow(compare, "row long").distinct().join(once, "row").select("m_id", "m_mixed", F.col("sha256").alias("m_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("mixed") == F.col("m_mixed")) & (F.col("sha256") == F.col("m_sha"))
+    return members.join(wrong, same, "left_semi").select("row")
 
 
-def exact_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", primes: tuple[int, int] = PRIMES, digest: bool = False
-) -> DataFrame:
-    """Classes of byte-equal texts: ``doc_id, keep_id, group_size, kept, n_bytes, fp1, fp2`` (``sha256`` if asked for).
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", primes: tuple[int, int] = PRIMES, huge: int = HUGE_BYTES) -> DataFrame:
+    """Classes of byte-equal texts: ``doc_id, keep_id, group_size, kept, n_bytes, fp1, fp2, sha256``.
 
     The row with the largest ``doc_id`` of a class stays. Null texts count as empty texts. Rows that repeat a
-    ``doc_id`` with the same text are members like any other, and only one of them is kept; null ids come last. An
-    empty table gives no rows; other columns of ``docs`` are ignored, whatever their names.
+    ``doc_id`` with the same text are members like any other, and only one of them is kept; null ids come last. Of rows
+    that share an id, those with other texts are classes of their own, also where fingerprints collide. An empty table
+    gives no rows; other columns of ``docs`` are ignored, whatever their names.
     """
-    found = stored(fingerprints(docs, key, text, primes, digest).withColumn("pass", F.lit(0)), "fingerprints")
-    turn = 0
+    found = stored(fingerprints(docs, key, text, primes, huge).withColumn("pass", F.lit(0)), "fingerprints")
+    total, turn, cls = found.count(), 0, [*CLASS, "pass"]
     while True:
-        cls = [*CLASS, "pass"]
-        sizes = found.groupBy(cls).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
+        sizes = found.groupBy(cls).agg(F.max(F.struct("doc_id", "sha256", "row")).alias("keep"), F.count(F.lit(1)).alias("size")).withColumn("rows", F.col("size"))
         several = sizes.filter((F.col("size") > 1) & (F.col("pass") == turn))
-        members = found.filter(F.col("pass") == turn).select("doc_id", *CLASS).distinct().join(several.drop("pass"), CLASS)
-        wrong = stored(_differing(docs, members, key, text, primes), "differing")
+        members = join_spread(found.filter(F.col("pass") == turn), several, cls, "rows", total)
+        wrong = stored(_differing(docs, members, key, text), "differing")
         if wrong.isEmpty():
             break
-        wrong = wrong.withColumn("moved", F.lit(1))
-        joined = found.join(wrong, [*CLASS, "doc_id"], "left")
-        moved = F.when(F.col("moved") == 1, F.lit(turn + 1)).otherwise(F.col("pass"))
-        found = stored(joined.withColumn("pass", moved).drop("moved").select(*found.columns), "fingerprints")
+        moved = F.when(F.col("moved"), F.lit(turn + 1)).otherwise(F.col("pass"))
+        again = found.join(wrong.withColumn("moved", F.lit(True)), "row", "left").withColumn("pass", moved)
+        before, found = found, stored(again.select(*found.columns), "fingerprints")
+        drop_stored(before)
+        drop_stored(wrong)
         turn += 1
-    nth = F.row_number().over(Window.partitionBy(*cls, "doc_id").orderBy("n_bytes"))
-    rows = found.withColumn("nth", nth).join(sizes, cls)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    extra = ["sha256"] if digest else []
-    return rows.select("doc_id", "keep_id", F.col("size").alias("group_size"), kept.alias("kept"), "n_bytes", "fp1", "fp2", *extra)
+    rows = join_spread(found, sizes, cls, "rows", total)
+    kept = F.col("row") == F.col("keep.row")
+    return rows.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), "n_bytes", "fp1", "fp2", "sha256")
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with their own columns; one of rows that repeat an id and text."""
+    kept = exact_groups(docs, key, text).filter("kept")
     if docs.groupBy(key).count().filter("count > 1").isEmpty():
-        kept = exact_groups(docs, key, text).filter("kept").select(F.col("doc_id").alias("__id"))
-        return docs.join(kept, docs[key].eqNullSafe(kept["__id"]), "left_semi")
-    kept = exact_groups(docs, key, text, digest=True).filter("kept").select(F.col("doc_id").alias("__id"), F.col("sha256").alias("__sha"))
+        kept = kept.select(F.col("doc_id").alias("__id"))
+        return docs.join(kept, docs[key].cast("long").eqNullSafe(kept["__id"]), "left_semi")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("sha256").alias("__sha"))
     one = docs.withColumn("__own", F.sha2(utf8(text), 256)).dropDuplicates([key, "__own"])
-    return one.join(kept, one[key].eqNullSafe(kept["__id"]) & (one["__own"] == kept["__sha"]), "left_semi").drop("__own")
+    return one.join(kept, one[key].cast("long").eqNullSafe(kept["__id"]) & (one["__own"] == kept["__sha"]), "left_semi").drop("__own")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact_groups(table(spark, sf_dir, "documents"), digest=True)
+    groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 

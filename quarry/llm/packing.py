@@ -2,8 +2,8 @@
 
 Every document is tokenized, closed with an end id and cut into full sequences and then into pieces of binary
 length: the rest below the sequence length is split by the ones of its binary notation, longest first. A piece is a
-sequence of its own, so no sequence crosses documents and none is padded; sequences of equal length make a bucket
-(column ``length``) from which batches are drawn.
+sequence of its own, so no sequence crosses documents and none is padded. Sequences are sorted by length, so equal
+lengths make a bucket from which batches are drawn, and numbered in that order.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, utf8
+from quarry.llm.common import drop_stored, numbered, stored, table, utf8
 
 #: Words whose ids a Python worker remembers; beyond that it starts anew, which costs time and changes nothing.
 REMEMBERED = 400_000
@@ -179,9 +179,9 @@ def pack(
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and ``ids``.
 
     ``ids`` is left out where only the digest is needed. ``max_tokens`` must be a power of two. Null and empty texts
-    are documents of the end id alone. Rows that repeat an id are packed each on its own. ``sequence_id`` is unique
-    over the result, ``offset`` is always 0. No shuffle: a row's pieces depend on that row alone. An empty table gives
-    no rows; other columns of ``docs`` are ignored.
+    are documents of the end id alone. Rows that repeat an id are packed each on its own. ``sequence_id`` numbers the
+    pieces by length (longest first), document and start, so a bucket is a range of it and it doesn't depend on the
+    partitions of ``docs``; ``offset`` is always 0. An empty table gives no rows; other columns of ``docs`` are ignored.
     """
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
@@ -214,12 +214,18 @@ def pack(
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    pieces = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("raw")).mapInArrow(run, schema)
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pieces = stored(docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("raw")).mapInArrow(run, schema), "pieces")
+    order = pieces.withColumn("shorter", -F.col("length"))
+    bucketed = numbered(order, ["shorter", "doc_id", "start", "doc_tokens", "ids_crc32"], "sequence_id", "buckets").drop("shorter")
+    drop_stored(pieces)
+    return bucketed.withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write pieces as one folder per length, so that a reader draws equal lengths without padding."""
+    """Write pieces as one folder per length, so that a reader draws equal lengths without padding.
+
+    Pieces come sorted by length, so a task writes to a few folders only. An empty table makes an empty folder.
+    """
     pieces.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
 
 

@@ -40,11 +40,13 @@ def brute_exact(pairs):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("primes", [exact_dedup.PRIMES, (7, 5)])
-def test_exact_edges(spark, primes):
-    """With tiny primes nearly all fingerprints collide, and only the comparison tells texts apart."""
-    pairs = EDGES + [(i, f"{i % 9:04d}") for i in range(20, 60)]
-    got = exact_dedup.exact_groups(frame(spark, pairs), primes=primes)
+@pytest.mark.parametrize("primes,huge", [(exact_dedup.PRIMES, exact_dedup.HUGE_BYTES), (exact_dedup.PRIMES, 3), ((7, 5), 3)])
+def test_exact_edges(spark, primes, huge, monkeypatch):
+    """With tiny primes nearly all fingerprints collide, and only the comparison tells texts apart; rows that share an id, or have none, too."""
+    monkeypatch.setattr(exact_dedup, "PIECE_BYTES", 1 << 16)
+    monkeypatch.setattr("quarry.llm.common.HOT_SHARE", 20)
+    pairs = EDGES + [(i, f"{i % 9:04d}") for i in range(20, 60)] + [(None, f"{i % 5:04d}") for i in range(9)] + [(77, "0001"), (77, "9999"), (77, "9998"), (77, "9999")]
+    got = exact_dedup.exact_groups(frame(spark, pairs), primes=primes, huge=huge)
     found = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()), key=repr)
     assert found == brute_exact(pairs)
 
@@ -55,6 +57,17 @@ def test_exact_query(spark):
 
 def test_exact_empty(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
+    assert exact_dedup.drop_exact_copies(frame(spark, [])).count() == 0 and simhash.drop_near_copies(frame(spark, [])).count() == 0
+
+
+def test_a_huge_text_is_hashed_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PIECE_BYTES", 1 << 12)
+    text = "".join(chr(97 + i * i % 26) for i in range(300001))
+    df = frame(spark, [(1, text), (2, text + "x"), (3, "short")])
+    found = exact_dedup.fingerprints(df, huge=1 << 16)
+    whole = {r.doc_id: (r.n_bytes, r.fp1, r.fp2, r.sha256) for r in exact_dedup.fingerprints(df).collect()}
+    assert {r.doc_id: (r.n_bytes, r.fp1, r.fp2, r.sha256) for r in found.collect()} == whole
+    assert "start_word" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_drop_exact_copies(spark):

@@ -191,6 +191,20 @@ def test_pack_edges(spark):
     assert packing.pack(df.limit(0), packing.production_path(), 2).count() == 0
 
 
+def test_buckets(spark, tmp_path):
+    path = packing.production_path()
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate([*ODD, None, *ODD])], "doc_id long, text string, length int")
+    shown = lambda d: {(r.doc_id, r.start, r.length, r.sequence_id) for r in packing.pack(d, path, 2, max_tokens=64).collect()}
+    once = shown(df)
+    assert once == shown(df.repartition(5)) == shown(df.orderBy(F.desc("doc_id")).coalesce(1))
+    by_number = sorted(once, key=lambda r: r[3])
+    assert [r[3] for r in by_number] == list(range(len(once))) and [r[2] for r in by_number] == sorted((r[2] for r in once), reverse=True)
+    packing.write_buckets(packing.pack(df, path, 2, max_tokens=64), str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert {(r.bucket, r.length) for r in back.collect()} == {(n, n) for _, _, n, _ in once} and back.count() == len(once)
+    packing.write_buckets(packing.pack(df.limit(0), path, 2), str(tmp_path / "none"))
+
+
 def test_pack_query(spark):
     got = packing.op10_packing(spark, SF).toPandas()
     words = packing.WordTokenizer(packing.production_path())
