@@ -19,6 +19,8 @@ from quarry.llm.common import table
 #: Turns are first gathered in parts of so many turn numbers, then parts are gathered, so no task holds more structs
 #: than the conversations it has to write.
 PART = 256
+#: Pieces of a conversation whose places are summed up together.
+SLICE = 256
 
 
 def escape(c: Column) -> Column:
@@ -37,8 +39,9 @@ def format_chats(turns: DataFrame, key: str = "conv_id", turn: str = "turn", rol
     """One row per conversation: ``conv_id, formatted, loss_spans`` (array of start from 0 and length, in code points).
 
     Null roles and texts count as empty. Turns are sorted by number (null first), then role, then text, so repeated
-    numbers have a defined order; repeated rows are all kept. A null ``conv_id`` is a conversation of its own. An
-    empty table gives no rows; other columns are ignored.
+    numbers have a defined order; repeated rows are all kept. A null ``conv_id`` is a conversation of its own. A
+    conversation is one string, so it is written by one task, however long, in time that grows with its turns. An empty
+    table gives no rows; other columns are ignored.
     """
     rows = turns.select(
         F.col(key).alias("conv_id"),
@@ -87,16 +90,25 @@ def format_chats(turns: DataFrame, key: str = "conv_id", turn: str = "turn", rol
 
 
 def _spans(pieces: Column) -> Column:
-    """Spans of the pieces under the loss, with starts from a running sum."""
-    kind = "struct<at:int,spans:array<struct<start:int,length:int>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")).cast(kind)
+    """Spans of the pieces under the loss, with starts from running sums.
+
+    Sums run inside slices of SLICE pieces and then over the slices, so no array of all spans so far is copied for each.
+    """
+    span = "array<struct<start:int,length:int>>"
+    kind = f"struct<at:int,spans:{span}>"
+    none = F.array().cast(span)
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / SLICE).cast("int")), lambda i: F.slice(pieces, i * SLICE + 1, SLICE))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["before"]
         more = F.concat(acc["spans"], F.array(F.struct(start.cast("int").alias("start"), p["length"].cast("int").alias("length"))))
         return F.struct((start + p["length"] + p["after"]).cast("int").alias("at"), F.when(p["loss"], more).otherwise(acc["spans"]).alias("spans")).cast(kind)
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+    zero = F.struct(F.lit(0).alias("at"), none.alias("spans")).cast(kind)
+    inside = F.transform(slices, lambda s: F.aggregate(s, zero, step))
+    befores = F.aggregate(inside, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["at"])))
+    moved = F.zip_with(inside, befores, lambda s, b: F.transform(s["spans"], lambda x: F.struct((x["start"] + b).alias("start"), x["length"].alias("length"))))
+    return F.when(F.size(pieces) > 0, F.flatten(F.filter(moved, lambda m: m.isNotNull()))).otherwise(none)
 
 
 def parse_chats(formatted: Column) -> Column:

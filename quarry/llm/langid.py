@@ -166,19 +166,24 @@ class LanguageModel:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit on ``docs`` with non-null ``lang``; texts that are null or empty teach nothing.
 
-    Ids are ranked within a language before any text moves (a partial limit in every partition), so one language of
-    most rows is no burden. Features go to the tasks that fit a group of machines; the driver has the machines only.
+    Of a language's ids those with a small hash are taken, in each partition before anything moves, so that few are ranked
+    however many rows a language has. Features go to the tasks that fit a group of machines; the driver has the machines only.
     Without any labelled row the model knows no language and answers ``und``.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
-    langs = sorted(r[0] for r in labelled.select(lang).distinct().collect())
+    counted = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
+    langs = sorted(r.lang for r in counted)
     model = LanguageModel.of(langs)
     jobs, family_of = model.jobs(), families_of(langs)
     if not jobs:
         return model
     per_language = max(1, min(per_language, SAMPLE // len(langs)))
+    # A hash below the language's share leaves about twice the rows that are wanted, whatever their number, to be ranked.
+    most = {r.lang: int((1 << 63) * min(1.0, (2 * per_language + 20) / r.n)) for r in counted}
+    limits = docs.sparkSession.createDataFrame([(name, cut - 1) for name, cut in most.items()], "lang string, most long")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    ids = labelled.select(F.col(lang).alias("lang"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long")).alias("h"))
+    ids = labelled.select(F.col(lang).alias("lang"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long")).bitwiseAND((1 << 63) - 1).alias("h"))
+    ids = ids.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("most")).drop("most")
     chosen = ids.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "id")
     needed = defaultdict(list)
     for job, pairs in enumerate(jobs):

@@ -27,7 +27,19 @@ BOILERPLATE = (
     r"(?i)^[\x20\x09-\x0D]*(?:©|copyright (?:©|\(c\)|[0-9]{4})|all rights reserved|(?:licensed|released|distributed) under (?:the |a )?[a-z]"
     r"|this (?:work|file|software|program) is licensed|terms (?:of use|of service|and conditions)|privacy policy|cookie policy"
     r"|(?:we|this (?:site|website)) uses? cookies|by continuing to (?:use|browse)|please enable javascript|subscribe to our newsletter"
-    r"|(?:click|tap) here to|share (?:this|on)|read more|back to top|skip to (?:main )?content|lorem ipsum)"
+    r"|(?:click|tap) here to|share (?:this|on)|read more|back to top|skip to (?:main )?content|lorem ipsum"
+    # German
+    r"|alle rechte vorbehalten|(?:lizenziert|veröffentlicht) unter (?:der |einer )?[a-z]|nutzungsbedingungen|datenschutz(?:erklärung|richtlinie|hinweise)"
+    r"|cookie-richtlinie|(?:wir verwenden|diese (?:seite|website) verwendet) cookies|mit der nutzung (?:dieser|unserer)|bitte aktivieren sie javascript"
+    r"|(?:abonnieren sie|newsletter abonnieren)|(?:hier klicken|klicken sie hier)|weiterlesen|mehr lesen|nach oben|zum (?:haupt)?inhalt springen"
+    # French
+    r"|tous droits r[ée]serv[ée]s|(?:publi[ée]|distribu[ée]) sous (?:la )?licence|conditions (?:d'utilisation|g[ée]n[ée]rales)|politique de (?:confidentialit[ée]|cookies)"
+    r"|(?:nous utilisons|ce site utilise) des cookies|en poursuivant votre navigation|veuillez activer javascript|abonnez-vous [àa] notre|cliquez ici"
+    r"|partager (?:sur|cet)|lire la suite|haut de page|aller au contenu"
+    # Spanish
+    r"|todos los derechos reservados|(?:publicado|distribuido) bajo (?:la |una )?licencia|(?:condiciones|t[ée]rminos) de (?:uso|servicio)|pol[íi]tica de (?:privacidad|cookies)"
+    r"|(?:utilizamos|este sitio utiliza) cookies|al continuar navegando|por favor,? active javascript|suscr[íi]bete a nuestro|haga clic aqu[íi]"
+    r"|compartir en|leer m[áa]s|volver arriba|saltar al contenido)"
 )
 #: A document is rejected if it loses more than this share of its word characters.
 MAX_LOST = 0.5
@@ -79,7 +91,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost: fl
     """One row per row of ``docs``: the counts, ``base_failed``, ``kept``, ``clean_text`` and ``lines_removed``.
 
     A null text has no words and is kept out; so has an empty one. ``clean_text`` is the text without its failing
-    lines (lines without a word stay). Rows that repeat an id are judged each on its own, other columns are ignored.
+    lines (lines without a word stay). Rows that repeat an id are judged each on its own, other columns are ignored. A
+    text is judged as a whole by the task that reads it, however long: beside it stand arrays of its words, its lines and,
+    where a window of words repeats, its windows, some ten times its size.
     """
     df = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     t = F.col("__text")

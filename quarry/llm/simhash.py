@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_stored, stored, table, utf8
+from quarry.llm.common import drop_stored, join_spread, stored, table, utf8
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 SEGMENTS = 12
 BLOCK = 1024
+#: Fingerprints of one key that a task compares; those of keys with more are dealt out by pairs of blocks.
+HELD = 1 << 14
 
 
 def simhash(raw: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -98,10 +100,11 @@ class Ring:
                 return alive
         return alive & (np.bitwise_count(differ) <= self.distance)
 
-    def forest(self, fps: np.ndarray, start: int) -> list[tuple[int, int]]:
+    def forest(self, fps: np.ndarray, start: int, split: int = 0) -> list[tuple[int, int]]:
         """Links that connect all of ``fps`` that links connect, at most one fewer than there are fingerprints.
 
         Blocks are compared with blocks; once a block has become one component, only what lies outside of it matters.
+        With ``split`` the fingerprints before it are compared with those behind it only.
         """
         n = len(fps)
         parent = np.arange(n)
@@ -113,19 +116,20 @@ class Ring:
             return int(i)
 
         out = []
-        for hub in (0, n // 2) if n > BLOCK else ():
+        for hub in (0, n // 2) if n > BLOCK and not split else ():
             for j in np.flatnonzero(self.linked(fps[hub], fps, start)).tolist():
                 x, y = root(hub), root(j)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
                     out.append((int(fps[hub]), int(fps[j])))
-        for i in range(0, n, BLOCK):
-            for j in range(i, n, BLOCK):
-                left = np.array([root(k) for k in range(i, min(i + BLOCK, n))])
+        for i in range(0, split or n, BLOCK):
+            ends = min(i + BLOCK, split or n)
+            for j in range(split or i, n, BLOCK):
+                left = np.array([root(k) for k in range(i, ends)])
                 right = left if i == j else np.array([root(k) for k in range(j, min(j + BLOCK, n))])
                 if left.min() == left.max() == right.min() == right.max():
                     continue
-                near = self.linked(fps[i : i + BLOCK, None], fps[None, j : j + BLOCK], start)
+                near = self.linked(fps[i:ends, None], fps[None, j : j + BLOCK], start)
                 rows, cols = np.nonzero(near & (left[:, None] != right[None, :]))
                 for r, c in zip(rows.tolist(), cols.tolist()):
                     x, y = root(i + r), root(j + c)
@@ -135,8 +139,23 @@ class Ring:
         return out
 
 
-def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """Links ``a < b`` between distinct fingerprints (column ``fp``) that connect all within ``distance`` bits."""
+def _links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1)), pa.array(np.zeros(len(pairs), dtype=bool))], ["a", "b", "more"])
+
+
+def enough_segments(n: int, distance: int = MAX_DISTANCE) -> int:
+    """Segments whose keys are long enough for ``n`` distinct fingerprints: of random ones, a key has a few dozen at most."""
+    choices = [min(64, max(1, times * distance)) for times in (3, 4, 6)]
+    return next((m for m in choices if n >> min(mask.bit_count() for _, mask in Ring(distance, m).key_masks) < 64), choices[-1])
+
+
+def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGMENTS, held: int = HELD) -> DataFrame:
+    """Links ``a < b`` between distinct fingerprints (column ``fp``) that connect all within ``distance`` bits.
+
+    A task compares up to ``held`` fingerprints of one key. Those of a key with more are dealt into blocks of that size,
+    and every two blocks meet in a task of their own, so no key is bound to one task.
+    """
     ring = Ring(distance, segments)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,42 +166,89 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGMENTS
                 flat = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(got, keys.shape[1]).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(flat, ["key", "fp"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_fps = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-        def within(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            sizes = np.diff(np.append(edges, len(keys)))
-            found: list[tuple[int, int]] = []
-            tags = keys[edges] & np.uint64(65535)
-            two = edges[sizes == 2]
-            for tag, (start, _) in enumerate(ring.key_masks):
-                at = two[tags[sizes == 2] == tag]
-                if len(at):
-                    hit = at[ring.linked(fps[at], fps[at + 1], start)]
-                    found.extend(zip(fps[hit].tolist(), fps[hit + 1].tolist()))
-            for i in np.flatnonzero(sizes > 2).tolist():
-                group = np.unique(fps[edges[i] : edges[i] + sizes[i]])
-                found.extend(ring.forest(group, ring.key_masks[int(tags[i])][0]))
-            pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+    def within(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        """Links inside the groups of equal keys, all of them whole."""
+        edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(edges, len(keys)))
+        found: list[tuple[int, int]] = []
+        tags = keys[edges] & np.uint64(65535)
+        two = edges[sizes == 2]
+        for tag, (start, _) in enumerate(ring.key_masks):
+            at = two[tags[sizes == 2] == tag]
+            if len(at):
+                hit = at[ring.linked(fps[at], fps[at + 1], start)]
+                found.extend(zip(fps[hit].tolist(), fps[hit + 1].tolist()))
+        for i in np.flatnonzero(sizes > 2).tolist():
+            found.extend(ring.forest(fps[edges[i] : edges[i] + sizes[i]], ring.key_masks[int(tags[i])][0]))
+        return _links_of(found)
+
+    def passed_on(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(np.ones(len(keys), dtype=bool))], ["a", "b", "more"])
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``more`` is false in links, and true in ``key, fp`` rows of keys with too many fingerprints for one task."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting, over = 0, None
         for batch in batches:
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            fps = np.concatenate([held_fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            keys, fps = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            if over is not None:
+                same = int(np.searchsorted(keys != over, True))
+                if same:
+                    yield passed_on(keys[:same], fps[:same])
+                keys, fps = keys[same:], fps[same:]
             if not len(keys):
                 continue
-            tail = np.flatnonzero(keys != keys[-1])
-            last = int(tail[-1]) + 1 if len(tail) else 0
-            held_keys, held_fps = keys[last:], fps[last:]
-            if last:
-                yield within(keys[:last], fps[:last])
-        if len(held_keys):
-            yield within(held_keys, held_fps)
+            over = None
+            last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if last or (parts and parts[-1][0][-1] != keys[0]):
+                cut = last or 0
+                parts.append((keys[:cut], fps[:cut]))
+                yield within(*(np.concatenate(p) for p in zip(*parts)))
+                parts, waiting = [], 0
+            parts.append((keys[last:], fps[last:]))
+            waiting += len(keys) - last
+            if waiting > held:
+                over = keys[-1]
+                for part in parts:
+                    yield passed_on(*part)
+                parts, waiting = [], 0
+        if parts:
+            yield within(*(np.concatenate(p) for p in zip(*parts)))
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks ``i`` and ``j`` of a key, sorted by key, pair and block, of which a task holds one pair at a time."""
+        now, sides = None, ([], [])
+
+        def close() -> pa.RecordBatch:
+            key, i, j = now
+            first, second = (np.unique(np.array(side, dtype=np.int64).view(np.uint64)) for side in sides)
+            start = ring.key_masks[key & 65535][0]
+            if i == j:
+                return _links_of(ring.forest(first, start))
+            return _links_of(ring.forest(np.concatenate([first, second]), start, len(first)) if len(first) and len(second) else [])
+
+        for batch in batches:
+            for key, i, j, block, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != now:
+                    if now is not None:
+                        yield close()
+                    now, sides = (key, i, j), ([], [])
+                sides[block != i].append(fp)
+        if now is not None:
+            yield close()
 
     keyed = fps.select("fp").distinct().mapInArrow(emit, "key long, fp long")
-    met = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return met.mapInArrow(meet, "a long, b long").filter("a <> b").distinct()
+    met = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long, more boolean")
+    met = stored(met, "met")
+    found, more = met.filter("NOT more").select("a", "b"), met.filter("more").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    if not more.isEmpty():
+        blocks = more.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / held).cast("int").alias("n"), F.count(F.lit(1)).alias("rows"))
+        dealt = join_spread(more, blocks, ["key"], "rows", more.count()).withColumn("block", F.pmod(F.xxhash64("fp"), "n").cast("int"))
+        pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
+        pairs = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
+        found = found.unionByName(pairs.mapInArrow(cross, "a long, b long, more boolean").select("a", "b"))
+    return found.filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -199,10 +265,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_spread(both, low, ["u"], "n", before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_spread(large, low, ["u"], "n", before[0])
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
@@ -217,20 +283,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE, segments: int = SEGMENTS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE, segments: int | None = None
 ) -> DataFrame:
     """``doc_id, fp, component_id`` of every row; component_id is the smallest doc_id reachable over links.
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat an id are rows of their own.
-    Null ids are never the smallest unless a component has no other. An empty table gives no rows.
+    Null ids are never the smallest unless a component has no other. An empty table gives no rows. ``segments`` follows
+    the number of distinct fingerprints if not given; the result doesn't depend on it.
     """
     prints = stored(fingerprints(docs, key, text), "simhash")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(prints, distance, segments))
-    joined = first.join(found, first.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = joined.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "prints")
+    totals = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = stored(components(links(first, distance, segments or enough_segments(totals[0], distance))), "roots")
+    joined = first.join(found, first.fp == found.node, "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+    smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    classes = join_spread(joined, smallest, ["root"], "prints", totals[0]).select("fp", "n", "component_id")
+    return join_spread(prints, classes, ["fp"], "n", totals[1]).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

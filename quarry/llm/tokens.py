@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+#: Words of more bytes are hashed one by one.
+VERY_LONG = 1024
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 #: Buckets that stand for a word's shape: lower case, capital first letter, capitals, number, other signs.
 SHAPES = 5
@@ -26,8 +30,8 @@ _LOWER[65:91] += 32
 def hashed_words(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``bucket``, ``shape`` and ``owner`` (the text's number) of every word, in order.
 
-    A word is a run of letters, of digits or of other signs, hashed by its length and its first and last eight bytes
-    in lower case. Bytes beyond ASCII count as letters.
+    A word is a run of letters, of digits or of other signs, hashed by its length and all its bytes in lower case. Bytes
+    beyond ASCII count as letters.
     """
     joined = b"\n".join(texts) + bytes(b"\n" * 9)
     raw = np.frombuffer(joined, dtype=np.uint8)
@@ -42,6 +46,16 @@ def hashed_words(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarr
     head = eights[starts].view("<u8")[:, 0] & mask
     tail = eights[np.maximum(ends - 8, starts)].view("<u8")[:, 0] & mask
     code = head * np.uint64(0x9E3779B97F4A7C15) ^ (tail + lengths.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    # What lies between the first and the last eight bytes, eight at a time; of very long words by a digest.
+    long, at = np.flatnonzero(lengths > 16), 8
+    for i in long[lengths[long] > VERY_LONG].tolist():
+        code[i] ^= np.uint64(int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]], digest_size=8).digest(), "little"))
+    long = long[lengths[long] <= VERY_LONG]
+    while len(long):
+        middle = eights[starts[long] + at].view("<u8")[:, 0]
+        code[long] = (code[long] ^ middle ^ (middle >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        at += 8
+        long = long[lengths[long] > at + 8]
     code ^= code >> np.uint64(32)
     code *= np.uint64(0xD6E8FEB86659FD93)
     bucket = (code >> np.uint64(40)).astype(np.int64) % (buckets - SHAPES) + SHAPES

@@ -137,7 +137,7 @@ def test_links_lose_nothing(spark, segments):
     expected = brute_components(fps, near)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long").repartition(3)
-    found = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, 4, segments).collect()}
+    found = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, 4, segments, held=7 if segments in (8, 12) else simhash.HELD).collect()}
     assert found <= {tuple(sorted(p)) for p in near} | {tuple(sorted(p, reverse=True)) for p in near}
     assert brute_components(fps, found) == expected
 
@@ -154,6 +154,19 @@ def test_large_group_forest(monkeypatch):
     assert len(found) < len(fps)
 
 
+def test_a_hot_key_is_dealt_out(spark, monkeypatch):
+    """All fingerprints share the bits of a key; far more than a task holds."""
+    monkeypatch.setattr("quarry.llm.common.HOT_SHARE", 10)
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 40, 12000).astype(np.int64) << 22 | 5
+    near = fps[:3000] ^ (np.int64(7) << rng.integers(22, 58, 3000))
+    df = spark.createDataFrame([(int(f),) for f in np.concatenate([fps, near])], "fp long")
+    edges = simhash.links(df, held=1000)
+    found = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert all(found[min(int(a), int(b))] == found[max(int(a), int(b))] for a, b in zip(fps[:3000], near))
+    assert all(bin((r.a ^ r.b) % (1 << 64)).count("1") <= 4 for r in edges.collect())
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
     random.Random(1).shuffle(edges)
@@ -162,6 +175,13 @@ def test_components_of_a_path(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("quarry.llm.common.HOT_SHARE", 10)
+    edges = [(50, i) for i in range(400) if i != 50] + [(500 + i, 501 + i) for i in range(20)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(400)}, **{500 + i: 500 for i in range(21)}}
+
+
 def test_near_groups(spark):
     pairs = [(5, "one two three four five"), (3, "One TWO three four five"), (9, None), (2, " \n"), (None, ""), (7, "x"), (7, "x"), (11, "É é"), (12, "k " * 5000)]
     got = simhash.near_groups(frame(spark, pairs)).collect()

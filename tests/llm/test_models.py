@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import langid, quality
+from quarry.llm.tokens import SHAPES, hashed_words
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 EDGES = [(1, None), (2, ""), (3, "12 ... !!"), (4, "a " * 30000), (5, "日本語"), (5, "日本語"), (None, "the of and")]
@@ -96,3 +98,102 @@ def test_every_language_is_learned(spark):
     got = {r.doc_id: r.lang_pred for r in model.score(df).collect()}
     assert len(set(got.values())) > 200 and np.mean([got[r[0]] == r[2] for r in rows]) > 0.8
     assert np.mean([got[r[0]] == r[2] for r in rows if r[2] >= "q200"]) > 0.7
+
+
+def test_words_are_hashed_by_all_their_bytes():
+    words = [("a" * i + "b" + "a" * (n - i - 1)).encode() for n in (17, 24, 33, 40, 1024, 1025, 2000) for i in range(0, n, 7)]
+    bucket, _, owner = hashed_words(words, 1 << 24)
+    assert owner.tolist() == list(range(len(words))) and len(set(bucket.tolist())) >= len(words) - 2
+    again, _, _ = hashed_words([b" ".join(words)], 1 << 24)
+    assert again.tolist() == bucket.tolist() == hashed_words([w.upper() for w in words], 1 << 24)[0].tolist()
+
+
+def brute_scores(model, texts):
+    """The network and its features, a text and a word at a time."""
+    out = []
+    for t in texts:
+        words, shapes, _ = hashed_words([t], quality.BUCKETS)
+        rows = [model.vectors[w].astype(float) + model.vectors[s] for w, s in zip(words, shapes)]
+        x = np.zeros(2 * quality.DIMS + SHAPES + 1)
+        if rows:
+            mean = sum(rows) / len(rows)
+            share = [sum(s == k for s in shapes.tolist()) / len(rows) for k in range(SHAPES)]
+            x = np.concatenate([mean, np.sqrt(np.maximum(sum(r * r for r in rows) / len(rows) - mean * mean, 0)), share, [np.log1p(len(rows)) / 10]])
+        n = model.network
+        hidden = np.tanh((x - n.centre) / n.scale @ n.w1 + n.b1)
+        out.append(1 / (1 + np.exp(-(hidden @ n.w2 + n.b2) / n.temperature)))
+    return np.array(out)
+
+
+def brute_vectors(texts):
+    """Index vectors of the neighbours of every word, added up a word at a time."""
+    signs, sums = quality.index_vectors().astype(int), np.zeros((quality.BUCKETS, quality.DIMS))
+    for t in texts:
+        words, shapes, _ = hashed_words([t], quality.BUCKETS)
+        for i in range(len(words)):
+            near = sum(signs[words[j]] for j in range(max(0, i - quality.WINDOW), min(len(words), i + quality.WINDOW + 1)) if j != i) + np.zeros(quality.DIMS)
+            sums[words[i]] += near
+            sums[shapes[i]] += near
+    norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    return sums / np.where(norms == 0, 1, norms)
+
+
+def test_quality_query_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.production_model(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    texts = [(r.text or "").encode() for r in rows]
+    assert np.allclose(model.vectors, brute_vectors(texts), atol=1e-5)
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.op2_quality_classifier(spark, SF).collect()}
+    expected = brute_scores(model, texts)
+    assert np.allclose([got[r.doc_id][0] for r in rows], expected, atol=1e-4)
+    assert all(got[r.doc_id][1] == (s >= 0.7) for r, s in zip(rows, expected) if abs(s - 0.7) > 1e-4)
+
+
+def test_language_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    import zlib
+
+    rows = docs.select("doc_id", "text").collect()
+    model = langid.fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    weights = dict(zip(model.pairs, model.weights.astype(float)))
+
+    def best(names, prefix, x):
+        votes, margins = {n: 0 for n in names}, {n: 0.0 for n in names}
+        for (a, b), w in weights.items():
+            if a.startswith(prefix) and a[len(prefix) :] in names and b[len(prefix) :] in names:
+                m = float(x @ w[:-1] + w[-1])
+                a, b = a[len(prefix) :], b[len(prefix) :]
+                votes[a if m >= 0 else b] += 1
+                margins[a] += m
+                margins[b] -= m
+        return max(names, key=lambda n: (votes[n], margins[n], n))
+
+    def counts(text):
+        low = b" " + "".join(chr(c + 32) if 65 <= c <= 90 else chr(c) for c in text.encode()).encode("latin-1") + b" "
+        out = np.zeros(langid.FEATURES)
+        mix = lambda c: ((c ^ c >> 15) * 2246822519 % (1 << 32)) >> 21
+        for i in range(len(low) - 1):
+            pair = (low[i] * 2654435761 ^ low[i + 1] * 2246822519) % (1 << 32)
+            out[mix(pair)] += 1
+            if i + 2 < len(low):
+                out[mix(pair ^ (low[i + 2] + 1) * 3266489917 % (1 << 32))] += 1
+        return np.sqrt(out) / np.linalg.norm(np.sqrt(out))
+
+    got = {r.doc_id: r for r in langid.op9_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows[::3]:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        x = counts(r.text)
+        family = best(model.families, langid.FAMILY, x)
+        assert got[r.doc_id].lang_pred == best(model.members[family], "", x)
+
+
+def test_a_language_of_nearly_all_rows_is_sampled(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "das ist gut").otherwise("this is good").alias("text"), F.when(F.col("id") % 100 == 0, "de").otherwise("en").alias("lang"))
+    model = langid.fit(docs, per_language=40)
+    assert {r.lang_pred for r in model.score(docs).filter("doc_id % 100 = 0").collect()} == {"de"}
+    assert {r.lang_pred for r in model.score(docs).filter("doc_id % 100 = 1").collect()} == {"en"}

@@ -1,6 +1,8 @@
 """Rules, URLs, chats, tokens and packing."""
 
 import hashlib
+import re
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +41,9 @@ def test_rules_edges(spark):
     for i, t in enumerate(texts):
         assert got[i].n_repeat_words == repeats_brute(t), t
     assert not any(got[i].kept for i in (0, 1, 2, 3, 4, 5, 6, 9)) and got[7].kept and got[8].kept
+    for stock in ("Alle Rechte vorbehalten.", "Tous droits réservés", "Todos los derechos reservados", "Weiterlesen", "Lire la suite", "Leer más"):
+        one = spark.createDataFrame([(1, good + "\n" + stock)], "doc_id long, text string")
+        assert rules.judge(one).first().clean_text == good
     assert got[8].clean_text == good and got[8].lines_removed == 1 and got[10].n_dup_lines == 2 and got[11].lines_removed == 2
     assert rules.judge(df.limit(0)).count() == 0
 
@@ -136,10 +141,40 @@ def test_url_query(spark):
             assert got[p.page_id].verdict == best.verdict
 
 
+def test_url_verdicts_of_the_query(spark):
+    """The whole table against plain ranks: the given pages link only inside their hosts, so seeds decide."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r.page_id: r for r in url_filters.op7_url_filters(spark, SF).collect()}
+    verdict = {r.pattern: r.verdict for r in url_filters.RULES}
+    tally: dict = {}
+    for r in got.values():
+        if r.host and r.rule:
+            tally[r.host] = tally.get(r.host, 0) + (1 if verdict[r.rule] == "allow" else -1)
+    edges: set = set()
+    for p in pages:
+        for m in re.findall(url_filters.LINK, p.html or ""):
+            if m.lower() != got[p.page_id].host and got[p.page_id].host:
+                edges.add((got[p.page_id].host, m.lower()))
+    assert not edges
+    for r in got.values():
+        assert r.verdict == (verdict[r.rule] if r.rule else "block" if tally.get(r.host, 0) < 0 else "allow")
+
+
 def test_chat_query(spark):
     assert_equal(chat.op8_chat_formatting(spark, SF), chat.SQL, SF)
 
 
+def test_long_chats_take_time_in_proportion(spark):
+    def took(n):
+        df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some text").alias("text"))
+        began = time.monotonic()
+        assert chat.format_chats(df).select(F.size("loss_spans")).first()[0] == n // 2
+        return time.monotonic() - began
+
+    took(1000)
+    assert took(80_000) < 16 * took(10_000) + 5
+
+
 def test_chat_round_trip(spark):
     nasty = ["", "\\", "\\0", "\\1<", "<next>", "</turn>\n", "<turn user>", "a\\\\<b>\n", "é😀", chat.TRICKY]
     turns = [(1, i, ["user", "assistant", "assistant", "system"][i % 4], t) for i, t in enumerate(nasty)]
@@ -152,6 +187,7 @@ def test_chat_round_trip(spark):
         own = sorted(((t[1] if t[1] is not None else -1, t[2] or "", t[3] or "") for t in turns if t[0] == conv))
         assert [(t.role, t.text) for t in got[conv].turns] == [(r, t) for _, r, t in own]
         assert got[conv].loss == "".join(t for _, r, t in own if r == "assistant")
+    assert [got[4].formatted[x.start : x.start + x.length] for x in got[4].loss_spans] == [str(i) for i in range(700)]
     assert got[4].formatted.count("<turn ") == 1 and got[4].formatted.count("<next>") == 699
     assert chat.format_chats(df.limit(0)).count() == 0
 
