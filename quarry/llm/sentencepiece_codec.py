@@ -85,19 +85,43 @@ class Pieces:
             for k in range(1, len(piece)):
                 if piece[:k] in self.ids and piece[k:] in self.ids:
                     pairs.append((self.ids[piece[:k]] << 20 | self.ids[piece[k:]], rank, self.ids[piece]))
-        table = np.array(sorted(pairs) or [(-1, 0, 0)], dtype=np.int64)
-        self.pairs = np.ascontiguousarray(table[:, 0])
-        self.pair_rank, self.pair_id = (np.ascontiguousarray(table[:, i]).astype(np.int32) for i in (1, 2))
+        table = np.array(pairs or [(-1, 0, 0)], dtype=np.int64)
+        self.bits = max(4, 2 + len(table).bit_length())
+        self.slots = np.full((1 << self.bits) + len(table), -1, dtype=np.int64)
+        self.pair_rank, self.pair_id = (np.full(len(self.slots), x, dtype=np.int32) for x in (_NEVER, -1))
+        waiting, slot = np.arange(len(table)), self._slot(table[:, 0])
+        while len(waiting):
+            placed = np.unique(slot[waiting], return_index=True)[1]
+            placed = waiting[placed[self.slots[slot[waiting[placed]]] < 0]]
+            for column, x in zip((self.slots, self.pair_rank, self.pair_id), table[placed].T):
+                column[slot[placed]] = x
+            waiting = np.setdiff1d(waiting, placed)
+            slot[waiting] += 1
         self.of_code = np.full(0x110000, -1, dtype=np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.of_code[ord(piece)] = i
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(_BY_RANK)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks and ids of the pieces that neighbouring pieces make; ``_NEVER`` where they make none."""
-        keys = np.where((left < 0) | (right < 0), -2, left.astype(np.int64) << 20 | right)
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == keys, self.pair_rank[at], np.int32(_NEVER)), self.pair_id[at]
+        """Ranks and ids of the pieces that neighbouring pieces make; ``_NEVER`` where they make none.
+
+        A pair is at its hash's place of the table or right behind it, before the next free place.
+        """
+        keys = left.astype(np.int64) << 20 | right
+        at = self._slot(keys)
+        found = self.slots[at]
+        on = np.flatnonzero((found != keys) & (found >= 0))
+        while len(on):
+            at[on] += 1
+            found = self.slots[at[on]]
+            on = on[(found != keys[on]) & (found >= 0)]
+        none = keys < 0
+        if none.any():
+            at[none] = len(self.slots) - 1
+        return self.pair_rank[at], self.pair_id[at]
 
 
 @lru_cache(maxsize=2)
@@ -239,35 +263,36 @@ class Codec:
         Without ``keys`` also the rows that were merged in each round, and what the hashes of these merges start from.
         """
         n, width = symbols.shape
-        place = np.tile(np.arange(width, dtype=np.int16), (n, 1))
-        ranks, made = self.pieces.look_up(symbols[:, :-1], symbols[:, 1:])
-        columns, alive, trace = np.arange(width), np.arange(n), []
+        cells = np.arange(n * width, dtype=np.int32)
+        after, before = cells + 1, cells - 1
+        before[::width] = -1
+        ranks, made = (np.full((n, width), x, dtype=np.int32) for x in (_NEVER, -1))
+        found = self.pieces.look_up(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())
+        ranks[:, :-1], made[:, :-1] = (x.reshape(n, width - 1) for x in found)
+        pieces, rank, piece = symbols.ravel(), ranks.ravel(), made.ravel()
+        alive, trace = np.arange(n), []
         while len(alive):
             at = ranks[alive].argmin(axis=1)
-            best = ranks[alive, at]
+            cell = alive * width + at
+            best = rank[cell]
             going = best != _NEVER
-            alive, at, best = alive[going], at[going], best[going]
-            rows, i = alive, at
-            x = best.astype(np.uint64) * np.uint64(_BY_RANK) + place[rows, i].astype(np.uint64) * np.uint64(_BY_START)
+            alive, at, cell, best = alive[going], at[going], cell[going], best[going]
+            x = best.astype(np.uint64) * np.uint64(_BY_RANK) + at.astype(np.uint64) * np.uint64(_BY_START)
             if keys is None:
-                trace.append((rows, x))
+                trace.append((alive, x))
             else:
-                skipped = self._fall_below(x + keys[rows])
-                ranks[rows[skipped], i[skipped]] = _NEVER
-                rows, i = rows[~skipped], i[~skipped]
-            if not len(rows):
-                continue
-            symbols[rows, i] = made[rows, i]
-            moved = np.minimum(columns + (columns > i[:, None]), width - 1)
-            flat = rows[:, None] * width + moved
-            symbols[rows], place[rows] = symbols.ravel()[flat], place.ravel()[flat]
-            flat = rows[:, None] * (width - 1) + np.minimum(moved[:, :-1], width - 2)
-            ranks[rows], made[rows] = ranks.ravel()[flat], made.ravel()[flat]
-            ranks[rows, i], made[rows, i] = self.pieces.look_up(symbols[rows, i], symbols[rows, i + 1])
-            ranks[rows, width - 2] = np.where(i == width - 2, ranks[rows, i], _NEVER)
-            inner = i > 0
-            rows, i = rows[inner], i[inner]
-            ranks[rows, i - 1], made[rows, i - 1] = self.pieces.look_up(symbols[rows, i - 1], symbols[rows, i])
+                skipped = self._fall_below(x + keys[alive])
+                rank[cell[skipped]] = _NEVER
+                cell = cell[~skipped]
+            right, joined = after[cell], piece[cell]
+            behind = after[right]
+            pieces[cell], pieces[right], rank[right] = joined, -1, _NEVER
+            after[cell], before[behind] = behind, cell
+            rank[cell], piece[cell] = self.pieces.look_up(joined, pieces[behind])
+            front = before[cell]
+            inner = front >= 0
+            front = front[inner]
+            rank[front], piece[front] = self.pieces.look_up(pieces[front], joined[inner])
         left = symbols >= 0
         return symbols[left], left.sum(axis=1), trace
 
@@ -301,9 +326,9 @@ class Codec:
         begins, merges = self.id_begins.array, self.merge_begins.array
         begin, count, pool = begins[n], begins[n + 1] - begins[n], self.ids.array
         if self.limit:
-            x = self.merges.array[_ranges(merges[n], merges[n + 1] - merges[n])]
-            of = np.repeat(np.arange(len(n)), merges[n + 1] - merges[n])
-            hit = of[self._fall_below(x + keys[of])]
+            sizes = merges[n + 1] - merges[n]
+            x = self.merges.array[_ranges(merges[n], sizes)]
+            hit = np.searchsorted(np.cumsum(sizes), np.flatnonzero(self._fall_below(x + np.repeat(keys, sizes))), side="right")
             odd = hit[np.append(True, hit[1:] != hit[:-1])] if len(hit) else hit
             if len(odd):
                 ids, sizes = self.segment_all([units[i] for i in odd.tolist()], keys[odd])
