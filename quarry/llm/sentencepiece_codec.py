@@ -6,7 +6,7 @@ keyed hash of the seed, the document, its place in it and its piece falls below
 occurrence of a word is varied on its own, alike for the same seed. Every segmentation decodes to the text.
 
 No piece joins a sign to a space mark behind it, nor a letter to a stop or comma, so text is segmented unit by unit
-(space marks and what follows them). A unit's merges without dropout are remembered with its ids: an occurrence whose
+(space marks and what follows them); a model with pieces that do join such signs has its texts segmented whole. A unit's merges without dropout are remembered with its ids: an occurrence whose
 hashes skip none of these has these ids, and only the others are segmented anew.
 """
 
@@ -44,11 +44,16 @@ _NEVER = (1 << 31) - 1
 _LONG = 48
 
 
-def _split(text: str) -> list[str]:
+#: A piece with such a place in it would join two units.
+_JOINS_UNITS = re.compile(f"[^{MARK}]{MARK}|\n.|.\n|[A-Za-zÀ-ÖØ-öø-ɏ][.,!?;:]", re.DOTALL)
+
+
+def _split(text: str, whole: bool = False) -> list[str]:
     if _OWN_MARK not in text:
-        return _UNITS.findall(text.replace(MARK, _OWN_MARK).replace(" ", MARK))
+        text = text.replace(MARK, _OWN_MARK).replace(" ", MARK)
+        return [text] if whole else _UNITS.findall(text)
     parts = re.split(f"({_OWN_MARK})", text)
-    return [u for p in parts if p for u in ([_OWN_STAND_IN] if p == _OWN_MARK else _split(p))]
+    return [u for p in parts if p for u in ([_OWN_STAND_IN] if p == _OWN_MARK else _split(p, whole))]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -97,6 +102,7 @@ class Pieces:
                 column[slot[placed]] = x
             waiting = np.setdiff1d(waiting, placed)
             slot[waiting] += 1
+        self.join_units = any(map(_JOINS_UNITS.search, self.ids))
         self.of_code = np.full(0x110000, -1, dtype=np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -301,7 +307,7 @@ class Codec:
 
     def encode_batch(self, raws: list[bytes], places: list[int]) -> list[bytes]:
         """:meth:`encode` of many texts; their units are looked up, and segmented where dropout asks for it, together."""
-        split = [_split(" " + raw.decode("utf-8", "surrogateescape")) if raw else [] for raw in raws]
+        split = [_split(" " + raw.decode("utf-8", "surrogateescape"), self.pieces.join_units) if raw else [] for raw in raws]
         sizes = np.array([len(u) for u in split], dtype=np.int64)
         stops = np.cumsum(sizes)
         documents = _mixed(np.array([self.seed * _BY_RANK + p & _MASK for p in places], dtype=np.uint64))

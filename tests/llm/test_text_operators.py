@@ -307,6 +307,48 @@ def test_arrays_segment_as_single_units():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [codec.segment(u, int(k)) for u, k in zip(units, keys)]
 
 
+def brute_agenda(pieces, raw, doc_id, dropout, seed):
+    """One merge after another over all pairs of a unit, each looked at anew; numbers instead of arrays."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    document = mixed(seed * 0x9E3779B97F4A7C15 + int.from_bytes(hashlib.blake2b(str(doc_id).encode(), digest_size=8).digest()) & mask)
+    out = []
+    for position, unit in enumerate(sentencepiece_codec._split(" " + raw.decode()) if raw else []):
+        key = mixed(document + position * 0xD6E8FEB86659FD93 & mask)
+        parts, skipped = [(i, c) for i, c in enumerate(unit)], set()
+        while True:
+            pairs = [(pieces.rank[a + b], i, a, b) for (i, a), (_, b) in zip(parts, parts[1:]) if a + b in pieces.rank and (i, a, b) not in skipped]
+            if not pairs:
+                break
+            rank, i, a, b = min(pairs)
+            x = rank * 0x9E3779B97F4A7C15 + i * 0xD6E8FEB86659FD93 + key & mask
+            if ((x ^ x >> 32) * 0xBF58476D1CE4E5B9 & mask) >> 32 < int(dropout * (1 << 32)):
+                skipped.add((i, a, b))
+                continue
+            at = [n for n, (start, _) in enumerate(parts) if start == i][0]
+            parts[at : at + 2] = [(i, a + b)]
+        for _, p in parts:
+            own = {sentencepiece_codec._OWN_MARK: "▁", sentencepiece_codec._OWN_STAND_IN: sentencepiece_codec._OWN_MARK}.get(p, p)
+            out.extend([pieces.ids[p]] if p in pieces.ids else [pieces.bytes_id[x] for x in own.encode()])
+    return out
+
+
+def test_pieces_that_join_units(codecs, monkeypatch):
+    """A model whose pieces join signs across units is segmented over whole texts; without such pieces both ways agree."""
+    pieces = codecs[0].pieces
+    assert not pieces.join_units
+    for piece in ("a▁b", "▁a▁", "\n\n", "ab.", "a\n"):
+        assert sentencepiece_codec._JOINS_UNITS.search(piece)
+    found = [ids_of(codecs[0], t) for t in [*ODD, "▁own \ue000 marks. Two,three\n\nx"]]
+    monkeypatch.setattr(pieces, "join_units", True)
+    assert [ids_of(sentencepiece_codec.Codec(sentencepiece_codec.production_path(), 0.0), t) for t in [*ODD, "▁own \ue000 marks. Two,three\n\nx"]] == found
+
+
 def test_bytes_that_are_not_utf8(codecs):
     for codec in codecs:
         raw = b"\xff\xfe a\x80"
@@ -317,7 +359,10 @@ def test_sentencepiece_query(spark):
     got = sentencepiece_codec.op5_sentencepiece(spark, SF).toPandas()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert got.lossless.all() and len(got) == len(docs)
+    pieces = sentencepiece_codec._pieces(sentencepiece_codec.production_path())
     for r in got.itertuples():
+        ids = brute_agenda(pieces, docs[r.doc_id].encode(), r.doc_id, sentencepiece_codec.DROPOUT, sentencepiece_codec.SEED)
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
     df = spark.createDataFrame([(1, None, 3), (2, "", 4)], "doc_id long, text string, ids int")
     out = sentencepiece_codec.decode(sentencepiece_codec.encode(df, sentencepiece_codec.production_path()), sentencepiece_codec.production_path())
