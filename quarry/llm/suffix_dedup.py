@@ -7,15 +7,20 @@ suffix of a corpus moves it many times over, so the strings that could repeat ar
    Equal strings have equal anchors at equal places, so a string whose anchor's hash occurs once in the corpus cannot
    repeat. The strings of one anchor occurrence are neighbours; together they are a stretch of at most 176 bytes. One
    shuffle of two hashes (of the anchor and of its whole stretch) for each 40 bytes or so brings anchors together.
-   Those that occur once are done with. Of stretches that are equal as a whole, all but the first repeat.
-2. *Stretches.* Where one anchor has several different stretches, the first of each kind is cut out of its text and
+   Those that occur once are done with.
+2. *Claims.* Stretches of one anchor whose hashes agree are sorted by their places, and each claims to equal the one
+   before it. Claims of neighbouring stretches on the same text are one claim. The claimed bytes go to the text they
+   are said to equal and are compared there. As each stretch has one claim on it at most, no text gets many.
+3. *Stretches.* Where one anchor has several different stretches, the first of each kind is cut out of its text and
    meets the others by the anchor's hash. Anchors of very many different stretches meet by their whole strings
    instead, one row each, so no group grows with the corpus.
-3. *Suffix sort.* Every task sorts the suffixes of its stretches by the difference-cover algorithm (sampled triples,
+4. *Suffix sort.* Every task sorts the suffixes of its stretches by the difference-cover algorithm (sampled triples,
    recursion on names, merge of the others, :mod:`quarry.llm.suffix_sort`) in blocks of whole groups, and compares
    the prefixes of adjacent suffixes: a run of suffixes with 100 bytes in common is one string, of which the first
    occurrence stays.
 
+Nothing is removed because hashes agree: bytes are compared before. A claim that doesn't hold stops the job with an
+error that says so, and another ``seed`` of the hashes is to be taken; the chance of one is below 1e-11 for 100 TB.
 The places found come back as spans per document and are cut out of the whole texts.
 """
 
@@ -41,8 +46,10 @@ BLOCK_BYTES = 1 << 19
 #: Single strings a task remembers to settle later copies at once; when full it starts anew, which changes no result.
 REMEMBERED = 100_000
 GROUP_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of one claim, at most.
+CLAIM_BYTES = 1 << 18
+SEED = 20240501
+_SPREAD = 0x9E3779B97F4A7C15
 _INDEX_BITS = 24
 _SHIFT = 40
 
@@ -50,16 +57,17 @@ _SHIFT = 40
 class Anchors:
     """Finds the anchor of every string of ``length`` bytes in many texts at once."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, seed: int = SEED):
         if not 0 < gram <= length:
             raise ValueError("need 0 < gram <= length")
+        self.base = int.from_bytes(hashlib.blake2b(str(seed).encode(), digest_size=8).digest()) & ~7 | 5
         self.length, self.gram = length, gram
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def _grow(self, n: int) -> None:
         if n > len(self.up):
             n = 2 * n
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 powers = np.full(n, base, dtype=np.uint64)
                 powers[0] = 1
                 setattr(self, name, np.multiply.accumulate(powers))
@@ -123,28 +131,33 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.select("k", nth.alias("nth"), "raw", "rest")
 
 
-def anchor_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def anchor_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, seed: int = SEED) -> DataFrame:
     """``h, sign, k, loc`` of every stretch; ``loc`` holds the number among rows of one id, and the first start.
 
-    Of stretches that are equal within a group of documents, all but the first are settled at once: they get the bit
-    ``SETTLED`` in their sign and an ``h`` that spreads them over the tasks, so a line of many documents or many times in
-    one stays few rows of its own anchor.
+    Of stretches that are equal within a group of documents, byte for byte, all but the first are settled at once: they
+    get the bit ``SETTLED`` in their sign and an ``h`` that spreads them over the tasks, so a line of many documents or
+    many times in one stays few rows of its own anchor.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Anchors(length, gram)
+        finder = Anchors(length, gram, seed)
         for batch in batches:
             ks, nths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, batch.num_rows, 400):
-                found = list(finder.runs(batch.column(2).slice(at, 400).to_pylist()))
+                texts = batch.column(2).slice(at, 400).to_pylist()
+                found = list(finder.runs(texts))
                 if found:
                     o = np.repeat([at + i for i, *_ in found], [len(f) for _, f, _, _ in found])
                     first, h, sign = (np.concatenate(c) for c in list(zip(*found))[1:])
                     k, loc = ks[o], nths[o].astype(np.int64) << _SHIFT | first
                     order = np.lexsort((loc, k, sign, h))
-                    again = order[1:][(h[order[1:]] == h[order[:-1]]) & (sign[order[1:]] == sign[order[:-1]])]
+                    alike = np.flatnonzero((h[order[1:]] == h[order[:-1]]) & (sign[order[1:]] == sign[order[:-1]]))
+                    again, before = order[1:][alike], order[:-1][alike]
+                    size = (sign[again] & np.uint64(SETTLED - 1)).astype(np.int64) + length
+                    pairs = zip((o[again] - at).tolist(), first[again].tolist(), (o[before] - at).tolist(), first[before].tolist(), size.tolist())
+                    again = again[np.fromiter((texts[i][a : a + n] == texts[j][b : b + n] for i, a, j, b, n in pairs), bool, len(again))]
                     sign[again] = sign[again] & np.uint64(SETTLED - 1) | np.uint64(SETTLED)
-                    spread = (k[again] * 1000003 + loc[again]).view(np.uint64) * np.uint64(_BASE)
+                    spread = (k[again] * 1000003 + loc[again]).view(np.uint64) * np.uint64(_SPREAD)
                     h[again] = (spread ^ (spread >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
                     arrays = [h.view(np.int64), sign.view(np.int64), k, loc]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "sign", "k", "loc"])
@@ -152,26 +165,30 @@ def anchor_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     return rows.select("k", "nth", "raw").mapInArrow(emit, "h long, sign long, k long, loc long")
 
 
-REPEATED, COMPARED, HOT_COMPARED = 0, 1, 2
+CLAIMED, COMPARED, HOT_COMPARED, REPEATED = 0, 1, 2, 3
 SETTLED = 128
+_MET = ["k", "loc", "last", "h", "kind", "at"]
 
 
 def meet_anchors(runs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``k, loc, last, h, kind``: stretches that repeat as a whole, and those that must be compared with others.
+    """``k, loc, last, h, kind, at``: stretches that repeat as a whole, that claim to, and that must be compared with others.
 
     Runs of one anchor come in the order of their places; a task keeps the signs of one anchor, ``hot`` at most. Of
-    anchors with more, every stretch whose sign isn't kept is compared by its single strings.
+    anchors with more, every stretch whose sign isn't kept is compared by its single strings. For a claim ``h`` and
+    ``at`` hold the id and the place of the stretch it is said to equal.
     """
     low = (1 << _SHIFT) - 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, over = None, {}, False
-        out: list[tuple[int, int, int, int, int]] = []
+        now, over = None, False
+        first: dict[int, tuple[int, int]] = {}
+        latest: dict[int, tuple[int, int]] = {}
+        out: list[tuple[int, ...]] = []
 
         def close() -> None:
-            if len(group) > 1 or over:
+            if len(first) > 1 or over:
                 kind = HOT_COMPARED if over else COMPARED
-                out.extend((k, loc, (loc & low) + (sign & 127), now, kind) for sign, (k, loc) in group.items())
+                out.extend((k, loc, (loc & low) + (sign & 127), now, kind, 0) for sign, (k, loc) in first.items())
 
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False)
@@ -183,30 +200,31 @@ def meet_anchors(runs: DataFrame, hot: int = HOT) -> DataFrame:
             if settled.any():
                 _, sign, k, loc = (c[settled] for c in numbers)
                 zero = np.zeros(len(k), dtype=np.int64)
-                done = [k, loc, (loc & low) + (sign & (SETTLED - 1)), zero, zero + REPEATED]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in done], ["k", "loc", "last", "h", "kind"])
+                done = [k, loc, (loc & low) + (sign & (SETTLED - 1)), zero, zero + REPEATED, zero]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in done], _MET)
             rows = np.flatnonzero(~single & ~settled)
             columns = [c[rows].tolist() for c in numbers]
             for code, sign, k, loc in zip(*columns):
                 if code != now:
                     close()
-                    now, group, over = code, {}, False
-                if sign in group:
-                    out.append((k, loc, (loc & low) + (sign & 127), 0, REPEATED))
-                elif len(group) < hot:
-                    group[sign] = (k, loc)
+                    now, over, first, latest = code, False, {}, {}
+                if sign in latest:
+                    out.append((k, loc, (loc & low) + (sign & 127), latest[sign][0], CLAIMED, latest[sign][1]))
+                    latest[sign] = (k, loc)
+                elif len(first) < hot:
+                    first[sign] = latest[sign] = (k, loc)
                 else:
                     over = True
-                    out.append((k, loc, (loc & low) + (sign & 127), now, HOT_COMPARED))
+                    out.append((k, loc, (loc & low) + (sign & 127), now, HOT_COMPARED, 0))
             if out:
-                yield _columns(out, ["k", "loc", "last", "h", "kind"])
+                yield _columns(out, _MET)
                 out = []
         close()
         if out:
-            yield _columns(out, ["k", "loc", "last", "h", "kind"])
+            yield _columns(out, _MET)
 
     met = runs.repartition("h").sortWithinPartitions("h", "k", "loc")
-    return met.mapInArrow(meet, "k long, loc long, last long, h long, kind long")
+    return met.mapInArrow(meet, ", ".join(f"{c} long" for c in _MET))
 
 
 def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -216,16 +234,57 @@ def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 _STRETCH = "h long, k long, loc long, last long, stretch binary"
 
 
-def _stretches(rows: DataFrame, met: DataFrame, length: int) -> DataFrame:
+def _with_places(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """``k, nth, raw``, lists ``s, last, h, kind, at`` of the document's stretches in ``met``, and ``rest``."""
+    low = F.lit((1 << _SHIFT) - 1)
+    found = met.select("k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), "last", "h", "kind", "at").alias("x"))
+    per_doc = found.groupBy("k", "nth").agg(F.collect_list("x").alias("xs"))
+    # ``rest`` goes along unused: so the texts are shuffled in the same form as for the cut, and that shuffle is reused.
+    return rows.join(per_doc, ["k", "nth"]).select("k", "nth", "raw", *[F.col(f"xs.{c}").alias(c) for c in ("s", "last", "h", "kind", "at")], "rest")
+
+
+def _claims(places: DataFrame, length: int) -> DataFrame:
+    """``k0, nth0, at, k, loc, last, bytes``: claims that ``bytes``, the starts ``loc..last``, are in that text at ``at``.
+
+    Neighbouring claims on one text are one, as far as ``CLAIM_BYTES`` go.
+    """
+    low, names = (1 << _SHIFT) - 1, ["k0", "nth0", "at", "k", "loc", "last", "bytes"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part_at in range(0, batch.num_rows, 200):
+                out: list[tuple] = []
+                for k, nth, text, *lists in zip(*(c.slice(part_at, 200).to_pylist() for c in batch.columns[:8])):
+                    merged: list[list[int]] = []
+                    for k0, nth0, shift, s, last in sorted((h, at >> _SHIFT, (at & low) - s, s, last) for s, last, h, kind, at in zip(*lists) if kind == CLAIMED):
+                        new = merged[-1] if merged else None
+                        if new and new[:3] == [k0, nth0, shift] and s <= new[4] + length and last - new[3] < CLAIM_BYTES:
+                            new[4] = max(new[4], last)
+                        else:
+                            merged.append([k0, nth0, shift, s, last])
+                    out.extend((k0, nth0, s + shift, k, nth << _SHIFT | s, last, text[s : last + length]) for k0, nth0, shift, s, last in merged)
+                if out:
+                    *numbers, texts = zip(*out)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(texts, pa.binary())], names)
+
+    return places.mapInArrow(emit, "k0 long, nth0 long, at long, k long, loc long, last long, bytes binary")
+
+
+def _proved(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """``k, loc, last`` of ``claims``, each compared with the text it is on; one that doesn't hold is an error."""
+    texts = rows.select(F.col("k").alias("k0"), F.col("nth").alias("nth0"), "raw", "rest")
+    equal = F.substr("raw", (F.col("at") + 1).cast("int"), F.length("bytes")) == F.col("bytes")
+    # The other columns in the message also keep the texts' shuffle in the form in which it is reused.
+    message = F.concat(F.lit("hashes of different strings are equal, take another seed: at "), F.col("at").cast("string"), F.lit(" of a document with "), F.to_json(F.struct("rest")))
+    joined = claims.withColumn("nth0", F.col("nth0").cast("int")).join(texts, ["k0", "nth0"])
+    return joined.select("k", "loc", F.when(equal, F.col("last")).otherwise(F.raise_error(message).cast("long")).alias("last"))
+
+
+def _stretches(places: DataFrame, length: int) -> DataFrame:
     """``h, k, loc, last, stretch``: stretches to be compared by ``h``, and settled ones, without ``stretch``.
 
     ``loc`` holds the document's number and the first string start, ``last`` is the last string start.
     """
-    low = F.lit((1 << _SHIFT) - 1)
-    found = met.select("k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), "last", "h", "kind").alias("x"))
-    per_doc = found.groupBy("k", "nth").agg(F.collect_list("x").alias("xs"))
-    # ``rest`` goes along unused: so the texts are shuffled in the same form as for the cut, and that shuffle is reused.
-    joined = rows.join(per_doc, ["k", "nth"]).select("k", "nth", "raw", *[F.col(f"xs.{c}").alias(c) for c in ("s", "last", "h", "kind")], "rest")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}
@@ -233,13 +292,15 @@ def _stretches(rows: DataFrame, met: DataFrame, length: int) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 out: list[tuple] = []
                 for k, nth, text, *lists in zip(*(c.slice(at, 200).to_pylist() for c in batch.columns[:7])):
+                    if not any(lists[3]):
+                        continue
                     base, settled = nth << _SHIFT, []
                     for s, last, h, kind in zip(*lists):
                         if kind == REPEATED:
                             settled.append((s, last))
                         elif kind == COMPARED:
                             out.append((h, k, base | s, last, text[s : last + length]))
-                        else:
+                        elif kind == HOT_COMPARED:
                             for j in range(s, last + 1):
                                 one = text[j : j + length]
                                 earlier = seen.get(one)
@@ -256,7 +317,7 @@ def _stretches(rows: DataFrame, met: DataFrame, length: int) -> DataFrame:
                 if out:
                     yield _batch(out)
 
-    return joined.mapInArrow(emit, _STRETCH)
+    return places.mapInArrow(emit, _STRETCH)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -343,7 +404,7 @@ def _settle(stretches: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(compare, "k long, loc long, last long")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, seed: int = SEED) -> DataFrame:
     """``doc_id, nth, raw, spans, kept, rest`` of every row: its bytes, the maximal spans that go, and the bytes that stay.
 
     ``rest`` is a struct of the other columns of ``docs`` (0 without any).
@@ -353,8 +414,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     empty, null ids come first, texts shorter than ``length`` keep all. Matches never cross documents.
     """
     rows = keyed(docs, key, text)
-    met = meet_anchors(anchor_runs(rows, length, gram), hot)
-    found = _settle(_stretches(rows, met, length), length)
+    places = _with_places(rows, meet_anchors(anchor_runs(rows, length, gram, seed), hot))
+    found = _settle(_stretches(places, length), length).unionByName(_proved(rows, _claims(places, length)))
     low = F.lit((1 << _SHIFT) - 1)
     spans = found.select(
         "k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), (F.col("last") + length).alias("e")).alias("p")
