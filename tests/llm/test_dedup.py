@@ -245,6 +245,45 @@ def test_repeats(spark, length, gram, hot, seed):
     assert got == brute_repeats(pairs, length)
 
 
+@pytest.mark.parametrize("hot", [8000, 3])
+def test_anchor_hashes_that_collide(spark, monkeypatch, hot):
+    """Nearly all anchors share a hash: many different stretches meet, and only their bytes tell them apart."""
+    rng = random.Random(9)
+    passage = ["".join(rng.choices("abcde fé", k=rng.randint(15, 60))) for _ in range(5)]
+    pairs = [(i, "".join(rng.choice([*passage, "".join(rng.choices("abcde", k=rng.randint(0, 30)))]) for _ in range(4))) for i in range(40)]
+    meet = suffix_dedup.meet_anchors
+    settled = F.col("sign").bitwiseAND(suffix_dedup.SETTLED) > 0
+    monkeypatch.setattr(suffix_dedup, "meet_anchors", lambda runs, hot: meet(runs.withColumn("h", F.when(settled, F.col("h")).otherwise(F.pmod("h", F.lit(3)))), hot))
+    assert found_repeats(suffix_dedup.repeats(frame(spark, pairs), length=12, gram=5, hot=hot)) == brute_repeats(pairs, 12)
+
+
+def test_a_claim_that_does_not_hold(spark, monkeypatch):
+    """Stretches whose hashes are all equal: an error, and no byte goes."""
+    rng = random.Random(10)
+    pairs = [(i, "".join(rng.choices("abcde", k=120))) for i in range(6)]
+    meet = suffix_dedup.meet_anchors
+    monkeypatch.setattr(suffix_dedup, "meet_anchors", lambda runs, hot: meet(runs.withColumn("h", F.lit(1)).withColumn("sign", F.col("sign").bitwiseAND(127)), hot))
+    with pytest.raises(Exception, match="take another seed"):
+        suffix_dedup.repeats(frame(spark, pairs), length=12, gram=5).collect()
+
+
+def test_seeds_change_hashes_and_not_results(spark):
+    text = "".join(random.Random(3).choices("abcdefgh ", k=700))
+    pairs = [(1, text), (2, text[100:500]), (3, "x" + text[300:] + text[:300])]
+    once, again = (suffix_dedup.repeats(frame(spark, pairs), seed=seed) for seed in (1, 2))
+    assert found_repeats(once) == found_repeats(again) == brute_repeats(pairs, 100)
+
+
+def test_claims_are_on_the_copy_before(spark):
+    """Each claim has the bytes of all its strings, and is on the copy next to it in the order of ids."""
+    text = "".join(random.Random(4).choices("abcdefgh ", k=9000))
+    rows = suffix_dedup.keyed(frame(spark, [(1, text), (2, "start " + text), (3, text)]).coalesce(1).repartition(3, "doc_id"))
+    places = suffix_dedup._with_places(rows, suffix_dedup.meet_anchors(suffix_dedup.anchor_runs(rows)))
+    whole = suffix_dedup._claims(places, 100).collect()
+    assert whole and all(bytes(r.bytes) in text.encode() and len(r.bytes) == r.last - (r.loc & (1 << 40) - 1) + 100 for r in whole)
+    assert {(r.k, r.k0) for r in whole} <= {(2, 1), (3, 2), (3, 1)}
+
+
 def test_repeats_of_one_id(spark):
     text = "".join(random.Random(1).choices("abcdefgh ", k=300))
     got = suffix_dedup.repeats(frame(spark, [(1, text), (1, text), (1, "x" + text)])).collect()
