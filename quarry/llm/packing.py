@@ -214,19 +214,25 @@ def pack(
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    pieces = stored(docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("raw")).mapInArrow(run, schema), "pieces")
-    order = pieces.withColumn("shorter", -F.col("length"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("raw")).mapInArrow(run, schema)
+    pieces = stored(rows.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    # Only what tells pieces apart is sorted: with their ids, the longest would make the first of its parts far the largest.
+    order = pieces.drop("ids").withColumn("shorter", -F.col("length"))
     bucketed = numbered(order, ["shorter", "doc_id", "start", "doc_tokens", "ids_crc32"], "sequence_id", "buckets").drop("shorter")
-    drop_stored(pieces)
-    return bucketed.withColumn("offset", F.lit(0).cast("long"))
+    if with_ids:
+        bucketed = bucketed.join(pieces.select("piece", "ids"), "piece")
+    else:
+        drop_stored(pieces)
+    return bucketed.drop("piece").withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """Write pieces as one folder per length, so that a reader draws equal lengths without padding.
 
-    Pieces come sorted by length, so a task writes to a few folders only. An empty table makes an empty folder.
+    Pieces are dealt out by ranges of ``sequence_id``, so a task writes to a few folders only. An empty table makes an
+    empty folder.
     """
-    pieces.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+    pieces.withColumn("bucket", F.col("length")).repartitionByRange("sequence_id").write.partitionBy("bucket").parquet(path)
 
 
 def production_path() -> str:
