@@ -12,17 +12,20 @@ __all__ = ["WORD_PATTERN", "drop_stored", "join_spread", "numbered", "stored", "
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-#: A key is hot if it has more than this share of all rows; so there are at most a thousand of them.
-HOT_SHARE = 1000
+#: A key is hot if it has more than this share of all rows, so there are at most a thousand of them, and more rows than
+#: one task reads with ease.
+HOT_SHARE, HOT_ROWS = 1000, 100_000
 
 
 def join_spread(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
     """``left`` joined to ``right``, which has one row for each key and, in ``rows``, how many rows of ``left`` the key has.
 
-    Keys with more than a thousandth of all ``total`` rows, a thousand at most, are broadcast, so that no task gets all
-    rows of one; the others are shuffled. The column ``rows`` is left out.
+    Keys with more than a thousandth of all ``total`` rows, a thousand at most, and over HOT_ROWS of them, are broadcast,
+    so that no task gets all rows of one; the others are shuffled. Rows are taken to be narrow. The column ``rows`` is left out.
     """
-    hot = F.col(rows) * HOT_SHARE > total
+    if total <= HOT_ROWS:
+        return left.join(right.drop(rows), on)
+    hot = (F.col(rows) * HOT_SHARE > total) & (F.col(rows) > HOT_ROWS)
     common = right.filter(~hot).drop(rows)
     often = right.filter(hot).drop(rows)
     if often.isEmpty():

@@ -45,6 +45,7 @@ def test_exact_edges(spark, primes, huge, monkeypatch):
     """With tiny primes nearly all fingerprints collide, and only the comparison tells texts apart; rows that share an id, or have none, too."""
     monkeypatch.setattr(exact_dedup, "PIECE_BYTES", 1 << 16)
     monkeypatch.setattr("quarry.llm.common.HOT_SHARE", 20)
+    monkeypatch.setattr("quarry.llm.common.HOT_ROWS", 0)
     pairs = EDGES + [(i, f"{i % 9:04d}") for i in range(20, 60)] + [(None, f"{i % 5:04d}") for i in range(9)] + [(77, "0001"), (77, "9999"), (77, "9998"), (77, "9999")]
     got = exact_dedup.exact_groups(frame(spark, pairs), primes=primes, huge=huge)
     found = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()), key=repr)
@@ -157,6 +158,7 @@ def test_large_group_forest(monkeypatch):
 def test_a_hot_key_is_dealt_out(spark, monkeypatch):
     """All fingerprints share the bits of a key; far more than a task holds."""
     monkeypatch.setattr("quarry.llm.common.HOT_SHARE", 10)
+    monkeypatch.setattr("quarry.llm.common.HOT_ROWS", 0)
     rng = np.random.default_rng(5)
     fps = rng.integers(0, 1 << 40, 12000).astype(np.int64) << 22 | 5
     near = fps[:3000] ^ (np.int64(7) << rng.integers(22, 58, 3000))
@@ -177,6 +179,7 @@ def test_components_of_a_path(spark):
 
 def test_components_of_a_hub(spark, monkeypatch):
     monkeypatch.setattr("quarry.llm.common.HOT_SHARE", 10)
+    monkeypatch.setattr("quarry.llm.common.HOT_ROWS", 0)
     edges = [(50, i) for i in range(400) if i != 50] + [(500 + i, 501 + i) for i in range(20)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(400)}, **{500 + i: 500 for i in range(21)}}
