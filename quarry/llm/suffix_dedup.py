@@ -20,7 +20,8 @@ suffix of a corpus moves it many times over, so the strings that could repeat ar
    occurrence stays.
 
 Nothing is removed because hashes agree: bytes are compared before. A claim that doesn't hold stops the job with an
-error that says so, and another ``seed`` of the hashes is to be taken; the chance of one is below 1e-11 for 100 TB.
+error that says so, and another ``seed`` of the hashes is to be taken; if they spread as random ones do, the chance of
+one is some 1e-11 for 100 TB.
 The places found come back as spans per document and are cut out of the whole texts.
 """
 
