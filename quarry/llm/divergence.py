@@ -31,8 +31,8 @@ from quarry.llm.common import stored, table
 MIN_DOCS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 #: Bytes of text that DuckDB splits at once, and of a piece of a longer text; rows held before they are added up.
 TEXT_BYTES, PIECE_BYTES, HELD_ROWS = 8 << 20, 1 << 20, 1_000_000
-#: Rows of a shard, about; each is read by one call.
-SHARD_ROWS, MOST_SHARDS = 250_000, 4096
+#: Rows of a shard, about, from the least to the most; each is audited by one call, and makes a row for each pair of sources.
+SHARD_ROWS = 50_000, 500_000
 
 #: Every byte that is no letter and not beyond ASCII becomes a space, A-Z become lower case.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -97,10 +97,10 @@ def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from con.sql(sums).to_arrow_table().to_batches(50_000)
 
 
-_KEPT = "lang string, shard long, term string, source string, n long, first int"
+_KEPT = "lang string, term string, source string, n long, first int"
 
 
-def _keep_terms(part: int, min_docs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep_terms(min_docs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of the terms that enough documents of their language have; ``first`` is 1 in one row of each term."""
     con = _database()
     con.execute("CREATE TABLE found (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
@@ -116,10 +116,7 @@ def _keep_terms(part: int, min_docs: int, batches: Iterator[pa.RecordBatch]) ->
         CREATE TABLE kept AS
         SELECT lang, term, source, sum(n)::BIGINT AS n FROM found
         WHERE (lang, term) IN (SELECT (lang, term) FROM found GROUP BY lang, term HAVING sum(docs) >= {min_docs}) GROUP BY ALL""")
-    shards = min(MOST_SHARDS, 1 + con.execute("SELECT count(*) FROM kept").fetchall()[0][0] // SHARD_ROWS)
-    out = con.sql(f"""
-        SELECT lang, {part * MOST_SHARDS} + (hash(term) % {shards})::BIGINT AS shard, term, source, n,
-               (row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1)::INTEGER AS first FROM kept""")
+    out = con.sql("SELECT lang, term, source, n, (row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1)::INTEGER AS first FROM kept")
     yield from out.to_arrow_table().to_batches(50_000)
 
 
@@ -172,19 +169,20 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     spark = docs.sparkSession
     own = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((text, "text"), (lang, "lang"), (source, "source"))))
     counted = own.mapInArrow(_count_texts, _COUNTED)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        return _keep_terms(TaskContext.get().partitionId(), min_docs, batches)
+        return _keep_terms(min_docs, batches)
 
-    kept = stored(counted.repartition(shards, "lang", "term").mapInArrow(keep, _KEPT), "terms")
+    kept = stored(counted.repartition(parts, "lang", "term").mapInArrow(keep, _KEPT), "terms")
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("first").alias("v"))
     groups = own.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").na.fill(0)
     langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.sum("v").alias("v"))
     groups = stored(groups.select("lang", "source", F.col("n").alias("n_group")).join(langs, "lang"), "groups")
 
+    most = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("s")).agg(F.max("s")).first()[0] or 0
+    shards = 1 + kept.count() // min(max(most * most // 2, SHARD_ROWS[0]), SHARD_ROWS[1])
+    kept = kept.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards)))
     places = kept.select(F.col("lang").alias("lang"), F.col("shard").alias("at")).distinct()
     totals_at = groups.join(places, "lang")
 
