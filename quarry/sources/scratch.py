@@ -42,7 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def drop_path(spark: SparkSession, name: str) -> None:
+    """Delete a file or folder wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` that no later step reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quarry_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(df.sparkSession, df._quarry_path)
