@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, divergence, exact_dedup, langid, packing, quality, rules, sentencepiece_codec, simhash, suffix_dedup, url_filters
+from quarry.llm import chat, divergence, exact_dedup, langid, packing, quality, rules, sentencepiece_codec, simhash, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_warc": warc.op12_warc,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op8_chat_formatting": chat.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op11_source_divergence": divergence.SQL,
+    "op12_warc": warc.SQL,
 }
