@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, divergence, exact_dedup, langid, packing, quality, rules, sentencepiece_codec, simhash, suffix_dedup, url_filters, warc
+from quarry.llm import chat, collocations, divergence, exact_dedup, langid, packing, quality, rules, sentencepiece_codec, simhash, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_warc": warc.op12_warc,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op11_source_divergence": divergence.SQL,
     "op12_warc": warc.SQL,
+    "op13_collocations": collocations.SQL,
 }
