@@ -155,8 +155,30 @@ def _columns(max_words: int) -> list[str]:
     return [f"w{i}" for i in range(1, max_words + 1)]
 
 
+def _distinct(rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal windows as one, with the sum of their counts."""
+    order = np.lexsort(rows[::-1])
+    rows, n = [r[order] for r in rows], n[order]
+    new = np.zeros(len(n), dtype=bool)
+    new[:1] = True
+    for r in rows:
+        new[1:] |= r[1:] != r[:-1]
+    first = np.flatnonzero(new)
+    return [r[first] for r in rows], np.add.reduceat(n, first) if len(first) else n
+
+
 def _find_windows(seed: int, bits: int, words: np.ndarray, pairs: np.ndarray, max_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of two words and more in which every pair of neighbours may be frequent; words after its end are 0."""
+    held: dict[str, list[tuple[list[np.ndarray], np.ndarray]]] = {}
+
+    def added() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            rows, n = _distinct([np.concatenate(c) for c in zip(*(rows for rows, _ in parts))], np.concatenate([n for _, n in parts]))
+            for start in range(0, len(n), 50_000):
+                part = slice(start, start + 50_000)
+                yield pa.record_batch([pa.array([lang] * len(n[part]), pa.string()), *(pa.array(r[part]) for r in rows), pa.array(n[part])], names=["lang", *_columns(max_words), "n"])
+
+    size = 0
     for lang, text in _texts(batches):
         h, pair = _frequent(text, seed, bits, words)
         at = np.flatnonzero(pair)
@@ -168,17 +190,13 @@ def _find_windows(seed: int, bits: int, words: np.ndarray, pairs: np.ndarray, ma
         for d in range(1, max_words):
             goes_on = goes_on & on[at + d - 1]
             rows.append(np.where(goes_on, h[at + d], 0))
-        order = np.lexsort(rows[::-1])
-        rows = [r[order] for r in rows]
-        new = np.zeros(len(at), dtype=bool)
-        new[:1] = True
-        for r in rows:
-            new[1:] |= r[1:] != r[:-1]
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(at)))
-        for start in range(0, len(first), 50_000):
-            part = slice(start, start + 50_000)
-            yield pa.record_batch([pa.array([lang] * len(first[part]), pa.string()), *(pa.array(r[first[part]]) for r in rows), pa.array(n[part].astype(np.int64))], names=["lang", *_columns(max_words), "n"])
+        found = _distinct(rows, np.ones(len(at), dtype=np.int64))
+        held.setdefault(lang, []).append(found)
+        size += len(found[1])
+        if size > HELD_ROWS:
+            yield from added()
+            held, size = {}, 0
+    yield from added()
 
 
 class _Growth:
