@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import is_blank, strip_ws
+from quarry.sources.scratch import stored
 
 CHUNK_SIZE, OVERLAP = 512, 50
 #: Chunks of a batch that leave a Python worker together.
@@ -173,24 +174,25 @@ def chunk_semantic(
     """Chunks that end where a sentence is unlike the one before it (cosine below ``threshold``) or ``size`` is reached.
 
     ``encode`` adds ``embedding`` to a frame for a text column. Sentences become rows, so the shuffle is by document;
-    running sums over a document's sentences number its chunks. Columns: ``key, text, chunk_index, chunk_size,
+    running sums over a document's sentences number its chunks. A row is a document, also where ids repeat or are null. Columns: ``key, text, chunk_index, chunk_size,
     start_index, end_index, total_chunks``.
     """
-    rows = _by_rows(docs.select(key, text), text, lambda t, *_: _places(sentences(t)), size, 0)
-    rows = encode(rows.select(key, F.col("chunk_index").alias("pos"), "start_index", "end_index", text), text)
-    order = Window.partitionBy(key).orderBy("pos")
+    # All sentences of a row come out of the task that read it, so its number there tells it apart from the others.
+    rows = _by_rows(docs.select(key, text, F.monotonically_increasing_id().alias("__row")), text, lambda t, *_: _places(sentences(t)), size, 0)
+    rows = encode(rows.select(key, "__row", F.col("chunk_index").alias("pos"), "start_index", "end_index", text), text)
+    order = Window.partitionBy("__row").orderBy("pos")
     before = F.lag("embedding").over(order)
     dot = F.aggregate(F.zip_with("embedding", before, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("unlike", F.coalesce((F.round(dot, 9) < threshold).cast("int"), F.lit(0)))
     rows = rows.withColumn("part", F.sum("unlike").over(order))
-    inside = Window.partitionBy(key, "part")
+    inside = Window.partitionBy("__row", "part")
     rows = rows.withColumn("sub", F.floor((F.col("end_index") - 1 - F.min("start_index").over(inside)) / size))
-    chunks = rows.groupBy(key, "part", "sub").agg(
-        F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.array_sort(F.collect_list(F.struct("pos", text))).alias("ss")
+    chunks = rows.groupBy("__row", "part", "sub").agg(
+        F.first(key).alias(key), F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.array_sort(F.collect_list(F.struct("pos", text))).alias("ss")
     )
     chunks = chunks.withColumn(text, F.array_join(F.transform("ss", lambda s: s[text]), ""))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("start_index")) - 1
-    total = F.count(F.lit(1)).over(Window.partitionBy(key)).cast("int")
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy("start_index")) - 1
+    total = F.count(F.lit(1)).over(Window.partitionBy("__row")).cast("int")
     return chunks.select(key, text, nth.alias("chunk_index"), F.length(text).alias("chunk_size"), "start_index", "end_index", total.alias("total_chunks"))
 
 
@@ -220,19 +222,22 @@ def chunk_documents(
 
 
 def with_index(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds the row's number from 0 in the order of a unique column, without bringing all rows to one task.
+    """Adds the row's number from 0 in the order of ``order``, without bringing all rows to one task.
 
-    Only the column itself is sorted by range; a key's number is its place in its partition and the counts of the
-    partitions before it, one count for each. Whole rows meet their numbers in one join.
+    Rows are sorted by range and written once, with their place in their partition, so whatever reads the numbers later
+    sees the same ones; the rows of the partitions before, one count for each, make a place a number. Equal keys, null
+    among them, are ordered by a hash of the whole row, and rows that are alike in everything in any order.
     """
     place = F.monotonically_increasing_id()
-    ranged = df.select(F.col(order).alias("__key")).repartitionByRange("__key").sortWithinPartitions("__key")
-    ranged = ranged.select("__key", F.shiftright(place, 33).alias("__part"), place.bitwiseAND((1 << 33) - 1).alias("__nth"))
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    keys = [order, "__tie", "__at"]
+    tagged = df.withColumn("__tie", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).withColumn("__at", place)
+    ranged = tagged.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie", "__at")
+    kept = stored(ranged.withColumn("__part", F.shiftright(place, 33)).withColumn("__nth", place.bitwiseAND((1 << 33) - 1)), "numbered")
+    counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__part", before.alias("__before"))
-    numbers = ranged.join(F.broadcast(offsets), "__part").select("__key", (F.col("__before") + F.col("__nth")).alias(name))
-    return df.join(numbers, df[order].eqNullSafe(numbers["__key"])).drop("__key")
+    numbered = kept.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__nth"))
+    return numbered.select(*df.columns, name)
 
 
 def optimize_chunks(chunks: DataFrame, size: int = CHUNK_SIZE, text: str = "text") -> DataFrame:

@@ -16,8 +16,8 @@ from quarry.sources.scratch import stored
 PER_QUERY, GLOBAL_LIMIT, VARIATIONS = 10, 20, 6
 #: Queries, and rows of the collection, in a block; a pair of blocks is one matrix product.
 QUERY_BLOCK = ROW_BLOCK = 1024
-#: Blocks of queries whose nearest rows a task keeps at once.
-BLOCKS_HELD = 8
+#: Bytes of the vectors of a part of the collection, and the most that a block of queries may have to be broadcast.
+PART_BYTES = BROADCAST_BYTES = 64 << 20
 #: Word groups and how much they add to a query's importance.
 IMPORTANCE = (
     ("best|top|popular|effective", 0.2),
@@ -96,7 +96,7 @@ def _packed(rows: DataFrame, key: str, embedding: str, size: int, name: str) ->
 
 
 class _Best:
-    """The nearest rows so far of a block of queries. Rows close behind the k-th stay, for ids decide between equals."""
+    """The ``k`` nearest rows so far of each query of a block, by distance to 6 places and then by id."""
 
     def __init__(self, ids: pa.Array, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
@@ -112,12 +112,13 @@ class _Best:
             row = near[i]
             limit = min(self.limits[i], np.partition(row, self.k - 1)[self.k - 1] if len(row) > self.k else np.inf)
             take = np.flatnonzero(row <= slack(limit))
-            d = np.concatenate([self.found[i][0], ((x[take] - self.q[i]) ** 2).sum(axis=1)])
-            names = self.found[i][1] + [keys[j] for j in take.tolist()]
-            if len(d) >= self.k:
-                self.limits[i] = np.partition(d, self.k - 1)[self.k - 1]
-                stay = np.flatnonzero(d <= self.limits[i] + 1e-5).tolist()
-                d, names = d[stay], [names[j] for j in stay]
+            d = np.floor(((x[take] - self.q[i]) ** 2).sum(axis=1) * 1e6 + 0.5) / 1e6
+            d, names = np.concatenate([self.found[i][0], d]), self.found[i][1] + [keys[j] for j in take.tolist()]
+            if len(d) > self.k:
+                first = sorted(range(len(d)), key=lambda j: (d[j], names[j] is not None, names[j]))[: self.k]
+                d, names = d[first], [names[j] for j in first]
+            if len(d) == self.k:
+                self.limits[i] = d.max()
             self.found[i] = (d, names)
 
     def rows(self, kind: pa.DataType, id_name: str) -> pa.RecordBatch:
@@ -130,46 +131,55 @@ class _Best:
         return pa.RecordBatch.from_arrays(columns, ["__q", id_name, "distance"])
 
 
-def knn_search(
-    collection: DataFrame, queries: DataFrame, k: int = PER_QUERY, id_col: str = "id", query_id: str = "query_id", embedding: str = "embedding", where: Column | None = None
-) -> DataFrame:
-    """``query_id, id, distance, rank`` of the ``k`` nearest rows of every query, by squared distance and then by id.
+def nearest_by_part(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_id: str, embedding: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``__q, id, distance``: up to ``k`` rows of each query from every part of ``rows``.
 
-    Both tables are packed into blocks of 1,024 vectors, and blocks of queries meet blocks of rows in tasks, a matrix
-    product each. A single block of queries is broadcast, so the collection isn't moved. More are dealt to every part of
-    the collection, so nothing goes through the driver and the collection is read and moved once, however many queries
-    there are. A task keeps the ``k`` nearest rows of each query in its part, and these meet by query. ``where``
-    restricts the collection before the search. Rows without a vector of the query's width are never hits; distances are
-    rounded to 6 places.
+    A block-nested join. Rows are packed into blocks and dealt to parts of about ``part_bytes``; a copy of every block of
+    queries goes to every part. The sort-merge join streams the blocks of queries and keeps the part's blocks of rows beside
+    them, so a task sees all of the part for one block of queries before the next one, and holds the nearest rows of that
+    one only. What leaves the tasks is parts x queries x ``k`` rows at most.
     """
-    rows = collection.filter(where) if where is not None else collection
     kinds = dict(rows.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
     asked = stored(_packed(queries, query_id, embedding, QUERY_BLOCK, "q"), "queries")
     blocks = _packed(rows, id_col, embedding, ROW_BLOCK, "r")
-    if asked.count() <= 1:
+    size = asked.agg(F.count(F.lit(1)), F.max("dim"), F.sum(F.octet_length("q_x"))).first()
+    if size[0] <= 1 and (size[2] or 0) <= BROADCAST_BYTES:
         pairs = blocks.join(F.broadcast(asked), "dim")
     else:
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = blocks.withColumn("part", F.pmod(F.xxhash64("r_x"), F.lit(parts)).cast("int"))
-        pairs = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, ["dim", "part"])
+        parts = 1 + rows.count() * size[1] * 8 // part_bytes
+        dealt = blocks.withColumn("part", F.pmod(F.xxhash64("r_x"), F.lit(parts)))
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        pairs = asked.hint("merge").join(dealt, ["dim", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, _Best] = {}
-        kind = None
+        best, sign, ids, kind = None, None, None, None
         for batch in batches:
             kind = batch.column(3).type.value_type
             for dim, q_ids, q, r_ids, x in zip(*batch.columns):
-                sign = q.as_py()
-                if sign not in best and len(best) >= BLOCKS_HELD:
-                    yield from (b.rows(kind, id_col) for b in best.values())
-                    best.clear()
-                if sign not in best:
-                    best[sign] = _Best(q_ids.values, np.frombuffer(sign).reshape(-1, dim.as_py()), k)
-                best[sign].meet(r_ids.as_py(), np.frombuffer(x.as_buffer()).reshape(-1, dim.as_py()))
-        yield from (b.rows(kind, id_col) for b in best.values())
-
-    near = pairs.select("dim", "q_ids", "q_x", "r_ids", "r_x").mapInArrow(run, f"__q {kinds[query_id]}, `{id_col}` {kinds[id_col]}, distance double")
-    near = near.withColumn("distance", F.round("distance", 6))
+                if best is None or q_ids != ids or q.as_buffer() != sign:
+                    if best is not None:
+                        yield best.rows(kind, id_col)
+                    sign, ids = q.as_buffer(), q_ids
+                    best = _Best(q_ids.values, np.frombuffer(sign).reshape(-1, dim.as_py()), k)
+                best.meet(r_ids.as_py(), np.frombuffer(x.as_buffer()).reshape(-1, dim.as_py()))
+        if best is not None:
+            yield best.rows(kind, id_col)
+
+    return pairs.select("dim", "q_ids", "q_x", "r_ids", "r_x").mapInArrow(run, f"__q {kinds[query_id]}, `{id_col}` {kinds[id_col]}, distance double")
+
+
+def knn_search(
+    collection: DataFrame, queries: DataFrame, k: int = PER_QUERY, id_col: str = "id", query_id: str = "query_id", embedding: str = "embedding", where: Column | None = None
+) -> DataFrame:
+    """``query_id, id, distance, rank`` of the ``k`` nearest rows of every query, by squared distance and then by id.
+
+    Both tables are packed into blocks of 1,024 vectors, and blocks of queries meet blocks of rows in tasks, a matrix
+    product each. A single block of queries of at most 64 MB is broadcast, so the collection isn't moved; more are joined
+    part by part, see :func:`nearest_by_part`, so nothing goes through the driver. ``where`` restricts the collection before the
+    search. Rows without a vector of the query's width are never hits; distances are rounded to 6 places.
+    """
+    rows = collection.filter(where) if where is not None else collection
+    near = nearest_by_part(rows, queries, k, id_col, query_id, embedding)
     rank = F.row_number().over(Window.partitionBy("__q").orderBy("distance", id_col))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("__q", query_id)
 
@@ -205,9 +215,10 @@ def rank_dedup(hits: DataFrame, limit: int = GLOBAL_LIMIT, key: str = "filename"
     importance = query_importance(F.col("best.rest.query"))
     scored = groups.select(
         "user_query", key, "chunk_index", "best.rest.*", F.col("best.distance").alias("distance"), base.alias("base_score"), importance.alias("importance"),
-        (base * importance).alias("weighted_score"), F.transform("all", lambda x: x["query"]).alias("found_by_queries"), "total_matches", "arrival",
+        # A distance has 6 places and an importance 2, so the score is exact with 8, whichever engine rounds it.
+        F.round(base * importance, 8).alias("weighted_score"), F.transform("all", lambda x: x["query"]).alias("found_by_queries"), "total_matches", "arrival",
     )
-    order = Window.partitionBy("user_query").orderBy(F.desc(F.round("weighted_score", 9)), "arrival")
+    order = Window.partitionBy("user_query").orderBy(F.desc("weighted_score"), "arrival")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("arrival")
 
 

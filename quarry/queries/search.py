@@ -112,15 +112,15 @@ hits AS (SELECT v.user_query, v.query, v.query_index, (r - 1)::INT AS result_ind
 RANKED = f"""{HITS}, g AS (SELECT user_query, filename, chunk_index, min({{'d': distance, 'q': query_index, 'r': result_index, 'query': query, 'document': document, 'filepath': filepath}}) AS b,
     list(query ORDER BY query_index, result_index) AS found_by, count(*)::INT AS total_matches, min({{'q': query_index, 'r': result_index}}) AS arrival FROM hits GROUP BY ALL),
 s AS (SELECT *, 1 - b.d AS base, {importance_sql('b.query')} AS importance FROM g),
-ranked AS (SELECT *, base * importance AS weighted, row_number() OVER (PARTITION BY user_query ORDER BY round(base * importance, 9) DESC, arrival)::INT AS rank FROM s QUALIFY rank <= 20)"""
-_RANKED_COLUMNS = """user_query, rank, filename, b.filepath AS filepath, chunk_index, round(base, 6) AS base_score, round(importance, 6) AS importance, round(weighted, 6) AS weighted_score,
+ranked AS (SELECT *, base * importance AS weighted, row_number() OVER (PARTITION BY user_query ORDER BY round(base * importance, 8) DESC, arrival)::INT AS rank FROM s QUALIFY rank <= 20)"""
+_RANKED_COLUMNS = """user_query, rank, filename, b.filepath AS filepath, chunk_index, round(base, 6) AS base_score, round(importance, 6) AS importance, round(weighted, 8) AS weighted_score,
   array_to_string(found_by, '¦') AS found_by_queries, total_matches"""
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
     six = lambda c: F.round(c, 6).alias(c)
     return ranked.select(
-        "user_query", "rank", "filename", "filepath", "chunk_index", six("base_score"), six("importance"), six("weighted_score"),
+        "user_query", "rank", "filename", "filepath", "chunk_index", six("base_score"), six("importance"), "weighted_score",
         F.array_join("found_by_queries", "¦").alias("found_by_queries"), "total_matches",
     )
 
@@ -162,10 +162,10 @@ SELECT user_query, round(a, 6) AS average_score, h AS high_quality, m AS medium_
 
 def search_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search.search_response(search.rank_dedup(_hits(spark, sf_dir)))
-    return out.select("user_query", "filename", "content", "file_path", F.round("score", 6).alias("score"), F.round("weighted_score", 6).alias("weighted_score"), "total_matches")
+    return out.select("user_query", "filename", "content", "file_path", F.round("score", 6).alias("score"), "weighted_score", "total_matches")
 
 
-RESPONSE = f"""WITH {RANKED} SELECT user_query, filename, b.document AS content, b.filepath AS file_path, round(base, 6) AS score, round(weighted, 6) AS weighted_score, total_matches FROM ranked"""
+RESPONSE = f"""WITH {RANKED} SELECT user_query, filename, b.document AS content, b.filepath AS file_path, round(base, 6) AS score, round(weighted, 8) AS weighted_score, total_matches FROM ranked"""
 
 QUERIES = {
     "query_variations": (query_variations, f"SELECT * FROM {VARIATIONS}"),

@@ -19,7 +19,7 @@ def plain(v):
     if isinstance(v, np.generic):
         return plain(v.item())
     if isinstance(v, float):
-        return None if math.isnan(v) else int(v) if v.is_integer() else round(v, 5)
+        return None if math.isnan(v) else int(v) if v.is_integer() else round(v, 6)
     return str(v) if isinstance(v, pd.Timestamp) else v
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import time
 
@@ -193,6 +194,71 @@ def test_index_is_dense_over_partitions(spark):
     assert [i for _, i in got] == list(range(1000))
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_index_of_repeated_and_null_keys(spark, reuse):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        rows = [(i % 3 if i % 5 else None, f"text {i % 50}") for i in range(400)]
+        df = spark.createDataFrame(rows, "k int, text string")
+        got = sorted((r.i, r.k is not None, r.k, r.text) for r in chunking.with_index(df, "k", "i").collect())
+        assert [g[0] for g in got] == list(range(400)) and sorted((g[2] or -1, g[3]) for g in got) == sorted((k or -1, t) for k, t in rows)
+        assert [g[1:3] for g in got] == sorted((g[1:3] for g in got), key=lambda x: (x[0], x[1] or 0))
+        again = sorted((r.i, r.text) for r in chunking.with_index(df.repartition(9), "k", "i").collect())
+        assert again == [(g[0], g[3]) for g in got]
+        big = chunking.with_index(spark.range(300_000).select((F.col("id") % 1000).alias("k")).repartition(11), "k", "i")
+        assert big.count() == 300_000 and big.select("i").distinct().count() == 300_000
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_documents_of_equal_keys_are_numbered_apart(spark):
+    df = spark.createDataFrame([("a", "one"), ("a", "two"), ("a", "three"), ("b", "four")], "place string, text string")
+    got = sorted((r.document_index, r.text) for r in chunking.chunk_documents(df, "place").collect())
+    assert [i for i, _ in got] == [0, 1, 2, 3] and got[3] == (3, "four") and {t for _, t in got} == {"one", "two", "three", "four"}
+
+
+def test_semantic_chunks_of_repeated_and_null_ids(spark):
+    encode = lambda df, text: embedding.embed_chunks(df, text=text)
+    rows = [(1, "One two. Three four."), (1, "Five six. Seven eight."), (None, "Nine ten. Nine ten."), (None, "Other words. Quite other.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = chunking.chunk_semantic(df, encode).collect()
+    for doc_id, text in rows:
+        mine = sorted((r.start_index, r.text) for r in got if r.doc_id == doc_id and r.text in text)
+        assert "".join(t for _, t in mine) == text
+    assert sum(r.total_chunks == 1 for r in got) == 1 and sorted(r.chunk_index for r in got) == [0, 0, 0, 0, 1, 1, 1]
+
+
+def test_pooling_merges_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(1e8, 1, d)]) for k, d in [("hot", 768)] * 300 + [("a", 3), ("a", 5), (None, 2), (None, 2)]]
+    rows += [("gap", [1.0, None]), ("gap", [3.0, None]), ("none", None), ("empty", [])]
+    df = spark.createDataFrame(rows, "k string, embedding array<double>").repartition(6)
+    pooled = embedding.mean_pool(df, "k")
+    got = {r.k: r.embedding for r in pooled.collect()}
+    assert set(got) == {"hot", "a", None, "gap"} and len(got["a"]) == 5 and got["gap"] == [2.0]
+    hot = np.array([v for k, v in rows if k == "hot"])
+    assert np.allclose(got["hot"], hot.mean(axis=0), rtol=1e-15, atol=1e-6)
+    stats = {r.k: (r["mean"], r["std"]) for r in embedding.embedding_stats(df, "k").collect()}
+    assert set(stats) == set(got) and np.isclose(stats["hot"][1], hot.std(), rtol=1e-6) and np.isclose(stats["gap"][1], 1.0)
+    for plan in (pooled, embedding.embedding_stats(df, "k")):
+        assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+    parts = df.mapInArrow(lambda b: embedding._partial(embedding._Sums, ["k", "sums", "counts"], b), "k string, sums array<double>, counts array<long>")
+    assert parts.count() <= 4 * 6
+    assert embedding.mean_pool(df.limit(0), "k").count() == 0
+
+
+def test_encoder_counts_words(spark):
+    model = embedding.HashEncoder(8)
+    got = model(["Ab ab c", "c", "x\u2003y"])
+    expected = np.zeros((3, 8))
+    for i, words in enumerate((["ab", "ab", "c"], ["c"], ["x", "y"])):
+        for w in words:
+            expected[i, int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 8] += 1
+    assert np.allclose(got, expected / np.linalg.norm(expected, axis=1, keepdims=True))
+    df = spark.createDataFrame([(1, None), (2, " \t"), (3, "a b"), (4, "")], "id int, text string")
+    assert {r.id: r.embedding is None for r in embedding.embed_chunks(df).collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
 def test_normalize_fixture(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), ([1.0, 0.0],), ([0.0, 0.0],), ([],)], "v array<double>")
     got = [r.x for r in rows.select(embedding.l2_normalize(F.col("v")).alias("x")).collect()]
@@ -290,16 +356,40 @@ def test_knn_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, search.knn_search(df, df.withColumnRenamed("id", "query_id"), 3).collect()))
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
     monkeypatch.setattr(search, "ROW_BLOCK", 4)
-    monkeypatch.setattr(search, "BLOCKS_HELD", 2)
     assert sorted(map(tuple, search.knn_search(df, df.withColumnRenamed("id", "query_id"), 3).collect())) == whole
 
 
+def test_knn_of_many_queries_sends_out_few_rows(spark):
+    """A part's rows for a block of queries leave the task once, and no block is broadcast beside others."""
+    n, k = 50_000, 3
+    point = lambda *c: F.array(*[(F.sin(F.col("id") * x) * 100).alias("x") for x in c])
+    rows = spark.range(3000).select("id", point(0.7, 1.3, 2.1).alias("embedding"))
+    queries = spark.range(n).select(F.col("id").alias("query_id"), point(0.2, 3.3, 1.7).alias("embedding"))
+    near = search.nearest_by_part(rows, queries, k, "id", "query_id", "embedding", part_bytes=40_000)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    found = near.toPandas()
+    assert n * k <= len(found) <= 2 * n * k
+    best = found.sort_values(["__q", "distance", "id"]).groupby("__q").head(k)
+    x, q = (np.array(d.orderBy(c).toPandas().embedding.tolist()) for d, c in ((rows, "id"), (queries.filter("query_id < 300"), "query_id")))
+    exact = np.argsort(((q[:, None] - x[None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, :k]
+    assert [sorted(g) for _, g in best[best["__q"] < 300].groupby("__q").id] == [sorted(r) for r in exact.tolist()]
+
+
+def test_knn_of_a_vector_that_a_third_of_rows_have(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id") * 1.0, F.lit(0.0))).alias("embedding"))
+    queries = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3)], "query_id int, embedding array<double>")
+    near = search.nearest_by_part(rows, queries, 4, "id", "query_id", "embedding")
+    assert near.count() <= 3 * 4 * rows.rdd.getNumPartitions()
+    got = search.knn_search(rows, queries, 4).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(q, i) for q in range(3) for i in (0, 3, 6, 9)]
+
+
 def test_search_reads_a_stored_collection(spark):
     from quarry.queries import search as queries
 
     for name in ("multi_query_search", "rank_dedup", "search_counters", "quality_metrics", "search_response"):
         plan = queries.QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-        assert "MapInPandas" not in plan, name
+        assert "encode(" not in plan, name
 
 
 def test_human_size(spark):

@@ -15,6 +15,14 @@ def test_equals_sql(spark, name):
     assert_equal(query(spark, SF), sql, SF)
 
 
+@pytest.mark.parametrize("name", ["rank_dedup", "multi_query_search", "search_response"])
+def test_scores_equal_sql_on_more_rows(spark, name):
+    """Here some scores lie half-way between two numbers of six places."""
+    query, sql = FOUND[name]
+    more = SF.replace("sf0.001", "sf0.01")
+    assert_equal(query(spark, more), sql, more)
+
+
 @pytest.mark.parametrize("name", ["chunk_sentence", "chunk_semantic"])
 def test_chunks_cover_texts(spark, name):
     got = FOUND[name][0](spark, SF).toPandas()
