@@ -50,24 +50,53 @@ def _metadata(parsed: DataFrame) -> Column:
     return F.coalesce(F.col("metadata"), none) if "metadata" in parsed.columns else none
 
 
-def index_documents(docs: DataFrame, target: str, part: str | None = None, **settings) -> DataFrame:
-    """Store the chunks of ``docs`` in the collection at ``target`` (in a ``part`` of it if named); results per file.
+def index_documents(docs: DataFrame, target: str, part: str | None = None, gone: DataFrame | None = None, **settings) -> DataFrame:
+    """Store the chunks of ``docs`` in the collection at ``target``, as the ``part`` of that name if given; results per file.
 
     Texts and vectors are made once: documents and chunks are written to the shared folder and read for the check, the
-    store and the report. Files that fail the check are not stored.
+    store and the report. Files that fail the check are not stored. What was stored of the same files before is replaced,
+    also by nothing where one fails now, and ``gone`` (``filepath``) names files whose chunks go as well.
     """
     docs = stored(docs, "documents")
     usable = docs.filter(F.col("parser").isNotNull() & F.col("failure").isNull())
     chunks = stored(chunk_files(usable, **settings), "chunks")
     bad = embedding.embedding_mismatch(chunks, "filepath").select("filepath")
-    collection.open_collection(docs.sparkSession, target)
-    collection.store_chunks(chunks.join(bad, "filepath", "left_anti"), target, part=part)
+    files_of = docs.select("filepath")
+    replacing = files_of if gone is None else files_of.unionByName(gone.select("filepath"))
+    collection.store_chunks(chunks.join(bad, "filepath", "left_anti"), target, part=part, replacing=replacing)
     return reports.file_results(docs, chunks)
 
 
+def missing_files(spark: SparkSession, directory: str, target: str, listing: DataFrame) -> DataFrame:
+    """``filepath`` of files below ``directory`` that the collection has and ``listing`` (``path``) has not."""
+    below = F.col("filepath").startswith(files.full_path(spark, directory).rstrip("/") + "/")
+    return collection.indexed_files(spark, target).filter(below).join(listing.select(F.col("path").alias("filepath")), "filepath", "left_anti")
+
+
 def index_directory(
-    spark: SparkSession, directory: str, target: str, parsed: DataFrame | None = None, recursive: bool = True, max_file_mb: float = files.MAX_FILE_MB, **settings
+    spark: SparkSession, directory: str, target: str, parsed: DataFrame | None = None, recursive: bool = True, max_file_mb: float = files.MAX_FILE_MB, remove_missing: bool = False, **settings
 ) -> DataFrame:
-    """Index all supported files below ``directory``; results per file. See :func:`documents_of` for ``parsed``."""
-    read = files.decoded(files.read_files(spark, directory, recursive, max_file_mb))
-    return index_documents(documents_of(read, parsed), target, **settings)
+    """Index all supported files below ``directory``; results per file. See :func:`documents_of` for ``parsed``.
+
+    A directory that is indexed again has its chunks once: those of each file are replaced. ``remove_missing`` also takes
+    out what is stored of files below the directory that are no longer there.
+    """
+    read = stored(files.decoded(files.read_files(spark, directory, recursive, max_file_mb)), "texts")
+    gone = missing_files(spark, directory, target, read) if remove_missing else None
+    return index_documents(documents_of(read, parsed), target, gone=gone, **settings)
+
+
+def retry_failed(results: DataFrame, target: str, parsed: DataFrame | None = None, max_file_mb: float = files.MAX_FILE_MB, **settings) -> DataFrame:
+    """Read the files that failed in ``results`` again, and index them; the results of all files, the others' as they were.
+
+    A file that is there no longer fails as one without content.
+    """
+    spark = results.sparkSession
+    failed = results.filter(~F.col("success")).select(F.col("file_path").alias("path"))
+    found = stored(files.with_details(failed), "retried")
+    again = files.with_content(found.filter(files.supported(max_file_mb=max_file_mb) & files.is_text()))
+    lost = found.join(again.select("path"), "path", "left_anti").withColumn("content", F.lit(None).cast("binary"))
+    read = files.decoded(again.unionByName(lost))
+    done = stored(index_documents(documents_of(read, parsed), target, **settings), "results")
+    kept = results.join(done.select("file_path"), "file_path", "left_anti")
+    return kept.unionByName(done)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.jobs import index
+from quarry.jobs import index, log
 from quarry.operators import embedding, markdown, metadata
 from quarry.queries import frames as fr
 from quarry.queries import vectors
@@ -116,22 +116,59 @@ def collection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.collection_count(_stored(spark, sf_dir))
 
 
+def _beside(spark: SparkSession, sf_dir: str, top: str, name: str, content) -> DataFrame:
+    """A further file for each source: ``path, content``."""
+    sources = fr.table(spark, sf_dir, "documents").select("source").distinct()
+    return sources.select(F.concat(F.lit(f"{top}/source="), "source", F.lit(f"/{name}")).alias("path"), content.alias("content"))
+
+
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that the incremental job stores of all documents, by source, after two runs over the same files.
+    """Chunks that the incremental job stores of all documents, by source, after two runs.
 
-    Beside each source lies a file of which a chunk is blank: it fails and doesn't hinder the others.
+    Beside each source lie a file of which a chunk is blank and an empty one, which fail and don't hinder the others, one below a
+    folder with an underscore, one that is edited between the runs and one that is deleted.
     """
-    source, target, at = tree(spark, sf_dir), scratch_path(spark, "collection"), scratch_path(spark, "stream")
-    sources = fr.table(spark, sf_dir, "documents").select("source").distinct()
-    files.write_files(sources.select(F.concat(F.lit(f"{source}/source="), "source", F.lit("/blank.txt")).alias("path"), F.lit(_GAP).alias("content")))
-    for _ in range(2):
-        run_stream(spark, source, target, at).awaitTermination()
+    top, target, at = tree(spark, sf_dir), scratch_path(spark, "collection"), scratch_path(spark, "stream")
+    for name, content in (("blank.txt", _GAP), ("empty.txt", ""), ("edited.txt", "first version"), ("gone.txt", "gone")):
+        files.write_files(_beside(spark, sf_dir, top, name, F.lit(content)))
+    files.write_files(_beside(spark, sf_dir, top, "_notes/n.txt", F.concat(F.lit("Notes of "), "source")))
+    run_stream(spark, top, target, at).awaitTermination()
+    files.write_files(_beside(spark, sf_dir, top, "edited.txt", F.concat(F.lit("second version of "), "source")))
+    files.remove_files(_beside(spark, sf_dir, top, "gone.txt", F.lit("")))
+    run_stream(spark, top, target, at).awaitTermination()
     stored = collection.open_collection(spark, target)
     chars = F.sum(F.length("document"))
     return stored.groupBy(F.regexp_extract("filepath", "source=([^/]*)", 1).alias("source")).agg(F.count_distinct("filepath").alias("files"), F.count(F.lit(1)).alias("chunks"), chars.alias("chars"))
 
 
-STREAMED = f"""SELECT source, count(DISTINCT part) AS files, count(*) AS chunks, sum(chunk_size)::BIGINT AS chars FROM {token_sql(_TREE, 'source, part')} GROUP BY source"""
+STREAMED = f"""SELECT source, count(DISTINCT part) + 2 AS files, count(*) + 2 AS chunks, (sum(chunk_size) + length('Notes of second version of ') + 2 * length(source))::BIGINT AS chars
+FROM {token_sql(_TREE, 'source, part')} GROUP BY source"""
+
+
+def index_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log says of jobs over all documents: one in which a file of each source fails, one that reads those again when
+    they are mended, one that indexes the whole again, one over a folder that isn't there, and one that waits."""
+    top, target, at = tree(spark, sf_dir), scratch_path(spark, "collection"), scratch_path(spark, "jobs")
+    files.write_files(_beside(spark, sf_dir, top, "mended.txt", F.lit(" ")))
+    first = log.run_job(spark, at, "first", lambda: index.index_directory(spark, top, target))
+    files.write_files(_beside(spark, sf_dir, top, "mended.txt", F.col("source")))
+    log.run_job(spark, at, "retry", lambda: index.retry_failed(first, target))
+    log.run_job(spark, at, "again", lambda: index.index_directory(spark, top, target))
+    try:
+        log.run_job(spark, at, "nowhere", lambda: index.index_directory(spark, f"{top}/none", target))
+    except FileNotFoundError:
+        pass
+    log.queue_job(spark, at, "waiting")
+    stored = collection.open_collection(spark, target).agg(F.count(F.lit(1)).alias("stored"))
+    states = log.job_states(spark, at).crossJoin(F.broadcast(stored))
+    error = F.regexp_extract("error_message", "^[^:]*", 0)
+    return states.select("job_id", "status", "files_processed", "files_successful", "files_failed", "total_chunks", F.size("failed_files").alias("shown"), error.alias("error"), "stored")
+
+
+JOBS = f"""WITH c AS (SELECT count(*) AS n, count(DISTINCT (source, part)) AS f FROM {token_sql(_TREE, 'source, part')}), s AS (SELECT count(DISTINCT source) AS s FROM documents)
+SELECT job_id, status, f + s AS files_processed, f + s - bad AS files_successful, bad AS files_failed, n + s - bad AS total_chunks, least(10, bad)::INT AS shown, NULL AS error, n + s AS stored
+FROM c, s, (SELECT 'first' AS job_id, 'completed' AS status, s AS bad FROM s UNION ALL SELECT 'retry', 'completed', 0 UNION ALL SELECT 'again', 'completed', 0)
+UNION ALL SELECT j, st, NULL, NULL, NULL, NULL, NULL, e, n + s FROM c, s, (VALUES ('nowhere', 'failed', 'Directory not found'), ('waiting', 'queued', NULL)) v(j, st, e)"""
 
 #: A text with white space that fills whole chunks.
 _GAP = "before" + " " * 2000 + "after"
@@ -189,5 +226,6 @@ QUERIES = {
     "collection_open": (collection_open, OPENED),
     "collection_count": (collection_count, f"SELECT count(*) AS count FROM {CHUNKS}"),
     "stream_index": (stream_index, STREAMED),
+    "index_jobs": (index_jobs, JOBS),
     "index_directory": (index_directory, INDEXED),
 }

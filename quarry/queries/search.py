@@ -10,7 +10,7 @@ from quarry.queries import frames as fr
 from quarry.queries import vectors
 from quarry.queries.frames import WS, embed_sql, strip_sql
 from quarry.queries.vectors import CHUNKS
-from quarry.sources.collection import open_collection, store_chunks
+from quarry.sources.collection import metadata_equals, open_collection, store_chunks
 from quarry.sources.scratch import scratch_path, stored
 
 
@@ -70,7 +70,15 @@ def knn_sql(collection: str, where: str = "true") -> str:
 
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.knn_search(fr.table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 10, "vec_id", where=F.col("label") == 3)
+    """Nearest rows of a collection among those with a label in their metadata, which is searched in the scan."""
+    rows = fr.table(spark, sf_dir, "embeddings").select(
+        F.col("embedding").cast("array<double>").alias("embedding"), F.create_map(F.lit("label"), F.col("label").cast("string"), F.lit("vec_id"), F.col("vec_id").cast("string")).alias("metadata")
+    )
+    path = scratch_path(spark, "collection")
+    open_collection(spark, path, promoted={"label": "int", "vec_id": "long"})
+    store_chunks(rows, path)
+    held = open_collection(spark, path).withColumn("vec_id", F.col("meta_vec_id"))
+    return search.knn_search(held, _vector_queries(spark, sf_dir), 10, "vec_id", where=metadata_equals(held, {"label": 3}))
 
 
 def query_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

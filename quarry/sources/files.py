@@ -17,6 +17,8 @@ from quarry.sources.scratch import stored
 MAX_FILE_MB = 50
 #: Parsers whose files are text; what others hold must be decoded before it is text.
 TEXT_PARSERS = ("txt", "md")
+#: Name endings of supported files, in lower case.
+TREE_SUFFIXES = tuple(PARSERS)
 LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("modificationTime", T.TimestampType())])
 
 
@@ -44,7 +46,7 @@ def _folder(spark: SparkSession, directory: str) -> str:
     return system.makeQualified(path).toString()
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+def open_place(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and place of a full path as Spark writes it (``file:/x``, ``hdfs://host/x``)."""
     scheme, _, rest = path.partition(":")
     return (pafs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else pafs.FileSystem.from_uri(path)
@@ -63,7 +65,7 @@ def _passed_over(spark: SparkSession, directory: str, recursive: bool) -> DataFr
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder, inside in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, place = _opened(folder)
+                system, place = open_place(folder)
                 found = [f for f in system.get_file_info(pafs.FileSelector(place)) if not f.base_name.startswith(".")]
                 odd = [inside or f.base_name.startswith("_") for f in found]
                 folders = [f.type == pafs.FileType.Directory for f in found]
@@ -83,6 +85,34 @@ def _passed_over(spark: SparkSession, directory: str, recursive: bool) -> DataFr
             return found
 
 
+def with_details(paths: DataFrame) -> DataFrame:
+    """``path, length, modificationTime`` of full paths; a null length where there is no such file."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                system, place = open_place(path)
+                found.append(system.get_file_info(place))
+            times = pa.array([f.mtime_ns // 1000 if f.is_file else None for f in found], pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.size for f in found], pa.int64()), times], LISTING.names)
+
+    return paths.select("path").mapInArrow(look, LISTING)
+
+
+def remove_files(paths: DataFrame) -> None:
+    """Delete the files of ``path`` (full, with its scheme), in the tasks that have the rows."""
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, place = open_place(path)
+                system.delete_file(place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    paths.select("path").mapInArrow(remove, "n long").agg(F.sum("n")).first()
+
+
 def with_content(files: DataFrame) -> DataFrame:
     """Adds ``content`` by reading each file in the task that has its row."""
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
@@ -91,7 +121,7 @@ def with_content(files: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                system, place = _opened(row.column("path")[0].as_py())
+                system, place = open_place(row.column("path")[0].as_py())
                 with system.open_input_stream(place) as stream:
                     yield pa.RecordBatch.from_arrays([*row.columns, pa.array([stream.read()], pa.binary())], schema.names)
 
@@ -104,7 +134,7 @@ def write_files(files: DataFrame) -> None:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                system, place = _opened(path.as_py())
+                system, place = open_place(path.as_py())
                 system.create_dir(place.rpartition("/")[0])
                 with system.open_output_stream(place) as stream:
                     stream.write(content.as_py())

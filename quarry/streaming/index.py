@@ -1,4 +1,4 @@
-"""Incremental indexing: files that appear in a directory are indexed once each."""
+"""Incremental indexing: files that appear or change in a directory are indexed, and what is gone leaves the collection."""
 
 from __future__ import annotations
 
@@ -9,31 +9,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.jobs import index
-from quarry.sources import collection, files
-
-_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+from quarry.sources import collection, files, watch
 
 
 def stream_index(
     spark: SparkSession, directory: str, target: str, checkpoint: str, max_file_mb: float = files.MAX_FILE_MB, report: str | None = None, **settings
 ) -> StreamingQuery:
-    """Index what is new in ``directory`` and stop; started again with the same checkpoint it takes only newer files.
+    """Bring the collection up to date with ``directory`` and stop; started again with the same checkpoint, it takes what changed since.
 
-    A batch makes up a part of the collection that is named by the checkpoint and the batch, so one that is run again
-    after a failure replaces what it had stored, and nothing of the rest is read. Files that fail are left out of the
-    collection and don't stop the others; ``report`` is a folder for the results of every file. The file source passes
-    over names with an underscore at the start and empty files; :func:`quarry.jobs.index.index_directory` has them.
+    The stream has the files that are newer than the last one seen; a file that is older than that and not yet in the
+    collection, such as one moved in, is found by the batch's own listing. An edited file's chunks replace its old ones,
+    and a deleted file's go. A batch is a part of the collection that is named by the checkpoint and the batch, so one that
+    is run again after a failure replaces what it had stored. Files that fail are left out of the collection and don't stop
+    the others; ``report`` is a folder for the results of every file.
     """
-    found = spark.readStream.format("binaryFile").schema(_SCHEMA).option("recursiveFileLookup", "true").load(directory)
+    watch.register(spark)
+    top = files.full_path(spark, directory)
+    found = spark.readStream.format("quarry_files").option("maxFileMb", str(max_file_mb)).load(top)
     name = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
     collection.open_collection(spark, target)
 
     def store(batch: DataFrame, number: int) -> None:
-        fits = batch.filter(files.supported(max_file_mb=max_file_mb))
+        batch.persist()
+        listing = files.crawl_files(spark, directory, max_file_mb=max_file_mb)
+        known = collection.indexed_files(spark, target).withColumnRenamed("filepath", "path")
+        late = listing.join(known, "path", "left_anti").join(batch.select("path"), "path", "left_anti")
+        late = files.with_content(late.filter(files.is_text())).unionByName(late.filter(~files.is_text()).withColumn("content", F.lit(None).cast("binary")))
         content = F.when(files.is_text(), F.col("content")).alias("content")
-        read = files.decoded(fits.select("path", "length", "modificationTime", content))
-        results = index.index_documents(index.documents_of(read), target, part=f"{name}-{number:08d}", **settings)
+        changed = batch.select("path", "length", "modificationTime", content).unionByName(late)
+        gone = index.missing_files(spark, directory, target, listing)
+        results = index.index_documents(index.documents_of(files.decoded(changed)), target, part=f"{name}-{number:08d}", gone=gone, **settings)
         if report:
             results.write.mode("overwrite").parquet(f"{report.rstrip('/')}/{name}-{number:08d}")
+        batch.unpersist()
 
     return found.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,10 @@
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.jobs import answer, index
+from quarry.jobs import answer, index, log
 from quarry.operators import reports
 from quarry.sources import collection, files, scratch
 from quarry.streaming.index import stream_index
@@ -126,6 +129,10 @@ def test_only_decoded_files_are_indexed(spark, tmp_path):
     assert [f[-5:] for f in state.failed_files] == ["a.pdf"]
 
 
+def documents_in(spark, target):
+    return sorted((r.filepath.split("/in/")[1], r.document) for r in collection.open_collection(spark, target).collect())
+
+
 def test_stream_takes_each_file_once(spark, tree, tmp_path):
     target, at = str(tmp_path / "s"), str(tmp_path / "at")
     open(tree + "/gap.txt", "w").write("a" + " " * 2000 + "b")
@@ -136,10 +143,131 @@ def test_stream_takes_each_file_once(spark, tree, tmp_path):
     stream_index(spark, tree, target, at, report=report).awaitTermination()
     again = collection.open_collection(spark, target)
     assert again.count() == first + 1
-    batch = index.chunk_files(index.documents_of(files.decoded(files.read_files(spark, tree, hidden=False))).filter("filename <> 'gap.txt'"))
+    batch = index.chunk_files(index.documents_of(files.decoded(files.read_files(spark, tree))).filter("filename <> 'gap.txt'"))
     assert {r.id for r in again.select("id").collect()} == {r.id for r in batch.select("id").collect()}
     results = spark.read.option("recursiveFileLookup", "true").parquet(report).collect()
-    assert len(results) == 9 and [r.file_path[-7:] for r in results if not r.success] == ["gap.txt"]
+    assert len(results) == 12 and sorted(r.file_path.rpartition("/")[2] for r in results if not r.success) == ["empty.txt", "gap.txt"]
+
+
+def test_stream_follows_changes(spark, tmp_path):
+    top = tmp_path / "in"
+    for name, data in {"a.txt": "first", "_u/b.TXT": "under", "gone.txt": "gone", "empty.txt": "", ".git/x.txt": "no", "c.xyz": "no"}.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text(data)
+    target, at = str(tmp_path / "s"), str(tmp_path / "at")
+    run = lambda: stream_index(spark, str(top), target, at).awaitTermination()
+    run()
+    assert documents_in(spark, target) == [("_u/b.TXT", "under"), ("a.txt", "first"), ("gone.txt", "gone")]
+    (top / "a.txt").write_text("second")
+    (top / "gone.txt").unlink()
+    run()
+    assert documents_in(spark, target) == [("_u/b.TXT", "under"), ("a.txt", "second")]
+    (top / "_u/b.TXT").unlink()
+    (top / "old.txt").write_text("moved in")
+    os.utime(top / "old.txt", (10**9, 10**9))
+    run()
+    run()
+    assert documents_in(spark, target) == [("a.txt", "second"), ("old.txt", "moved in")]
+
+
+def test_a_directory_indexed_twice_is_stored_once(spark, tree, tmp_path):
+    target = str(tmp_path / "c")
+    index.index_directory(spark, tree, target)
+    first = documents_in(spark, target)
+    index.index_directory(spark, tree, target)
+    assert documents_in(spark, target) == first
+    open(tree + "/sample.txt", "w").write("edited")
+    os.remove(tree + "/UPPER.TXT")
+    index.index_directory(spark, tree, target)
+    assert dict(documents_in(spark, target))["sample.txt"] == "edited" and "UPPER.TXT" in dict(documents_in(spark, target))
+    index.index_directory(spark, tree, target, remove_missing=True)
+    assert [n for n, _ in documents_in(spark, target)] == [n for n, _ in first if n != "UPPER.TXT"]
+    open(tree + "/sample.txt", "w").write("  ")
+    index.index_directory(spark, tree, target)
+    assert "sample.txt" not in dict(documents_in(spark, target))
+    before = documents_in(spark, target)
+    collection.compact(spark, target)
+    assert documents_in(spark, target) == before and collection.vacuum(spark, target) > 0 and documents_in(spark, target) == before
+    assert collection.vacuum(spark, target) == 0
+
+
+SMALL = "id string, filename string, filepath string, chunk_index int, embedding array<double>"
+
+
+def test_a_write_that_stops_half_way_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([("a", "f", "/f", 0, [1.0])], SMALL)
+    collection.store_chunks(rows, path)
+    half = spark.range(100).select(F.lit("b").alias("id"), F.lit("f").alias("filename"), F.lit("/g").alias("filepath"), F.col("id").cast("int").alias("chunk_index"),
+                                   F.when(F.col("id") < 90, F.array(F.lit(1.0))).otherwise(F.raise_error(F.lit("lost")).cast("array<double>")).alias("embedding"))
+    with pytest.raises(Exception, match="lost"):
+        collection.store_chunks(half.repartition(10, "chunk_index"), path)
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(collection, "_commit", lost)
+        with pytest.raises(KeyboardInterrupt):
+            collection.store_chunks(rows, path)
+    (tmp_path / "c" / "_snapshots" / "0000000009.json").write_text('{"promoted": {}, "bat')
+    assert collection.open_collection(spark, path).count() == 1
+    collection.store_chunks(rows, path)
+    assert collection.open_collection(spark, path).count() == 2 and collection.vacuum(spark, path) >= 3
+    assert collection.open_collection(spark, path).count() == 2
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    path = str(tmp_path / "c")
+    collection.open_collection(spark, path)
+    rows = spark.createDataFrame([("a", "f", "/f", 0, [1.0])], SMALL)
+    seen = collection.open_collection(spark, path)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: collection.store_chunks(rows, path), range(6)))
+    assert collection.open_collection(spark, path).count() == 6 and seen.count() == 0
+
+
+def test_promoted_metadata_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "c")
+    collection.open_collection(spark, path, promoted={"lang": "string", "pages": "int"})
+    rows = [("a", {"lang": "en", "pages": "3", "other": "x"}), ("b", {"lang": "de", "pages": "many"}), ("c", None)]
+    df = spark.createDataFrame(rows, "id string, metadata map<string,string>").withColumn("embedding", F.array(F.lit(1.0)))
+    collection.store_chunks(df, path)
+    held = collection.open_collection(spark, path)
+    some = held.filter(collection.metadata_equals(held, {"lang": "en", "pages": 3}))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in some.collect()] == ["a"] and "EqualTo(meta_lang,en)" in plan and "EqualTo(meta_pages,3)" in plan
+    assert [r.id for r in held.filter(collection.metadata_equals(held, {"other": "x"})).collect()] == ["a"]
+    assert held.filter(collection.metadata_equals(held, {})).count() == 3 and held.filter("id = 'b'").first().meta_pages is None
+    assert collection.open_collection(spark, path, reset=True).columns == held.columns
+
+
+def test_jobs_keep_their_log(spark, tree, tmp_path):
+    at, target = str(tmp_path / "log"), str(tmp_path / "c")
+    assert log.job_states(spark, at).count() == 0
+    log.queue_job(spark, at, "one")
+    assert [(r.job_id, r.status) for r in log.job_states(spark, at).collect()] == [("one", "queued")]
+    states = []
+
+    def job():
+        states.append(log.job_states(spark, at).first().status)
+        return index.index_directory(spark, tree, target)
+
+    results = log.run_job(spark, at, "one", job)
+    with pytest.raises(NotADirectoryError):
+        log.run_job(spark, at, "two", lambda: index.index_directory(spark, tree + "/bom.txt", target))
+    got = {r.job_id: r for r in log.job_states(spark, at).collect()}
+    assert states == ["running"] and (got["one"].status, got["one"].files_processed, got["one"].files_failed) == ("completed", 10, 1)
+    assert got["one"].failed_files[0].endswith("empty.txt") and got["one"].started_at <= got["one"].completed_at
+    assert got["two"].status == "failed" and got["two"].error_message.startswith("Path is not a directory") and got["two"].message.startswith("Indexing failed: ")
+    assert reports.job_list(log.job_states(spark, at)).first().job_id == "two"
+    assert log.read_log(spark, at).count() == 5
+    open(tree + "/empty.txt", "w").write("now there is text")
+    again = log.run_job(spark, at, "three", lambda: index.retry_failed(results, target))
+    assert again.count() == 10 and again.filter("NOT success").count() == 0 and dict(documents_in(spark, target))["empty.txt"] == "now there is text"
+    os.remove(tree + "/empty.txt")
+    lost = index.retry_failed(results, target).filter("NOT success").collect()
+    assert [r.error_message for r in lost] == ["Processing error: no decoded content for this txt file"] and "empty.txt" not in dict(documents_in(spark, target))
 
 
 def test_a_batch_run_again_replaces_its_part(spark, tmp_path):
