@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from quarry.sources.files import TREE_SUFFIXES, open_place
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-#: Bytes and files that one task reads.
+#: Bytes and files that one task reads at most; fewer where there are more tasks than that would make.
 TASK_BYTES, TASK_FILES = 64 << 20, 1000
 
 
@@ -31,6 +31,7 @@ class _Reader(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.top, self.most = options["path"].rstrip("/"), int(float(options.get("maxFileMb", 50)) * 1024 * 1024)
+        self.tasks = int(options.get("tasks", 1))
 
     def _listing(self) -> list[tuple[int, str, int]]:
         import pyarrow.fs as pafs
@@ -53,10 +54,10 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         parts, size = [_Files([])], 0
-        for time, path, length in self._listing():
-            if not (start["time"], start["path"]) < (time, path) <= (end["time"], end["path"]):
-                continue
-            if size and (size + length > TASK_BYTES or len(parts[-1].files) >= TASK_FILES):
+        fresh = [f for f in self._listing() if (start["time"], start["path"]) < f[:2] <= (end["time"], end["path"])]
+        most, number = min(TASK_BYTES, sum(f[2] for f in fresh) // self.tasks), min(TASK_FILES, 1 + len(fresh) // self.tasks)
+        for time, path, length in fresh:
+            if parts[-1].files and (size + length > most or len(parts[-1].files) >= number):
                 parts, size = [*parts, _Files([])], 0
             parts[-1].files.append((time, path, length))
             size += length

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.jobs import index
 from quarry.sources import collection, files, watch
+from quarry.sources.scratch import drop_stored, stored
 
 
 def stream_index(
@@ -25,13 +26,14 @@ def stream_index(
     """
     watch.register(spark)
     top = files.full_path(spark, directory)
-    found = spark.readStream.format("quarry_files").option("maxFileMb", str(max_file_mb)).load(top)
+    tasks = str(2 * spark.sparkContext.defaultParallelism)
+    found = spark.readStream.format("quarry_files").option("maxFileMb", str(max_file_mb)).option("tasks", tasks).load(top)
     name = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
     collection.open_collection(spark, target)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.persist()
-        listing = files.crawl_files(spark, directory, max_file_mb=max_file_mb)
+        listing = stored(files.crawl_files(spark, directory, max_file_mb=max_file_mb), "listing")
         known = collection.indexed_files(spark, target).withColumnRenamed("filepath", "path")
         late = listing.join(known, "path", "left_anti").join(batch.select("path"), "path", "left_anti")
         late = files.with_content(late.filter(files.is_text())).unionByName(late.filter(~files.is_text()).withColumn("content", F.lit(None).cast("binary")))
@@ -42,5 +44,6 @@ def stream_index(
         if report:
             results.write.mode("overwrite").parquet(f"{report.rstrip('/')}/{name}-{number:08d}")
         batch.unpersist()
+        drop_stored(listing)
 
     return found.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
