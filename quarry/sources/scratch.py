@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
+_noted = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    for paths in getattr(_noted, "lists", []):
+        paths.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._quarry_path = path
     return back
@@ -51,3 +56,17 @@ def drop_path(spark: SparkSession, name: str) -> None:
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` that no later step reads."""
     drop_path(df.sparkSession, df._quarry_path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``make`` returns, and delete the tables that were stored on the way to it in this thread."""
+    paths: list[str] = []
+    _noted.lists = [*getattr(_noted, "lists", []), paths]
+    try:
+        out = stored(make(), name)
+    finally:
+        _noted.lists = _noted.lists[:-1]
+    for path in paths:
+        if path != out._quarry_path:
+            drop_path(spark, path)
+    return out
