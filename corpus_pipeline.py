@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import exact_dedup, packing, quality, simhash, suffix_dedup
-from quarry.llm.common import stored, table
+from quarry.llm.common import drop_stored, stored_alone, table
 
 #: The stages learn a classifier and compare fingerprints: DuckDB SQL cannot express their rows.
 ORACLE_SQL = None
@@ -47,10 +47,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each stage's result is written and reread as the next one's input."""
+    """Apply all stages to ``documents``; each stage's result is written and reread as the next one's input.
+
+    A stage's own tables go when its result is written, and that goes when the next one's is; what the last stage's rows are
+    read from stays.
+    """
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, name.replace(" ", "-"))
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            drop_stored(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

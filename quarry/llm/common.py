@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.sources.scratch import drop_stored, stored
+from quarry.sources.scratch import drop_stored, stored, stored_alone
 
-__all__ = ["WORD_PATTERN", "drop_stored", "join_spread", "numbered", "stored", "table", "utf8"]
+__all__ = ["WORD_PATTERN", "drop_stored", "join_spread", "numbered", "stored", "stored_alone", "table", "utf8"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 

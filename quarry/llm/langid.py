@@ -167,23 +167,23 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Fit on ``docs`` with non-null ``lang``; texts that are null or empty teach nothing.
 
     Of a language's ids those with a small hash are taken, in each partition before anything moves, so that few are ranked
-    however many rows a language has. Features go to the tasks that fit a group of machines; the driver has the machines only.
+    however many rows a language has; of rows that repeat an id, one. Features go to the tasks that fit a group of machines; the driver has the machines only.
     Without any labelled row the model knows no language and answers ``und``.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
-    counted = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = labelled.groupBy(F.col(lang).alias("lang")).agg(F.approx_count_distinct(F.col(key).cast("long"), 0.02).alias("n")).collect()
     langs = sorted(r.lang for r in counted)
     model = LanguageModel.of(langs)
     jobs, family_of = model.jobs(), families_of(langs)
     if not jobs:
         return model
     per_language = max(1, min(per_language, SAMPLE // len(langs)))
-    # A hash below the language's share leaves about twice the rows that are wanted, whatever their number, to be ranked.
-    most = {r.lang: int((1 << 63) * min(1.0, (2 * per_language + 20) / r.n)) for r in counted}
+    # A hash below the language's share leaves about twice the ids that are wanted, whatever their number, to be ranked.
+    most = {r.lang: int((1 << 63) * min(1.0, (2 * per_language + 20) / max(1.0, 0.9 * r.n))) for r in counted}
     limits = docs.sparkSession.createDataFrame([(name, cut - 1) for name, cut in most.items()], "lang string, most long")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     ids = labelled.select(F.col(lang).alias("lang"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long")).bitwiseAND((1 << 63) - 1).alias("h"))
-    ids = ids.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("most")).drop("most")
+    ids = ids.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("most")).drop("most").distinct()
     chosen = ids.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "id")
     needed = defaultdict(list)
     for job, pairs in enumerate(jobs):
@@ -214,6 +214,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     rows = labelled.select(F.col(lang).alias("lang"), utf8(text).alias("raw"), F.col(key).cast("long").alias("id"))
     rows = rows.join(F.broadcast(chosen), ["lang", "id"], "left_semi").select("lang", "raw", "id")
+    # One row of each id: however often one is repeated, a machine is fitted to as many rows as were chosen.
+    nth = F.row_number().over(Window.partitionBy("lang", "id").orderBy(F.xxhash64("raw"), "raw"))
+    rows = rows.withColumn("nth", nth).filter("nth = 1").drop("nth")
     shares = rows.mapInArrow(run, "job int, lang string, id long, x binary")
     fitted = shares.groupBy("job").applyInArrow(fit_job, "a string, b string, w binary").toArrow()
     model.pairs = list(zip(fitted.column("a").to_pylist(), fitted.column("b").to_pylist()))

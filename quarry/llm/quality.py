@@ -220,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ke
     """Fit on ``docs`` (all of them for the word vectors) and ``labels`` (``doc_id, quality`` with 0 or 1).
 
     Null labels and labels of other values count as none; of several labels of one document the highest holds. At most
-    ``max_labelled`` labelled documents are used for the network, the same ones for the same ids.
+    ``max_labelled`` labelled documents are used for the network, the same ones for the same ids; rows that repeat an id count
+    each.
     """
     spark = docs.sparkSession
     vectors = word_vectors(docs, text)
@@ -229,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ke
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = plain.join(F.broadcast(chosen), "doc_id")
-    found = _features(rows, shared, ["doc_id", "y"]).orderBy("doc_id").toArrow()
+    first = _features(rows, shared, ["doc_id", "y"]).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_labelled)
+    found = first.orderBy("doc_id", "x").toArrow()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), dtype=np.float32).reshape(-1, 2 * DIMS + SHAPES + 1)
     return QualityModel(vectors, Network.fit(x, found.column("y").to_numpy().astype(np.float64)))
 

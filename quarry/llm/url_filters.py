@@ -2,10 +2,11 @@
 
 Rules name a host and a path prefix and hold for the host's subdomains too; the longest that fits decides. A host with
 more allowed than blocked pages under rules is a trusted seed, one with more blocked than allowed pages a distrusted
-seed, each with a mass in proportion to the difference. Trust is personalised PageRank from the trusted seeds along
-links; distrust is the same from the distrusted seeds against the links, for who links to bad hosts is suspect. A page without a rule is blocked if distrust is more
-than half of its host's trust and distrust together, which does not depend on the number of hosts. Spark expressions only; the host graph is aggregated before anything is
-joined, so a host of a third of all pages is one row of it.
+seed, each with a mass of its own: the difference as a share of its ruled pages, 1 at most. Trust is personalised PageRank
+from the trusted seeds along links; distrust is the same from the distrusted seeds against the links, for who links to bad
+hosts is suspect. A page without a rule is blocked if distrust is more than half of its host's trust and distrust together.
+As no mass is shared among seeds, a verdict depends on the seeds that links lead from and on no others. Spark expressions
+only; the host graph is aggregated before anything is joined, so a host of a third of all pages is one row of it.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """``host, trust, distrust`` after personalised PageRank in both directions at once.
 
-    ``seeds`` has ``host, kind`` (trust or distrust) and ``weight``. Both seed kinds share a mass of 1 each, by weight.
+    ``seeds`` has ``host, kind`` (trust or distrust) and ``weight``, the seed's own mass.
     Hosts without links out lose their mass, as usual where only relative amounts count. A round is one join and one
     sum; every fourth is written to the shared folder, so that plans stay short. Rounds go on until none of them changes
     a host's mass by more than ``tolerance`` of itself; a host that is reached for the first time has changed.
@@ -95,8 +96,7 @@ def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, dam
     )
     totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
     ways = stored(ways.join(totals, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("weight") / F.col("total")).alias("share")), "links")
-    sums = seeds.groupBy("kind").agg(F.sum("weight").alias("whole"))
-    start = stored(seeds.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("weight") / F.col("whole")).alias("mass"), F.lit(0.0).alias("was")), "seeds")
+    start = stored(seeds.select("kind", "host", F.col("weight").alias("mass"), F.lit(0.0).alias("was")), "seeds")
     again = start.select("kind", "host", (F.lit(1 - damping) * F.col("mass")).alias("mass"), "was")
     now, settled = start, ways.isEmpty()
     while not settled:
@@ -130,7 +130,8 @@ def judge(
         F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked")
     )
     more = F.col("allowed") - F.col("blocked")
-    seeds = tally.filter(more != 0).select("host", F.when(more < 0, "distrust").otherwise("trust").alias("kind"), F.abs(more).cast("double").alias("weight"))
+    share = F.abs(more) / (F.col("allowed") + F.col("blocked"))
+    seeds = tally.filter(more != 0).select("host", F.when(more < 0, "distrust").otherwise("trust").alias("kind"), share.alias("weight"))
     ranks = spread(host_edges(pages, url, html), seeds)
     joined = ruled.join(ranks, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = F.col("distrust") > F.lit(min_share) * (F.col("trust") + F.col("distrust"))

@@ -197,3 +197,18 @@ def test_a_language_of_nearly_all_rows_is_sampled(spark):
     model = langid.fit(docs, per_language=40)
     assert {r.lang_pred for r in model.score(docs).filter("doc_id % 100 = 0").collect()} == {"de"}
     assert {r.lang_pred for r in model.score(docs).filter("doc_id % 100 = 1").collect()} == {"en"}
+
+
+def test_samples_are_bounded_where_ids_repeat(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "autre mot", "fr"), (3, "bad bad", "fr")], docs.schema))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    fit = quality.Network.fit
+    monkeypatch.setattr(quality.Network, "fit", staticmethod(lambda x, y: seen.append(len(x)) or fit(x, y)))
+    quality.fit(docs, labels, max_labelled=10)
+    assert seen == [10]
+    many = langid.fit(docs)
+    first = docs.filter("doc_id = 1").orderBy(F.xxhash64(F.col("text").cast("binary"))).limit(1)
+    few = langid.fit(first.unionByName(docs.filter("doc_id > 1")))
+    assert many.pairs == few.pairs and np.array_equal(many.weights, few.weights)

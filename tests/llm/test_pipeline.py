@@ -1,6 +1,9 @@
 """The pipeline's stages, each against brute force on what the stage before it kept."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import packing
@@ -68,3 +71,18 @@ def test_packing(kept):
 def test_run(spark, kept):
     got = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in kept[5].collect())
+
+
+def test_run_leaves_little_behind(spark, kept, tmp_path):
+    """Of all tables that a run stores only those stay that its rows are read from; nulls, repeated ids and no rows at all are fine."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("stage", F.lit("clash"))
+    odd = docs.limit(3).withColumns({"text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, rows in (("some", docs.unionByName(odd).unionByName(odd)), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    place = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(place))
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert got.count() > 0 and len(set(os.listdir(place)) - before) <= 3
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -1,6 +1,7 @@
 """Rules, URLs, chats, tokens and packing."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -65,9 +66,9 @@ def brute_rank(edges, seeds, rounds=url_filters.ITERATIONS, d=url_filters.DAMPIN
     for a, b in edges:
         if a != b:
             out.setdefault(a, []).append(b)
-    rank = {s: 1 / len(seeds) for s in seeds}
+    rank = dict.fromkeys(seeds, 1.0)
     for _ in range(rounds):
-        new = {s: (1 - d) / len(seeds) for s in seeds}
+        new = dict.fromkeys(seeds, 1 - d)
         for a, r in rank.items():
             for b in out.get(a, []):
                 new[b] = new.get(b, 0) + d * r / len(out[a])
@@ -108,7 +109,7 @@ def test_url_mixed_hosts_are_seeds(spark):
     df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r.host: r for r in url_filters.judge(df, rule).collect() if r.path == "/else"}
     assert {h: r.verdict for h, r in got.items()} == {"a.net": "allow", "b.net": "block", "c.net": "block", "d.net": "allow"}
-    assert {h: (r.trust, r.distrust) for h, r in got.items()} == {"a.net": (1, 0), "b.net": (0, 0.5), "c.net": (0, 0.5), "d.net": (0, 0)}
+    assert {h: (r.trust, r.distrust) for h, r in got.items()} == {"a.net": (4 / 6, 0), "b.net": (0, 0.5), "c.net": (0, 2 / 6), "d.net": (0, 0)}
 
 
 def test_url_verdicts_do_not_depend_on_size(spark):
@@ -126,6 +127,29 @@ def test_url_verdicts_do_not_depend_on_size(spark):
     assert len(got) == 23 and {r.verdict for r in got} == {"block"}
 
 
+def test_url_verdicts_do_not_depend_on_other_seeds(spark):
+    """100,000 seeds of either kind, to which nothing is linked, leave all ranks and verdicts of a graph with both kinds as they were;
+    and the ranks of 60 hosts with links between them are those of a brute force."""
+    rnd = random.Random(8)
+    hosts = [f"h{i}.{k}" for i in range(20) for k in ("good", "bad", "net")]
+    rule = [url_filters.Rule("good/", "allow"), url_filters.Rule("bad/", "block"), url_filters.Rule("more/a", "allow"), url_filters.Rule("more/b", "block")]
+    links = {h: rnd.choices(hosts, k=rnd.randint(0, 4)) for h in hosts}
+    pages = [(i, f"http://{h}/", "".join(f"<a href='//{x}/'>" for x in links[h])) for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    seen = lambda rows: {r.host: (r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in rows.collect()}
+    alone = seen(url_filters.judge(df, rule))
+    edges = [(h, x) for h in hosts for x in links[h] if h != x]
+    trust = brute_rank(edges, [h for h in hosts if h.endswith(".good")])
+    distrust = brute_rank([(b, a) for a, b in edges], [h for h in hosts if h.endswith(".bad")])
+    for h, (verdict, t, d) in alone.items():
+        assert abs(t - trust.get(h, 0)) < 1e-8 and abs(d - distrust.get(h, 0)) < 1e-8
+        assert not h.endswith(".net") or verdict == ("block" if d > t else "allow")
+    assert {v for h, (v, _, _) in alone.items() if h.endswith(".net")} == {"allow", "block"}
+    for path in ("a", "b"):
+        others = spark.range(100_000).select(F.col("id") + 1000, F.concat(F.lit("http://x"), F.col("id").cast("string"), F.lit(f".more/{path}")), F.lit(""))
+        assert seen(url_filters.judge(df.union(others), rule).filter("NOT endswith(host, '.more')")) == alone
+
+
 def test_url_query(spark):
     got = {r.page_id: r for r in url_filters.op7_url_filters(spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
