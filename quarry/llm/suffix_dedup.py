@@ -19,9 +19,9 @@ suffix of a corpus moves it many times over, so the strings that could repeat ar
    the prefixes of adjacent suffixes: a run of suffixes with 100 bytes in common is one string, of which the first
    occurrence stays.
 
-Nothing is removed because hashes agree: bytes are compared before. A claim that doesn't hold stops the job with an
-error that says so, and another ``seed`` of the hashes is to be taken; if they spread as random ones do, the chance of
-one is some 1e-11 for 100 TB.
+Nothing is removed because hashes agree: bytes are compared before. Where a claim doesn't hold, its strings and those
+they were said to equal go to the suffix sort with the stretches of their anchor, so hashes that collide cost work and
+change no result.
 The places found come back as spans per document and are cut out of the whole texts.
 """
 
@@ -40,8 +40,8 @@ from quarry.llm.common import table, utf8
 from quarry.llm.suffix_sort import equal_prefixes, suffix_order
 
 LENGTH, GRAM = 100, 24
-#: Anchors of more different stretches than this meet by whole strings.
-HOT = 8_000
+#: Anchors of more different stretches than this, or of more bytes of them, meet by whole strings.
+HOT, HOT_BYTES = 8_000, 1 << 21
 #: Bytes of stretches that are suffix-sorted at once, but for a group that is larger by itself.
 BLOCK_BYTES = 1 << 19
 #: Single strings a task remembers to settle later copies at once; when full it starts anew, which changes no result.
@@ -56,11 +56,15 @@ _SHIFT = 40
 
 
 class Anchors:
-    """Finds the anchor of every string of ``length`` bytes in many texts at once."""
+    """Finds the anchor of every string of ``length`` bytes in many texts at once.
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM, seed: int = SEED):
+    Of the hashes of anchors and stretches ``bits`` bits are kept; with few of them nearly all collide.
+    """
+
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, seed: int = SEED, bits: int = 64):
         if not 0 < gram <= length:
             raise ValueError("need 0 < gram <= length")
+        self.mask = np.uint64((1 << bits) - 1)
         self.base = int.from_bytes(hashlib.blake2b(str(seed).encode(), digest_size=8).digest()) & ~7 | 5
         self.length, self.gram = length, gram
         self.up = self.down = np.ones(1, dtype=np.uint64)
@@ -113,8 +117,8 @@ class Anchors:
                 last = np.append(first[1:], len(place)) - 1
                 sign = (sums[last + self.length] - sums[first]) * self.down[first]
                 sign = (sign ^ (sign >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                sign = sign & np.uint64(2**64 - 256) | (last - first).astype(np.uint64)
-                parts.append((first + at, grams[place[first]], sign))
+                sign = sign & np.uint64(int(self.mask) << 8 & 2**64 - 1) | (last - first).astype(np.uint64)
+                parts.append((first + at, grams[place[first]] & self.mask, sign))
             yield i, *(np.concatenate(c) for c in zip(*parts))
 
 
@@ -132,7 +136,7 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.select("k", nth.alias("nth"), "raw", "rest")
 
 
-def anchor_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, seed: int = SEED) -> DataFrame:
+def anchor_runs(rows: DataFrame, finder: Anchors) -> DataFrame:
     """``h, sign, k, loc`` of every stretch; ``loc`` holds the number among rows of one id, and the first start.
 
     Of stretches that are equal within a group of documents, byte for byte, all but the first are settled at once: they
@@ -141,7 +145,6 @@ def anchor_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, seed: i
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Anchors(length, gram, seed)
         for batch in batches:
             ks, nths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, batch.num_rows, 400):
@@ -154,7 +157,7 @@ def anchor_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, seed: i
                     order = np.lexsort((loc, k, sign, h))
                     alike = np.flatnonzero((h[order[1:]] == h[order[:-1]]) & (sign[order[1:]] == sign[order[:-1]]))
                     again, before = order[1:][alike], order[:-1][alike]
-                    size = (sign[again] & np.uint64(SETTLED - 1)).astype(np.int64) + length
+                    size = (sign[again] & np.uint64(SETTLED - 1)).astype(np.int64) + finder.length
                     pairs = zip((o[again] - at).tolist(), first[again].tolist(), (o[before] - at).tolist(), first[before].tolist(), size.tolist())
                     again = again[np.fromiter((texts[i][a : a + n] == texts[j][b : b + n] for i, a, j, b, n in pairs), bool, len(again))]
                     sign[again] = sign[again] & np.uint64(SETTLED - 1) | np.uint64(SETTLED)
@@ -271,14 +274,49 @@ def _claims(places: DataFrame, length: int) -> DataFrame:
     return places.mapInArrow(emit, "k0 long, nth0 long, at long, k long, loc long, last long, bytes binary")
 
 
-def _proved(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    """``k, loc, last`` of ``claims``, each compared with the text it is on; one that doesn't hold is an error."""
+def _judged(rows: DataFrame, claims: DataFrame, finder: Anchors) -> tuple[DataFrame, DataFrame]:
+    """``k, loc, last`` of the claims that hold, each compared with the text it is on, and stretches of those that don't.
+
+    The stretches, in the form of :func:`_stretches`, have the strings that differ and those they were said to equal,
+    each by its anchor, where the stretches of the other hashes are, and by itself, as those of hot anchors are. So a
+    string meets all others even if it only looked like one that was left out.
+    """
     texts = rows.select(F.col("k").alias("k0"), F.col("nth").alias("nth0"), "raw", "rest")
-    equal = F.substr("raw", (F.col("at") + 1).cast("int"), F.length("bytes")) == F.col("bytes")
-    # The other columns in the message also keep the texts' shuffle in the form in which it is reused.
-    message = F.concat(F.lit("hashes of different strings are equal, take another seed: at "), F.col("at").cast("string"), F.lit(" of a document with "), F.to_json(F.struct("rest")))
+    said = F.substr("raw", (F.col("at") + 1).cast("int"), F.length("bytes"))
     joined = claims.withColumn("nth0", F.col("nth0").cast("int")).join(texts, ["k0", "nth0"])
-    return joined.select("k", "loc", F.when(equal, F.col("last")).otherwise(F.raise_error(message).cast("long")).alias("last"))
+    # The other columns are named on both ways, so that the texts' shuffle has the form in which it is reused.
+    holds = F.when(said == F.col("bytes"), F.lit(True)).otherwise(F.to_json(F.struct("rest")).isNull())
+    failing = joined.filter(said != F.col("bytes")).select("k0", "nth0", "at", "k", "loc", "bytes", said.alias("said"), "rest")
+    return joined.filter(holds).select("k", "loc", "last"), failing.mapInArrow(lambda batches: _differing(batches, finder), _STRETCH)
+
+
+def _differing(batches: Iterator[pa.RecordBatch], finder: Anchors) -> Iterator[pa.RecordBatch]:
+    length = finder.length
+    for batch in batches:
+        for k0, nth0, at, k, loc, mine, said in zip(*(c.to_pylist() for c in batch.columns[:7])):
+            off = np.flatnonzero(np.frombuffer(mine, np.uint8) != np.frombuffer(said, np.uint8))
+            n = len(mine) - length + 1
+            differ = union(np.maximum(off - length + 1, 0).tolist(), np.minimum(off + 1, n).tolist())
+            out: list[tuple] = []
+            ends = [0, *(x for pair in differ for x in pair), n]
+            for a, b in zip(ends[::2], ends[1::2]):
+                if a < b:
+                    out.append((hash((k, loc + a)), k, loc + a, (loc & (1 << _SHIFT) - 1) + b - 1, None))
+            for a, b in differ:
+                for doc, place, text in ((k, loc, mine), (k0, nth0 << _SHIFT | at, said)):
+                    part, begin = text[a : b - 1 + length], (place & (1 << _SHIFT) - 1) + a
+                    base = place >> _SHIFT << _SHIFT
+                    for _, first, h, sign in finder.runs([part]):
+                        for s, code, size in zip(first.tolist(), h.view(np.int64).tolist(), (sign & np.uint64(SETTLED - 1)).tolist()):
+                            out.append((code, doc, base | begin + s, begin + s + size, part[s : s + size + length]))
+                    for j in range(len(part) - length + 1):
+                        one = part[j : j + length]
+                        out.append((_code(one), doc, base | begin + j, begin + j, one))
+            yield _batch(out)
+
+
+def _code(one: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "big", signed=True)
 
 
 def _stretches(places: DataFrame, length: int) -> DataFrame:
@@ -311,8 +349,7 @@ def _stretches(places: DataFrame, length: int) -> DataFrame:
                                 if len(seen) >= REMEMBERED:
                                     seen.clear()
                                 seen[one] = (k, base | j)
-                                code = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "big", signed=True)
-                                out.append((code, k, base | j, j, one))
+                                out.append((_code(one), k, base | j, j, one))
                     for a, b in union([a for a, _ in settled], [b + 1 for _, b in settled]):
                         out.append((hash((k, a)), k, base | a, b - 1, None))
                 if out:
@@ -330,8 +367,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def later_strings(stretches: list[tuple[tuple[int, int], bytes]], length: int) -> list[tuple[int, int, int]]:
     """``index, first, last`` of runs of string starts in ``stretches`` that also start in an earlier one.
 
-    ``stretches`` are distinct texts with their places; places give the order. The suffixes of all of them are sorted
-    together; suffixes that share their first ``length`` bytes stand side by side.
+    ``stretches`` are distinct texts with their places; places give the order, and texts that overlap share places. The
+    suffixes of all of them are sorted together; suffixes that share their first ``length`` bytes stand side by side.
     """
     order = sorted(range(len(stretches)), key=lambda i: stretches[i][0])
     text = np.frombuffer(b"".join(stretches[i][1] for i in order) + bytes(8), dtype=np.uint8)
@@ -344,9 +381,13 @@ def later_strings(stretches: list[tuple[tuple[int, int], bytes]], length: int) -
     ranked = ranked[whole[ranked]]
     same = equal_prefixes(text, ranked, length)
     cls = np.cumsum(~same) - 1
-    earliest = np.full(int(cls[-1]) + 1, len(text), dtype=np.int64)
-    np.minimum.at(earliest, cls, ranked)
-    gone = np.sort(ranked[ranked != earliest[cls]])
+    low = (1 << _SHIFT) - 1
+    docs = {doc: i for i, doc in enumerate(sorted({(k, loc >> _SHIFT) for (k, loc), _ in stretches}))}
+    starts = np.array([docs[k, loc >> _SHIFT] << _SHIFT | loc & low for k, loc in (stretches[i][0] for i in order)])
+    place = (starts[owner] + inside)[ranked]
+    earliest = np.full(int(cls[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(earliest, cls, place)
+    gone = np.sort(ranked[place != earliest[cls]])
     if not len(gone):
         return []
     cut = np.flatnonzero(np.append(True, (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])))
@@ -389,10 +430,8 @@ def _settle(stretches: DataFrame, length: int) -> DataFrame:
                 if h != now:
                     close()
                     now, group = h, {}
-                if stretch in group:
+                if group.setdefault(stretch, (k, loc)) != (k, loc):
                     out.append((k, loc, last))
-                else:
-                    group[stretch] = (k, loc)
             if out:
                 yield _columns(out, ["k", "loc", "last"])
                 out = []
@@ -405,18 +444,23 @@ def _settle(stretches: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(compare, "k long, loc long, last long")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, seed: int = SEED) -> DataFrame:
+def repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, seed: int = SEED, bits: int = 64
+) -> DataFrame:
     """``doc_id, nth, raw, spans, kept, rest`` of every row: its bytes, the maximal spans that go, and the bytes that stay.
 
     ``rest`` is a struct of the other columns of ``docs`` (0 without any).
 
     ``spans`` is an array of ``start, end`` in bytes. A string counts as earlier in a smaller ``doc_id``, or in the same
     document at an earlier start; among rows that repeat an id the order is that of a hash of their bytes. Null texts are
-    empty, null ids come first, texts shorter than ``length`` keep all. Matches never cross documents.
+    empty, null ids come first, texts shorter than ``length`` keep all. Matches never cross documents. A text is held
+    whole by the tasks that read and cut it, however long.
     """
     rows = keyed(docs, key, text)
-    places = _with_places(rows, meet_anchors(anchor_runs(rows, length, gram, seed), hot))
-    found = _settle(_stretches(places, length), length).unionByName(_proved(rows, _claims(places, length)))
+    finder = Anchors(length, gram, seed, bits)
+    places = _with_places(rows, meet_anchors(anchor_runs(rows, finder), min(hot, max(1, HOT_BYTES // (2 * length)))))
+    held, differing = _judged(rows, _claims(places, length), finder)
+    found = _settle(_stretches(places, length).unionByName(differing), length).unionByName(held)
     low = F.lit((1 << _SHIFT) - 1)
     spans = found.select(
         "k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), (F.col("last") + length).alias("e")).alias("p")

@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 21
-#: Longest string that can be sorted at once: three names must fit 63 bits.
-MAX_LENGTH = (1 << BITS) - 8
+#: Three symbols below 2**BITS fit a key of 63 bits as they are, two below 2**WIDE always.
+BITS, WIDE = 21, 31
 
 
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,11 +23,16 @@ def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, names
 
 
+def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the triples; of large symbols the first two are named first."""
+    if max(int(x.max(initial=0)) for x in (a, b, c)) < 1 << BITS:
+        return a << 2 * BITS | b << BITS | c
+    return _ranked(a << WIDE | b)[1] << WIDE | c
+
+
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes of ``symbols`` (whole numbers from 0 below 2**21 - 1) in lexicographic order."""
+    """Starts of all suffixes of ``symbols`` (whole numbers from 0 below 2**30, as many at most) in lexicographic order."""
     n = len(symbols)
-    if n > MAX_LENGTH:
-        raise ValueError("string too long")
     if n < 2:
         return np.arange(n)
     t = np.zeros(n + 3, dtype=np.int64)
@@ -36,7 +40,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     # A string whose length is 1 modulo 3 gets one empty sampled suffix, so that every unsampled suffix has one behind it.
     sample = np.concatenate([ones, twos])
-    _, names = _ranked(t[sample] << 2 * BITS | t[np.minimum(sample + 1, n + 2)] << BITS | t[np.minimum(sample + 2, n + 2)])
+    _, names = _ranked(_triples(t[sample], t[np.minimum(sample + 1, n + 2)], t[np.minimum(sample + 2, n + 2)]))
     if len(sample) and names.max() < len(sample):
         deeper = suffix_order(names)
         names = np.empty(len(sample), dtype=np.int64)
@@ -44,8 +48,8 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 4, dtype=np.int64)
     rank[sample] = names
     zeros = np.arange(0, n, 3)
-    by_one = t[:n] << BITS | rank[1 : n + 1]
-    by_two = t[:n] << 2 * BITS | t[1 : n + 1] << BITS | rank[2 : n + 2]
+    by_one = t[:n] << WIDE | rank[1 : n + 1]
+    by_two = _triples(t[:n], t[1 : n + 1], rank[2 : n + 2])
     zeros = zeros[np.argsort(by_one[zeros])]
     in_rank = sample[np.argsort(names)]
     in_rank = in_rank[in_rank < n]

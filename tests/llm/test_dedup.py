@@ -260,14 +260,34 @@ def test_anchor_hashes_that_collide(spark, monkeypatch, hot):
     assert found_repeats(suffix_dedup.repeats(frame(spark, pairs), length=12, gram=5, hot=hot)) == brute_repeats(pairs, 12)
 
 
-def test_a_claim_that_does_not_hold(spark, monkeypatch):
-    """Stretches whose hashes are all equal: an error, and no byte goes."""
-    rng = random.Random(10)
-    pairs = [(i, "".join(rng.choices("abcde", k=120))) for i in range(6)]
-    meet = suffix_dedup.meet_anchors
-    monkeypatch.setattr(suffix_dedup, "meet_anchors", lambda runs, hot: meet(runs.withColumn("h", F.lit(1)).withColumn("sign", F.col("sign").bitwiseAND(127)), hot))
-    with pytest.raises(Exception, match="take another seed"):
-        suffix_dedup.repeats(frame(spark, pairs), length=12, gram=5).collect()
+@pytest.mark.parametrize("bits, hot", [(0, 8000), (0, 2), (2, 3), (3, 8000)])
+def test_claims_that_do_not_hold(spark, bits, hot):
+    """Hashes of few bits: different stretches claim to be equal, in chains, and go to the sort instead."""
+    rng = random.Random(10 + bits)
+    passage = ["".join(rng.choices("abcde fé", k=rng.randint(15, 60))) for _ in range(5)]
+    pairs = [(i, "".join(rng.choice([*passage, "".join(rng.choices("abcde", k=rng.randint(0, 30)))]) for _ in range(4))) for i in range(40)]
+    pairs += [(i, "".join(rng.choices("abcde", k=120))) for i in range(40, 46)] + [(46, "ab" * 80), (47, pairs[3][1][5:] + "ab" * 20)]
+    assert found_repeats(suffix_dedup.repeats(frame(spark, pairs), length=12, gram=5, hot=hot, bits=bits)) == brute_repeats(pairs, 12)
+
+
+def test_many_long_stretches_of_one_anchor():
+    """2.6 MB of different stretches in one block: names of their triples don't fit 21 bits."""
+    rng = random.Random(11)
+    stretches = [((i, 5), rng.randbytes(327)) for i in range(8000)]
+    stretches[7999] = ((7999, 5), stretches[4000][1][20:300] + rng.randbytes(47))
+    assert suffix_dedup.later_strings(stretches, 200) == [(7999, 0, 80)]
+
+
+def test_strings_that_share_places():
+    """A text that is given twice, cut in different ways, is no copy of itself."""
+    text = random.Random(12).randbytes(300)
+    assert suffix_dedup.later_strings([((1, 0), text[:200]), ((1, 50), text[50:])], 100) == []
+    assert suffix_dedup.later_strings([((1, 0), text[:200]), ((1, 50), text[50:]), ((2, 7), text[90:250])], 100) == [(2, 0, 60)]
+
+
+def test_suffix_order_of_large_symbols():
+    symbols = np.random.default_rng(1).integers(0, 3, 300) + (1 << 22) - 3
+    assert suffix_order(symbols).tolist() == sorted(range(300), key=lambda i: symbols[i:].tolist())
 
 
 def test_seeds_change_hashes_and_not_results(spark):
@@ -281,7 +301,7 @@ def test_claims_are_on_the_copy_before(spark):
     """Each claim has the bytes of all its strings, and is on the copy next to it in the order of ids."""
     text = "".join(random.Random(4).choices("abcdefgh ", k=9000))
     rows = suffix_dedup.keyed(frame(spark, [(1, text), (2, "start " + text), (3, text)]).coalesce(1).repartition(3, "doc_id"))
-    places = suffix_dedup._with_places(rows, suffix_dedup.meet_anchors(suffix_dedup.anchor_runs(rows)))
+    places = suffix_dedup._with_places(rows, suffix_dedup.meet_anchors(suffix_dedup.anchor_runs(rows, suffix_dedup.Anchors())))
     whole = suffix_dedup._claims(places, 100).collect()
     assert whole and all(bytes(r.bytes) in text.encode() and len(r.bytes) == r.last - (r.loc & (1 << 40) - 1) + 100 for r in whole)
     assert {(r.k, r.k0) for r in whole} <= {(2, 1), (3, 2), (3, 1)}
