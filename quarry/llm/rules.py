@@ -3,7 +3,8 @@
 Every line with a word is judged by itself; failing lines are removed, and a document that loses too much of its text
 with them is rejected. A line fails if it has no letter or digit, or if many of its words end in runs of signs
 (punctuation rule); if it is a row of short cells between separators (navigation rule); or if it is stock text such
-as licence, copyright or cookie notices (boilerplate rule).
+as licence, copyright or cookie notices (boilerplate rule). Stock text is short: a paragraph that only begins like it is
+prose and stays.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BOILERPLATE = (
     r"|(?:utilizamos|este sitio utiliza) cookies|al continuar navegando|por favor,? active javascript|suscr[íi]bete a nuestro|haga clic aqu[íi]"
     r"|compartir en|leer m[áa]s|volver arriba|saltar al contenido)"
 )
+#: A line of more words is no stock text.
+MAX_STOCK_WORDS = 40
 #: A document is rejected if it loses more than this share of its word characters.
 MAX_LOST = 0.5
 
@@ -60,7 +63,7 @@ def line_fails(line: Column) -> Column:
     cells = F.regexp_count(line, F.lit(SEPARATOR)) + 1
     punctuation = ~line.rlike(r"[\p{L}\p{N}]") | (line.rlike(SIGN_RUN) & (sign_words > MAX_SIGN_WORDS * n_words))
     navigation = line.rlike(SEPARATOR) & (cells >= MIN_CELLS) & (n_words - cells + 1 <= MAX_CELL_WORDS * cells)
-    return punctuation | navigation | line.rlike(BOILERPLATE)
+    return punctuation | navigation | ((n_words <= MAX_STOCK_WORDS) & line.rlike(BOILERPLATE))
 
 
 def repeated_words(df: DataFrame, words: str) -> DataFrame:
@@ -138,7 +141,7 @@ lines AS (SELECT r, x, length(regexp_replace(x, '{BLANKS}', '', 'g')) AS chars,
           FROM l WHERE regexp_matches(x, '{WORD_PATTERN}')),
 judged AS (SELECT r, x, chars, NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') OR (signs > 0 AND signs > {MAX_SIGN_WORDS} * n)
                   OR (cells > 1 AND cells >= {MIN_CELLS} AND n - cells + 1 <= {MAX_CELL_WORDS} * cells)
-                  OR regexp_matches(x, '{_SQL_BOILERPLATE}') AS bad FROM lines),
+                  OR (n <= {MAX_STOCK_WORDS} AND regexp_matches(x, '{_SQL_BOILERPLATE}')) AS bad FROM lines),
 per AS (SELECT r, count(*) - count(DISTINCT x) AS dup, coalesce(sum(chars) FILTER (bad), 0) AS lost FROM judged GROUP BY r),
 f AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '{BLANKS}', '', 'g')) AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,

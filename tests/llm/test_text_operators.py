@@ -49,6 +49,13 @@ def test_rules_edges(spark):
     assert rules.judge(df.limit(0)).count() == 0
 
 
+def test_prose_that_begins_like_stock_text_stays(spark):
+    prose = " ".join(f"word{i}" for i in range(300))
+    texts = [f"{stock} {prose}" for stock in ("Read more", "Nach oben", "Privacy policy", "Lire la suite", "")]
+    got = rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.kept and r.lines_removed == 0 and r.clean_text == texts[r.doc_id] for r in got) and len(got) == 5
+
+
 def test_rules_keep_good_documents(spark):
     kept = rules.op3_quality_rules(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
     good = kept[(kept.quality == 1) & ~kept.base_failed]
