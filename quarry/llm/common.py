@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.scratch import drop_stored, stored, stored_alone
 
-__all__ = ["WORD_PATTERN", "drop_stored", "join_spread", "numbered", "stored", "stored_alone", "table", "utf8"]
+__all__ = ["WORD_PATTERN", "drop_stored", "is_hot", "join_spread", "numbered", "stored", "stored_alone", "table", "utf8"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -17,6 +17,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 HOT_SHARE, HOT_ROWS = 1000, 100_000
 
 
+def is_hot(rows: Column, total: int) -> Column:
+    """Whether a key with so many ``rows`` of ``total`` is one that a task shouldn't get as a whole."""
+    return (rows * HOT_SHARE > total) & (rows > HOT_ROWS)
+
+
 def join_spread(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
     """``left`` joined to ``right``, which has one row for each key and, in ``rows``, how many rows of ``left`` the key has.
 
@@ -25,7 +30,7 @@ def join_spread(left: DataFrame, right: DataFrame, on: list[str], rows: str, tot
     """
     if total <= HOT_ROWS:
         return left.join(right.drop(rows), on)
-    hot = (F.col(rows) * HOT_SHARE > total) & (F.col(rows) > HOT_ROWS)
+    hot = is_hot(F.col(rows), total)
     common = right.filter(~hot).drop(rows)
     often = right.filter(hot).drop(rows)
     if often.isEmpty():

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_stored, stored, table
+from quarry.llm.common import drop_stored, is_hot, join_spread, stored, table
 
 DAMPING, TOLERANCE = 0.85, 1e-10
 #: Rounds after which what is left to move is below the tolerance; :func:`spread` goes on for as many as a graph needs.
@@ -88,21 +88,32 @@ def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, dam
 
     ``seeds`` has ``host, kind`` (trust or distrust) and ``weight``, the seed's own mass.
     Hosts without links out lose their mass, as usual where only relative amounts count. A round is one join and one
-    sum; every fourth is written to the shared folder, so that plans stay short. Rounds go on until none of them changes
+    sum; every fourth is written to the shared folder, so that plans stay short. The links of hubs, hosts with more than a
+    thousandth of all, stay where they are and get the hubs' masses, some thousands at most, by broadcast. Rounds go on until none of them changes
     a host's mass by more than ``tolerance`` of itself; a host that is reached for the first time has changed.
     """
+    edges = stored(edges, "edges")
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight")
     )
-    totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
-    ways = stored(ways.join(totals, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("weight") / F.col("total")).alias("share")), "links")
+    n_ways = 2 * edges.count()
+    totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).withColumn("hub", is_hot(F.col("n"), n_ways))
+    shares = join_spread(ways, totals, ["kind", "a"], "n", n_ways)
+    ways = stored(shares.select("kind", F.col("a").alias("host"), "b", (F.col("weight") / F.col("total")).alias("share"), "hub"), "links")
+    drop_stored(edges)
+    hubs, common = ways.filter("hub"), ways.filter("NOT hub")
+    has_hubs = not hubs.isEmpty()
     start = stored(seeds.select("kind", "host", F.col("weight").alias("mass"), F.lit(0.0).alias("was")), "seeds")
     again = start.select("kind", "host", (F.lit(1 - damping) * F.col("mass")).alias("mass"), "was")
     now, settled = start, ways.isEmpty()
     while not settled:
         before = now
         for turn in range(4):
-            moved = now.join(ways, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"), F.lit(0.0).alias("was"))
+            met = now.join(common, ["kind", "host"])
+            if has_hubs:
+                at_hubs = now.join(F.broadcast(hubs.select("kind", "host").distinct()), ["kind", "host"], "left_semi")
+                met = met.unionByName(hubs.join(F.broadcast(at_hubs), ["kind", "host"]))
+            moved = met.select("kind", F.col("b").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"), F.lit(0.0).alias("was"))
             parts = moved.unionByName(again)
             if turn == 3:
                 parts = parts.unionByName(now.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("was")))
@@ -121,7 +132,8 @@ def judge(
     """``page_id, host, path, rule, verdict`` and the host's ``trust`` and ``distrust`` for every row of ``pages``.
 
     A null url or one without ``://`` has an empty host and path, fits no rule and is allowed. Null html has no links.
-    Rows that repeat an id are judged each on its own. Other columns are ignored.
+    Rows that repeat an id are judged each on its own. Other columns are ignored. A page is read as a whole by one task,
+    however long its html; a task keeps a row for each of its links.
     """
     urls = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = apply_rules(rules)

@@ -134,7 +134,7 @@ def test_url_verdicts_do_not_depend_on_size(spark):
     assert len(got) == 23 and {r.verdict for r in got} == {"block"}
 
 
-def test_url_verdicts_do_not_depend_on_other_seeds(spark):
+def test_url_verdicts_do_not_depend_on_other_seeds(spark, monkeypatch):
     """100,000 seeds of either kind, to which nothing is linked, leave all ranks and verdicts of a graph with both kinds as they were;
     and the ranks of 60 hosts with links between them are those of a brute force."""
     rnd = random.Random(8)
@@ -152,6 +152,11 @@ def test_url_verdicts_do_not_depend_on_other_seeds(spark):
         assert abs(t - trust.get(h, 0)) < 1e-8 and abs(d - distrust.get(h, 0)) < 1e-8
         assert not h.endswith(".net") or verdict == ("block" if d > t else "allow")
     assert {v for h, (v, _, _) in alone.items() if h.endswith(".net")} == {"allow", "block"}
+    with monkeypatch.context() as m:
+        m.setattr("quarry.llm.common.HOT_SHARE", 80)
+        m.setattr("quarry.llm.common.HOT_ROWS", 0)
+        assert max(len([b for b in links[h] if b != h]) for h in hosts) * 80 > 2 * len(set(edges))
+        assert seen(url_filters.judge(df, rule)) == alone
     for path in ("a", "b"):
         others = spark.range(100_000).select(F.col("id") + 1000, F.concat(F.lit("http://x"), F.col("id").cast("string"), F.lit(f".more/{path}")), F.lit(""))
         assert seen(url_filters.judge(df.union(others), rule).filter("NOT endswith(host, '.more')")) == alone
