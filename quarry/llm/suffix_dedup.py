@@ -284,24 +284,25 @@ def _judged(rows: DataFrame, claims: DataFrame, finder: Anchors) -> tuple[DataFr
     texts = rows.select(F.col("k").alias("k0"), F.col("nth").alias("nth0"), "raw", "rest")
     said = F.substr("raw", (F.col("at") + 1).cast("int"), F.length("bytes"))
     joined = claims.withColumn("nth0", F.col("nth0").cast("int")).join(texts, ["k0", "nth0"])
-    # The other columns are named on both ways, so that the texts' shuffle has the form in which it is reused.
+    # All columns are named on both ways, so that the shuffles of texts and claims have the form in which they are reused.
     holds = F.when(said == F.col("bytes"), F.lit(True)).otherwise(F.to_json(F.struct("rest")).isNull())
-    failing = joined.filter(said != F.col("bytes")).select("k0", "nth0", "at", "k", "loc", "bytes", said.alias("said"), "rest")
+    failing = joined.filter(said != F.col("bytes")).select("k0", "nth0", "at", "k", "loc", "last", "bytes", said.alias("said"), "rest")
     return joined.filter(holds).select("k", "loc", "last"), failing.mapInArrow(lambda batches: _differing(batches, finder), _STRETCH)
 
 
 def _differing(batches: Iterator[pa.RecordBatch], finder: Anchors) -> Iterator[pa.RecordBatch]:
     length = finder.length
     for batch in batches:
-        for k0, nth0, at, k, loc, mine, said in zip(*(c.to_pylist() for c in batch.columns[:7])):
+        for k0, nth0, at, k, loc, last, mine, said in zip(*(c.to_pylist() for c in batch.columns[:8])):
             off = np.flatnonzero(np.frombuffer(mine, np.uint8) != np.frombuffer(said, np.uint8))
-            n = len(mine) - length + 1
+            start = loc & (1 << _SHIFT) - 1
+            n = last - start + 1
             differ = union(np.maximum(off - length + 1, 0).tolist(), np.minimum(off + 1, n).tolist())
             out: list[tuple] = []
             ends = [0, *(x for pair in differ for x in pair), n]
             for a, b in zip(ends[::2], ends[1::2]):
                 if a < b:
-                    out.append((hash((k, loc + a)), k, loc + a, (loc & (1 << _SHIFT) - 1) + b - 1, None))
+                    out.append((hash((k, loc + a)), k, loc + a, start + b - 1, None))
             for a, b in differ:
                 for doc, place, text in ((k, loc, mine), (k0, nth0 << _SHIFT | at, said)):
                     part, begin = text[a : b - 1 + length], (place & (1 << _SHIFT) - 1) + a
