@@ -445,6 +445,28 @@ def _settle(stretches: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(compare, "k long, loc long, last long")
 
 
+def _with_spans(docs: DataFrame, key: str, text: str, length: int, gram: int, hot: int, seed: int, bits: int) -> DataFrame:
+    """``k, nth, raw``, lists ``s, e`` of the spans that go (null without any), and ``rest``."""
+    rows = keyed(docs, key, text)
+    finder = Anchors(length, gram, seed, bits)
+    places = _with_places(rows, meet_anchors(anchor_runs(rows, finder), min(hot, max(1, HOT_BYTES // (2 * length)))))
+    held, differing = _judged(rows, _claims(places, length), finder)
+    found = _settle(_stretches(places, length).unionByName(differing), length).unionByName(held)
+    low = F.lit((1 << _SHIFT) - 1)
+    spans = found.select(
+        "k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), (F.col("last") + length).alias("e")).alias("p")
+    )
+    per_doc = spans.groupBy("k", "nth").agg(F.collect_list("p").alias("ps"))
+    return rows.join(per_doc, ["k", "nth"], "left").select("k", "nth", "raw", F.col("ps.s").alias("s"), F.col("ps.e").alias("e"), "rest")
+
+
+def _kept(raw: bytes, s: list[int] | None, e: list[int] | None) -> tuple[list[tuple[int, int]], bytes]:
+    """The maximal spans that go, and the bytes that stay."""
+    merged = union(s, e) if s else []
+    stops = [0, *(x for pair in merged for x in pair), len(raw)]
+    return merged, b"".join(raw[a:b] for a, b in zip(stops[::2], stops[1::2]))
+
+
 def repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, seed: int = SEED, bits: int = 64
 ) -> DataFrame:
@@ -457,17 +479,7 @@ def repeats(
     empty, null ids come first, texts shorter than ``length`` keep all. Matches never cross documents. A text is held
     whole by the tasks that read and cut it, however long.
     """
-    rows = keyed(docs, key, text)
-    finder = Anchors(length, gram, seed, bits)
-    places = _with_places(rows, meet_anchors(anchor_runs(rows, finder), min(hot, max(1, HOT_BYTES // (2 * length)))))
-    held, differing = _judged(rows, _claims(places, length), finder)
-    found = _settle(_stretches(places, length).unionByName(differing), length).unionByName(held)
-    low = F.lit((1 << _SHIFT) - 1)
-    spans = found.select(
-        "k", F.shiftright("loc", _SHIFT).cast("int").alias("nth"), F.struct(F.col("loc").bitwiseAND(low).alias("s"), (F.col("last") + length).alias("e")).alias("p")
-    )
-    per_doc = spans.groupBy("k", "nth").agg(F.collect_list("p").alias("ps"))
-    joined = rows.join(per_doc, ["k", "nth"], "left").select("k", "nth", "raw", F.col("ps.s").alias("s"), F.col("ps.e").alias("e"), "rest")
+    joined = _with_spans(docs, key, text, length, gram, hot, seed, bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -477,15 +489,14 @@ def repeats(
                 raws, starts, ends = (part.column(i).to_pylist() for i in (2, 3, 4))
                 spans, kept = [], []
                 for raw, s, e in zip(raws, starts, ends):
-                    merged = union(s, e) if s else []
+                    merged, stays = _kept(raw, s, e)
                     spans.append([{"start": a, "end": b} for a, b in merged])
-                    stops = [0, *(x for pair in merged for x in pair), len(raw)]
-                    kept.append(b"".join(raw[a:b] for a, b in zip(stops[::2], stops[1::2])))
+                    kept.append(stays)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:3], pa.array(spans, kind), pa.array(kept, pa.binary()), part.column(5)], ["k", "nth", "raw", "spans", "kept", "rest"]
                 )
 
-    schema = T.StructType.fromDDL("k long, nth int, raw binary, spans array<struct<start:long,end:long>>, kept binary").add(rows.schema["rest"])
+    schema = T.StructType.fromDDL("k long, nth int, raw binary, spans array<struct<start:long,end:long>>, kept binary").add(joined.schema["rest"])
     out = joined.mapInArrow(cut, schema)
     return out.select(F.nullif("k", F.lit(-(1 << 63))).alias("doc_id"), "nth", "raw", "spans", "kept", "rest")
 
@@ -495,16 +506,18 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     Every row stays, with an empty text if nothing of it is left. A character of which only a part would stay goes whole.
     """
+    joined = _with_spans(docs, key, text, length, GRAM, HOT, SEED, 64)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([t.decode("utf-8", "ignore") for t in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], ["doc_id", "text", "rest"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [_kept(*x)[1].decode("utf-8", "ignore") for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), part.column(5)], ["k", "text", "rest"])
 
-    found = repeats(docs, key, text, length).select("doc_id", "kept", "rest")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), found.schema["rest"]])
-    got = found.mapInArrow(read, schema)
-    names = {key: F.col("doc_id").cast(docs.schema[key].dataType), text: F.col("text")}
+    schema = T.StructType.fromDDL("k long, text string").add(joined.schema["rest"])
+    got = joined.mapInArrow(cut, schema).withColumn("k", F.nullif("k", F.lit(-(1 << 63))))
+    names = {key: F.col("k").cast(docs.schema[key].dataType), text: F.col("text")}
     cols = [names.get(c, F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest")[c]).alias(c) for c in docs.columns]
     return got.select(*cols)
 
