@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 #: White space: Unicode's, and the four separators U+001C to U+001F.
 SPACE = r"[\s\x1c-\x1f]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+LINE_BREAK = rf"\r\n|[{_BREAKS}]"
+#: What is in a line that is not blank, from its first sign to its end. All line breaks are white space.
+FILLED_LINE = rf"(?U)[!-~[^\s\x1c-\x1f]][ -~[^{_BREAKS}]]*+"
 
 
 def strip_ws(c: Column) -> Column:

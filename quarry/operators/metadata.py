@@ -15,7 +15,7 @@ PREVIEW = 500
 
 
 def merged(base: Column, over: Column) -> Column:
-    """Both maps; keys of ``over`` win."""
+    """Both maps; keys of ``over`` win. ``over`` is looked up for every key of ``base``: let it be a column, no long expression."""
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
 
 
@@ -31,14 +31,15 @@ def document_metadata(docs: DataFrame, path: str, text: str, size: str, encoding
     suffix = suffix_of(F.col(path))
     c = F.col(text)
     bom, binary = texts.binary_flags(c)
-    profiled = texts.text_profile(docs, text)
+    # Lower-cased in a projection of its own: below a condition it would be made again for every kind of hint.
+    profiled = texts.text_profile(docs, text).withColumn("__low", F.when(suffix == ".txt", F.lower(c)))
     common = {"file_path": F.col(path), "file_type": suffix, "file_size": F.col(size), "content_length": F.length(c)}
     counts = ("total_chars", "total_lines", "non_empty_lines", "whitespace_lines", "words", "paragraphs")
     plain = {
         "encoding": F.col(encoding) if encoding else F.lit("utf-8"),
         **{k: F.col(k) for k in counts},
         "line_endings": texts.line_endings(c),
-        "file_type_hints": F.to_json(texts.file_type_hints(c)),
+        "file_type_hints": F.to_json(texts.hints_in(F.col("__low"))),
         "has_bom": bom,
         "is_binary": binary,
     }
@@ -47,10 +48,11 @@ def document_metadata(docs: DataFrame, path: str, text: str, size: str, encoding
         ("code_blocks_count", markdown.code_blocks), ("tables_count", markdown.tables),
     )}
     typed = F.when(suffix == ".txt", _strings(plain)).when(suffix == ".md", _strings(marked)).otherwise(F.create_map().cast("map<string,string>"))
-    whole = merged(_strings(common), typed)
+    # No key is in both. ``merged`` looks its second map up for every key of the first, and would make ``typed`` as often.
+    whole = F.map_concat(_strings(common), typed)
     if own:
         whole = merged(whole, F.coalesce(F.col(own), F.create_map().cast("map<string,string>")))
-    return profiled.withColumn("metadata", whole).drop(*[k for k in counts if k not in docs.columns])
+    return profiled.withColumn("metadata", whole).drop("__low", *[k for k in counts if k not in docs.columns])
 
 
 def sanitize_metadata(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import SPACE, is_blank, split_lines, strip_ws, suffix_of, words
+from quarry.functions.text import FILLED_LINE, SPACE, is_blank, split_lines, strip_ws, suffix_of, words
 
 #: Which parser takes which file suffix.
 PARSERS = {
@@ -44,7 +47,7 @@ def text_profile(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds counts of characters, lines, words and paragraphs. A null text is an empty one."""
     c = F.coalesce(F.col(text), F.lit(""))
     lines = split_lines(c)
-    filled = F.size(F.filter(lines, lambda x: ~is_blank(x)))
+    filled = F.regexp_count(c, F.lit(FILLED_LINE))
     return docs.withColumns(
         {
             "total_chars": F.length(c),
@@ -69,14 +72,18 @@ def line_endings(text: Column) -> Column:
 
 def file_type_hints(text: Column) -> Column:
     """Hints at the kind of content, in fixed order."""
-    low = F.lower(text)
-    found = [F.when(low.rlike("|".join(marks)), F.lit(name)) for name, marks in HINTS]
+    return hints_in(F.lower(text))
+
+
+def hints_in(low: Column) -> Column:
+    """The same of a text in lower case."""
+    found = [F.when(functools.reduce(operator.or_, [F.contains(low, F.lit(mark)) for mark in marks]), F.lit(name)) for name, marks in HINTS]
     return F.array_compact(F.array(*found))
 
 
 def binary_flags(text: Column) -> tuple[Column, Column]:
     """``has_bom`` and ``is_binary``: a NUL, or less than seven tenths printable characters or white space."""
-    other = F.length(F.regexp_replace(text, rf"(?U)(?:[^\p{{C}}\p{{Zl}}\p{{Zp}}\p{{Zs}}]| |{SPACE})", ""))
+    other = F.length(F.regexp_replace(text, r"(?U)[ -~\s\x1c-\x1f[^\p{C}\p{Zl}\p{Zp}\p{Zs}]]+", ""))
     n = F.length(text)
     binary = F.contains(text, F.lit("\0")) | ((n > 0) & ((n - other) / n < MIN_PRINTABLE))
     return text.startswith("﻿"), binary

@@ -402,3 +402,18 @@ def test_empty_system_stats(spark):
     jobs = spark.createDataFrame([], "status string, completed_at timestamp")
     got = reports.system_stats(none, jobs, spark.createDataFrame([], "length long")).first()
     assert tuple(got) == (0, 1, 0, "Never", "0 B")
+
+
+def test_document_metadata_looks_at_a_text_once(spark):
+    from quarry.operators import metadata
+    from quarry.queries import vectors
+
+    plan = vectors.document_metadata(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\p{Zl}") == 1 and plan.count("lower(text") == 1
+    rows = [(1, "a.txt", "One\n \n\x1c\x85Tödo\r\n\u2028x"), (2, "b.md", "# H"), (3, "c.txt", None), (4, "d.txt", "\x01\x02a"), (5, "e.txt", " \n\t")]
+    out = metadata.document_metadata(spark.createDataFrame(rows, "id int, p string, t string").withColumn("n", F.lit(1)), path="p", text="t", size="n")
+    got = {r["id"]: r["metadata"] for r in out.collect()}
+    assert out.columns == ["id", "p", "t", "n", "metadata"]
+    assert [got[1][k] for k in ("total_lines", "non_empty_lines", "whitespace_lines", "is_binary", "file_type_hints")] == ["7", "3", "4", "false", "[]"]
+    assert set(got[2]) == {"file_path", "file_type", "file_size", "content_length", "headings_count", "links_count", "images_count", "code_blocks_count", "tables_count"}
+    assert (got[3]["is_binary"], got[3]["non_empty_lines"], got[4]["is_binary"], got[5]["non_empty_lines"]) == (None, "0", "true", "0")
