@@ -67,8 +67,10 @@ def retry_failed(results: DataFrame, files: DataFrame, process: Callable[[DataFr
 
 
 def human_size(n: Column) -> Column:
+    """A size in words; a half at the second digit goes to the even one, as in C and Python. Null for null."""
     mib, kib = 1024 * 1024, 1024
-    return F.when(n > mib, F.format_string("%.1f MB", n / mib)).when(n > kib, F.format_string("%.1f KB", n / kib)).otherwise(F.format_string("%d B", n))
+    tenths = lambda x, unit: F.format_string(f"%.1f {unit}", F.bround(x, 1))
+    return F.when(n > mib, tenths(n / mib, "MB")).when(n > kib, tenths(n / kib, "KB")).when(n.isNotNull(), F.format_string("%d B", n))
 
 
 def system_stats(collection: DataFrame, jobs: DataFrame, listing: DataFrame) -> DataFrame:

@@ -397,6 +397,12 @@ def test_human_size(spark):
         assert one(spark, n, reports.human_size(F.col("t")), "long") == expected
 
 
+def test_human_size_rounds_halves_as_its_sql(spark):
+    cases = ((1280, "1.2 KB"), (1792, "1.8 KB"), (2304, "2.2 KB"), (1024 * 1024 * 5 // 4, "1.2 MB"), (2359296, "2.2 MB"), (None, None))
+    for n, expected in cases:
+        assert one(spark, n, reports.human_size(F.col("t")), "long") == expected, n
+
+
 def test_empty_system_stats(spark):
     none = spark.createDataFrame([], "filepath string")
     jobs = spark.createDataFrame([], "status string, completed_at timestamp")
