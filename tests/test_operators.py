@@ -423,3 +423,15 @@ def test_document_metadata_looks_at_a_text_once(spark):
     assert [got[1][k] for k in ("total_lines", "non_empty_lines", "whitespace_lines", "is_binary", "file_type_hints")] == ["7", "3", "4", "false", "[]"]
     assert set(got[2]) == {"file_path", "file_type", "file_size", "content_length", "headings_count", "links_count", "images_count", "code_blocks_count", "tables_count"}
     assert (got[3]["is_binary"], got[3]["non_empty_lines"], got[4]["is_binary"], got[5]["non_empty_lines"]) == (None, "0", "true", "0")
+
+
+def test_chunk_token_leaves_the_text_below_the_explosion(spark):
+    from quarry.operators import chunking
+
+    docs = spark.createDataFrame([(1, "ab" * 700, "x")], "id int, text string, more string")
+    out = chunking.chunk_token(docs)
+    above = out._jdf.queryExecution().optimizedPlan().toString().partition("Generate")[0].lower()
+    assert "ceil" not in above and "regexp" not in above
+    assert [(r["chunk_index"], r["start_index"], r["end_index"], r["total_chunks"], r["more"]) for r in out.orderBy("chunk_index").collect()] == [
+        (0, 0, 512, 3, "x"), (1, 462, 974, 3, "x"), (2, 924, 1400, 3, "x")
+    ]
