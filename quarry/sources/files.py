@@ -125,7 +125,8 @@ def with_content(files: DataFrame) -> DataFrame:
                 with system.open_input_stream(place) as stream:
                     yield pa.RecordBatch.from_arrays([*row.columns, pa.array([stream.read()], pa.binary())], schema.names)
 
-    return files.repartition("path").mapInArrow(read, schema)
+    # By number: where it is left to Spark, tasks are put together by the bytes of their paths, and one reads all contents.
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(read, schema)
 
 
 def write_files(files: DataFrame) -> None:

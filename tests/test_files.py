@@ -294,3 +294,11 @@ def test_scratch_needs_a_shared_folder(spark):
         scratch.shared_dir(Session())
     Session.sparkContext.master = "local[4]"
     assert scratch.shared_dir(Session()) == scratch.shared_dir(Session())
+
+
+def test_contents_are_read_in_many_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.txt").write_bytes(b"x" * i)
+    listing = files.crawl_files(spark, str(tmp_path))
+    tasks = files.with_content(listing).select(F.spark_partition_id().alias("task"), F.length("content").alias("n")).collect()
+    assert len({r["task"] for r in tasks}) == 4 and sorted(r["n"] for r in tasks) == list(range(40))
