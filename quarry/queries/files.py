@@ -100,10 +100,11 @@ def collection_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "collection")
     count = lambda df, state: collection.collection_count(df).withColumn("state", F.lit(state))
     made = count(collection.open_collection(spark, path), "made").collect()
-    rows = embedding.embed_chunks(metadata.chunk_ids(vectors.chunks(spark, sf_dir))).withColumnRenamed("text", "document")
-    collection.store_chunks(rows, path)
+    rows = metadata.chunk_ids(vectors.chunks(spark, sf_dir)).withColumnRenamed("text", "document")
+    encode = lambda df: embedding.embed_chunks(df, text="document")
+    collection.store_chunks(rows, path, encode=encode)
     filled = count(collection.open_collection(spark, path), "filled").collect()
-    collection.store_chunks(rows, path, skip_existing=True)
+    collection.store_chunks(rows, path, skip_existing=True, encode=encode)
     again = count(collection.open_collection(spark, path), "again").collect()
     reset = count(collection.open_collection(spark, path, reset=True), "reset").collect()
     return spark.createDataFrame([*made, *filled, *again, *reset], "count long, state string")

@@ -147,14 +147,16 @@ def metadata_equals(collection: DataFrame, wanted: dict[str, object]) -> Column:
 
 
 def store_chunks(
-    chunks: DataFrame, path: str, vectors: DataFrame | None = None, skip_existing: bool = False, part: str | None = None, replacing: DataFrame | None = None
+    chunks: DataFrame, path: str, vectors: DataFrame | None = None, skip_existing: bool = False, part: str | None = None, replacing: DataFrame | None = None,
+    encode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Append ``chunks`` to the collection, as a whole or not at all.
 
     ``vectors`` (``filepath, chunk_index, embedding``) are paired with chunks by place unless chunks have their own.
     A chunk without a vector, or a vector without a chunk, is an error and nothing is stored: the check is part of the
     write, so vectors are made once. Appending again stores again, unless ``skip_existing`` leaves out chunks that are
-    there: those of the same id, path, place and text, for ids alone can be equal by chance. ``replacing`` has the
+    there: those of the same id, path, place and text, for ids alone can be equal by chance. ``encode`` adds
+    ``embedding`` to chunks that have none, to those only that are to be stored. ``replacing`` has the
     ``filepath`` of files that this batch is about: what was stored of them before goes, also where they have no chunks
     now. ``part`` names a batch: stored again it replaces the batch of that name.
     """
@@ -170,6 +172,7 @@ def store_chunks(
         sign = lambda df: [F.col(c) if c in df.columns else F.lit(None) for c in ("id", "filepath", "chunk_index", "document")]
         digest = lambda df: F.sha2(F.to_json(F.struct(*[c.cast("string").alias(f"c{i}") for i, c in enumerate(sign(df))])), 256).alias("__sign")
         rows = rows.withColumn("__sign", digest(rows)).join(present.select(digest(present)), "__sign", "left_anti").drop("__sign")
+    rows = encode(rows) if encode is not None else rows
     missing = F.raise_error(F.lit(f"{_MISMATCH}: a chunk without a vector")).cast("array<double>")
     rows = rows.withColumn("embedding", F.coalesce(F.col("embedding"), missing))
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields]

@@ -302,3 +302,14 @@ def test_contents_are_read_in_many_tasks(spark, tmp_path):
     listing = files.crawl_files(spark, str(tmp_path))
     tasks = files.with_content(listing).select(F.spark_partition_id().alias("task"), F.length("content").alias("n")).collect()
     assert len({r["task"] for r in tasks}) == 4 and sorted(r["n"] for r in tasks) == list(range(40))
+
+
+def test_chunks_that_are_there_are_not_encoded(spark, tmp_path):
+    rows = spark.createDataFrame([(f"i{n}", "a", n, f"text {n}") for n in range(3)], "id string, filepath string, chunk_index int, document string")
+    at = str(tmp_path / "c")
+    made = lambda df: df.withColumn("embedding", F.when(F.col("chunk_index") < 2, F.array(F.lit(1.0))).otherwise(F.array(F.lit(2.0))))
+    collection.store_chunks(rows.filter("chunk_index < 2"), at, encode=made)
+    once = lambda df: df.withColumn("embedding", F.when(F.col("chunk_index") < 2, F.raise_error(F.lit("encoded again")).cast("array<double>")).otherwise(F.array(F.lit(2.0))))
+    collection.store_chunks(rows, at, skip_existing=True, encode=once)
+    kept = collection.open_collection(spark, at).select("id", "embedding").collect()
+    assert sorted((r["id"], r["embedding"]) for r in kept) == [("i0", [1.0]), ("i1", [1.0]), ("i2", [2.0])]
