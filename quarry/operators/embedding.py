@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from quarry.functions.text import is_blank
 
 BATCH = 32
+#: Bytes of texts that are held as Python strings at once, but for one text that is longer.
+TEXT_BYTES = 4 << 20
 #: Texts -> matrix of one row each.
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -56,11 +58,21 @@ def valid_texts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(~is_blank(F.col(text)))
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about TEXT_BYTES of ``column``."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(lengths) - lengths) // TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
 def embed_chunks(df: DataFrame, encoder: Encoder | None = None, text: str = "text", batch_size: int = BATCH, make: Callable[[], Encoder] | None = None) -> DataFrame:
     """Adds ``embedding array<double>``; null for blank texts, which never reach the encoder.
 
     ``make`` builds an encoder that should not be pickled, such as a model; it is called once in every worker. Texts
-    are encoded ``batch_size`` at a time, or as many as an encoder asks for that has a ``batch_size`` of its own.
+    are encoded ``batch_size`` at a time, or as many as an encoder asks for that has a ``batch_size`` of its own; fewer
+    where they have more than TEXT_BYTES together.
     """
     base = df.drop("embedding")
     schema = T.StructType([*base.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
@@ -68,7 +80,7 @@ def embed_chunks(df: DataFrame, encoder: Encoder | None = None, text: str = "tex
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _made(make) if make else encoder or HashEncoder()
         size = getattr(model, "batch_size", batch_size)
-        for batch in batches:
+        for batch in _bounded(batches, text):
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             valid = [i for i, t in enumerate(texts) if t is not None and t.strip()]
             vectors = [np.asarray(model([texts[i] for i in valid[at : at + size]]), dtype=np.float64) for at in range(0, len(valid), size)]

@@ -435,3 +435,20 @@ def test_chunk_token_leaves_the_text_below_the_explosion(spark):
     assert [(r["chunk_index"], r["start_index"], r["end_index"], r["total_chunks"], r["more"]) for r in out.orderBy("chunk_index").collect()] == [
         (0, 0, 512, 3, "x"), (1, 462, 974, 3, "x"), (2, 924, 1400, 3, "x")
     ]
+
+
+def test_texts_are_encoded_in_bounded_bytes(spark):
+    import numpy as np
+
+    from quarry.operators import embedding
+
+    class Bounded:
+        batch_size = 1000
+
+        def __call__(self, texts):
+            assert sum(map(len, texts)) <= 6 << 20
+            return np.array([[len(t)] for t in texts])
+
+    rows = spark.range(0, 24, numPartitions=1).select("id", F.repeat(F.lit("x"), F.when(F.col("id") % 5 > 0, F.lit(1 << 20) + F.col("id")).otherwise(0).cast("int")).alias("text"))
+    got = {r["id"]: r["v"] for r in embedding.embed_chunks(rows, Bounded()).select("id", F.get("embedding", F.lit(0)).alias("v")).collect()}
+    assert got == {i: float((1 << 20) + i) if i % 5 else None for i in range(24)}
