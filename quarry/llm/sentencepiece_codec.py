@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,7 @@ class Pieces:
                 column[slot[placed]] = x
             waiting = np.setdiff1d(waiting, placed)
             slot[waiting] += 1
+        self.texts = pa.array(self.decoded, pa.binary())
         self.join_units = any(map(_JOINS_UNITS.search, self.ids))
         self.of_code = np.full(0x110000, -1, dtype=np.int32)
         for piece, i in self.ids.items():
@@ -352,7 +354,16 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """The text whose ids these are, without the space that encoding puts before it."""
-        return b"".join(map(self.pieces.decoded.__getitem__, ids))[1:]
+        return self.decode_batch(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_batch(self, ids: pa.ListArray) -> list[bytes]:
+        """:meth:`decode` of many lists; their pieces are taken from an Arrow array, so no id becomes a Python object."""
+        stops = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+        taken = self.pieces.texts.take(ids.flatten())
+        _, places, values = taken.buffers()
+        upto = np.frombuffer(places, dtype=np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, dtype=np.int32)
+        whole, ends = values.to_pybytes() if values else b"", upto[stops].tolist()
+        return [whole[start + 1 : end] for start, end in zip([0, *ends], ends)]
 
 
 class _Grown:
@@ -428,7 +439,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                got = [codec.decode(x or []) for x in part.column(names.index(ids)).to_pylist()]
+                got = codec.decode_batch(part.column(names.index(ids)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -391,6 +393,21 @@ def test_bytes_that_are_not_utf8(codecs):
         assert codec.decode(np.frombuffer(codec.encode(raw), dtype="<u4").tolist()) == raw
 
 
+def test_lists_decode_together(codecs):
+    """Many lists are decoded from the Arrow array, with null and empty lists and sliced ones, and no Python object for an id."""
+    raws = [b"", *(t.encode() for t in ODD), b"\xff a", b""]
+    lists = [np.frombuffer(x, dtype="<u4").tolist() for x in codecs[1].encode_batch(raws, list(range(len(raws))))]
+    ids = pa.array([None, *lists, None, [0, 1]], pa.list_(pa.int32()))
+    assert codecs[0].decode_batch(ids) == [b"", *raws, b"", b""]
+    assert codecs[0].decode_batch(ids.slice(3, 4)) == raws[2:6] and codecs[0].decode_batch(ids.slice(0, 0)) == []
+    many = pa.array(np.tile(np.array(lists[2], dtype=np.int32), 200_000 // len(lists[2])))
+    tracemalloc.start()
+    assert len(codecs[0].decode_batch(pa.ListArray.from_arrays(pa.array([0, len(many)], pa.int32()), many))[0]) > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * len(many)
+
+
 def test_sentencepiece_query(spark):
     got = sentencepiece_codec.op5_sentencepiece(spark, SF).toPandas()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
