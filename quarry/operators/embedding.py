@@ -23,6 +23,15 @@ TEXT_BYTES = 4 << 20
 Encoder = Callable[[list[str]], np.ndarray]
 
 
+#: Words of at most so many characters are remembered by a worker, with the digits of their hash.
+_SHORT, _REMEMBERED = 40, 1 << 17
+
+
+@lru_cache(maxsize=_REMEMBERED)
+def _first_digits(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+
+
 class HashEncoder:
     """Built-in encoder: words counted in buckets by the first digits of their md5, scaled to length one.
 
@@ -40,7 +49,8 @@ class HashEncoder:
     def __call__(self, texts: list[str]) -> np.ndarray:
         words = [text.lower().split() for text in texts]
         coded = pa.array(itertools.chain.from_iterable(words), pa.string()).dictionary_encode()
-        buckets = np.array([int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % self.dim for word in coded.dictionary.to_pylist()], dtype=np.int64)
+        digits = [_first_digits(word) if len(word) <= _SHORT else _first_digits.__wrapped__(word) for word in coded.dictionary.to_pylist()]
+        buckets = np.array(digits, dtype=np.int64) % self.dim
         owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
         places = owner * self.dim + buckets[coded.indices.to_numpy()] if len(coded) else owner
         out = np.bincount(places, minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float64)

@@ -228,6 +228,41 @@ def test_semantic_chunks_of_repeated_and_null_ids(spark):
     assert sum(r.total_chunks == 1 for r in got) == 1 and sorted(r.chunk_index for r in got) == [0, 0, 0, 0, 1, 1, 1]
 
 
+def test_semantic_chunks_are_made_where_their_document_is_read(spark):
+    """No vector is shuffled, and documents over several batches, or encoders that move rows, give the same chunks."""
+    encode = lambda df, text: embedding.embed_chunks(df, text=text)
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 5} and w{j % (3 + i % 4)}." for j in range(1 + 37 * (i % 4)))) for i in range(12)] + [(50, None), (51, " \n"), (52, "x"), (53, "!? . \n Y. ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = chunking.chunk_semantic(df, encode, size=60)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    places = ["doc_id", "chunk_index", "total_chunks", "chunk_size", "start_index", "end_index", "text"]
+    got = sorted(map(tuple, out.select(*places).collect()))
+    moved = chunking.chunk_semantic(df, lambda d, t: encode(d, t).repartition(5, "pos"), size=60, keeps_order=False)
+    assert sorted(map(tuple, moved.select(*places).collect())) == got
+    with pytest.raises(Exception, match="keeps_order"):
+        chunking.chunk_semantic(df, lambda d, t: encode(d, t).repartition(5, "pos"), size=60).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, chunking.chunk_semantic(df, encode, size=60).select(*places).collect())) == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected, model = [], embedding.HashEncoder()
+    for i, text in rows:
+        parts: list = []
+        for s in chunking.sentences(text) if text and text.strip() else []:
+            v = model([s])[0] if s.strip() else None
+            start = parts[-1][1] if parts else 0
+            unlike = bool(parts) and v is not None and parts[-1][3] is not None and round(float(v @ parts[-1][3]), 9) < 0.2
+            base = start if unlike or not parts else parts[-1][4]
+            parts.append((start, start + len(s), unlike, v, base, (start + len(s) - 1 - base) // 60))
+        firsts = [n for n, p in enumerate(parts) if n == 0 or p[2] or p[5] != parts[n - 1][5]]
+        for nth, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(parts)])):
+            start, end = parts[a][0], parts[b - 1][1]
+            expected.append((i, nth, len(firsts), end - start, start, end, text[start:end]))
+    assert got == sorted(expected)
+
+
 def test_pooling_merges_parts(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(k, [float(x) for x in rng.normal(1e8, 1, d)]) for k, d in [("hot", 768)] * 300 + [("a", 3), ("a", 5), (None, 2), (None, 2)]]
