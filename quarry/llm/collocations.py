@@ -9,8 +9,9 @@ prefix of very many windows reaches over several ranges: what lies at the edge o
 its count, and Spark adds the parts. So no prefix needs to fit in a task.
 
 Two passes before keep windows few. The first counts words; the second counts pairs of frequent words by a hash of the
-pair. Both leave a table of 2^26 bits, of the same size for any corpus, by which the next pass drops what cannot be
-frequent. It may let through too much, never too little; all counts are made from the windows themselves. Words go by
+pair, in 64 parts by the word that follows. They leave tables of 2^26 bits, of the same size for any corpus, by which the
+next pass drops what cannot be frequent: words, pairs, and triples whose pair is frequent but not with such a word behind
+it. A table may let through too much, never too little; all counts are made from the windows themselves. Words go by
 64-bit hashes, and the first pass proves that no frequent word shares its hash with another word of its language (or
 takes another seed).
 """
@@ -78,6 +79,18 @@ def _pair_keys(lang: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _with_next(keys: np.ndarray, h: np.ndarray, pair: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of the pairs that begin ``at``, their last bits telling the next word: 1 to 63 by its hash, 0 if no frequent one follows in the piece."""
+    follows = np.append(pair, False)[at + 1]
+    part = (h[np.minimum(at + 2, len(h) - 1)].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(63) + np.uint64(1)
+    return keys & ~np.uint64(63) | np.where(follows, part, np.uint64(0))
+
+
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """The last six bits of keys in front, so that the parts of one pair are at different places of a table."""
+    return keys >> np.uint64(6) | keys << np.uint64(58)
+
+
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
@@ -143,7 +156,7 @@ def _count_pairs(seed: int, bits: int, words: np.ndarray, batches: Iterator[pa.R
     for lang, text in _texts(batches):
         h, pair = _frequent(text, seed, bits, words)
         at = np.flatnonzero(pair)
-        found, n = np.unique(_pair_keys(lang, h[at], h[at + 1]), return_counts=True)
+        found, n = np.unique(_with_next(_pair_keys(lang, h[at], h[at + 1]), h, pair, at), return_counts=True)
         keys, counts = _added(np.append(keys, found), np.append(counts, n))
         if len(keys) > 2 * HELD_ROWS:
             yield pa.record_batch({"key": keys.view(np.int64), "n": counts})
@@ -167,8 +180,10 @@ def _distinct(rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     return [r[first] for r in rows], np.add.reduceat(n, first) if len(first) else n
 
 
-def _find_windows(seed: int, bits: int, words: np.ndarray, pairs: np.ndarray, max_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of two words and more in which every pair of neighbours may be frequent; words after its end are 0."""
+def _find_windows(
+    seed: int, bits: int, words: np.ndarray, pairs: np.ndarray, nexts: np.ndarray, max_words: int, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """Windows of two words and more in which every two and three neighbours may be frequent; words after its end are 0."""
     held: dict[str, list[tuple[list[np.ndarray], np.ndarray]]] = {}
 
     def added() -> Iterator[pa.RecordBatch]:
@@ -182,13 +197,14 @@ def _find_windows(seed: int, bits: int, words: np.ndarray, pairs: np.ndarray, ma
     for lang, text in _texts(batches):
         h, pair = _frequent(text, seed, bits, words)
         at = np.flatnonzero(pair)
-        on = np.zeros(len(h) + max_words, dtype=bool)
-        on[at] = _passes(pairs, _pair_keys(lang, h[at], h[at + 1]))
+        on, three = (np.zeros(len(h) + max_words, dtype=bool) for _ in range(2))
+        keys = _with_next(_pair_keys(lang, h[at], h[at + 1]), h, pair, at)
+        on[at], three[at] = _passes(pairs, keys), _passes(nexts, _turned(keys))
         at = np.flatnonzero(on)
         h = np.append(h, np.zeros(max_words, dtype=np.int64))
         rows, goes_on = [h[at]], np.ones(len(at), dtype=bool)
         for d in range(1, max_words):
-            goes_on = goes_on & on[at + d - 1]
+            goes_on = goes_on & on[at + d - 1] & (three[at + d - 2] if d > 1 else True)
             rows.append(np.where(goes_on, h[at + d], 0))
         found = _distinct(rows, np.ones(len(at), dtype=np.int64))
         held.setdefault(lang, []).append(found)
@@ -281,11 +297,19 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _count_pairs(turn, bits, word_bits, batches)
 
-    pairs = docs.mapInArrow(count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    pair_bits = _filter_of(pairs, "key")
+    # The parts of a pair meet in one task, which adds them up twice; tasks that read have added theirs already.
+    parted = docs.mapInArrow(count_pairs, "key long, n long").withColumn("pair", F.shiftrightunsigned("key", 6)).repartition("pair")
+    parted = parted.groupBy("pair", "key").agg(F.sum("n").alias("n"))
+    often = F.when(F.col("n") >= min_count, F.expr("shiftleft(1L, cast(key & 63 as int))"))
+    counted = parted.groupBy("pair").agg(F.sum("n").alias("n"), F.coalesce(F.bit_or(often), F.lit(0).cast("long")).alias("parts"))
+    pairs = stored(counted.filter(F.col("n") >= min_count), "pairs")
+    pair_bits = _filter_of(pairs.select(F.shiftleft("pair", 6).alias("key")), "key")
+    nexts = pairs.select("pair", F.explode(F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(parts, i) & 1L) = 1L)")).alias("part"))
+    next_bits = _filter_of(nexts.select(F.shiftleft(F.col("part").cast("long"), 58).bitwiseOR(F.col("pair")).alias("key")), "key")
+    drop_stored(pairs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _find_windows(turn, bits, word_bits, pair_bits, max_words, batches)
+        return _find_windows(turn, bits, word_bits, pair_bits, next_bits, max_words, batches)
 
     columns = _columns(max_words)
     windows = stored(docs.mapInArrow(find, f"lang string, {', '.join(f'{c} long' for c in columns)}, n long"), "windows")

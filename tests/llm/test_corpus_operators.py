@@ -185,6 +185,24 @@ def test_collocations_of_nothing_and_of_too_few_hash_bits(spark):
         collocations.collocations(df, min_count=2, bits=2)
 
 
+def test_windows_end_where_no_triple_is_frequent(spark, monkeypatch):
+    """Pairs that are all frequent make no long windows where no word follows a pair often enough."""
+    rnd = random.Random(8)
+    rows = [(" ".join(f"w{rnd.randrange(12)}" for _ in range(100)), "en") for _ in range(200)]
+    made, keep = {}, collocations.stored
+
+    def watched(df, label):
+        out = keep(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(collocations, "stored", watched)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    got = sorted(tuple(r) for r in collocations.collocations(df, min_count=80).collect())
+    assert got == collocations_brute(rows, 80, 5, 2000, 100) and len(got) > 100
+    assert made["windows"] <= 2 * 144
+
+
 def test_prefixes_over_the_ends_of_stretches(monkeypatch):
     """Counts of phrases that reach over the ends of stretches are in parts that add up."""
     rnd = np.random.default_rng(3)
