@@ -8,12 +8,12 @@ ranges of their words, so that each task gets the whole projections of its prefi
 prefix of very many windows reaches over several ranges: what lies at the edge of one is counted in part there, whatever
 its count, and Spark adds the parts. So no prefix needs to fit in a task.
 
-Two passes before keep windows few. The first counts words; the second counts pairs of frequent words by a hash of the
-pair, in 64 parts by the word that follows. They leave tables of 2^26 bits, of the same size for any corpus, by which the
-next pass drops what cannot be frequent: words, pairs, and triples whose pair is frequent but not with such a word behind
-it. A table may let through too much, never too little; all counts are made from the windows themselves. Words go by
-64-bit hashes, and the first pass proves that no frequent word shares its hash with another word of its language (or
-takes another seed).
+Two passes before keep windows few. The first counts words; the second counts pairs of frequent words, each apart by 24
+bits of the word that follows. They leave tables of 2^26 bits, of the same size for any corpus, by which the next pass
+drops what cannot be frequent: words, pairs, and triples. A table may let through too much, never too little. Words and
+pairs have their counts from these passes, so a window begins only where three words may be frequent; all counts of three
+words and more are made from the windows themselves. Words go by 64-bit hashes, and the first pass proves that no frequent
+word shares its hash with another word of its language (or takes another seed).
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ NO_LANGUAGE = "und"
 #: Bytes of text that are split at once; rows that are held before they are added up; windows that are mined at once.
 TEXT_BYTES, HELD_ROWS, MINED_ROWS = 8 << 20, 1_000_000, 500_000
 FILTER_BITS = 26
+#: Bits that tell the word behind a pair; the rest of 63 is for a count.
+NEXT_BITS = 24
 SEEDS = 8
 _SPACE, _STOP = 32, 10
 _FOLDED = bytes(_STOP if chr(b) in ".,;:!?\n\x0b\x0c\r" else _SPACE if b in (9, 32) else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -74,21 +76,17 @@ def _hashes(words: pa.Array, seed: int, bits: int) -> np.ndarray:
 
 
 def _pair_keys(lang: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two columns of 64 bits; that of a pair and a part tells a pair with its next word."""
     mixed = (left.view(np.uint64) ^ np.uint64(xxhash.xxh64_intdigest(lang))) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29)) ^ right.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
     return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _with_next(keys: np.ndarray, h: np.ndarray, pair: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The keys of the pairs that begin ``at``, their last bits telling the next word: 1 to 63 by its hash, 0 if no frequent one follows in the piece."""
+def _next_parts(h: np.ndarray, pair: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For the pairs that begin ``at``, the next word by NEXT_BITS of its hash, never 0, which says that no frequent one follows in the piece."""
     follows = np.append(pair, False)[at + 1]
-    part = (h[np.minimum(at + 2, len(h) - 1)].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(63) + np.uint64(1)
-    return keys & ~np.uint64(63) | np.where(follows, part, np.uint64(0))
-
-
-def _turned(keys: np.ndarray) -> np.ndarray:
-    """The last six bits of keys in front, so that the parts of one pair are at different places of a table."""
-    return keys >> np.uint64(6) | keys << np.uint64(58)
+    part = h[np.minimum(at + 2, len(h) - 1)].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - NEXT_BITS)
+    return np.where(follows, np.maximum(part, 1), 0).astype(np.int64)
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -105,11 +103,26 @@ def _filter_of(keys: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+def _summed(rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Neighbours that are equal as one, with the sum of their counts."""
+    new = np.zeros(len(n), dtype=bool)
+    new[:1] = True
+    for r in rows:
+        new[1:] |= r[1:] != r[:-1]
+    first = np.flatnonzero(new)
+    return [r[first] for r in rows], np.add.reduceat(n, first) if len(first) else n
+
+
+def _distinct(rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal windows as one, with the sum of their counts."""
+    order = np.lexsort(rows[::-1])
+    return _summed([r[order] for r in rows], n[order])
+
+
+def _added(lang: str, rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of two hashes and a part as one, with the sum of their counts. They are sorted by a hash; if two share it, some may stay apart."""
+    order = np.argsort(_pair_keys(lang, _pair_keys(lang, rows[0], rows[1]), rows[2]))
+    return _summed([r[order] for r in rows], n[order])
 
 
 _WORDS_DDL = "lang string, h long, word string, n long"
@@ -151,39 +164,53 @@ def _frequent(text: bytes, seed: int, bits: int, words: np.ndarray) -> tuple[np.
     return h, (piece[1:] == piece[:-1]) & may[1:] & may[:-1]
 
 
+_PAIRS_DDL = "lang string, h1 long, h2 long, n long"
+
+
 def _count_pairs(seed: int, bits: int, words: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    """Pairs that may be frequent; ``n`` has the part of the next word in its last NEXT_BITS and the count before them."""
+    held: dict[str, tuple[list[np.ndarray], np.ndarray]] = {}
+
+    def added() -> Iterator[pa.RecordBatch]:
+        for lang, ((h1, h2, part), n) in held.items():
+            packed = n << NEXT_BITS | part
+            for start in range(0, len(n), 50_000):
+                some = slice(start, start + 50_000)
+                yield pa.record_batch([pa.repeat(lang, len(n[some])), pa.array(h1[some]), pa.array(h2[some]), pa.array(packed[some])], names=["lang", "h1", "h2", "n"])
+
     for lang, text in _texts(batches):
         h, pair = _frequent(text, seed, bits, words)
         at = np.flatnonzero(pair)
-        found, n = np.unique(_with_next(_pair_keys(lang, h[at], h[at + 1]), h, pair, at), return_counts=True)
-        keys, counts = _added(np.append(keys, found), np.append(counts, n))
-        if len(keys) > 2 * HELD_ROWS:
-            yield pa.record_batch({"key": keys.view(np.int64), "n": counts})
-            keys, counts = keys[:0], counts[:0]
-    yield pa.record_batch({"key": keys.view(np.int64), "n": counts})
+        rows, n = [h[at], h[at + 1], _next_parts(h, pair, at)], np.ones(len(at), dtype=np.int64)
+        if lang in held:
+            rows, n = [np.append(*c) for c in zip(held[lang][0], rows)], np.append(held[lang][1], n)
+        held[lang] = _added(lang, rows, n)
+        if sum(len(n) for _, n in held.values()) > 2 * HELD_ROWS:
+            yield from added()
+            held = {}
+    yield from added()
 
 
-def _columns(max_words: int) -> list[str]:
-    return [f"w{i}" for i in range(1, max_words + 1)]
+def _filter_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys by which frequent pairs, and those with a next word (``part`` over 0), are found in a table of bits."""
+    for batch in batches:
+        langs = batch.column("lang").dictionary_encode()
+        codes = langs.indices.to_numpy()
+        h1, h2, part = (batch.column(c).to_numpy() for c in ("h1", "h2", "part"))
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            own = codes == code
+            keys = _pair_keys(lang, h1[own], h2[own])
+            yield pa.record_batch({"key": np.where(part[own] > 0, _pair_keys(lang, keys, part[own]), keys).view(np.int64)})
 
 
-def _distinct(rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal windows as one, with the sum of their counts."""
-    order = np.lexsort(rows[::-1])
-    rows, n = [r[order] for r in rows], n[order]
-    new = np.zeros(len(n), dtype=bool)
-    new[:1] = True
-    for r in rows:
-        new[1:] |= r[1:] != r[:-1]
-    first = np.flatnonzero(new)
-    return [r[first] for r in rows], np.add.reduceat(n, first) if len(first) else n
+def _columns(max_words: int) -> list[str]:
+    return [f"w{i}" for i in range(1, max_words + 1)]
 
 
 def _find_windows(
     seed: int, bits: int, words: np.ndarray, pairs: np.ndarray, nexts: np.ndarray, max_words: int, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
-    """Windows of two words and more in which every two and three neighbours may be frequent; words after its end are 0."""
+    """Windows of three words and more in which every two and three neighbours may be frequent; words after its end are 0."""
     held: dict[str, list[tuple[list[np.ndarray], np.ndarray]]] = {}
 
     def added() -> Iterator[pa.RecordBatch]:
@@ -198,13 +225,14 @@ def _find_windows(
         h, pair = _frequent(text, seed, bits, words)
         at = np.flatnonzero(pair)
         on, three = (np.zeros(len(h) + max_words, dtype=bool) for _ in range(2))
-        keys = _with_next(_pair_keys(lang, h[at], h[at + 1]), h, pair, at)
-        on[at], three[at] = _passes(pairs, keys), _passes(nexts, _turned(keys))
-        at = np.flatnonzero(on)
+        keys, part = _pair_keys(lang, h[at], h[at + 1]), _next_parts(h, pair, at)
+        on[at], three[at] = _passes(pairs, keys), (part > 0) & _passes(nexts, _pair_keys(lang, keys, part))
+        three[:-1] &= on[:-1] & on[1:]
+        at = np.flatnonzero(three)
         h = np.append(h, np.zeros(max_words, dtype=np.int64))
-        rows, goes_on = [h[at]], np.ones(len(at), dtype=bool)
-        for d in range(1, max_words):
-            goes_on = goes_on & on[at + d - 1] & (three[at + d - 2] if d > 1 else True)
+        rows, goes_on = [h[at], h[at + 1]], np.ones(len(at), dtype=bool)
+        for d in range(2, max_words):
+            goes_on = goes_on & three[at + d - 2]
             rows.append(np.where(goes_on, h[at + d], 0))
         found = _distinct(rows, np.ones(len(at), dtype=np.int64))
         held.setdefault(lang, []).append(found)
@@ -297,16 +325,14 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _count_pairs(turn, bits, word_bits, batches)
 
-    # The parts of a pair meet in one task, which adds them up twice; tasks that read have added theirs already.
-    parted = docs.mapInArrow(count_pairs, "key long, n long").withColumn("pair", F.shiftrightunsigned("key", 6)).repartition("pair")
-    parted = parted.groupBy("pair", "key").agg(F.sum("n").alias("n"))
-    often = F.when(F.col("n") >= min_count, F.expr("shiftleft(1L, cast(key & 63 as int))"))
-    counted = parted.groupBy("pair").agg(F.sum("n").alias("n"), F.coalesce(F.bit_or(often), F.lit(0).cast("long")).alias("parts"))
-    pairs = stored(counted.filter(F.col("n") >= min_count), "pairs")
-    pair_bits = _filter_of(pairs.select(F.shiftleft("pair", 6).alias("key")), "key")
-    nexts = pairs.select("pair", F.explode(F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(parts, i) & 1L) = 1L)")).alias("part"))
-    next_bits = _filter_of(nexts.select(F.shiftleft(F.col("part").cast("long"), 58).bitwiseOR(F.col("pair")).alias("key")), "key")
-    drop_stored(pairs)
+    # One shuffle serves both counts, so nothing that only one of them needs may be pushed below it: -1 stands for whole
+    # pairs, and parts that are 0 are left in. Tasks that read have added theirs already.
+    apart = docs.mapInArrow(count_pairs, _PAIRS_DDL).repartition("lang", "h1", "h2")
+    times, part = F.shiftright("n", NEXT_BITS), F.col("n").bitwiseAND((1 << NEXT_BITS) - 1)
+    whole = apart.groupBy("lang", "h1", "h2").agg(F.lit(-1).cast("long").alias("part"), F.sum(times).alias("n"))
+    parted = apart.groupBy("lang", "h1", "h2", part.alias("part")).agg(F.sum(times).alias("n"))
+    often = stored(whole.unionByName(parted).filter(F.col("n") >= min_count), "pairs")
+    pair_bits, next_bits = (_filter_of(often.filter(kind).select("lang", "h1", "h2", "part").mapInArrow(_filter_keys, "key long"), "key") for kind in ("part < 0", "part > 0"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _find_windows(turn, bits, word_bits, pair_bits, next_bits, max_words, batches)
@@ -320,8 +346,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = windows.repartitionByRange(parts, "lang", *columns).sortWithinPartitions("lang", *columns)
     mined = ranged.mapInArrow(mine, "lang string, words array<long>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    mined = mined.filter((F.col("n") >= min_count) & (F.size("words") > 2))
     single = known.select("lang", F.array("h").alias("words"), "n")
-    phrases = stored(mined.filter(F.col("n") >= min_count).unionByName(single), "phrases")
+    pairs = often.filter("part < 0").select("lang", F.array("h1", "h2").alias("words"), "n")
+    phrases = stored(mined.unionByName(pairs).unionByName(single), "phrases")
+    drop_stored(often)
     drop_stored(windows)
     return phrases, words
 

@@ -203,6 +203,29 @@ def test_windows_end_where_no_triple_is_frequent(spark, monkeypatch):
     assert made["windows"] <= 2 * 144
 
 
+def test_windows_begin_where_a_triple_is_frequent(spark, monkeypatch):
+    """Frequent pairs are counted in the pass over pairs, whose shuffle is made once, and begin no window."""
+    rnd = random.Random(9)
+    rows = [(" ".join(f"w{rnd.randrange(12)}" for _ in range(100)), "en") for _ in range(200)] + [("a b c d. b c", "en"), ("b c d", "de")] * 60
+    kept, plans, keep = {}, {}, collocations.stored
+
+    def watched(df, label):
+        df.collect()
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        out = keep(df, label)
+        kept[label] = out.collect()
+        return out
+
+    monkeypatch.setattr(collocations, "stored", watched)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = sorted(tuple(r) for r in collocations.collocations(df, min_count=60).collect())
+    assert got == collocations_brute(rows, 60, 5, 2000, 100)
+    pairs, triples = ([r for r in kept["pairs"] if r["part"] * sign > 0] for sign in (-1, 1))
+    assert len(pairs) == 144 + 3 + 2 and len(triples) == 3
+    assert sum(r["n"] for r in kept["windows"]) == 3 * 60 and all(r["w3"] for r in kept["windows"])
+    assert "ReusedExchange" in plans["pairs"]
+
+
 def test_prefixes_over_the_ends_of_stretches(monkeypatch):
     """Counts of phrases that reach over the ends of stretches are in parts that add up."""
     rnd = np.random.default_rng(3)
