@@ -31,10 +31,14 @@ from quarry.llm.common import drop_stored, stored, table
 MIN_COUNT, MAX_WORDS, TOP, COVER_PERCENT = 100, 5, 2000, 100
 NO_LANGUAGE = "und"
 #: Bytes of text that are split at once; rows that are held before they are added up; windows that are mined at once.
-TEXT_BYTES, HELD_ROWS, MINED_ROWS = 8 << 20, 1_000_000, 500_000
+TEXT_BYTES, HELD_ROWS, MINED_ROWS = 4 << 20, 1_000_000, 500_000
 FILTER_BITS = 26
 #: Bits that tell the word behind a pair; the rest of 63 is for a count.
 NEXT_BITS = 24
+#: Bits of a task's own number for a word: two of them and the bits of a next word are one number of 64 bits.
+CODE_BITS = (64 - NEXT_BITS) // 2
+#: Places of pairs that a task holds, 8 bytes each, before it adds them up.
+HELD_PAIRS = 4_000_000
 SEEDS = 8
 _SPACE, _STOP = 32, 10
 _FOLDED = bytes(_STOP if chr(b) in ".,;:!?\n\x0b\x0c\r" else _SPACE if b in (9, 32) else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -71,7 +75,8 @@ def _words(text: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 def _hashes(words: pa.Array, seed: int, bits: int) -> np.ndarray:
     """64 bits for each word (fewer only in tests), never 0, which stands for no word."""
-    found = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+    parts = (words.slice(start, 10_000).cast(pa.binary()).to_pylist() for start in range(0, len(words), 10_000))
+    found = np.fromiter((xxhash.xxh64_intdigest(w, seed) for part in parts for w in part), np.uint64, len(words))
     return np.maximum(found >> np.uint64(64 - bits), 1).view(np.int64)
 
 
@@ -119,10 +124,13 @@ def _distinct(rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     return _summed([r[order] for r in rows], n[order])
 
 
-def _added(lang: str, rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows of two hashes and a part as one, with the sum of their counts. They are sorted by a hash; if two share it, some may stay apart."""
-    order = np.argsort(_pair_keys(lang, _pair_keys(lang, rows[0], rows[1]), rows[2]))
-    return _summed([r[order] for r in rows], n[order])
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order and how often each is there; ``parts`` is emptied and the numbers are sorted in place, so they are held once."""
+    keys = np.concatenate(parts)
+    parts.clear()
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.diff(first, append=len(keys))
 
 
 _WORDS_DDL = "lang string, h long, word string, n long"
@@ -155,40 +163,72 @@ def _count_words(seed: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Ite
         yield from added()
 
 
-def _frequent(text: bytes, seed: int, bits: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and whether a word and the next one are in one piece and may both be frequent."""
+def _frequent(text: bytes, seed: int, bits: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, which of them each word in order is, and whether it and the next one are in one piece and may both be frequent."""
     found, piece = _words(text)
     distinct = _hashes(found.dictionary, seed, bits)
     at = found.indices.to_numpy()
-    h, may = distinct[at], _passes(words, distinct)[at] if len(distinct) else np.zeros(0, dtype=bool)
-    return h, (piece[1:] == piece[:-1]) & may[1:] & may[:-1]
+    may = _passes(words, distinct)[at] if len(distinct) else np.zeros(0, dtype=bool)
+    return distinct, at, (piece[1:] == piece[:-1]) & may[1:] & may[:-1]
 
 
 _PAIRS_DDL = "lang string, h1 long, h2 long, n long"
 
 
 def _count_pairs(seed: int, bits: int, words: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may be frequent; ``n`` has the part of the next word in its last NEXT_BITS and the count before them."""
-    held: dict[str, tuple[list[np.ndarray], np.ndarray]] = {}
-
-    def added() -> Iterator[pa.RecordBatch]:
-        for lang, ((h1, h2, part), n) in held.items():
-            packed = n << NEXT_BITS | part
-            for start in range(0, len(n), 50_000):
-                some = slice(start, start + 50_000)
-                yield pa.record_batch([pa.repeat(lang, len(n[some])), pa.array(h1[some]), pa.array(h2[some]), pa.array(packed[some])], names=["lang", "h1", "h2", "n"])
+    """Pairs that may be frequent; ``n`` has the part of the next word in its last NEXT_BITS and the count before them.
 
+    A pair and its part are held as one number, in which words go by their numbers in ``codes``. Those are given as words
+    come, and anew once all are taken and what is held has gone out.
+    """
+    codes: dict[int, int] = {}
+    found: dict[str, list[np.ndarray]] = {}
+    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def rows(lang: str) -> Iterator[pa.RecordBatch]:
+        hashes, (keys, n) = np.fromiter(codes, np.int64, len(codes)), sums.pop(lang)
+        for start in range(0, len(n), 50_000):
+            some = keys[start : start + 50_000].view(np.int64)
+            h1, h2 = (hashes[some >> shift & (1 << CODE_BITS) - 1] for shift in (CODE_BITS + NEXT_BITS, NEXT_BITS))
+            packed = n[start : start + 50_000] << NEXT_BITS | some & (1 << NEXT_BITS) - 1
+            yield pa.record_batch([pa.repeat(lang, len(some)), pa.array(h1), pa.array(h2), pa.array(packed)], names=["lang", "h1", "h2", "n"])
+
+    def added(all_of_it: bool) -> Iterator[pa.RecordBatch]:
+        """Adds up what was found; sums go out where they are many, or all."""
+        for lang in list(found):
+            keys, n = _counted(found.pop(lang))
+            if lang in sums and len(n) > HELD_ROWS:
+                yield from rows(lang)
+            elif lang in sums:
+                (keys,), n = _distinct([np.append(sums[lang][0], keys)], np.append(sums[lang][1], n))
+            sums[lang] = keys, n
+        if all_of_it or sum(len(n) for _, n in sums.values()) > HELD_ROWS:
+            for lang in list(sums):
+                yield from rows(lang)
+            codes.clear()
+
+    size, most = 0, 1 << CODE_BITS - 1
     for lang, text in _texts(batches):
-        h, pair = _frequent(text, seed, bits, words)
-        at = np.flatnonzero(pair)
-        rows, n = [h[at], h[at + 1], _next_parts(h, pair, at)], np.ones(len(at), dtype=np.int64)
-        if lang in held:
-            rows, n = [np.append(*c) for c in zip(held[lang][0], rows)], np.append(held[lang][1], n)
-        held[lang] = _added(lang, rows, n)
-        if sum(len(n) for _, n in held.values()) > 2 * HELD_ROWS:
-            yield from added()
-            held = {}
-    yield from added()
+        distinct, at, pair = _frequent(text, seed, bits, words)
+        h, places = distinct[at], np.flatnonzero(pair)
+        for start in range(0, len(places), most):  # of so many pairs, all words have numbers
+            some = places[start : start + most]
+            left, right = at[some], at[some + 1]
+            used = np.zeros(len(distinct), dtype=bool)
+            used[left] = used[right] = True
+            hashes = distinct[used].tolist()
+            if len(codes) + sum(x not in codes for x in hashes) > 1 << CODE_BITS:
+                yield from added(True)
+                size = 0
+            own = np.zeros(len(distinct), dtype=np.uint64)
+            own[used] = [codes.setdefault(x, len(codes)) for x in hashes]
+            keys = own[left] << np.uint64(CODE_BITS + NEXT_BITS) | own[right] << np.uint64(NEXT_BITS) | _next_parts(h, pair, some).view(np.uint64)
+            found.setdefault(lang, []).append(keys)
+            size += len(keys)
+            if size > HELD_PAIRS:
+                yield from added(False)
+                size = 0
+    yield from added(True)
 
 
 def _filter_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,17 +253,20 @@ def _find_windows(
     """Windows of three words and more in which every two and three neighbours may be frequent; words after its end are 0."""
     held: dict[str, list[tuple[list[np.ndarray], np.ndarray]]] = {}
 
-    def added() -> Iterator[pa.RecordBatch]:
+    def add_up() -> None:
         for lang, parts in held.items():
-            rows, n = _distinct([np.concatenate(c) for c in zip(*(rows for rows, _ in parts))], np.concatenate([n for _, n in parts]))
+            held[lang] = [_distinct([np.concatenate(c) for c in zip(*(rows for rows, _ in parts))], np.concatenate([n for _, n in parts]))]
+
+    def added() -> Iterator[pa.RecordBatch]:
+        for lang, [(rows, n)] in held.items():
             for start in range(0, len(n), 50_000):
                 part = slice(start, start + 50_000)
                 yield pa.record_batch([pa.array([lang] * len(n[part]), pa.string()), *(pa.array(r[part]) for r in rows), pa.array(n[part])], names=["lang", *_columns(max_words), "n"])
 
     size = 0
     for lang, text in _texts(batches):
-        h, pair = _frequent(text, seed, bits, words)
-        at = np.flatnonzero(pair)
+        distinct, at, pair = _frequent(text, seed, bits, words)
+        h, at = distinct[at], np.flatnonzero(pair)
         on, three = (np.zeros(len(h) + max_words, dtype=bool) for _ in range(2))
         keys, part = _pair_keys(lang, h[at], h[at + 1]), _next_parts(h, pair, at)
         on[at], three[at] = _passes(pairs, keys), (part > 0) & _passes(nexts, _pair_keys(lang, keys, part))
@@ -238,8 +281,12 @@ def _find_windows(
         held.setdefault(lang, []).append(found)
         size += len(found[1])
         if size > HELD_ROWS:
-            yield from added()
-            held, size = {}, 0
+            add_up()
+            size = sum(len(n) for [(_, n)] in held.values())
+            if size > HELD_ROWS // 2:
+                yield from added()
+                held, size = {}, 0
+    add_up()
     yield from added()
 
 

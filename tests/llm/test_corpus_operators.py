@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -226,6 +227,48 @@ def test_windows_begin_where_a_triple_is_frequent(spark, monkeypatch):
     assert "ReusedExchange" in plans["pairs"]
 
 
+def pairs_of(batches):
+    """What a task of the pass over pairs sends out, added up."""
+    bits = np.full(1 << (collocations.FILTER_BITS - 6), np.iinfo(np.uint64).max, dtype=np.uint64)
+    got = Counter()
+    for batch in collocations._count_pairs(0, 64, bits, iter(batches)):
+        for lang, h1, h2, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "h1", "h2", "n"))):
+            got[lang, h1, h2, n & (1 << collocations.NEXT_BITS) - 1] += n >> collocations.NEXT_BITS
+    return got
+
+
+@pytest.mark.parametrize("code_bits, held_pairs, held_rows", [(20, 4_000_000, 1_000_000), (20, 50, 20), (20, 50, 1_000), (3, 50, 1_000), (1, 7, 3)])
+def test_pairs_are_whole_however_few_words_have_numbers(monkeypatch, code_bits, held_pairs, held_rows):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["en", "de"]), "".join(f"w{int(rnd.paretovariate(0.7))}" + rnd.choice(" ,   ") for _ in range(rnd.randint(0, 40)))) for _ in range(60)]
+    expected = Counter()
+    for lang, text in rows:
+        for piece in text.split(","):
+            h = collocations._hashes(pa.array(piece.split() or [""]), 0, 64)
+            parts = collocations._next_parts(h, np.ones(len(h) - 1, dtype=bool), np.arange(len(h) - 1)).tolist()
+            expected.update((lang, *key) for key in zip(h[:-1].tolist(), h[1:].tolist(), parts))
+    for name, value in (("CODE_BITS", code_bits), ("HELD_PAIRS", held_pairs), ("HELD_ROWS", held_rows), ("TEXT_BYTES", 300)):
+        monkeypatch.setattr(collocations, name, value)
+    assert pairs_of(pa.record_batch({"lang": [lang], "text": [text]}) for lang, text in rows) == expected
+
+
+def test_pairs_are_held_in_few_bytes():
+    """A million different pairs in one task: 16 MB as they are found, and never much more than three times that with what adding up takes."""
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rnd.integers(0, 5_000, 50_000)) for _ in range(40)]
+    batches = [pa.record_batch({"lang": ["en"], "text": [text]}) for text in texts]
+    tracemalloc.start()
+    try:
+        bits = np.full(1 << (collocations.FILTER_BITS - 6), np.iinfo(np.uint64).max, dtype=np.uint64)
+        before, _ = tracemalloc.get_traced_memory()
+        pairs = sum(int((b.column("n").to_numpy() >> collocations.NEXT_BITS).sum()) for b in collocations._count_pairs(0, 64, bits, iter(batches)))
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert pairs == 40 * 49_999
+    assert most - before < 120e6, most - before
+
+
 def test_prefixes_over_the_ends_of_stretches(monkeypatch):
     """Counts of phrases that reach over the ends of stretches are in parts that add up."""
     rnd = np.random.default_rng(3)
