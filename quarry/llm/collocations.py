@@ -140,15 +140,19 @@ def _count_words(seed: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Ite
     """Words of each language and their counts; ``h`` 0 has the number of all words."""
     held: list[pa.Table] = []
 
+    def add_up() -> None:
+        sums = pa.concat_tables(held).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+        held[:] = [sums.select(["lang", "word", "n_sum"]).rename_columns(["lang", "word", "n"])]
+
     def added() -> Iterator[pa.RecordBatch]:
-        sums = pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("n", "sum")])
+        sums = held.pop()
         words = sums.column("word").combine_chunks()
         h = _hashes(words.drop_null(), seed, bits) if words.null_count == 0 else None
         if h is None:
             known = words.is_valid().to_numpy(zero_copy_only=False)
             h = np.zeros(len(words), dtype=np.int64)
             h[known] = _hashes(words.drop_null(), seed, bits)
-        out = pa.table({"lang": sums.column("lang"), "h": pa.array(h), "word": sums.column("word"), "n": sums.column("n_sum")})
+        out = pa.table({"lang": sums.column("lang"), "h": pa.array(h), "word": sums.column("word"), "n": sums.column("n")})
         return out.to_batches(50_000)
 
     for lang, text in _texts(batches):
@@ -157,9 +161,11 @@ def _count_words(seed: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Ite
         found = pa.concat_arrays([words.dictionary, pa.nulls(1, pa.string())])
         held.append(pa.table({"lang": pa.array([lang] * len(found), pa.string()), "word": found, "n": np.append(counts, len(words))}))
         if sum(map(len, held)) > HELD_ROWS:
-            yield from added()
-            held = []
+            add_up()
+            if len(held[0]) > HELD_ROWS // 2:
+                yield from added()
     if held:
+        add_up()
         yield from added()
 
 

@@ -269,6 +269,18 @@ def test_pairs_are_held_in_few_bytes():
     assert most - before < 120e6, most - before
 
 
+def test_words_and_windows_are_added_up_before_they_go_out(monkeypatch):
+    """A task that reads few words again and again in short texts sends each word, and each window, once."""
+    monkeypatch.setattr(collocations, "HELD_ROWS", 100)
+    monkeypatch.setattr(collocations, "TEXT_BYTES", 30)
+    rows = [pa.record_batch({"lang": ["en", "de"], "text": ["a b c d e f, a b c d e f", "a b c"]})] * 50
+    words = [r for b in collocations._count_words(0, 64, iter(rows)) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["word"] or "", r["n"]) for r in words) == sorted([("en", "", 600), ("de", "", 150), *(("en", w, 100) for w in "abcdef"), *(("de", w, 50) for w in "abc")])
+    every = np.full(1 << (collocations.FILTER_BITS - 6), np.iinfo(np.uint64).max, dtype=np.uint64)
+    windows = [r for b in collocations._find_windows(0, 64, every, every, every, 5, iter(rows)) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["n"]) for r in windows) == [("de", 50), *[("en", 100)] * 4]
+
+
 def test_prefixes_over_the_ends_of_stretches(monkeypatch):
     """Counts of phrases that reach over the ends of stretches are in parts that add up."""
     rnd = np.random.default_rng(3)
