@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from quarry.functions.text import base_name
 from quarry.operators import chunking, embedding, markdown, metadata, reports, text
 from quarry.sources import collection, files
-from quarry.sources.scratch import stored
+from quarry.sources.scratch import WIDE, drop_stored, stored
 
 
-def chunk_files(docs: DataFrame, chunker_type: str = "token", size: int = chunking.CHUNK_SIZE, overlap: int = chunking.OVERLAP, encoder: embedding.Encoder | None = None) -> DataFrame:
-    """Chunks with vectors and metadata of ``docs`` (``filepath, filename, content, metadata``), spread over all tasks.
+#: Characters of a text above which its chunks are dealt out over all tasks before they are encoded.
+LONG = 4 << 20
 
-    A huge file has many chunks, so rows are dealt out by chunk before they are encoded.
+
+def chunk_files(
+    docs: DataFrame, chunker_type: str = "token", size: int = chunking.CHUNK_SIZE, overlap: int = chunking.OVERLAP, encoder: embedding.Encoder | None = None, deal: bool = True
+) -> DataFrame:
+    """Chunks with vectors and metadata of ``docs`` (``filepath, filename, content, metadata``).
+
+    A huge file has many chunks, so rows are dealt out by chunk over all tasks before they are encoded, unless ``deal`` is
+    false: then chunks are encoded in the task that has their file, and nothing is shuffled.
     """
     make = chunking.CHUNKERS.get(chunker_type.lower(), chunking.chunk_token)
     rows = make(docs.select("filepath", "filename", F.col("content").alias("text"), F.col("metadata").alias("document_metadata")), size=size, overlap=overlap)
-    rows = metadata.chunk_metadata(metadata.chunk_ids(rows)).drop("document_metadata")
-    rows = embedding.embed_chunks(rows.repartition("id"), encoder)
+    rows = metadata.chunk_ids(rows)
+    # The preview in the metadata is a second copy of the text: it is made when nothing is moved any more.
+    rows = metadata.chunk_metadata(embedding.embed_chunks(rows.repartition("id") if deal else rows, encoder)).drop("document_metadata")
     return rows.withColumnRenamed("text", "document")
 
 
@@ -53,18 +61,29 @@ def _metadata(parsed: DataFrame) -> Column:
 def index_documents(docs: DataFrame, target: str, part: str | None = None, gone: DataFrame | None = None, **settings) -> DataFrame:
     """Store the chunks of ``docs`` in the collection at ``target``, as the ``part`` of that name if given; results per file.
 
-    Texts and vectors are made once: documents and chunks are written to the shared folder and read for the check, the
-    store and the report. Files that fail the check are not stored. What was stored of the same files before is replaced,
-    also by nothing where one fails now, and ``gone`` (``filepath``) names files whose chunks go as well.
+    Texts and vectors are made once: documents are written to the shared folder until their chunks are stored, and chunks
+    to the collection only. Files that fail the check are left out there. What was stored of the same files before is
+    replaced, also by nothing where one fails now, and ``gone`` (``filepath``) names files whose chunks go as well.
     """
-    docs = stored(docs, "documents")
+    return _index(_documents(docs), target, part, gone, **settings)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """``docs`` as written to the shared folder, with the ``size`` of their contents."""
+    return stored(docs.withColumn("size", F.coalesce(F.length("content"), F.lit(0))), "documents", **WIDE)
+
+
+def _index(docs: DataFrame, target: str, part: str | None = None, gone: DataFrame | None = None, **settings) -> DataFrame:
+    """:func:`index_documents` of stored documents, which go when their chunks are there."""
     usable = docs.filter(F.col("parser").isNotNull() & F.col("failure").isNull())
-    chunks = stored(chunk_files(usable, **settings), "chunks")
-    bad = embedding.embedding_mismatch(chunks, "filepath").select("filepath")
+    # Groups of the stored table without long texts are not read for them.
+    chunks = chunk_files(usable.filter(F.col("size") <= LONG), deal=False, **settings).unionByName(chunk_files(usable.filter(F.col("size") > LONG), **settings))
     files_of = docs.select("filepath")
-    replacing = files_of if gone is None else files_of.unionByName(gone.select("filepath"))
-    collection.store_chunks(chunks.join(bad, "filepath", "left_anti"), target, part=part, replacing=replacing)
-    return reports.file_results(docs, chunks)
+    counts = collection.store_files(chunks, target, files_of if gone is None else files_of.unionByName(gone.select("filepath")), part)
+    results = stored(reports.results_of(docs, counts), "results")
+    drop_stored(docs)
+    drop_stored(counts)
+    return results
 
 
 def missing_files(spark: SparkSession, directory: str, target: str, listing: DataFrame) -> DataFrame:
@@ -76,14 +95,18 @@ def missing_files(spark: SparkSession, directory: str, target: str, listing: Dat
 def index_directory(
     spark: SparkSession, directory: str, target: str, parsed: DataFrame | None = None, recursive: bool = True, max_file_mb: float = files.MAX_FILE_MB, remove_missing: bool = False, **settings
 ) -> DataFrame:
-    """Index all supported files below ``directory``; results per file. See :func:`documents_of` for ``parsed``.
+    """Index all supported files below ``directory``; results per file. See :func:`documents_of` for ``parsed``, of which
+    rows of text files are not read.
 
     A directory that is indexed again has its chunks once: those of each file are replaced. ``remove_missing`` also takes
     out what is stored of files below the directory that are no longer there.
     """
-    read = stored(files.decoded(files.read_files(spark, directory, recursive, max_file_mb)), "texts")
-    gone = missing_files(spark, directory, target, read) if remove_missing else None
-    return index_documents(documents_of(read, parsed), target, gone=gone, **settings)
+    texts, others = files.texts_and_others(spark, directory, recursive, max_file_mb)
+    others = files.decoded(others.withColumn("content", F.lit(None).cast("binary")))
+    # Only files that are no text are joined with ``parsed``, or the join would move all texts.
+    docs = _documents(documents_of(files.decoded(texts)).unionByName(documents_of(others, parsed)))
+    gone = missing_files(spark, directory, target, docs.select(F.col("filepath").alias("path"))) if remove_missing else None
+    return _index(docs, target, gone=gone, **settings)
 
 
 def retry_failed(results: DataFrame, target: str, parsed: DataFrame | None = None, max_file_mb: float = files.MAX_FILE_MB, **settings) -> DataFrame:

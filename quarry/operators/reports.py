@@ -19,14 +19,21 @@ def file_results(files: DataFrame, chunks: DataFrame) -> DataFrame:
     ``processing_time``; ``chunks`` has ``filepath`` and ``embedding``. The first of these that holds is the error:
     an exception, an unsupported type, no content, no chunks, fewer vectors than chunks.
     """
-    counts = chunks.groupBy("filepath").agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("m"))
-    df = files.join(counts, "filepath", "left").na.fill(0, ["n", "m"])
+    return results_of(files, chunks.groupBy("filepath").agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("m")))
+
+
+def results_of(files: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same of counted chunks and vectors: ``filepath, n, m``."""
     failure = F.col("failure") if "failure" in files.columns else F.lit(None).cast("string")
     spent = F.col("processing_time") if "processing_time" in files.columns else F.lit(0.0)
+    # Contents are measured before the join, or it would move them.
+    empty = F.coalesce(F.length("content"), F.lit(0)) == 0
+    df = files.select("filepath", "parser", "route_error", failure.alias("failure"), empty.alias("empty"), spent.alias("processing_time"))
+    df = df.join(counts, "filepath", "left").na.fill(0, ["n", "m"])
     early = (
-        F.when(failure.isNotNull(), F.concat(F.lit("Processing error: "), failure))
+        F.when(F.col("failure").isNotNull(), F.concat(F.lit("Processing error: "), "failure"))
         .when(F.col("parser").isNull(), F.col("route_error"))
-        .when(F.coalesce(F.length("content"), F.lit(0)) == 0, F.lit("No content extracted from file"))
+        .when(F.col("empty"), F.lit("No content extracted from file"))
         .when(F.col("n") == 0, F.lit("No chunks created from text"))
     )
     late = F.when(F.col("n") != F.col("m"), F.format_string("Embedding count mismatch: %d chunks, %d embeddings", "n", "m"))
@@ -34,7 +41,7 @@ def file_results(files: DataFrame, chunks: DataFrame) -> DataFrame:
     error = F.coalesce(early, late)
     return df.select(
         F.col("filepath").alias("file_path"), error.isNull().alias("success"), made.alias("chunks_created"), F.when(error.isNull(), made).otherwise(F.lit(0)).alias("chunks_stored"),
-        error.alias("error_message"), spent.alias("processing_time"),
+        error.alias("error_message"), "processing_time",
     )
 
 

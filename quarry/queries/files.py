@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.jobs import index, log
@@ -22,18 +24,35 @@ from quarry.streaming.index import stream_index as run_stream
 IN_A_FILE = 1000
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """``source, part, content``: texts of up to IN_A_FILE ids behind one another, each closed by a line break."""
-    keyed = rows.withColumn("part", F.floor(F.col("doc_id") / IN_A_FILE))
-    lines = keyed.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("ts"))
-    return lines.select("source", "part", F.concat(F.array_join(F.transform("ts", lambda t: t["text"]), "\n"), F.lit("\n")).alias("content"))
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source, part, docs``: up to IN_A_FILE documents of a source in order, as structs of ``doc_id, lang, text``."""
+    rows = fr.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("part", F.floor(F.col("doc_id") / IN_A_FILE))
+    return rows.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang", "text"))).alias("docs"))
+
+
+def _lines(text: Callable[[Column], Column]) -> Column:
+    """The texts of ``docs`` behind one another, each closed by a line break."""
+    return F.concat(F.array_join(F.transform("docs", text), "\n"), F.lit("\n"))
+
+
+def _plain_file(top: str) -> Column:
+    path = F.concat(F.lit(f"{top}/source="), "source", F.lit("/"), F.col("part").cast("string"), F.lit(".txt"))
+    return F.struct(path.alias("path"), _lines(lambda d: d["text"]).alias("content"))
 
 
-def tree(spark: SparkSession, sf_dir: str) -> str:
-    """All documents in text files, a folder for each source."""
+def _marked_file(top: str) -> Column:
+    """The same documents as markdown with front matter."""
+    front = F.concat(F.lit("---\nTitle: all of "), "source", F.lit("\ntags: one\n    two\n---\n"))
+    path = F.concat(F.lit(f"{top}/_md/"), "source", F.lit("/"), F.col("part").cast("string"), F.lit(".md"))
+    body = _lines(lambda d: fr.marked(lambda c: F.col("source") if c == "source" else d[c]))
+    return F.struct(path.alias("path"), F.concat(front, body).alias("content"))
+
+
+def tree(spark: SparkSession, sf_dir: str, kinds: Iterable[Callable[[str], Column]] = (_plain_file,)) -> str:
+    """All documents in files of the given kinds, text files if none are given, a folder for each source; texts are grouped once for all kinds."""
     top = files.full_path(spark, scratch_path(spark, "tree"))
-    rows = _grouped(fr.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    files.write_files(rows.select(F.concat(F.lit(f"{top}/source="), "source", F.lit("/"), F.col("part").cast("string"), F.lit(".txt")).alias("path"), "content"))
+    made = _grouped(spark, sf_dir).select(F.explode(F.array(*[kind(top) for kind in kinds])).alias("file"))
+    files.write_files(made.select("file.path", "file.content"))
     return top
 
 
@@ -178,16 +197,12 @@ _GAP = "before" + " " * 2000 + "after"
 def index_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The indexing job over a tree of all documents as text and as markdown with front matter, the latter below a folder with
     an underscore, all conversations as decoded PDF files, and a file that fails of each kind for each source."""
-    top = tree(spark, sf_dir)
-    marked = fr.markdown(spark, sf_dir).join(fr.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    front = F.concat(F.lit("---\nTitle: all of "), "source", F.lit("\ntags: one\n    two\n---\n"))
-    name = F.concat(F.lit("/_md/"), "source", F.lit("/"), F.col("part").cast("string"), F.lit(".md"))
+    top = tree(spark, sf_dir, (_plain_file, _marked_file))
     pdf = F.concat(F.lit("/"), F.col("conv_id").cast("string"), F.lit(".pdf"))
     sources = fr.table(spark, sf_dir, "documents").select("source").distinct()
     failing = sources.select(F.explode(F.create_map(*[F.lit(x) for pair in _FAILING for x in pair])).alias("kind", "content"), "source")
     chats = assemble_pages(spark, sf_dir).select(F.concat(F.lit(top), pdf).alias("filepath"), "content", F.create_map(F.lit("total_pages"), F.col("total_pages").cast("string")).alias("metadata"))
-    written = _grouped(marked).select(name.alias("path"), F.concat(front, "content").alias("content"))
-    written = written.union(failing.select(F.concat(F.lit("/"), "source", "kind"), "content")).withColumn("path", F.concat(F.lit(top), "path"))
+    written = failing.select(F.concat(F.lit(f"{top}/"), "source", "kind").alias("path"), "content")
     files.write_files(written.union(chats.select("filepath", F.lit("%PDF"))))
     target = scratch_path(spark, "collection")
     results = index.index_directory(spark, top, target, parsed=chats)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,20 +46,23 @@ _MARKDOWN = (
     "# Doc ", "@id", "\n\nSee [source](https://x.org/", "@source", ") and ![img ", "@lang", "](/img/", "@id", ".png) ![](/none.png)\n##  Über ", "@lang",
     " -- Notes!_\n```python\nx = ", "@id", "\n# in a fence\n```\n```\nplain ", "@lang", "\n```\n| a | b |\n|---|---|\n| ", "@id", " | ", "@lang", " |\n|\n\nlone | bar\n", "@text",
 )
-_SPARK = {"@id": lambda: F.col("doc_id").cast("string"), "@source": lambda: F.col("source"), "@lang": lambda: F.col("lang"), "@text": lambda: F.col("text")}
-_DUCK = {"@id": "doc_id", "@source": "source", "@lang": "lang", "@text": "text"}
+_COLUMNS = {"@id": "doc_id", "@source": "source", "@lang": "lang", "@text": "text"}
+
+
+def marked(column: Callable[[str], Column] = F.col) -> Column:
+    """A document's markdown, of its columns as ``column`` gives them by name."""
+    return F.concat(*[column(_COLUMNS[p]).cast("string") if p in _COLUMNS else F.lit(p) for p in _MARKDOWN])
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_SPARK[p]() if p in _SPARK else F.lit(p) for p in _MARKDOWN]
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", marked().alias("text"))
 
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-MARKDOWN = "(SELECT doc_id, " + " || ".join(_DUCK.get(p) or _quoted(p) for p in _MARKDOWN) + " AS text FROM documents)"
+MARKDOWN = "(SELECT doc_id, " + " || ".join(_COLUMNS.get(p) or _quoted(p) for p in _MARKDOWN) + " AS text FROM documents)"
 
 
 def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ one small file that is made at one go, numbered behind the last; a writer that f
 the newer snapshot and tries the next. So readers see a batch as a whole or not at all, and a job that is lost half-way
 leaves nothing but a folder that no snapshot names (:func:`vacuum` removes those).
 
-Beside its chunks a batch has the list of its files, and a list of those older batches' files that it replaces; replaced
-chunks are left out when the collection is read, by an anti-join that collections without replaced files don't need.
-:func:`compact` writes what is left as one batch.
+Beside its chunks a batch has the list of its files, and a list of those older batches' files that it replaces and of its
+own that are left out, as they lack vectors; their chunks are passed over when the collection is read, by an anti-join that
+collections without such files don't need. :func:`compact` writes what is left as one batch.
 
 Metadata is a map of strings, which Parquet cannot search. Keys that are to be searched are promoted to typed columns when
 the collection is made.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.sources.scratch import drop_path
+from quarry.sources.scratch import drop_path, stored
 
 SCHEMA = T.StructType(
     [
@@ -53,6 +53,8 @@ class CountMismatch(ValueError):
 #: Promoted keys are columns of this name and the key.
 PROMOTED = "meta_"
 _KEYS = "filepath string, batch string"
+#: How chunks are written: a chunk's text is there twice, as its document and in its metadata.
+_PACKED = {"compression": "zstd"}
 
 
 def _place(spark: SparkSession, path: str):
@@ -113,10 +115,13 @@ def _read(spark: SparkSession, path: str, kind: str, batches: list[str], schema:
 
 def _live(spark: SparkSession, path: str, kind: str, snapshot: dict, schema: T.StructType | str) -> DataFrame:
     rows = _read(spark, path, kind, [b["name"] for b in snapshot["batches"]], schema)
-    replaced = [b["name"] for b in snapshot["batches"] if b["replaces"]]
+    # A file that its batch leaves out has no chunks, but is known to the collection.
+    replaced = [b["name"] for b in snapshot["batches"] if b["replaces"] or (kind == "data" and b.get("left_out"))]
     if not replaced:
         return rows
-    dead = _read(spark, path, "replaced", replaced, "filepath string, old string").select("filepath", F.col("old").alias("batch")).distinct()
+    dead = _read(spark, path, "replaced", replaced, "filepath string, old string")
+    dead = dead if kind == "data" else dead.filter("old <> batch")
+    dead = dead.select("filepath", F.col("old").alias("batch")).distinct()
     return rows.join(dead, ["filepath", "batch"], "left_anti")
 
 
@@ -175,12 +180,8 @@ def store_chunks(
     rows = encode(rows) if encode is not None else rows
     missing = F.raise_error(F.lit(f"{_MISMATCH}: a chunk without a vector")).cast("array<double>")
     rows = rows.withColumn("embedding", F.coalesce(F.col("embedding"), missing))
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields]
-    promoted = _snapshot(spark, path)[1]["promoted"]
-    typed = [F.col("metadata")[key].try_cast(kind).alias(PROMOTED + key) for key, kind in promoted.items()]
-    name = uuid.uuid4().hex
     try:
-        rows.select(*columns).select("*", *typed).write.parquet(f"{path}/data/batch={name}")
+        name = _write(rows, path)
     except Exception as error:
         if _MISMATCH in str(error):
             raise CountMismatch(str(error).partition(_MISMATCH)[2].strip(": ").splitlines()[0]) from error
@@ -188,8 +189,34 @@ def store_chunks(
     _add_batch(spark, path, name, part, replacing)
 
 
-def _add_batch(spark: SparkSession, path: str, name: str, part: str | None, replacing: DataFrame | None) -> None:
-    """Name a written batch in a snapshot, with its files and the older ones that it replaces."""
+def store_files(chunks: DataFrame, path: str, replacing: DataFrame, part: str | None = None) -> DataFrame:
+    """Append the chunks of whole files; how many chunks and vectors each has (``filepath, n, m``).
+
+    A file with a chunk that has no vector is left out as a whole. That is known when all its chunks are there, so they
+    are written to the batch once, like the others, and the batch names the file as one whose chunks are not to be read.
+    ``replacing`` and ``part`` are those of :func:`store_chunks`.
+    """
+    spark, path = chunks.sparkSession, path.rstrip("/")
+    open_collection(spark, path)
+    name = _write(chunks, path)
+    written = spark.read.schema(SCHEMA).parquet(f"{path}/data/batch={name}")
+    counts = stored(written.groupBy("filepath").agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("m")), "counts")
+    _add_batch(spark, path, name, part, replacing, counts.filter("n <> m").select("filepath"))
+    return counts
+
+
+def _write(rows: DataFrame, path: str) -> str:
+    """Write ``rows`` to the folder of a new batch, with the collection's columns; the batch's name."""
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields]
+    promoted = _snapshot(rows.sparkSession, path)[1]["promoted"]
+    typed = [F.col("metadata")[key].try_cast(kind).alias(PROMOTED + key) for key, kind in promoted.items()]
+    name = uuid.uuid4().hex
+    rows.select(*columns).select("*", *typed).write.options(**_PACKED).parquet(f"{path}/data/batch={name}")
+    return name
+
+
+def _add_batch(spark: SparkSession, path: str, name: str, part: str | None, replacing: DataFrame | None, left_out: DataFrame | None = None) -> None:
+    """Name a written batch in a snapshot, with its files, the older ones that it replaces and those that it leaves out."""
     own = spark.read.schema("filepath string").parquet(f"{path}/data/batch={name}")
     if replacing is not None:
         own = own.unionByName(replacing.select(F.col("filepath").cast("string").alias("filepath")))
@@ -198,12 +225,18 @@ def _add_batch(spark: SparkSession, path: str, name: str, part: str | None, repl
 
     def change(last: dict) -> dict:
         others = [b for b in last["batches"] if part is None or b["part"] != part]
-        replaces = False
+        gone = []
         if replacing is not None and others:
-            older = _read(spark, path, "files", [b["name"] for b in others], _KEYS).join(files, "filepath", "left_semi").withColumnRenamed("batch", "old")
-            older.write.mode("overwrite").parquet(f"{path}/replaced/batch={name}")
-            replaces = not _read(spark, path, "replaced", [name], "filepath string, old string").isEmpty()
-        return last | {"batches": [*others, {"name": name, "part": part, "replaces": replaces}]}
+            gone.append(_read(spark, path, "files", [b["name"] for b in others], _KEYS).join(files, "filepath", "left_semi").withColumnRenamed("batch", "old"))
+        if left_out is not None:
+            gone.append(left_out.select("filepath", F.lit(name).alias("old")))
+        marks = {"replaces": False, "left_out": False}
+        if gone:
+            functools.reduce(DataFrame.unionByName, gone).write.mode("overwrite").parquet(f"{path}/replaced/batch={name}")
+            listed = _read(spark, path, "replaced", [name], "filepath string, old string")
+            own = F.col("old") == name
+            marks = listed.agg(F.coalesce(F.bool_or(~own), F.lit(False)).alias("replaces"), F.coalesce(F.bool_or(own), F.lit(False)).alias("left_out")).first().asDict()
+        return last | {"batches": [*others, {"name": name, "part": part, **marks}]}
 
     _commit(spark, path, change)
 
@@ -216,7 +249,7 @@ def compact(spark: SparkSession, path: str) -> None:
         return
     name, old = uuid.uuid4().hex, {b["name"] for b in before["batches"]}
     schema = _schema(before["promoted"])
-    _live(spark, path, "data", before, schema).select(*schema.names).write.parquet(f"{path}/data/batch={name}")
+    _live(spark, path, "data", before, schema).select(*schema.names).write.options(**_PACKED).parquet(f"{path}/data/batch={name}")
     _live(spark, path, "files", before, _KEYS).select("filepath").distinct().write.parquet(f"{path}/files/batch={name}")
 
     def change(last: dict) -> dict:

@@ -190,20 +190,24 @@ def decode_text(content: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, "\r\n?", "\n"), F.when(valid & bom, "utf-8-sig").when(valid, "utf-8").otherwise("latin-1")
 
 
-def read_files(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB, hidden: bool = True) -> DataFrame:
-    """The files that :func:`crawl_files` lists, with ``content``, but for types that are no text, whose content stays null.
+def texts_and_others(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB, hidden: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The files that :func:`crawl_files` lists: those that are text, with ``content``, and a listing of the others.
 
     Size and type are tested before anything is read.
     """
     fits = supported(max_file_mb=max_file_mb)
     seen = _visible(spark, directory, recursive).filter(fits)
-    texts = seen.filter(is_text()).select(*LISTING.names, "content")
-    others = seen.filter(~is_text()).select(*LISTING.names).withColumn("content", F.lit(None).cast("binary"))
-    out = texts.unionByName(others)
+    texts, others = seen.filter(is_text()).select(*LISTING.names, "content"), seen.filter(~is_text()).select(*LISTING.names)
     if hidden:
         more = _passed_over(spark, _folder(spark, directory), recursive).filter(fits)
-        out = out.unionByName(with_content(more.filter(is_text()))).unionByName(more.filter(~is_text()).withColumn("content", F.lit(None).cast("binary")))
-    return out
+        texts, others = texts.unionByName(with_content(more.filter(is_text()))), others.unionByName(more.filter(~is_text()))
+    return texts, others
+
+
+def read_files(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB, hidden: bool = True) -> DataFrame:
+    """The files that :func:`crawl_files` lists, with ``content``, but for types that are no text, whose content stays null."""
+    texts, others = texts_and_others(spark, directory, recursive, max_file_mb, hidden)
+    return texts.unionByName(others.withColumn("content", F.lit(None).cast("binary")))
 
 
 def read_text(spark: SparkSession, directory: str, recursive: bool = True, max_file_mb: float = MAX_FILE_MB, hidden: bool = True) -> DataFrame:

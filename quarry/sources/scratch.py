@@ -35,11 +35,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: For tables with a whole file's text in a row: groups of 16 MB, whose size is looked at after every row and not after a
+#: hundred, so that neither writer nor reader holds a hundred texts; compressed better than Spark does by itself.
+WIDE = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: made once, and no lost executor takes it away."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     for paths in getattr(_noted, "lists", []):
         paths.append(path)
     back = spark.read.schema(df.schema).parquet(path)

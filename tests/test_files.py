@@ -313,3 +313,57 @@ def test_chunks_that_are_there_are_not_encoded(spark, tmp_path):
     collection.store_chunks(rows, at, skip_existing=True, encode=once)
     kept = collection.open_collection(spark, at).select("id", "embedding").collect()
     assert sorted((r["id"], r["embedding"]) for r in kept) == [("i0", [1.0]), ("i1", [1.0]), ("i2", [2.0])]
+
+
+def kinds_in(spark):
+    """The kinds of tables that lie in the shared folder, and how many of each."""
+    found = [name.split("-")[1] for name in os.listdir(scratch.shared_dir(spark).removeprefix("file:")) if name.startswith("quarry-")]
+    return {kind: found.count(kind) for kind in found}
+
+
+def test_an_index_job_leaves_no_texts_behind(spark, tree, tmp_path):
+    open(tree + "/gap.txt", "w").write("a" + " " * 2000 + "b")
+    before = kinds_in(spark)
+    results = index.index_directory(spark, tree, str(tmp_path / "c"))
+    left = {kind for kind, n in kinds_in(spark).items() if n > before.get(kind, 0)}
+    assert left == {"results", "listing"} and results.filter("success").agg(F.sum("chunks_stored")).first()[0] == collection.open_collection(spark, str(tmp_path / "c")).count()
+
+
+def test_files_that_lack_vectors_are_left_out_of_their_batch(spark, tree, tmp_path):
+    target = str(tmp_path / "c")
+    open(tree + "/gap.txt", "w").write("a" + " " * 2000 + "b")
+    errors = {r.file_path.rpartition("/")[2]: r.error_message for r in index.index_directory(spark, tree, target).collect() if not r.success}
+    assert errors == {"empty.txt": "No content extracted from file", "gap.txt": "Embedding count mismatch: 5 chunks, 2 embeddings"}
+    first = documents_in(spark, target)
+    assert len(first) == 9 and "gap.txt" not in dict(first)
+    assert "gap.txt" in {r.filepath.split("/in/")[1] for r in collection.indexed_files(spark, target).collect()}
+    assert len(os.listdir(target + "/data")) == 1
+    collection.compact(spark, target)
+    assert documents_in(spark, target) == first and collection.vacuum(spark, target) > 0
+    assert "gap.txt" in {r.filepath.split("/in/")[1] for r in collection.indexed_files(spark, target).collect()}
+    index.index_directory(spark, tree, target)
+    open(tree + "/gap.txt", "w").write("mended")
+    index.index_directory(spark, tree, target)
+    assert documents_in(spark, target) == sorted([*first, ("gap.txt", "mended")])
+
+
+def test_long_texts_are_dealt_out_and_indexed_like_others(spark, tree, tmp_path, monkeypatch):
+    open(tree + "/long.txt", "w").write("word after word " * 500)
+    index.index_directory(spark, tree, str(tmp_path / "a"))
+    monkeypatch.setattr(index, "LONG", 10)
+    index.index_directory(spark, tree, str(tmp_path / "b"))
+    held = [sorted(map(str, collection.open_collection(spark, str(tmp_path / x)).collect())) for x in "ab"]
+    assert held[0] == held[1] and len(held[0]) == 27
+
+
+def test_joins_of_the_index_job_move_no_texts(spark, tree, tmp_path, monkeypatch):
+    open(tree + "/a.pdf", "wb").write(b"%PDF")
+    parsed = spark.createDataFrame([(f"file:{tree}/a.pdf", "page text")], "filepath string, content string")
+    joined, made = [], index.documents_of
+    monkeypatch.setattr(index, "documents_of", lambda read, parsed=None: (joined.extend(read.select("path", "text").collect() if parsed is not None else []), made(read, parsed))[1])
+    index.index_directory(spark, tree, str(tmp_path / "c"), parsed=parsed)
+    assert [(r.path.rpartition("/")[2], r.text) for r in joined] == [("a.pdf", None)]
+    docs = spark.createDataFrame([("/a", "txt", None, "text")], "filepath string, parser string, route_error string, content string")
+    chunks = spark.createDataFrame([("/a", [1.0])], "filepath string, embedding array<double>")
+    plan = reports.file_results(docs, chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(content" not in plan[: plan.index("Join")] and "length(content" in plan
