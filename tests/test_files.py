@@ -367,3 +367,17 @@ def test_joins_of_the_index_job_move_no_texts(spark, tree, tmp_path, monkeypatch
     chunks = spark.createDataFrame([("/a", [1.0])], "filepath string, embedding array<double>")
     plan = reports.file_results(docs, chunks)._jdf.queryExecution().optimizedPlan().toString()
     assert "length(content" not in plan[: plan.index("Join")] and "length(content" in plan
+
+
+def test_jobs_that_follow_one_another_leave_no_texts_behind(spark, tmp_path):
+    top, target, at, before = tmp_path / "in", str(tmp_path / "c"), str(tmp_path / "log"), kinds_in(spark)
+    top.mkdir()
+    (top / "a.txt").write_text("some text")
+    (top / "b.txt").write_text(" ")
+    first = log.run_job(spark, at, "first", lambda: index.index_directory(spark, str(top), target))
+    (top / "b.txt").write_text("mended")
+    log.run_job(spark, at, "retry", lambda: index.retry_failed(first, target))
+    log.run_job(spark, at, "again", lambda: index.index_directory(spark, str(top), target))
+    assert {kind for kind, n in kinds_in(spark).items() if n > before.get(kind, 0)} == {"results", "listing", "retried"}
+    assert documents_in(spark, target) == [("a.txt", "some text"), ("b.txt", "mended")] and len(os.listdir(target + "/data")) == 3
+    assert [(r.job_id, r.files_failed, r.total_chunks) for r in log.job_states(spark, at).orderBy("job_id").collect()] == [("again", 0, 2), ("first", 1, 1), ("retry", 0, 2)]
