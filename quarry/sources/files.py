@@ -113,8 +113,8 @@ def remove_files(paths: DataFrame) -> None:
     paths.select("path").mapInArrow(remove, "n long").agg(F.sum("n")).first()
 
 
-def with_content(files: DataFrame) -> DataFrame:
-    """Adds ``content`` by reading each file in the task that has its row."""
+def with_content(files: DataFrame, gone: bool = False) -> DataFrame:
+    """Adds ``content`` by reading each file in the task that has its row; with ``gone``, files that are no longer there have no row."""
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +122,14 @@ def with_content(files: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 system, place = open_place(row.column("path")[0].as_py())
-                with system.open_input_stream(place) as stream:
-                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([stream.read()], pa.binary())], schema.names)
+                try:
+                    with system.open_input_stream(place) as stream:
+                        content = stream.read()
+                except FileNotFoundError:
+                    if not gone:
+                        raise
+                    continue
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], schema.names)
 
     # By number: where it is left to Spark, tasks are put together by the bytes of their paths, and one reads all contents.
     return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(read, schema)

@@ -27,23 +27,24 @@ def stream_index(
     watch.register(spark)
     top = files.full_path(spark, directory)
     tasks = str(2 * spark.sparkContext.defaultParallelism)
-    found = spark.readStream.format("quarry_files").option("maxFileMb", str(max_file_mb)).option("tasks", tasks).load(top)
+    found = spark.readStream.format("quarry_files").option("maxFileMb", str(max_file_mb)).option("tasks", tasks).option("contents", "false").load(top)
     name = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
     collection.open_collection(spark, target)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        batch = batch.persist()  # names, times and sizes; contents are read once, when the documents are written
         listing = stored(files.crawl_files(spark, directory, max_file_mb=max_file_mb), "listing")
         known = collection.indexed_files(spark, target).withColumnRenamed("filepath", "path")
         late = listing.join(known, "path", "left_anti").join(batch.select("path"), "path", "left_anti")
-        late = files.with_content(late.filter(files.is_text())).unionByName(late.filter(~files.is_text()).withColumn("content", F.lit(None).cast("binary")))
-        content = F.when(files.is_text(), F.col("content")).alias("content")
-        changed = batch.select("path", "length", "modificationTime", content).unionByName(late)
+        changed = batch.select("path", "length", "modificationTime").unionByName(late)
+        others = changed.filter(~files.is_text()).withColumn("content", F.lit(None).cast("binary"))
+        read = files.with_content(changed.filter(files.is_text()), gone=True).unionByName(others)
         gone = index.missing_files(spark, directory, target, listing)
-        results = index.index_documents(index.documents_of(files.decoded(changed)), target, part=f"{name}-{number:08d}", gone=gone, **settings)
+        results = index.index_documents(index.documents_of(files.decoded(read)), target, part=f"{name}-{number:08d}", gone=gone, **settings)
         if report:
             results.write.mode("overwrite").parquet(f"{report.rstrip('/')}/{name}-{number:08d}")
         batch.unpersist()
         drop_stored(listing)
+        drop_stored(results)
 
     return found.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

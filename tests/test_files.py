@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.jobs import answer, index, log
 from quarry.operators import reports
-from quarry.sources import collection, files, scratch
+from quarry.sources import collection, files, scratch, watch
 from quarry.streaming.index import stream_index
 
 
@@ -381,3 +381,41 @@ def test_jobs_that_follow_one_another_leave_no_texts_behind(spark, tmp_path):
     assert {kind for kind, n in kinds_in(spark).items() if n > before.get(kind, 0)} == {"results", "listing", "retried"}
     assert documents_in(spark, target) == [("a.txt", "some text"), ("b.txt", "mended")] and len(os.listdir(target + "/data")) == 3
     assert [(r.job_id, r.files_failed, r.total_chunks) for r in log.job_states(spark, at).orderBy("job_id").collect()] == [("again", 0, 2), ("first", 1, 1), ("retry", 0, 2)]
+
+
+def test_the_stream_keeps_no_contents_in_memory(spark, tree, tmp_path, monkeypatch):
+    open(tree + "/large.txt", "w").write("words of a large file " * 100000)
+    held, done = [], index.index_documents
+
+    def measured(*args, **settings):
+        results = done(*args, **settings)
+        held.append(sum(info.memSize() + info.diskSize() for info in spark.sparkContext._jsc.sc().getRDDStorageInfo()))
+        return results
+
+    monkeypatch.setattr(index, "index_documents", measured)
+    stream_index(spark, tree, str(tmp_path / "s"), str(tmp_path / "at")).awaitTermination()
+    assert len(held) == 1 and held[0] < 100000
+    assert "large.txt" in dict(documents_in(spark, str(tmp_path / "s")))
+
+
+def test_a_task_of_the_file_source_holds_one_content(tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_bytes(b"x" * (i + 1))
+    start, top = {"time": -1, "path": "", "listing": ""}, f"file:{tmp_path}"
+    reader = watch.FileSource({"path": top}).streamReader(None)
+    parts = reader.partitions(start, reader.latestOffset())
+    (tmp_path / "1.txt").unlink()
+    batches = [b for part in parts for b in reader.read(part)]
+    assert [b.num_rows for b in batches] == [1, 1] and sorted(b.column("content")[0].as_py() for b in batches) == [b"x", b"xxx"]
+    source = watch.FileSource({"path": top, "contents": "false"})
+    reader = source.streamReader(None)
+    listed = [b for part in reader.partitions(start, reader.latestOffset()) for b in reader.read(part)]
+    assert source.schema() == watch.LISTED and [b.schema.names for b in listed] == [["path", "modificationTime", "length"]] and listed[0].num_rows == 2
+
+
+def test_files_that_went_are_passed_over_where_that_is_asked_for(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a")
+    there = spark.createDataFrame([(f"file:{tmp_path}/a.txt",), (f"file:{tmp_path}/none.txt",)], "path string")
+    assert [bytes(r.content) for r in files.with_content(there, gone=True).collect()] == [b"a"]
+    with pytest.raises(Exception, match="none.txt"):
+        files.with_content(there).collect()
